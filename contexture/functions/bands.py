@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contexture.functions.order import quoted, text
+
 
 @dataclass(frozen=True)
 class Bands:
@@ -26,18 +28,23 @@ class Bands:
         if list(self.bounds) != sorted(set(self.bounds)):
             raise ValueError("bounds must ascend")
 
-    def rank(self, value: Column) -> Column:
-        """Position of the value's band, which is also its display order."""
-        chain = F.when(value.isNull(), F.lit(None).cast("int"))
-        for position, bound in enumerate(self.bounds):
-            chain = chain.when(value < bound, F.lit(position))
-        return chain.otherwise(F.lit(len(self.bounds)))
+    def rank(self, value: str) -> Column:
+        """Position of the named column's band, which is its display order."""
+        name = quoted(value)
+        cases = [f"WHEN {name} < {b} THEN {i}" for i, b in enumerate(self.bounds)]
+        return F.expr(
+            f"CASE WHEN {name} IS NULL THEN NULL {' '.join(cases)}"
+            f" ELSE {len(self.bounds)} END"
+        )
+
+    def label_of_rank(self, rank: str) -> Column:
+        return F.get(self._labels(), F.col(rank))
 
-    def label_of_rank(self, rank: Column) -> Column:
-        return F.get(F.array(*[F.lit(label) for label in self.labels]), rank)
+    def _labels(self) -> Column:
+        return F.expr(f"array({', '.join(text(label) for label in self.labels)})")
 
-    def label(self, value: Column) -> Column:
-        return self.label_of_rank(self.rank(value))
+    def label(self, value: str) -> Column:
+        return F.get(self._labels(), self.rank(value))
 
 
 # Visibility ranges in metres.

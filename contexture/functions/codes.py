@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contexture.functions.order import text
+
 # Incident categories, severities, and the categories that
 # describe the weather itself and so are not incidents.
 CATEGORY_LABELS = {
@@ -40,8 +42,8 @@ SEVERITIES = tuple(sorted({*SEVERITY_LABELS.values(), UNKNOWN_SEVERITY}))
 
 def lookup(code: Column, labels: Mapping[int, str], default: Column) -> Column:
     """Label of a code, or ``default`` where the code is unlisted or null."""
-    pairs = [F.lit(part) for item in labels.items() for part in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), code), default)
+    pairs = ", ".join(f"{code}, {text(label)}" for code, label in labels.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), code), default)
 
 
 def category_label(code: Column) -> Column:

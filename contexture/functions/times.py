@@ -33,11 +33,6 @@ def bucket_number(time: Column, seconds: int = 60) -> Column:
     return F.floor(F.unix_seconds(time) / F.lit(seconds)).cast("long")
 
 
-def bucket_start_micros(micros: Column, seconds: int) -> Column:
-    """Start of the bucket in microseconds, in exact integer arithmetic."""
-    return micros - F.pmod(micros, F.lit(seconds * 1_000_000))
-
-
 def within(time: Column, centre: Column, seconds: int) -> Column:
     """``time`` lies in ``centre`` +/- ``seconds``, both ends included."""
     span = F.make_dt_interval(secs=F.lit(seconds))

@@ -19,10 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from contexture.functions.times import bucket_start_micros
+from contexture.functions.order import quoted
 from contexture.operators.dedup import distinct_incidents, distinct_observations
 
 TOLERANCE_SECONDS = 300
@@ -37,30 +36,31 @@ def _time_line(
     bucket_seconds: int | None,
     tolerance_seconds: int,
 ) -> DataFrame:
-    """Instants of both sides by bucket; ``seen`` is null on incident rows."""
-    width = bucket_seconds or tolerance_seconds
-    at = F.col("at")
-    seen = distinct_observations(observations).withColumn(
-        "at", F.unix_micros("w_timestamp")
-    )
-    start = bucket_start_micros(at, width)
+    """Instants of both sides by bucket; ``seen`` is null on incident rows.
+
+    Times are microseconds, so that bucket starts are exact integers.
+    """
+    width = (bucket_seconds or tolerance_seconds) * 1_000_000
+    bucket = f"at - pmod(at, {width})"
+    reached = bucket
     if bucket_seconds is None:
         # An observation within tolerance lies in the incident's own bucket or
         # in a neighbour, so it is placed in three.
-        step = F.lit(width * 1_000_000)
-        start = F.explode(F.array(start - step, start, start + step))
-    seen = seen.select(
-        start.alias("bucket"),
-        "at",
-        F.struct("at", *[c for c in seen.columns if c != "at"]).alias("seen"),
+        reached = f"explode(array({bucket} - {width}, {bucket}, {bucket} + {width}))"
+    columns = ", ".join(quoted(c) for c in observations.columns)
+    seen = (
+        distinct_observations(observations)
+        .selectExpr("unix_micros(w_timestamp) AS at", "*")
+        .selectExpr(f"{reached} AS bucket", "at", f"struct(at, {columns}) AS seen")
     )
-    starts = incidents.filter(F.col("t_start").isNotNull()).select("t_start").distinct()
-    starts = starts.select(F.unix_micros("t_start").alias("at")).select(
-        bucket_start_micros(at, width).alias("bucket"),
-        "at",
-        F.lit(None).cast(seen.schema["seen"].dataType).alias("seen"),
+    starts = (
+        incidents.where("t_start IS NOT NULL")
+        .select("t_start")
+        .distinct()
+        .selectExpr("unix_micros(t_start) AS at")
+        .selectExpr(f"{bucket} AS bucket", "at")
     )
-    return seen.unionAll(starts)
+    return seen.unionByName(starts, allowMissingColumns=True)
 
 
 def nearest_observation(
@@ -76,27 +76,26 @@ def nearest_observation(
     ``bucket_seconds=None`` only the tolerance bounds the reach; otherwise both
     must also share a bucket.
     """
-    columns = observations.columns
     line = _time_line(incidents, observations, bucket_seconds, tolerance_seconds)
     # The default frame takes in rows of equal time, so an observation at the
     # very instant of an incident is met both ways.
-    forward = Window.partitionBy("bucket").orderBy(F.col("at").asc())
-    backward = Window.partitionBy("bucket").orderBy(F.col("at").desc())
-    last_seen = F.last("seen", ignorenulls=True)
-    line = line.withColumn("before", last_seen.over(forward)).withColumn(
-        "after", last_seen.over(backward)
-    )
-    gap_before = F.col("at") - F.col("before.at")
-    gap_after = F.col("after.at") - F.col("at")
-    reach = F.lit(tolerance_seconds * 1_000_000)
-    nearest = F.when(
-        F.col("after").isNull() | (gap_before <= gap_after), F.col("before")
-    ).otherwise(F.col("after"))
-    found = line.filter(F.col("seen").isNull()).select("at", nearest.alias("nearest"))
-    found = found.filter(F.abs(F.col("nearest.at") - F.col("at")) <= reach)
-    return found.select(
-        F.timestamp_micros("at").alias("t_start"),
-        *[F.col(f"nearest.{c}") for c in columns],
+    carried = "last_value(seen) IGNORE NULLS OVER (PARTITION BY bucket ORDER BY at {})"
+    nearest = """CASE WHEN after IS NULL OR at - before.at <= after.at - at
+                      THEN before ELSE after END"""
+    return (
+        line.selectExpr(
+            "at",
+            "seen",
+            f"{carried.format('ASC')} AS before",
+            f"{carried.format('DESC')} AS after",
+        )
+        .where("seen IS NULL")
+        .selectExpr("at", f"{nearest} AS nearest")
+        .where(f"abs(nearest.at - at) <= {tolerance_seconds * 1_000_000}")
+        .selectExpr(
+            "timestamp_micros(at) AS t_start",
+            *[f"nearest.{quoted(c)}" for c in observations.columns],
+        )
     )
 
 
@@ -120,7 +119,7 @@ def context_join(
         tolerance_seconds,
     )
     if required:
-        answer = answer.filter(F.col(required).isNotNull())
+        answer = answer.where(f"{quoted(required)} IS NOT NULL")
     rows = distinct_incidents(incidents).join(
         answer.select("t_start", *context), "t_start"
     )

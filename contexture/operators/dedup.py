@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from contexture.functions.order import least_row
 
@@ -11,15 +10,18 @@ INCIDENT_KEY = ["t_id", "t_start"]
 OBSERVATION_KEY = ["w_timestamp"]
 
 
+def _distinct(df: DataFrame, key: list[str], time: str) -> DataFrame:
+    rows = df.where(f"{time} IS NOT NULL")
+    rest = [c for c in df.columns if c not in key]
+    return least_row(rows, key, rest) if rest else rows.distinct()
+
+
 def distinct_incidents(incidents: DataFrame) -> DataFrame:
     """One row per ``(t_id, t_start)``: repeated polls deliver it again.
 
     Rows without a start time have no place on the time line and are left out.
     """
-    incidents = incidents.filter(F.col("t_start").isNotNull())
-    rest = [c for c in incidents.columns if c not in INCIDENT_KEY]
-    picked = least_row(incidents, INCIDENT_KEY, rest) if rest else incidents.distinct()
-    return picked.select(*incidents.columns)
+    return _distinct(incidents, INCIDENT_KEY, "t_start")
 
 
 def distinct_observations(observations: DataFrame) -> DataFrame:
@@ -27,7 +29,4 @@ def distinct_observations(observations: DataFrame) -> DataFrame:
 
     Rows without an instant are left out.
     """
-    observations = observations.filter(F.col("w_timestamp").isNotNull())
-    rest = [c for c in observations.columns if c not in OBSERVATION_KEY]
-    picked = least_row(observations, OBSERVATION_KEY, rest)
-    return picked.select(*observations.columns)
+    return _distinct(observations, OBSERVATION_KEY, "w_timestamp")

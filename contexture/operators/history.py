@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contexture.functions.order import quoted
+
 
 def first_per_key(
     joined: DataFrame, key: str = "t_id", time: str = "t_start"
@@ -15,18 +17,16 @@ def first_per_key(
     holding a third of all rows sends one row per map task.
     """
     rest = [c for c in joined.columns if c not in (key, time)]
-    order = [F.col(c).asc_nulls_last() for c in (time, *rest)]
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return joined.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    order = ", ".join(f"{quoted(c)} ASC NULLS LAST" for c in (time, *rest))
+    rank = f"row_number() OVER (PARTITION BY {quoted(key)} ORDER BY {order})"
+    return joined.selectExpr("*", f"{rank} AS _rank").where("_rank = 1").drop("_rank")
 
 
 def latest(
     joined: DataFrame, limit: int = 100, time: str = "t_start", key: str = "t_id"
 ) -> DataFrame:
     """The ``limit`` newest rows, kept as a bounded heap per task."""
-    rest = [c for c in joined.columns if c not in (time, key)]
-    order = [F.col(c).asc_nulls_last() for c in (key, *rest)]
-    return joined.orderBy(F.col(time).desc_nulls_last(), *order).limit(limit)
+    return newest_first(joined, time, key).limit(limit)
 
 
 def history(
@@ -45,5 +45,5 @@ def newest_first(
     equal times.
     """
     rest = [c for c in joined.columns if c not in (time, key)]
-    order = [F.col(c).asc_nulls_last() for c in (key, *rest)]
-    return joined.orderBy(F.col(time).desc_nulls_last(), *order)
+    order = [F.expr(quoted(c)).asc_nulls_last() for c in (key, *rest)]
+    return joined.orderBy(F.expr(quoted(time)).desc_nulls_last(), *order)

@@ -16,10 +16,9 @@ from contexture.functions.bands import VISIBILITY_BANDS, Bands
 from contexture.functions.codes import SEVERITIES
 
 
-def _rate(numerator: Column, denominator: Column) -> Column:
+def _rate(numerator: str, denominator: str) -> Column:
     """Missing counts are 0; a denominator of 0 gives null."""
-    whole = F.nullif(denominator, F.lit(0).cast("long"))
-    return F.coalesce(numerator, F.lit(0).cast("long")) / whole
+    return F.expr(f"coalesce({numerator}, 0) / nullif({denominator}, 0)")
 
 
 def rate_by_context(
@@ -38,7 +37,7 @@ def rate_by_context(
     observed = observations.groupBy(label).agg(F.countDistinct(time).alias("_observed"))
     counted = joined.groupBy(label).agg(F.countDistinct(incident_id).alias("_incidents"))
     return observed.join(counted, label, "left").select(
-        label, _rate(F.col("_incidents"), F.col("_observed")).alias("incident_rate")
+        label, _rate("_incidents", "_observed").alias("incident_rate")
     )
 
 
@@ -91,14 +90,14 @@ def _by_band(
     """Distinct ``counted`` by band; grouping is on the small integer rank."""
     return (
         df.filter(F.col(value).isNotNull())
-        .groupBy(bands.rank(F.col(value)).alias("bucket_rank"))
+        .groupBy(bands.rank(value).alias("bucket_rank"))
         .agg(F.countDistinct(counted).alias(name))
     )
 
 
 def _labelled(df: DataFrame, bands: Bands, *columns: Column | str) -> DataFrame:
-    rank = F.col("bucket_rank")
-    return df.select(bands.label_of_rank(rank).alias("vis_range"), rank, *columns)
+    label = bands.label_of_rank("bucket_rank").alias("vis_range")
+    return df.select(label, "bucket_rank", *columns)
 
 
 def minutes_by_bucket(
@@ -139,7 +138,7 @@ def rate_by_bucket(
     """Distinct incidents per distinct observed instant, for each observed band."""
     observed = _by_band(observations, value, time, "minute_count", bands)
     counted = _by_band(joined, value, incident_id, "incident_count", bands)
-    rate = _rate(F.col("incident_count"), F.col("minute_count"))
+    rate = _rate("incident_count", "minute_count")
     rates = _labelled(
         observed.join(counted, "bucket_rank", "left"), bands, rate.alias("incident_rate")
     )

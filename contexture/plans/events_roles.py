@@ -5,7 +5,7 @@ Every fourth event is delivered twice, as a repeated poll would.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contexture.functions.codes import (
@@ -17,9 +17,22 @@ from contexture.operators.context import context_join
 from contexture.operators.dedup import distinct_observations
 from contexture.session import pin_utc
 
-OBSERVED_TYPES = ("view", "click")
-INCIDENT_TYPES = ("error", "purchase", "signup")
-CONDITIONS = ("Clear", "Clouds", "Rain", "Snow", "Mist")
+OBSERVED = "event_type IN ('view', 'click')"
+INCIDENT = "event_type IN ('error', 'purchase', 'signup')"
+
+# The stored time has no zone; watermarks and epoch casts need one.
+SECOND = "date_trunc('second', CAST(ts AS TIMESTAMP))"
+TWICE = "event_id % 4 = 0"
+POLL = f"explode(IF({TWICE}, array(1, 2), array(1))) AS poll"
+
+K = "CAST(get_json_object(props, '$.k') AS INT)"
+CONDITION = f"get(array('Clear', 'Clouds', 'Rain', 'Snow', 'Mist'), {K} % 6)"
+VISIBILITY = "IF(event_id % 13 = 0, NULL, CAST(floor(value * 200) AS INT))"
+RAIN = "IF(event_id % 3 = 0, value, 0.0D)"
+
+INCIDENT_ID = "concat('TTI-', user_id)"
+CATEGORY = "IF(event_id % 17 = 0, NULL, CAST(event_id % 15 AS INT))"
+MAGNITUDE = "IF(event_id % 19 = 0, NULL, CAST(user_id % 6 AS INT))"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,71 +46,33 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.parquet(sf_dir)
 
 
-def _every(n: int) -> Column:
-    return F.col("event_id") % n == 0
-
-
-def _second() -> Column:
-    # The stored time has no zone; watermarks and epoch casts need one.
-    return F.date_trunc("second", F.col("ts").cast("timestamp"))
-
-
-def _repeat() -> Column:
-    return F.explode(F.when(_every(4), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-
-
-def condition() -> Column:
-    """One of five labels, or null, from the event's properties."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    return F.get(F.array(*[F.lit(c) for c in CONDITIONS]), k % 6)
-
-
-def visibility() -> Column:
-    metres = F.floor(F.col("value") * 200).cast("int")
-    return F.when(~_every(13), metres)
-
-
-def rainfall() -> Column:
-    return F.when(_every(3), F.col("value")).otherwise(F.lit(0.0))
-
-
-def category() -> Column:
-    return F.when(~_every(17), (F.col("event_id") % 15).cast("int"))
-
-
-def magnitude() -> Column:
-    return F.when(~_every(19), (F.col("user_id") % 6).cast("int"))
-
-
-def incident_id() -> Column:
-    return F.concat(F.lit("TTI-"), F.col("user_id"))
-
-
 def observations(source: DataFrame) -> DataFrame:
     """Observations as they arrive, repeated polls included."""
-    rows = source.filter(F.col("event_type").isin(*OBSERVED_TYPES))
-    return rows.select(
-        _second().alias("w_timestamp"),
-        condition().alias("weather_desc"),
-        visibility().alias("visibility"),
-        rainfall().alias("rain"),
-        _repeat().alias("poll"),
-    ).drop("poll")
+    return (
+        source.where(OBSERVED)
+        .selectExpr(
+            f"{SECOND} AS w_timestamp",
+            f"{CONDITION} AS weather_desc",
+            f"{VISIBILITY} AS visibility",
+            f"{RAIN} AS rain",
+            POLL,
+        )
+        .drop("poll")
+    )
 
 
 def incidents(source: DataFrame) -> DataFrame:
     """Incidents as they arrive, weather categories left out."""
-    rows = source.filter(F.col("event_type").isin(*INCIDENT_TYPES)).withColumn(
-        "code", category()
-    )
+    code = F.expr(CATEGORY)
     return (
-        rows.filter(~is_context_category(F.col("code")))
+        source.where(INCIDENT)
+        .where(~is_context_category(code))
         .select(
-            incident_id().alias("t_id"),
-            category_label(F.col("code")).alias("t_type"),
-            severity_label(magnitude()).alias("t_severity"),
-            _second().alias("t_start"),
-            _repeat().alias("poll"),
+            F.expr(INCIDENT_ID).alias("t_id"),
+            category_label(code).alias("t_type"),
+            severity_label(F.expr(MAGNITUDE)).alias("t_severity"),
+            F.expr(SECOND).alias("t_start"),
+            F.expr(POLL),
         )
         .drop("poll")
     )
@@ -114,37 +89,22 @@ def observation_table(source: DataFrame) -> DataFrame:
 
 def weather_payloads(source: DataFrame) -> DataFrame:
     """One raw payload per poll; some are junk, some lack rain or conditions."""
-    rows = source.filter(F.col("event_type").isin(*OBSERVED_TYPES))
-    conditions = F.when(_every(11), F.array().cast("array<struct<main:string>>"))
-    conditions = conditions.otherwise(F.array(F.struct(condition().alias("main"))))
-    rain = F.when(_every(3), F.struct(F.col("value").alias("1h")))
-    current = F.struct(
-        F.unix_seconds(_second()).alias("dt"),
-        conditions.alias("weather"),
-        visibility().alias("visibility"),
-        rain.alias("rain"),
-    )
-    text = F.to_json(F.struct(current.alias("current")))
-    text = F.when(_every(29), F.lit("junk")).otherwise(text)
-    return rows.select(text.alias("value"), _repeat().alias("poll")).drop("poll")
+    conditions = f"""IF(event_id % 11 = 0,
+        CAST(array() AS ARRAY<STRUCT<main: STRING>>), array(struct({CONDITION} AS main)))"""
+    current = f"""struct(unix_seconds({SECOND}) AS dt, {conditions} AS weather,
+        {VISIBILITY} AS visibility,
+        IF(event_id % 3 = 0, struct(value AS `1h`), NULL) AS rain)"""
+    payload = f"IF(event_id % 29 = 0, 'junk', to_json(struct({current} AS current)))"
+    return source.where(OBSERVED).selectExpr(f"{payload} AS value", POLL).drop("poll")
 
 
 def incident_payloads(source: DataFrame) -> DataFrame:
     """One raw payload per event; a repeated incident stands in its list twice."""
-    rows = source.filter(F.col("event_type").isin(*INCIDENT_TYPES))
-    start = F.date_format(_second(), "yyyy-MM-dd'T'HH:mm:ss")
-    remainder = F.col("event_id") % 23
-    start = F.when(remainder == 0, F.lit("bad")).when(
-        remainder == 1, F.concat(start, F.lit("+02"))
-    ).otherwise(F.concat(start, F.lit("Z")))
-    properties = F.struct(
-        incident_id().alias("id"),
-        category().alias("iconCategory"),
-        magnitude().alias("magnitudeOfDelay"),
-        start.alias("startTime"),
-    )
-    item = F.struct(properties.alias("properties"))
-    items = F.when(_every(4), F.array(item, item)).otherwise(F.array(item))
-    text = F.to_json(F.struct(items.alias("incidents")))
-    text = F.when(_every(29), F.lit("junk")).otherwise(text)
-    return rows.select(text.alias("value"))
+    local = f"""date_format({SECOND}, "yyyy-MM-dd'T'HH:mm:ss")"""
+    start = f"""CASE event_id % 23 WHEN 0 THEN 'bad'
+        WHEN 1 THEN concat({local}, '+02') ELSE concat({local}, 'Z') END"""
+    item = f"""struct(struct({INCIDENT_ID} AS id, {CATEGORY} AS iconCategory,
+        {MAGNITUDE} AS magnitudeOfDelay, {start} AS startTime) AS properties)"""
+    items = f"array_repeat({item}, IF({TWICE}, 2, 1))"
+    payload = f"IF(event_id % 29 = 0, 'junk', to_json(struct({items} AS incidents)))"
+    return source.where(INCIDENT).selectExpr(f"{payload} AS value")

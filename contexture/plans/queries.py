@@ -33,11 +33,12 @@ AVAILABLE_NOW = {"availableNow": True}
 
 def _epochs(df: DataFrame) -> DataFrame:
     """Timestamps as epoch seconds under ``<name>_epoch``."""
-    columns = [
-        F.unix_seconds(name).alias(f"{name}_epoch") if kind == "timestamp" else F.col(name)
-        for name, kind in df.dtypes
-    ]
-    return df.select(*columns)
+    return df.selectExpr(
+        *[
+            f"unix_seconds({name}) AS {name}_epoch" if kind == "timestamp" else name
+            for name, kind in df.dtypes
+        ]
+    )
 
 
 # Normalisation
@@ -62,7 +63,8 @@ def incidents_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = roles.events(spark, sf_dir).select(
-        roles.category().alias("category"), roles.magnitude().alias("magnitude")
+        F.expr(roles.CATEGORY).alias("category"),
+        F.expr(roles.MAGNITUDE).alias("magnitude"),
     )
     counts = codes.groupBy("category", "magnitude").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(
@@ -86,7 +88,7 @@ def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minute_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = roles.events(spark, sf_dir).select(
         bucket_number(F.col("ts").cast("timestamp")).alias("minute"),
-        F.col("event_type").isin(*roles.OBSERVED_TYPES).alias("observed"),
+        F.expr(roles.OBSERVED).alias("observed"),
     )
     return rows.groupBy("minute").agg(
         F.count_if("observed").alias("observations"),
@@ -128,6 +130,14 @@ def context_join_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Marts
 
 
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.observation_table(roles.events(spark, sf_dir))
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.joined_table(roles.events(spark, sf_dir))
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     source = roles.events(spark, sf_dir)
     return roles.observation_table(source), roles.joined_table(source)
@@ -142,23 +152,23 @@ def rate_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minutes_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.minutes_by_bucket(_tables(spark, sf_dir)[0])
+    return marts.minutes_by_bucket(_observed(spark, sf_dir))
 
 
 def incidents_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.incidents_by_bucket(_tables(spark, sf_dir)[1])
+    return marts.incidents_by_bucket(_joined(spark, sf_dir))
 
 
 def severity_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.severity_by_context(_tables(spark, sf_dir)[1])
+    return marts.severity_by_context(_joined(spark, sf_dir))
 
 
 def severity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.severity_pivot(_tables(spark, sf_dir)[1])
+    return marts.severity_pivot(_joined(spark, sf_dir))
 
 
 def count_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.count_by_context(_tables(spark, sf_dir)[1])
+    return marts.count_by_context(_joined(spark, sf_dir))
 
 
 def count_by_context_with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +180,7 @@ def count_by_context_with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = _tables(spark, sf_dir)[1]
+    joined = _joined(spark, sf_dir)
     return joined.agg(F.count(F.lit(1)).alias("rows_in_batch"))
 
 
@@ -178,11 +188,11 @@ def batch_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _epochs(history.first_per_key(_tables(spark, sf_dir)[1]))
+    return _epochs(history.first_per_key(_joined(spark, sf_dir)))
 
 
 def first_per_key_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _epochs(history.history(_tables(spark, sf_dir)[1], HISTORY_ROWS))
+    return _epochs(history.history(_joined(spark, sf_dir), HISTORY_ROWS))
 
 
 def first_incident_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,11 +200,11 @@ def first_incident_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _epochs(history.latest(_tables(spark, sf_dir)[1], snapshot.RECENT_ROWS))
+    return _epochs(history.latest(_joined(spark, sf_dir), snapshot.RECENT_ROWS))
 
 
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _epochs(history.newest_first(_tables(spark, sf_dir)[1]))
+    return _epochs(history.newest_first(_joined(spark, sf_dir)))
 
 
 # Sinks and sources: written to the shared folder, read back from there
@@ -225,7 +235,7 @@ def sql_over_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written_snapshot(spark: SparkSession, sf_dir: str) -> snapshot.Snapshot:
     path = shared_dir(spark, "snapshot")
-    batch = _tables(spark, sf_dir)[1].persist(StorageLevel.MEMORY_AND_DISK)
+    batch = _joined(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         snapshot.write_snapshot(batch, path, epoch_id=0)
     finally:

@@ -21,6 +21,9 @@ SQL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Settings of the Python side: no call site is recorded per column expression.
+PYTHON_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 # Settings of stateful queries. State lives off-heap and on local disk, and a
 # checkpoint uploads the changelog instead of whole snapshots.
 STATE_CONF = {
@@ -36,7 +39,7 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_CONF, **STATE_CONF, **(conf or {})}.items():
+    for key, value in {**SQL_CONF, **PYTHON_CONF, **STATE_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

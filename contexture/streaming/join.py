@@ -18,14 +18,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contexture.functions.order import nulls_last_struct
+from contexture.functions.order import least
 from contexture.operators.context import (
     BUCKET_SECONDS,
     CONTEXT_COLUMNS,
     TOLERANCE_SECONDS,
 )
 
-SALTS = 16
+SALTS = 8
 
 
 def _bucket(time: str, seconds: int) -> Column:
@@ -47,7 +47,7 @@ def _all_per_bucket(observations: DataFrame, context: Sequence[str], seconds: in
     # only, at most one per second of the bucket for second-precision times.
     instants = observations.groupBy(
         _bucket("w_timestamp", seconds), F.unix_micros("w_timestamp").alias("at")
-    ).agg(F.min(nulls_last_struct(context)).alias("least"))
+    ).agg(least(context).alias("least"))
     return instants.groupBy("bucket").agg(
         F.collect_list(
             F.struct("at", *[F.col(f"least.{c}").alias(c) for c in context])
