@@ -242,10 +242,9 @@ LEFT JOIN (SELECT weather_desc, count(DISTINCT t_id) AS incidents
     "stream_dedup": _EVENTS + "\nSELECT t_id, t AS t_start_epoch FROM incidents",
     "stream_dedup_observations": _EVENTS
     + "\nSELECT w AS w_timestamp_epoch FROM observations",
-    "stream_context_nearest": _NEAR
-    + "\nSELECT t_id, t AS t_start_epoch, weather_desc, visibility, rain FROM joined"
-    + f" WHERE {_COMPLETE.format(w='weather_in', t='incident_in')}",
-    "stream_context_first": _EVENTS
+    "stream_context_join_nearest": _NEAR
+    + f"\nSELECT {_ROW} FROM joined WHERE {_COMPLETE.format(w='weather_in', t='incident_in')}",
+    "stream_context_join_first": _EVENTS
     + _MINUTE_MATCH
     + "\nSELECT t_id, t AS t_start_epoch FROM matched",
     "pipeline_tables": _EVENTS

@@ -28,7 +28,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SINCE = datetime(2024, 1, 15, tzinfo=timezone.utc)
 HISTORY_ROWS = 1000
-AVAILABLE_NOW = {"availableNow": True}
 
 
 def _epochs(df: DataFrame) -> DataFrame:
@@ -282,27 +281,25 @@ def topic_roundtrip_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run_stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     base = shared_dir(spark, name)
-    writer = pipeline.table_writer(
-        rows, f"{base}/table", f"{base}/checkpoint", trigger=AVAILABLE_NOW
-    )
+    writer = pipeline.table_writer(rows, f"{base}/table", f"{base}/checkpoint")
     writer.start().awaitTermination()
     return _epochs(tables.read_table(spark, f"{base}/table", rows.schema))
 
 
-def _role_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    session = state_session(spark)
+def _role_streams(
+    spark: SparkSession, sf_dir: str, combine: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    source = roles.event_stream(state_session(spark), sf_dir)
     return (
-        intake.incident_stream(roles.incidents(roles.event_stream(session, sf_dir))),
-        intake.observation_stream(
-            roles.observations(roles.event_stream(session, sf_dir))
-        ),
+        intake.incident_stream(roles.incidents(source), combine=combine),
+        intake.observation_stream(roles.observations(source), combine=combine),
     )
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Which copy of a key arrives first is open, so the keys alone are shown.
-    rows = _role_streams(spark, sf_dir)[0].select("t_id", "t_start")
-    return _run_stream(spark, rows, "stream-incidents")
+    rows = intake.distinct_incident_stream(_role_streams(spark, sf_dir)[0])
+    return _run_stream(spark, rows.select("t_id", "t_start"), "stream-incidents")
 
 
 def stream_dedup_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,20 +307,17 @@ def stream_dedup_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_stream(spark, rows.select("w_timestamp"), "stream-observations")
 
 
-def stream_context_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    incidents, observations = _role_streams(spark, sf_dir)
-    keyed = incidents.select("t_id", "t_start")
-    rows = stream_context_join(keyed, observations, match="nearest")
+def stream_context_join_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    incidents, observations = _role_streams(spark, sf_dir, combine=False)
+    rows = stream_context_join(incidents, observations, match="nearest")
     return _run_stream(spark, rows, "stream-nearest")
 
 
-def stream_context_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_context_join_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Which observation of a bucket arrives first is open: keys alone.
     incidents, observations = _role_streams(spark, sf_dir)
-    rows = stream_context_join(
-        incidents, observations, match="first", required=None
-    ).select("t_id", "t_start")
-    return _run_stream(spark, rows, "stream-first")
+    rows = stream_context_join(incidents, observations, match="first", required=None)
+    return _run_stream(spark, rows.select("t_id", "t_start"), "stream-first")
 
 
 def pipeline_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +330,7 @@ def pipeline_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         checkpoint_path=f"{base}/checkpoints",
         snapshot_path=f"{base}/snapshot",
         match="nearest",
-        trigger=AVAILABLE_NOW,
+        trigger=pipeline.AVAILABLE_NOW,
     )
     pipeline.run(state_session(spark), topics, config)
     observed = tables.read_observations(spark, config.observations_path)
@@ -388,8 +382,8 @@ QUERIES: dict[str, Query] = {
         topic_roundtrip_weather,
         stream_dedup,
         stream_dedup_observations,
-        stream_context_nearest,
-        stream_context_first,
+        stream_context_join_nearest,
+        stream_context_join_first,
         pipeline_tables,
     )
 }

@@ -13,4 +13,4 @@ def read_payloads(
     Lines are the splittable form and the one for large volumes.
     """
     reader = spark.readStream if streaming else spark.read
-    return reader.option("wholetext", str(whole_files).lower()).text(path)
+    return reader.text(path, wholetext=whole_files)

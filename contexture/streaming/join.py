@@ -6,9 +6,10 @@ incident meets one partner and is emitted once, however many observations its
 bucket holds. Incidents of a busy bucket spread over ``salts`` state
 partitions; the bucket's single row is repeated once per salt.
 
-``first`` keeps the first observation to arrive in a bucket and emits at once.
-``nearest`` waits until the watermark has passed the bucket and then picks as
-the batch join does.
+``first`` keeps the first observation to arrive in a bucket and the first copy
+of an incident, and emits at once. ``nearest`` waits until the watermark has
+passed the bucket and then picks as the batch join does; its aggregates
+combine copies on the map side.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contexture.functions.order import least
+from contexture.functions.order import least, quoted
 from contexture.operators.context import (
     BUCKET_SECONDS,
     CONTEXT_COLUMNS,
     TOLERANCE_SECONDS,
 )
+from contexture.streaming.intake import distinct_incident_stream
 
 SALTS = 8
 
@@ -32,6 +34,33 @@ def _bucket(time: str, seconds: int) -> Column:
     return F.window(time, f"{seconds} seconds").alias("bucket")
 
 
+# A stateful operator takes one event-time column, here the bucket, so exact
+# times travel as numbers.
+
+
+def _first_incidents(incidents: DataFrame, carried: list[str], seconds: int):
+    return distinct_incident_stream(incidents).select(
+        _bucket("t_start", seconds),
+        F.unix_micros("t_start").alias("start_micros"),
+        *carried,
+    )
+
+
+def _least_incidents(incidents: DataFrame, carried: list[str], seconds: int):
+    rest = [c for c in carried if c != "t_id"]
+    rows = incidents.groupBy(
+        _bucket("t_start", seconds),
+        F.unix_micros("t_start").alias("start_micros"),
+        "t_id",
+    ).agg(least(rest or ["t_id"]).alias("least"))
+    return rows.selectExpr(
+        "bucket",
+        "start_micros",
+        "t_id",
+        *[f"least.{quoted(c)} AS {quoted(c)}" for c in rest],
+    )
+
+
 def _first_per_bucket(observations: DataFrame, context: Sequence[str], seconds: int):
     rows = observations.select(
         _bucket("w_timestamp", seconds),
@@ -48,24 +77,19 @@ def _all_per_bucket(observations: DataFrame, context: Sequence[str], seconds: in
     instants = observations.groupBy(
         _bucket("w_timestamp", seconds), F.unix_micros("w_timestamp").alias("at")
     ).agg(least(context).alias("least"))
+    fields = ", ".join(f"least.{quoted(c)} AS {quoted(c)}" for c in context)
     return instants.groupBy("bucket").agg(
-        F.collect_list(
-            F.struct("at", *[F.col(f"least.{c}").alias(c) for c in context])
-        ).alias("seen")
+        F.expr(f"collect_list(struct(at, {fields}))").alias("seen")
     )
 
 
-def _nearest(seen: Column, at: Column, context: Sequence[str]) -> Column:
+def _nearest(context: Sequence[str]) -> Column:
     """Least by distance, then by time; one entry per instant leaves no tie."""
-    ranked = F.transform(
-        seen,
-        lambda o: F.struct(
-            F.abs(o["at"] - at).alias("gap"),
-            o["at"].alias("at"),
-            *[o[c].alias(c) for c in context],
-        ),
+    fields = ", ".join(f"o.{quoted(c)} AS {quoted(c)}" for c in context)
+    return F.expr(
+        "array_min(transform(seen, o -> struct("
+        f"abs(o.at - start_micros) AS gap, o.at AS at, {fields})))"
     )
-    return F.array_min(ranked)
 
 
 def stream_context_join(
@@ -80,38 +104,30 @@ def stream_context_join(
 ) -> DataFrame:
     """Distinct incidents with the ``context`` columns of one observation.
 
-    ``incidents`` are watermarked on ``t_start`` and distinct by
-    ``(t_id, t_start)``, ``observations`` watermarked on ``w_timestamp``, as
-    the intake functions give them.
+    ``incidents`` are watermarked on ``t_start``, ``observations`` on
+    ``w_timestamp``. For ``nearest`` neither may have been combined before.
     """
+    carried = [c for c in incidents.columns if c != "t_start"]
     if match == "first":
-        buckets = _first_per_bucket(observations, context, bucket_seconds)
+        left = _first_incidents(incidents, carried, bucket_seconds)
+        right = _first_per_bucket(observations, context, bucket_seconds)
     elif match == "nearest":
-        buckets = _all_per_bucket(observations, context, bucket_seconds)
+        left = _least_incidents(incidents, carried, bucket_seconds)
+        right = _all_per_bucket(observations, context, bucket_seconds)
     else:
         raise ValueError(f"match is 'first' or 'nearest', not {match!r}")
 
-    buckets = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    carried = [c for c in incidents.columns if c != "t_start"]
-    # A stateful operator takes one event-time column, here the bucket; the
-    # start time travels as a number.
-    left = incidents.select(
-        *carried,
-        F.unix_micros("t_start").alias("start_micros"),
-        _bucket("t_start", bucket_seconds),
-        F.pmod(F.xxhash64("t_id"), F.lit(salts)).cast("int").alias("salt"),
-    )
-    start = F.col("start_micros")
-    matched = left.join(buckets, ["bucket", "salt"]).withColumn(
-        "nearest", _nearest(F.col("seen"), start, context)
+    salt = f"CAST(pmod(xxhash64(t_id, start_micros), {salts}) AS INT) AS salt"
+    left = left.selectExpr("*", salt)
+    right = right.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt")
+    matched = left.join(right, ["bucket", "salt"])
+    matched = matched.withColumn("nearest", _nearest(context)).where(
+        f"nearest.gap <= {tolerance_seconds * 1_000_000}"
     )
-    matched = matched.filter(F.col("nearest.gap") <= tolerance_seconds * 1_000_000)
     if required:
-        matched = matched.filter(F.col(f"nearest.{required}").isNotNull())
-    columns = {c: F.col(c) for c in carried} | {
-        "t_start": F.timestamp_micros(start)
-    }
-    return matched.select(
-        *[columns[c].alias(c) for c in incidents.columns],
-        *[F.col(f"nearest.{c}").alias(c) for c in context],
+        matched = matched.where(f"nearest.{quoted(required)} IS NOT NULL")
+    start = {"t_start": "timestamp_micros(start_micros) AS t_start"}
+    return matched.selectExpr(
+        *[start.get(c, quoted(c)) for c in incidents.columns],
+        *[f"nearest.{quoted(c)}" for c in context],
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 from pyspark import StorageLevel
@@ -24,6 +24,9 @@ from contexture.streaming.join import SALTS, stream_context_join
 
 log = logging.getLogger(__name__)
 
+AVAILABLE_NOW = {"availableNow": True}
+ROWS_PER_FILE = 1_000_000
+
 
 @dataclass(frozen=True)
 class PipelineConfig:
@@ -54,11 +57,13 @@ class PipelineConfig:
 def joined_stream(
     spark: SparkSession, topics: KafkaTopics | FolderTopics, config: PipelineConfig
 ) -> DataFrame:
+    # The nearest match picks among all copies itself.
+    combine = config.match == "first"
     incidents = intake.incidents_from_topic(
-        topics.read_stream(spark, INCIDENT_TOPIC), config.since, config.delay
+        topics.read_stream(spark, INCIDENT_TOPIC), config.since, config.delay, combine
     )
     observations = intake.weather_from_topic(
-        topics.read_stream(spark, WEATHER_TOPIC), config.delay
+        topics.read_stream(spark, WEATHER_TOPIC), config.delay, combine
     )
     joined = stream_context_join(
         incidents, observations, config.match, salts=config.salts
@@ -76,41 +81,36 @@ def observations_stream(
 
 
 def table_writer(
-    rows: DataFrame,
-    path: str,
-    checkpoint: str,
-    config: PipelineConfig | None = None,
-    trigger: dict | None = None,
+    rows: DataFrame, path: str, checkpoint: str, config: PipelineConfig | None = None
 ) -> DataStreamWriter:
-    """Append micro-batches to the table at ``path``.
+    """Append the non-empty micro-batches of ``rows`` to the table at ``path``.
 
-    With a ``config`` that names a snapshot, each non-empty batch also replaces
-    the snapshot. A failed write fails the query: the epoch is then run again
-    from the checkpoint instead of being lost.
+    With a ``config`` that names a snapshot, each of them also replaces the
+    snapshot. A failed write fails the query: the epoch is then run again from
+    the checkpoint instead of being lost.
     """
-    snapshot = config.snapshot_path if config else None
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        query_id = streaming_query_id(batch.sparkSession)
-        if not snapshot:
-            write_epoch(batch, path, query_id, epoch_id)
-            return
         # Counted, summed up and written: computed once.
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            rows_in_batch = batch.count()
-            if rows_in_batch == 0:
+            count = batch.count()
+            if count == 0:
                 log.info("epoch %s: empty", epoch_id)
                 return
-            log.info("epoch %s: %s rows", epoch_id, rows_in_batch)
-            write_snapshot(
-                batch,
-                snapshot,
-                epoch_id,
-                config.snapshot_ttl_seconds,
-                config.snapshot_rows,
-            )
-            write_epoch(batch, path, query_id, epoch_id)
+            log.info("epoch %s: %s rows", epoch_id, count)
+            if config and config.snapshot_path:
+                write_snapshot(
+                    batch,
+                    config.snapshot_path,
+                    epoch_id,
+                    config.snapshot_ttl_seconds,
+                    config.snapshot_rows,
+                )
+            # Files by size of the batch, not by number of state partitions.
+            files = -(-count // ROWS_PER_FILE)
+            query_id = streaming_query_id(batch.sparkSession)
+            write_epoch(batch.coalesce(files), path, query_id, epoch_id)
         finally:
             batch.unpersist()
 
@@ -119,6 +119,7 @@ def table_writer(
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
     )
+    trigger = config.trigger if config else AVAILABLE_NOW
     return writer.trigger(**trigger) if trigger else writer
 
 
@@ -130,7 +131,6 @@ def start_joined(
         config.joined_path,
         config.checkpoint("joined"),
         config,
-        config.trigger,
     ).start()
 
 
@@ -141,7 +141,7 @@ def start_observations(
         observations_stream(spark, topics, config),
         config.observations_path,
         config.checkpoint("observations"),
-        trigger=config.trigger,
+        replace(config, snapshot_path=None),
     ).start()
 
 
@@ -149,6 +149,7 @@ def run(
     spark: SparkSession, topics: KafkaTopics | FolderTopics, config: PipelineConfig
 ) -> None:
     """Start both queries and wait; when one fails, stop the other and raise."""
+    spark.streams.resetTerminated()
     queries = [
         start_joined(spark, topics, config),
         start_observations(spark, topics, config),

@@ -1,0 +1,376 @@
+from __future__ import annotations
+
+import json
+from datetime import timedelta
+from pathlib import Path
+
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+from contexture.operators.context import context_join
+from contexture.session import state_session
+from contexture.sources import snapshot, storage, tables
+from contexture.sources.topics import INCIDENT_TOPIC, WEATHER_TOPIC, FolderTopics
+from contexture.streaming import intake, pipeline
+from contexture.streaming.progress import late_rows, state_report
+from tests.helpers import at, incidents, observations
+
+
+class Feed:
+    """Topics that a test fills poll by poll."""
+
+    def __init__(self, root: str):
+        self.root = Path(root)
+        self.topics = FolderTopics(root)
+        self.files = 0
+        for topic in (WEATHER_TOPIC, INCIDENT_TOPIC):
+            (self.root / topic).mkdir(parents=True)
+
+    def _put(self, topic, lines):
+        self.files += 1
+        (self.root / topic / f"{self.files:05d}.txt").write_text("\n".join(lines) + "\n")
+
+    def weather(self, *rows):
+        """Rows are (seconds, label)."""
+        self._put(
+            WEATHER_TOPIC,
+            [
+                json.dumps(
+                    {
+                        "timestamp": int(at(s).timestamp()),
+                        "weather": label,
+                        "visibility": 9000,
+                        "rain": 0.0,
+                    }
+                )
+                for s, label in rows
+            ],
+        )
+
+    def incidents(self, *rows):
+        """Rows are (id, seconds)."""
+        self._put(
+            INCIDENT_TOPIC,
+            [
+                json.dumps(
+                    {
+                        "id": name,
+                        "type": "Accident",
+                        "severity": "Minor",
+                        "start_time": at(s).strftime("%Y-%m-%dT%H:%M:%SZ"),
+                    }
+                )
+                for name, s in rows
+            ],
+        )
+
+    def junk(self, topic):
+        self._put(topic, ["junk"])
+
+
+@pytest.fixture
+def session(spark):
+    return state_session(spark, partitions=2)
+
+
+@pytest.fixture
+def feed(folder):
+    return Feed(folder("topics"))
+
+
+@pytest.fixture
+def config(folder):
+    def make(**changes):
+        base = folder("run")
+        return pipeline.PipelineConfig(
+            **{
+                "joined_path": f"{base}/joined",
+                "observations_path": f"{base}/observations",
+                "checkpoint_path": f"{base}/checkpoints",
+                "salts": 2,
+                **changes,
+            }
+        )
+
+    return make
+
+
+def seconds(df, column):
+    return F.unix_seconds(column) - int(at(0).timestamp())
+
+
+def joined_rows(spark, config):
+    rows = tables.read_joined(spark, config.joined_path)
+    return sorted(
+        tuple(r) for r in rows.select("t_id", seconds(rows, "t_start"), "weather_desc").collect()
+    )
+
+
+def test_first_match_in_batches(spark, session, feed, config):
+    cfg = config(snapshot_path=config().joined_path + "-snapshot")
+    query = pipeline.start_joined(session, feed.topics, cfg)
+    try:
+        feed.weather((0, "Rain"))
+        feed.incidents(("A", 10), ("A", 10), ("B", 70))
+        query.processAllAvailable()
+        assert joined_rows(spark, cfg) == [("A", 10, "Rain")]
+        # Repeated polls add nothing; the next minute's observation frees B.
+        feed.weather((60, "Snow"))
+        feed.incidents(("A", 10), ("B", 70))
+        query.processAllAvailable()
+        assert joined_rows(spark, cfg) == [("A", 10, "Rain"), ("B", 70, "Snow")]
+        # A second observation of the same minute does not match again.
+        feed.weather((65, "Clear"))
+        feed.incidents(("A", 20))
+        query.processAllAvailable()
+        assert joined_rows(spark, cfg) == [
+            ("A", 10, "Rain"),
+            ("A", 20, "Rain"),
+            ("B", 70, "Snow"),
+        ]
+        live = snapshot.read_snapshot(spark, cfg.snapshot_path)
+        assert [r["t_id"] for r in live.recent.collect()] == ["A"]
+        assert live.last_update
+    finally:
+        query.stop()
+
+
+def test_incident_before_its_observation(spark, session, feed, config):
+    cfg = config()
+    query = pipeline.start_joined(session, feed.topics, cfg)
+    try:
+        feed.incidents(("A", 10))
+        query.processAllAvailable()
+        assert joined_rows(spark, cfg) == []
+        feed.weather((30, "Rain"), (120, "Snow"))
+        query.processAllAvailable()
+        assert joined_rows(spark, cfg) == [("A", 10, "Rain")]
+    finally:
+        query.stop()
+
+
+def test_late_rows_are_dropped_and_counted(spark, session, feed, config):
+    cfg = config()
+    query = pipeline.start_joined(session, feed.topics, cfg)
+    try:
+        feed.weather((0, "Rain"), (3600, "Rain"))
+        feed.incidents(("A", 3610))
+        query.processAllAvailable()
+        assert late_rows(query) == 0
+        # An hour late on both sides, far behind the ten-minute watermark.
+        feed.weather((5, "Snow"))
+        feed.incidents(("B", 10), ("C", 3620))
+        query.processAllAvailable()
+        assert late_rows(query) >= 2
+        assert joined_rows(spark, cfg) == [("A", 3610, "Rain"), ("C", 3620, "Rain")]
+    finally:
+        query.stop()
+
+
+def test_restart_repeats_nothing(spark, session, feed, config):
+    cfg = config(trigger={"availableNow": True})
+    feed.weather((0, "Rain"))
+    feed.incidents(("A", 10))
+    pipeline.run(session, feed.topics, cfg)
+    assert joined_rows(spark, cfg) == [("A", 10, "Rain")]
+    # Polled again during the downtime, with one new incident.
+    feed.weather((0, "Rain"), (60, "Snow"))
+    feed.incidents(("A", 10), ("B", 70))
+    pipeline.run(session, feed.topics, cfg)
+    assert joined_rows(spark, cfg) == [("A", 10, "Rain"), ("B", 70, "Snow")]
+    seen = tables.read_observations(spark, cfg.observations_path)
+    assert seen.count() == 2
+    pipeline.reset_pipeline(spark, cfg)
+    assert not storage.exists(spark, cfg.joined_path)
+    assert not storage.exists(spark, cfg.checkpoint_path)
+
+
+def test_nearest_equals_the_batch_join(spark, session, feed, config):
+    cfg = config(match="nearest", trigger={"availableNow": True})
+    seen = [(s * 7 % 1200, f"L{s * 5 % 4}") for s in range(150)]
+    rows = [(f"I{i % 9}", i * 13 % 1200) for i in range(200)]
+    # Sentinels a day later let the watermark pass every bucket under test.
+    feed.weather(*seen, (86400, "end"))
+    feed.incidents(*rows, ("end", 90000))
+    pipeline.run(session, feed.topics, cfg)
+    batch = context_join(
+        incidents(spark, rows),
+        observations(spark, [(s, label, 9000, 0.0) for s, label in seen]),
+    )
+    expected = sorted(
+        tuple(r)
+        for r in batch.select("t_id", seconds(batch, "t_start"), "weather_desc").collect()
+    )
+    assert expected
+    assert joined_rows(spark, cfg) == expected
+
+
+def test_nearest_waits_for_the_watermark(spark, session, feed, config):
+    cfg = config(match="nearest")
+    query = pipeline.start_joined(session, feed.topics, cfg)
+    try:
+        feed.weather((0, "Rain"))
+        feed.incidents(("A", 40))
+        query.processAllAvailable()
+        assert joined_rows(spark, cfg) == []
+        feed.weather((50, "Clear"), (700, "Snow"))
+        feed.incidents(("B", 700))
+        query.processAllAvailable()
+        assert joined_rows(spark, cfg) == [("A", 40, "Clear")]
+    finally:
+        query.stop()
+
+
+def test_silent_side_holds_state(spark, session, feed, config):
+    cfg = config()
+    query = pipeline.start_joined(session, feed.topics, cfg)
+    try:
+        feed.weather((0, "Rain"))
+        query.processAllAvailable()
+        for i in range(3):
+            feed.incidents((f"I{i}", 3600 * (i + 1)))
+            query.processAllAvailable()
+        report = state_report(query)
+        held = {s["operator"]: s["rows"] for s in report["state"]}
+        assert held["symmetricHashJoin"] >= 3
+        # The observations' watermark has not moved, so the hours-late one counts.
+        assert report["watermark"] < at(0).strftime("%Y-%m-%dT%H:%M:%S")
+        feed.incidents(("late", 20))
+        query.processAllAvailable()
+        assert ("late", 20, "Rain") in joined_rows(spark, cfg)
+    finally:
+        query.stop()
+
+
+def test_intake_counts_rows_without_a_time(spark, session, feed, config):
+    query = pipeline.start_observations(session, feed.topics, config())
+    try:
+        feed.weather((0, "Rain"))
+        feed.junk(WEATHER_TOPIC)
+        query.processAllAvailable()
+        metrics = [p["observedMetrics"] for p in query.recentProgress]
+        counted = [m["observations_in"] for m in metrics if m.get("observations_in")]
+        assert sum(c["rows"] for c in counted) == 2
+        assert sum(c["without_time"] for c in counted) == 1
+    finally:
+        query.stop()
+
+
+def test_observation_table_keeps_one_per_instant(spark, session, feed, config):
+    cfg = config()
+    query = pipeline.start_observations(session, feed.topics, cfg)
+    try:
+        feed.weather((0, "Rain"), (60, "Snow"))
+        query.processAllAvailable()
+        feed.weather((0, "Rain"), (120, "Snow"))
+        query.processAllAvailable()
+        rows = tables.read_observations(spark, cfg.observations_path)
+        assert rows.count() == 3
+        assert rows.select("w_timestamp").distinct().count() == 3
+    finally:
+        query.stop()
+
+
+def test_since_is_the_callers(spark, session, feed, config):
+    cfg = config(since=at(60), trigger={"availableNow": True})
+    feed.weather((0, "Rain"), (60, "Snow"))
+    feed.incidents(("A", 59), ("B", 60))
+    pipeline.run(session, feed.topics, cfg)
+    assert joined_rows(spark, cfg) == [("B", 60, "Snow")]
+
+
+def test_new_checkpoint_overwrites_nothing(spark, session, feed, config):
+    first = config(trigger={"availableNow": True})
+    feed.weather((0, "Rain"))
+    feed.incidents(("A", 10))
+    pipeline.run(session, feed.topics, first)
+    again = pipeline.PipelineConfig(
+        **{
+            **first.__dict__,
+            "checkpoint_path": first.checkpoint_path + "-new",
+            "since": at(0) + timedelta(days=1),
+        }
+    )
+    pipeline.run(session, feed.topics, again)
+    assert joined_rows(spark, first) == [("A", 10, "Rain")]
+
+
+def test_failed_write_fails_the_query(spark, session, feed, config, folder):
+    blocked = Path(folder("blocked"))
+    blocked.write_text("a file where the table should be")
+    cfg = config(joined_path=str(blocked), trigger={"availableNow": True})
+    feed.weather((0, "Rain"))
+    feed.incidents(("A", 10))
+    query = pipeline.start_joined(session, feed.topics, cfg)
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination()
+    # The epoch was not committed: with the fault gone, its rows arrive.
+    repaired = pipeline.PipelineConfig(**{**cfg.__dict__, "joined_path": folder("joined")})
+    query = pipeline.start_joined(session, feed.topics, repaired)
+    query.awaitTermination()
+    assert joined_rows(spark, repaired) == [("A", 10, "Rain")]
+
+
+def test_topics_take_streams(spark, session, feed, folder):
+    """Landing folder to topic as a stream."""
+    source = Path(folder("landing"))
+    source.mkdir()
+    payload = {"current": {"dt": 1709251200, "weather": [{"main": "Rain"}], "visibility": 5}}
+    (source / "poll.json").write_text(json.dumps(payload))
+    from contexture.operators.normalize import parse_weather, weather_records
+    from contexture.sources.landing import read_payloads
+
+    records = weather_records(read_payloads(session, str(source), streaming=True))
+    out = FolderTopics(folder("out"))
+    writer = out.write_stream(records, WEATHER_TOPIC).option(
+        "checkpointLocation", folder("checkpoint")
+    )
+    writer.trigger(availableNow=True).start().awaitTermination()
+    row = parse_weather(out.read(spark, WEATHER_TOPIC)).first()
+    assert (row["weather_desc"], row["visibility"], row["rain"]) == ("Rain", 5, 0.0)
+
+
+def test_copies_are_combined_before_the_shuffle(spark):
+    copies = [("A", 1)] * 500 + [("A", 2), ("B", 1), ("B", None)]
+    rows = incidents(spark, copies).coalesce(1)
+    kept = intake.combine_copies(rows, ["t_id", "t_start"])
+    assert kept.schema == rows.schema
+    assert kept.count() == 4
+    assert kept.distinct().count() == 4
+
+
+def test_hot_bucket_spreads_over_salts(session, feed, config):
+    cfg = config(salts=4)
+    query = pipeline.start_joined(session, feed.topics, cfg)
+    try:
+        feed.weather((0, "Rain"))
+        feed.incidents(*[(f"I{i}", i % 60) for i in range(400)], *[("A", 1)] * 400)
+        query.processAllAvailable()
+        assert len(joined_rows(session, cfg)) == 401
+        held = {s["operator"]: s["rows"] for s in state_report(query)["state"]}
+        assert held["symmetricHashJoin"] == 401 + 4
+    finally:
+        query.stop()
+
+
+def test_batch_size_decides_the_files(spark, session, feed, config):
+    cfg = config(trigger={"availableNow": True})
+    feed.weather((0, "Rain"))
+    feed.incidents(*[(f"I{i}", i % 60) for i in range(100)])
+    pipeline.start_joined(session, feed.topics, cfg).awaitTermination()
+    files = list(Path(cfg.joined_path).glob("query_id=*/epoch_id=*/*.parquet"))
+    assert len(files) == 1
+
+
+def test_unknown_match_is_refused(session, feed, config):
+    with pytest.raises(ValueError):
+        pipeline.joined_stream(session, feed.topics, config(match="best"))
+
+
+def test_delay_is_a_parameter(session, feed):
+    stream = intake.weather_from_topic(
+        feed.topics.read_stream(session, WEATHER_TOPIC), delay="1 hour"
+    )
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "1 hours" in plan or "60 minutes" in plan
