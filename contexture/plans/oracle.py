@@ -124,10 +124,14 @@ _INCIDENT_ROWS = "SELECT t_id, t_type, t_severity, t AS t_start_epoch FROM incid
 _WEATHER_ROWS = """SELECT w AS w_timestamp_epoch, weather_desc, visibility, rain
 FROM weather_rows"""
 
-# A bucket is complete once the watermark has passed its end.
-_COMPLETE = """t // 60 * 60 + 60 <=
+# A bucket is complete once the watermark has passed its end; without buckets,
+# once it has passed all that a span of tolerance width can reach.
+_COMPLETE = """{end} <=
     (SELECT least((SELECT max(w) FROM {w}), (SELECT max(t) FROM {t})) - 600)"""
 
+_MINUTE_END = "t // 60 * 60 + 60"
+_REACH_END = "t // 300 * 300 + 600"
+
 ORACLE: dict[str, str] = {
     "normalize_weather": _EVENTS + _PAYLOADS + _WEATHER_ROWS,
     "normalize_incidents": _EVENTS + _PAYLOADS + _INCIDENT_ROWS,
@@ -243,7 +247,13 @@ LEFT JOIN (SELECT weather_desc, count(DISTINCT t_id) AS incidents
     "stream_dedup_observations": _EVENTS
     + "\nSELECT w AS w_timestamp_epoch FROM observations",
     "stream_context_join_nearest": _NEAR
-    + f"\nSELECT {_ROW} FROM joined WHERE {_COMPLETE.format(w='weather_in', t='incident_in')}",
+    + f"\nSELECT {_ROW} FROM joined WHERE "
+    + _COMPLETE.format(end=_MINUTE_END, w="weather_in", t="incident_in"),
+    "stream_context_join_tolerance": _EVENTS
+    + _TOLERANCE_MATCH
+    + _JOINED
+    + f"\nSELECT {_ROW} FROM joined WHERE "
+    + _COMPLETE.format(end=_REACH_END, w="weather_in", t="incident_in"),
     "stream_context_join_first": _EVENTS
     + _MINUTE_MATCH
     + "\nSELECT t_id, t AS t_start_epoch FROM matched",
@@ -264,6 +274,6 @@ FROM weather_rows
 UNION ALL
 SELECT 'incidents', weather_desc, count(*) FROM pairs
 WHERE rn = 1 AND weather_desc IS NOT NULL
-  AND {_COMPLETE.format(w='weather_rows', t='incident_rows')}
+  AND {_COMPLETE.format(end=_MINUTE_END, w='weather_rows', t='incident_rows')}
 GROUP BY weather_desc""",
 }

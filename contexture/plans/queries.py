@@ -313,6 +313,14 @@ def stream_context_join_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_stream(spark, rows, "stream-nearest")
 
 
+def stream_context_join_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    incidents, observations = _role_streams(spark, sf_dir, combine=False)
+    rows = stream_context_join(
+        incidents, observations, match="nearest", bucket_seconds=None
+    )
+    return _run_stream(spark, rows, "stream-tolerance")
+
+
 def stream_context_join_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Which observation of a bucket arrives first is open: keys alone.
     incidents, observations = _role_streams(spark, sf_dir)
@@ -383,6 +391,7 @@ QUERIES: dict[str, Query] = {
         stream_dedup,
         stream_dedup_observations,
         stream_context_join_nearest,
+        stream_context_join_tolerance,
         stream_context_join_first,
         pipeline_tables,
     )

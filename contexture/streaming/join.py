@@ -15,6 +15,7 @@ combine copies on the map side.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,29 +31,49 @@ from contexture.streaming.intake import distinct_incident_stream
 SALTS = 8
 
 
-def _bucket(time: str, seconds: int) -> Column:
-    return F.window(time, f"{seconds} seconds").alias("bucket")
+@dataclass(frozen=True)
+class _Buckets:
+    """Tumbling buckets, or with ``seconds=None`` all within tolerance.
 
+    In the latter case buckets are as wide as the tolerance, and their rows meet
+    in sliding windows three buckets wide: an observation lies in three of them,
+    an incident is taken to the one that has it in the middle.
+    """
 
-# A stateful operator takes one event-time column, here the bucket, so exact
-# times travel as numbers.
+    seconds: int | None
+    tolerance: int
 
+    def observed(self, time: str) -> Column:
+        if self.seconds:
+            return F.window(time, f"{self.seconds} seconds").alias("bucket")
+        width = f"{3 * self.tolerance} seconds"
+        return F.window(time, width, f"{self.tolerance} seconds").alias("bucket")
+
+    def incidents(self, df: DataFrame, carried: list[str]) -> DataFrame:
+        # A stateful operator takes one event-time column, here the bucket, so
+        # exact times travel as numbers.
+        rows = df.select(
+            self.observed("t_start"),
+            F.unix_micros("t_start").alias("start_micros"),
+            *carried,
+        )
+        if self.seconds:
+            return rows
+        width = self.tolerance * 1_000_000
+        middle = f"start_micros - unix_micros(bucket.start) - {width}"
+        return rows.where(f"{middle} >= 0 AND {middle} < {width}")
 
-def _first_incidents(incidents: DataFrame, carried: list[str], seconds: int):
-    return distinct_incident_stream(incidents).select(
-        _bucket("t_start", seconds),
-        F.unix_micros("t_start").alias("start_micros"),
-        *carried,
-    )
 
+def _first_incidents(incidents: DataFrame, carried: list[str], buckets: _Buckets):
+    return buckets.incidents(distinct_incident_stream(incidents), carried)
 
-def _least_incidents(incidents: DataFrame, carried: list[str], seconds: int):
+
+def _least_incidents(incidents: DataFrame, carried: list[str], buckets: _Buckets):
     rest = [c for c in carried if c != "t_id"]
-    rows = incidents.groupBy(
-        _bucket("t_start", seconds),
-        F.unix_micros("t_start").alias("start_micros"),
-        "t_id",
-    ).agg(least(rest or ["t_id"]).alias("least"))
+    rows = buckets.incidents(incidents, carried)
+    rows = rows.groupBy("bucket", "start_micros", "t_id").agg(
+        least(rest or ["t_id"]).alias("least")
+    )
     return rows.selectExpr(
         "bucket",
         "start_micros",
@@ -61,9 +82,11 @@ def _least_incidents(incidents: DataFrame, carried: list[str], seconds: int):
     )
 
 
-def _first_per_bucket(observations: DataFrame, context: Sequence[str], seconds: int):
+def _first_per_bucket(
+    observations: DataFrame, context: Sequence[str], buckets: _Buckets
+):
     rows = observations.select(
-        _bucket("w_timestamp", seconds),
+        buckets.observed("w_timestamp"),
         F.unix_micros("w_timestamp").alias("at"),
         *context,
     )
@@ -71,11 +94,13 @@ def _first_per_bucket(observations: DataFrame, context: Sequence[str], seconds:
     return rows.select("bucket", F.array(F.struct("at", *context)).alias("seen"))
 
 
-def _all_per_bucket(observations: DataFrame, context: Sequence[str], seconds: int):
+def _all_per_bucket(
+    observations: DataFrame, context: Sequence[str], buckets: _Buckets
+):
     # One row per instant first: the list below then holds distinct instants
     # only, at most one per second of the bucket for second-precision times.
     instants = observations.groupBy(
-        _bucket("w_timestamp", seconds), F.unix_micros("w_timestamp").alias("at")
+        buckets.observed("w_timestamp"), F.unix_micros("w_timestamp").alias("at")
     ).agg(least(context).alias("least"))
     fields = ", ".join(f"least.{quoted(c)} AS {quoted(c)}" for c in context)
     return instants.groupBy("bucket").agg(
@@ -96,7 +121,7 @@ def stream_context_join(
     incidents: DataFrame,
     observations: DataFrame,
     match: str = "first",
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: int | None = BUCKET_SECONDS,
     tolerance_seconds: int = TOLERANCE_SECONDS,
     context: Sequence[str] = CONTEXT_COLUMNS,
     required: str | None = "weather_desc",
@@ -106,14 +131,19 @@ def stream_context_join(
 
     ``incidents`` are watermarked on ``t_start``, ``observations`` on
     ``w_timestamp``. For ``nearest`` neither may have been combined before.
+    ``bucket_seconds=None`` is for ``nearest``: one observation cannot stand for
+    all of a bucket whose ends lie further apart than the tolerance.
     """
     carried = [c for c in incidents.columns if c != "t_start"]
+    buckets = _Buckets(bucket_seconds, tolerance_seconds)
     if match == "first":
-        left = _first_incidents(incidents, carried, bucket_seconds)
-        right = _first_per_bucket(observations, context, bucket_seconds)
+        if not bucket_seconds or bucket_seconds > tolerance_seconds:
+            raise ValueError("'first' needs a bucket no wider than the tolerance")
+        left = _first_incidents(incidents, carried, buckets)
+        right = _first_per_bucket(observations, context, buckets)
     elif match == "nearest":
-        left = _least_incidents(incidents, carried, bucket_seconds)
-        right = _all_per_bucket(observations, context, bucket_seconds)
+        left = _least_incidents(incidents, carried, buckets)
+        right = _all_per_bucket(observations, context, buckets)
     else:
         raise ValueError(f"match is 'first' or 'nearest', not {match!r}")
 

@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from contexture.operators.context import BUCKET_SECONDS, TOLERANCE_SECONDS
 from contexture.schemas import JOINED_TABLE
 from contexture.sources.snapshot import RECENT_ROWS, TTL_SECONDS, write_snapshot
 from contexture.sources.tables import reset, streaming_query_id, write_epoch
@@ -45,6 +46,8 @@ class PipelineConfig:
     since: datetime | None = None
     delay: str = intake.WATERMARK_DELAY
     match: str = "first"
+    bucket_seconds: int | None = BUCKET_SECONDS
+    tolerance_seconds: int = TOLERANCE_SECONDS
     salts: int = SALTS
     snapshot_ttl_seconds: int = TTL_SECONDS
     snapshot_rows: int = RECENT_ROWS
@@ -66,7 +69,12 @@ def joined_stream(
         topics.read_stream(spark, WEATHER_TOPIC), config.delay, combine
     )
     joined = stream_context_join(
-        incidents, observations, config.match, salts=config.salts
+        incidents,
+        observations,
+        config.match,
+        config.bucket_seconds,
+        config.tolerance_seconds,
+        salts=config.salts,
     )
     return joined.select(*JOINED_TABLE.fieldNames())
 

@@ -186,9 +186,15 @@ def test_restart_repeats_nothing(spark, session, feed, config):
     assert not storage.exists(spark, cfg.checkpoint_path)
 
 
-def test_nearest_equals_the_batch_join(spark, session, feed, config):
-    cfg = config(match="nearest", trigger={"availableNow": True})
-    seen = [(s * 7 % 1200, f"L{s * 5 % 4}") for s in range(150)]
+@pytest.mark.parametrize("bucket", [60, None])
+def test_nearest_equals_the_batch_join(spark, session, feed, config, bucket):
+    cfg = config(
+        match="nearest",
+        bucket_seconds=bucket,
+        tolerance_seconds=60,
+        trigger={"availableNow": True},
+    )
+    seen = [(s * 47 % 1200, f"L{s * 5 % 4}") for s in range(25)]
     rows = [(f"I{i % 9}", i * 13 % 1200) for i in range(200)]
     # Sentinels a day later let the watermark pass every bucket under test.
     feed.weather(*seen, (86400, "end"))
@@ -197,6 +203,8 @@ def test_nearest_equals_the_batch_join(spark, session, feed, config):
     batch = context_join(
         incidents(spark, rows),
         observations(spark, [(s, label, 9000, 0.0) for s, label in seen]),
+        bucket_seconds=bucket,
+        tolerance_seconds=60,
     )
     expected = sorted(
         tuple(r)
@@ -363,9 +371,12 @@ def test_batch_size_decides_the_files(spark, session, feed, config):
     assert len(files) == 1
 
 
-def test_unknown_match_is_refused(session, feed, config):
+@pytest.mark.parametrize(
+    "changes", [{"match": "best"}, {"bucket_seconds": None}, {"bucket_seconds": 600}]
+)
+def test_unfit_matches_are_refused(session, feed, config, changes):
     with pytest.raises(ValueError):
-        pipeline.joined_stream(session, feed.topics, config(match="best"))
+        pipeline.joined_stream(session, feed.topics, config(**changes))
 
 
 def test_delay_is_a_parameter(session, feed):
