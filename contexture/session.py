@@ -65,12 +65,15 @@ def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSe
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``).
+    """A fresh path in the folder all executors share.
+
+    That is ``spark.checkpoint.dir``, or what the context was told instead.
 
     Only a local master may do without the setting: there driver and executors
     are one machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or spark.sparkContext.getCheckpointDir()
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local"):
