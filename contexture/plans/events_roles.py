@@ -42,8 +42,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table as a file stream."""
     schema = events(spark, sf_dir).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return reader.parquet(sf_dir)
+    # A pattern that fits this name alone: a stream takes a single file only
+    # by pattern, and a folder of files either way.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
 def observations(source: DataFrame) -> DataFrame:

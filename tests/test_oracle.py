@@ -32,6 +32,31 @@ def test_query_matches_sql(spark, con, name):
     assert rows
 
 
+@pytest.fixture(scope="module")
+def many_files(spark, tmp_path_factory):
+    """The small tables with ``events`` as a folder of files in mixed order."""
+    base = tmp_path_factory.mktemp("many")
+    events = spark.read.parquet(str(TESTDATA / "sf0.001" / "events.parquet"))
+    events.repartition(5).write.parquet(str(base / "events.parquet"))
+    return base
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "rate_by_context",
+        "context_join_tolerance",
+        "first_per_key_history",
+        "stream_dedup",
+        "stream_context_join_nearest",
+        "pipeline_tables",
+    ],
+)
+def test_layout_of_files_does_not_matter(spark, many_files, name):
+    con = oracle_connection(TESTDATA / "sf0.001")
+    assert spark_rows(QUERIES[name](spark, str(many_files))) == sql_rows(con, ORACLE[name])
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["weather_desc", "incident_rate"]
