@@ -243,6 +243,7 @@ LEFT JOIN (SELECT weather_desc, count(DISTINCT t_id) AS incidents
     + "\nSELECT weather_desc, count(*) AS count FROM joined GROUP BY weather_desc",
     "topic_roundtrip": _EVENTS + _PAYLOADS + _INCIDENT_ROWS,
     "topic_roundtrip_weather": _EVENTS + _PAYLOADS + _WEATHER_ROWS,
+    "stream_publish": _EVENTS + _PAYLOADS + _INCIDENT_ROWS,
     "stream_dedup": _EVENTS + "\nSELECT t_id, t AS t_start_epoch FROM incidents",
     "stream_dedup_observations": _EVENTS
     + "\nSELECT w AS w_timestamp_epoch FROM observations",

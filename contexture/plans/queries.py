@@ -21,7 +21,7 @@ from contexture.plans import events_roles as roles
 from contexture.session import shared_dir, state_session
 from contexture.sources import landing, snapshot, tables
 from contexture.sources.topics import INCIDENT_TOPIC, WEATHER_TOPIC, FolderTopics
-from contexture.streaming import intake, pipeline
+from contexture.streaming import intake, pipeline, publish
 from contexture.streaming.join import stream_context_join
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,16 +251,23 @@ def live_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written_snapshot(spark, sf_dir).counts.drop("updated_at", "expires_at")
 
 
-def _filled_topics(spark: SparkSession, sf_dir: str) -> FolderTopics:
-    """Payloads dropped into landing folders, normalised and published."""
+def _landed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Raw payloads of both feeds, dropped into landing folders."""
     source = roles.events(spark, sf_dir)
+    folders = shared_dir(spark, "weather"), shared_dir(spark, "incidents")
+    roles.weather_payloads(source).write.text(folders[0])
+    roles.incident_payloads(source).write.text(folders[1])
+    return folders
+
+
+def _filled_topics(spark: SparkSession, sf_dir: str) -> FolderTopics:
+    """Landed payloads, normalised and published in one go."""
+    weather, incidents = _landed(spark, sf_dir)
     topics = FolderTopics(shared_dir(spark, "topics"))
-    for payloads, to_records, topic in (
-        (roles.weather_payloads(source), normalize.weather_records, WEATHER_TOPIC),
-        (roles.incident_payloads(source), normalize.incident_records, INCIDENT_TOPIC),
+    for folder, to_records, topic in (
+        (weather, normalize.weather_records, WEATHER_TOPIC),
+        (incidents, normalize.incident_records, INCIDENT_TOPIC),
     ):
-        folder = shared_dir(spark, "landing")
-        payloads.write.text(folder)
         topics.write(to_records(landing.read_payloads(spark, folder)), topic)
     return topics
 
@@ -276,6 +283,21 @@ def topic_roundtrip_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _epochs(normalize.with_event_time(rows, "w_timestamp"))
 
 
+def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed payloads, published by streams; the incidents as they arrive."""
+    topics = FolderTopics(shared_dir(spark, "topics"))
+    publishing = publish.start_publishing(
+        state_session(spark),
+        *_landed(spark, sf_dir),
+        topics,
+        shared_dir(spark, "checkpoints"),
+        pipeline.AVAILABLE_NOW,
+    )
+    for query in publishing:
+        query.awaitTermination()
+    return _epochs(normalize.parse_incidents(topics.read(spark, INCIDENT_TOPIC)))
+
+
 # Streams: run over all available files, then read back from the written table
 
 
@@ -388,6 +410,7 @@ QUERIES: dict[str, Query] = {
         live_snapshot_counts,
         topic_roundtrip,
         topic_roundtrip_weather,
+        stream_publish,
         stream_dedup,
         stream_dedup_observations,
         stream_context_join_nearest,

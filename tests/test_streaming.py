@@ -9,10 +9,18 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from contexture.operators.context import context_join
+from contexture.operators.normalize import parse_incidents, parse_weather
 from contexture.session import state_session
 from contexture.sources import snapshot, storage, tables
-from contexture.sources.topics import INCIDENT_TOPIC, WEATHER_TOPIC, FolderTopics
+from contexture.sources.topics import (
+    INCIDENT_TOPIC,
+    WEATHER_TOPIC,
+    FolderTopics,
+    KafkaTopics,
+)
 from contexture.streaming import intake, pipeline
+from contexture.streaming.__main__ import configure, parse
+from contexture.streaming.publish import start_publishing
 from contexture.streaming.progress import late_rows, state_report
 from tests.helpers import at, incidents, observations
 
@@ -320,23 +328,46 @@ def test_failed_write_fails_the_query(spark, session, feed, config, folder):
     assert joined_rows(spark, repaired) == [("A", 10, "Rain")]
 
 
-def test_topics_take_streams(spark, session, feed, folder):
-    """Landing folder to topic as a stream."""
-    source = Path(folder("landing"))
-    source.mkdir()
-    payload = {"current": {"dt": 1709251200, "weather": [{"main": "Rain"}], "visibility": 5}}
-    (source / "poll.json").write_text(json.dumps(payload))
-    from contexture.operators.normalize import parse_weather, weather_records
-    from contexture.sources.landing import read_payloads
-
-    records = weather_records(read_payloads(session, str(source), streaming=True))
-    out = FolderTopics(folder("out"))
-    writer = out.write_stream(records, WEATHER_TOPIC).option(
-        "checkpointLocation", folder("checkpoint")
+def test_landed_payloads_are_published(spark, session, folder):
+    weather, incidents_folder = Path(folder("weather")), Path(folder("incidents"))
+    weather.mkdir()
+    incidents_folder.mkdir()
+    poll = {"current": {"dt": 1709251200, "weather": [{"main": "Rain"}], "visibility": 5}}
+    (weather / "poll.json").write_text(json.dumps(poll, indent=2))
+    item = {"properties": {"id": "A", "iconCategory": 1, "startTime": "2024-03-01T00:00:10Z"}}
+    (incidents_folder / "poll.json").write_text(json.dumps({"incidents": [item, item]}))
+    topics = FolderTopics(folder("out"))
+    for query in start_publishing(
+        session,
+        str(weather),
+        str(incidents_folder),
+        topics,
+        folder("checkpoints"),
+        pipeline.AVAILABLE_NOW,
+        whole_files=True,
+    ):
+        query.awaitTermination()
+    seen = parse_weather(topics.read(spark, WEATHER_TOPIC)).collect()
+    assert [(r["weather_desc"], r["visibility"], r["rain"]) for r in seen] == [
+        ("Rain", 5, 0.0)
+    ]
+    rows = parse_incidents(topics.read(spark, INCIDENT_TOPIC)).collect()
+    assert [(r["t_id"], r["t_type"], r["t_severity"]) for r in rows] == [
+        ("A", "Accident", "Unknown")
+    ] * 2
+
+
+def test_command_line():
+    topics, cfg = configure(
+        parse(["--servers", "b:9092", "--base", "/lake/", "--since", "2024-03-01"])
     )
-    writer.trigger(availableNow=True).start().awaitTermination()
-    row = parse_weather(out.read(spark, WEATHER_TOPIC)).first()
-    assert (row["weather_desc"], row["visibility"], row["rain"]) == ("Rain", 5, 0.0)
+    assert topics == KafkaTopics("b:9092")
+    assert cfg.since == at(0)
+    assert cfg.joined_path == "/lake/weather_traffic_comb"
+    assert cfg.trigger == {"processingTime": "60 seconds"}
+    topics, cfg = configure(parse(["--folder", "/topics", "--base", "/lake", "--drain"]))
+    assert topics == FolderTopics("/topics")
+    assert cfg.trigger == pipeline.AVAILABLE_NOW
 
 
 def test_copies_are_combined_before_the_shuffle(spark):
