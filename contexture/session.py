@@ -32,6 +32,33 @@ STATE_CONF = {
 }
 
 
+# Settings of the context itself. Beyond 2000 shuffle partitions a map task
+# reports block sizes as an average, which would hide a hot key from the skew
+# handling; blocks this many times the median are reported as they are.
+CORE_CONF = {"spark.shuffle.accurateBlockSkewedFactor": "5.0"}
+
+_MB = 1024 * 1024
+PARTITION_BYTES = 256 * _MB
+MAX_PARTITIONS = 20_000
+SPLIT_BYTES = 128 * _MB
+MAX_SPLITS = 200_000
+
+
+def sized_conf(input_bytes: int) -> dict[str, str]:
+    """Shuffle partitions and scan splits for a batch over ``input_bytes``.
+
+    Adaptive execution merges partitions that turn out small, so the number
+    errs upward. Both numbers are held where the driver can still track every
+    map output; past that, partitions grow and spill.
+    """
+    partitions = min(MAX_PARTITIONS, max(200, -(-input_bytes // PARTITION_BYTES)))
+    split = max(SPLIT_BYTES, -(-input_bytes // MAX_SPLITS))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(split),
+    }
+
+
 def build_session(
     app_name: str, master: str | None = None, conf: dict[str, str] | None = None
 ) -> SparkSession:
@@ -39,7 +66,8 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_CONF, **PYTHON_CONF, **STATE_CONF, **(conf or {})}.items():
+    settings = {**CORE_CONF, **SQL_CONF, **PYTHON_CONF, **STATE_CONF, **(conf or {})}
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -5,7 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from contexture.operators.context import context_join, nearest_observation
+from contexture.operators.context import (
+    JOINED_COLUMNS,
+    context_join,
+    nearest_observation,
+)
 from contexture.operators.dedup import distinct_incidents, distinct_observations
 from tests.helpers import at, incidents, observations
 
@@ -160,6 +164,26 @@ def test_join_equals_brute_force(spark, bucket, seed):
     assert got == brute_force(incident_rows, seen, bucket, tolerance)
 
 
+def test_empty_sides(spark):
+    rows, seen = incidents(spark, [("A", 1)]), observations(spark, [(0, "Rain")])
+    assert context_join(rows.limit(0), seen).count() == 0
+    assert context_join(rows, seen.limit(0)).count() == 0
+    assert context_join(rows, seen.limit(0)).columns == list(JOINED_COLUMNS)
+
+
+def test_other_columns_and_names(spark):
+    """Any columns may ride along and serve as context."""
+    rows = incidents(spark, [("A", 1)]).selectExpr(
+        "t_id", "t_start", "t_type AS `road type`"
+    )
+    seen = observations(spark, [(0, "Rain")]).selectExpr(
+        "w_timestamp", "weather_desc AS `the label`"
+    )
+    result = context_join(rows, seen, context=["the label"], required="the label")
+    assert result.columns == ["t_id", "t_start", "road type", "the label"]
+    assert result.first()["the label"] == "Rain"
+
+
 def test_sub_second_times(spark):
     rows = incidents(spark, [("A", 30.25)])
     seen = observations(spark, [(30.0, "Rain"), (30.4, "Snow")])

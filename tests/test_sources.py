@@ -5,9 +5,10 @@ from datetime import timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from contexture import schemas
-from contexture.session import shared_dir, state_session
+from contexture.session import shared_dir, sized_conf, state_session
 from contexture.sources import landing, snapshot, storage, tables
 from contexture.sources.topics import FolderTopics, KafkaTopics
 from tests.helpers import at, joined, observed, tuples
@@ -146,6 +147,11 @@ def test_kafka_options():
     }
 
 
+def test_kafka_needs_its_connector(spark):
+    with pytest.raises(AnalysisException, match="(?i)kafka"):
+        KafkaTopics("broker:9092").read_stream(spark, "weather_topic")
+
+
 def test_landing_folder_by_line_and_by_file(spark, folder):
     path = Path(folder("landing"))
     path.mkdir()
@@ -162,6 +168,15 @@ def test_shared_dir_comes_from_the_session(spark):
     assert one.startswith(root) and one != other
 
 
+def test_settings_by_size():
+    small = sized_conf(10 * 1024**3)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert small["spark.sql.files.maxPartitionBytes"] == str(128 * 1024**2)
+    large = sized_conf(100 * 1024**4)
+    assert large["spark.sql.shuffle.partitions"] == "20000"
+    assert 100 * 1024**4 / int(large["spark.sql.files.maxPartitionBytes"]) <= 200_000
+
+
 def test_state_session_leaves_the_caller_alone(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     session = state_session(spark, partitions=3)
