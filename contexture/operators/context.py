@@ -10,9 +10,11 @@ per distinct start instant and then joined back:
 
 No pair of candidates is ever formed. Steps 1 and 2 handle distinct instants
 only: at second precision a one-minute bucket holds at most 60 of each kind,
-however many rows fall into it. Step 3 meets one row per key on the answer's
-side, and adaptive execution splits a hot start time (or broadcasts the answer
-if its measured size allows).
+however many rows fall into it. Where times are finer than that, or buckets
+long, ``slot_seconds`` cuts each bucket into slots that are worked apart, and
+only each slot's first and last observation travel along the bucket. Step 3
+meets one row per key on the answer's side, and adaptive execution splits a hot
+start time (or broadcasts the answer if its measured size allows).
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from contexture.functions.order import quoted
 from contexture.operators.dedup import distinct_incidents, distinct_observations
@@ -63,34 +66,70 @@ def _time_line(
     return seen.unionByName(starts, allowMissingColumns=True)
 
 
+_LAST_SEEN = "last_value({0}) IGNORE NULLS OVER (PARTITION BY {1} ORDER BY {2} {3})"
+_EARLIER_ROWS = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _neighbours(line: DataFrame, keys: str) -> DataFrame:
+    """Incident rows with the last observation before and the first after.
+
+    Each group of ``keys`` is looked at by itself. The default frame takes in
+    rows of equal time, so an observation at the very instant of an incident is
+    met both ways.
+    """
+    return line.selectExpr(
+        "*",
+        _LAST_SEEN.format("seen", keys, "at", "ASC") + " AS before",
+        _LAST_SEEN.format("seen", keys, "at", "DESC") + " AS after",
+    ).where("seen IS NULL")
+
+
+def _neighbours_by_slot(line: DataFrame, slot_seconds: int) -> DataFrame:
+    """The same over whole buckets, with windows no longer than a slot.
+
+    Where a slot has no observation on one side of an incident, the nearest
+    other slot's first or last one stands in. ``seen`` begins with its time, so
+    its least and greatest are first and last.
+    """
+    line = line.selectExpr("*", f"at - pmod(at, {slot_seconds * 1_000_000}) AS slot")
+    ends = line.groupBy("bucket", "slot").agg(
+        F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen")
+    )
+    earlier = _LAST_SEEN.format("last_seen", "bucket", "slot", f"ASC {_EARLIER_ROWS}")
+    later = _LAST_SEEN.format("first_seen", "bucket", "slot", f"DESC {_EARLIER_ROWS}")
+    ends = ends.selectExpr("bucket", "slot", f"{earlier} AS earlier", f"{later} AS later")
+    return (
+        _neighbours(line, "bucket, slot")
+        .join(ends, ["bucket", "slot"])
+        .selectExpr(
+            "at", "coalesce(before, earlier) AS before", "coalesce(after, later) AS after"
+        )
+    )
+
+
 def nearest_observation(
     incidents: DataFrame,
     observations: DataFrame,
     bucket_seconds: int | None = BUCKET_SECONDS,
     tolerance_seconds: int = TOLERANCE_SECONDS,
+    slot_seconds: int | None = None,
 ) -> DataFrame:
     """Per distinct ``t_start``, all columns of the nearest observation.
 
     Ties go to the earlier observation, then to the least by its other columns,
     nulls last. Instants without an observation in reach are left out. With
     ``bucket_seconds=None`` only the tolerance bounds the reach; otherwise both
-    must also share a bucket.
+    must also share a bucket. ``slot_seconds`` changes no result.
     """
     line = _time_line(incidents, observations, bucket_seconds, tolerance_seconds)
-    # The default frame takes in rows of equal time, so an observation at the
-    # very instant of an incident is met both ways.
-    carried = "last_value(seen) IGNORE NULLS OVER (PARTITION BY bucket ORDER BY at {})"
+    if slot_seconds:
+        found = _neighbours_by_slot(line, slot_seconds)
+    else:
+        found = _neighbours(line, "bucket")
     nearest = """CASE WHEN after IS NULL OR at - before.at <= after.at - at
                       THEN before ELSE after END"""
     return (
-        line.selectExpr(
-            "at",
-            "seen",
-            f"{carried.format('ASC')} AS before",
-            f"{carried.format('DESC')} AS after",
-        )
-        .where("seen IS NULL")
-        .selectExpr("at", f"{nearest} AS nearest")
+        found.selectExpr("at", f"{nearest} AS nearest")
         .where(f"abs(nearest.at - at) <= {tolerance_seconds * 1_000_000}")
         .selectExpr(
             "timestamp_micros(at) AS t_start",
@@ -106,6 +145,7 @@ def context_join(
     tolerance_seconds: int = TOLERANCE_SECONDS,
     context: Sequence[str] = CONTEXT_COLUMNS,
     required: str | None = "weather_desc",
+    slot_seconds: int | None = None,
 ) -> DataFrame:
     """Distinct incidents with the nearest observation's ``context`` columns.
 
@@ -117,6 +157,7 @@ def context_join(
         observations.select("w_timestamp", *context),
         bucket_seconds,
         tolerance_seconds,
+        slot_seconds,
     )
     if required:
         answer = answer.where(f"{quoted(required)} IS NOT NULL")

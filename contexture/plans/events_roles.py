@@ -21,7 +21,8 @@ OBSERVED = "event_type IN ('view', 'click')"
 INCIDENT = "event_type IN ('error', 'purchase', 'signup')"
 
 # The stored time has no zone; watermarks and epoch casts need one.
-SECOND = "date_trunc('second', CAST(ts AS TIMESTAMP))"
+EXACT = "CAST(ts AS TIMESTAMP)"
+SECOND = f"date_trunc('second', {EXACT})"
 TWICE = "event_id % 4 = 0"
 POLL = f"explode(IF({TWICE}, array(1, 2), array(1))) AS poll"
 
@@ -47,12 +48,12 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
-def observations(source: DataFrame) -> DataFrame:
+def observations(source: DataFrame, time: str = SECOND) -> DataFrame:
     """Observations as they arrive, repeated polls included."""
     return (
         source.where(OBSERVED)
         .selectExpr(
-            f"{SECOND} AS w_timestamp",
+            f"{time} AS w_timestamp",
             f"{CONDITION} AS weather_desc",
             f"{VISIBILITY} AS visibility",
             f"{RAIN} AS rain",
@@ -62,7 +63,7 @@ def observations(source: DataFrame) -> DataFrame:
     )
 
 
-def incidents(source: DataFrame) -> DataFrame:
+def incidents(source: DataFrame, time: str = SECOND) -> DataFrame:
     """Incidents as they arrive, weather categories left out."""
     code = F.expr(CATEGORY)
     return (
@@ -72,7 +73,7 @@ def incidents(source: DataFrame) -> DataFrame:
             F.expr(INCIDENT_ID).alias("t_id"),
             category_label(code).alias("t_type"),
             severity_label(F.expr(MAGNITUDE)).alias("t_severity"),
-            F.expr(SECOND).alias("t_start"),
+            F.expr(time).alias("t_start"),
             F.expr(POLL),
         )
         .drop("poll")

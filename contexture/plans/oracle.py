@@ -168,6 +168,14 @@ FROM events GROUP BY 1""",
     + _TOLERANCE_MATCH
     + _JOINED
     + f"\nSELECT {_ROW} FROM joined",
+    "context_join_exact_times": _EVENTS.replace(
+        "CAST(floor(epoch(ts)) AS BIGINT) AS sec", "epoch_us(ts) AS sec"
+    )
+    + _MATCH.format(
+        name="matched", condition="i.t BETWEEN o.w - 300000000 AND o.w + 300000000"
+    )
+    + _JOINED
+    + f"\nSELECT {_ROW.replace('t_start_epoch', 't_start')} FROM joined",
     "rate_by_context": _NEAR
     + """
 SELECT o.weather_desc,

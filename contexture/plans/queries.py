@@ -126,6 +126,18 @@ def context_join_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _epochs(joined)
 
 
+def context_join_exact_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times to the microsecond, within tolerance, buckets worked in slots."""
+    source = roles.events(spark, sf_dir)
+    joined = context_join(
+        roles.incidents(source, roles.EXACT),
+        roles.observations(source, roles.EXACT),
+        bucket_seconds=None,
+        slot_seconds=10,
+    )
+    return joined.withColumn("t_start", F.unix_micros("t_start"))
+
+
 # Marts
 
 
@@ -392,6 +404,7 @@ QUERIES: dict[str, Query] = {
         context_join_nearest,
         context_join_any_label,
         context_join_tolerance,
+        context_join_exact_times,
         rate_by_bucket,
         minutes_by_bucket,
         incidents_by_bucket,

@@ -131,10 +131,10 @@ def brute_force(incident_rows, seen, bucket, tolerance):
     return out
 
 
+@pytest.mark.parametrize("slot", [None, 5])
 @pytest.mark.parametrize("bucket", [60, 7, 1000, None])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_join_equals_brute_force(spark, bucket, seed):
-    rng = random.Random(seed)
+def test_join_equals_brute_force(spark, bucket, slot):
+    rng = random.Random(f"{bucket} {slot}")
     tolerance = 40
     incident_rows = [
         (f"I{rng.randrange(20)}", rng.randrange(-900, 900)) for _ in range(300)
@@ -154,6 +154,7 @@ def test_join_equals_brute_force(spark, bucket, seed):
         bucket_seconds=bucket,
         tolerance_seconds=tolerance,
         required=None,
+        slot_seconds=slot,
     )
     rows = result.select(
         "t_id", F.unix_seconds("t_start"), "weather_desc", "visibility", "rain"
@@ -184,10 +185,17 @@ def test_other_columns_and_names(spark):
     assert result.first()["the label"] == "Rain"
 
 
-def test_sub_second_times(spark):
-    rows = incidents(spark, [("A", 30.25)])
-    seen = observations(spark, [(30.0, "Rain"), (30.4, "Snow")])
-    assert context_join(rows, seen).first()["weather_desc"] == "Snow"
+@pytest.mark.parametrize("slot", [None, 1, 10])
+def test_sub_second_times(spark, slot):
+    rows = incidents(spark, [("A", 30.25), ("B", 39.5), ("C", 59.9), ("D", 0.0)])
+    seen = observations(spark, [(30.0, "Rain"), (30.4, "Snow"), (45.5, "Fog")])
+    result = context_join(rows, seen, slot_seconds=slot)
+    assert {r["t_id"]: r["weather_desc"] for r in result.collect()} == {
+        "A": "Snow",
+        "B": "Fog",
+        "C": "Fog",
+        "D": "Rain",
+    }
 
 
 def test_no_pairs_are_formed(spark, check_plan):
