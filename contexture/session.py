@@ -81,13 +81,17 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
     """A sibling session for stateful queries, leaving the caller's settings alone.
 
-    The number of state partitions is fixed by a query's first run, so it is
-    taken from the cluster's total cores and not from the batch default.
+    The number of state partitions is fixed by a query's first run. Unless
+    given, it is the number of cores; on a cluster, where executors may still be
+    on their way, it is no less than the caller's shuffle partitions.
     """
     session = spark.newSession()
     for key, value in {**SQL_CONF, **STATE_CONF}.items():
         session.conf.set(key, value)
-    count = partitions or max(1, spark.sparkContext.defaultParallelism)
+    context = spark.sparkContext
+    count = partitions or max(1, context.defaultParallelism)
+    if not partitions and not context.master.startswith("local"):
+        count = max(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
     session.conf.set("spark.sql.shuffle.partitions", str(count))
     return session
 

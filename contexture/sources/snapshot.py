@@ -54,7 +54,7 @@ def write_snapshot(
         "updated_at": F.lit(now),
         "expires_at": F.lit(now + timedelta(seconds=ttl_seconds)),
     }
-    update = batch.sparkSession.range(1).select(
+    update = batch.sparkSession.range(0, 1, 1, 1).select(
         F.lit(now.isoformat()).alias("last_update_ts")
     )
     parts = {

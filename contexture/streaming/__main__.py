@@ -9,7 +9,7 @@ from __future__ import annotations
 import argparse
 from datetime import datetime, timezone
 
-from contexture.session import build_session
+from contexture.session import build_session, state_session
 from contexture.sources.topics import FolderTopics, KafkaTopics
 from contexture.streaming.pipeline import AVAILABLE_NOW, PipelineConfig, run
 
@@ -26,6 +26,9 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument(
         "--drain", action="store_true", help="process what is there, then stop"
     )
+    parser.add_argument(
+        "--state-partitions", type=int, help="kept from the first run on"
+    )
     parser.add_argument("--max-offsets", help="Kafka offsets per micro-batch")
     return parser.parse_args(arguments)
 
@@ -55,8 +58,10 @@ def configure(
 
 
 def main() -> None:
-    topics, config = configure(parse())
-    run(build_session("contexture"), topics, config)
+    options = parse()
+    topics, config = configure(options)
+    spark = state_session(build_session("contexture"), options.state_partitions)
+    run(spark, topics, config)
 
 
 if __name__ == "__main__":
