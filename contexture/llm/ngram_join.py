@@ -7,7 +7,7 @@ distinct five-word shingles. The join is a prefix-tree join in two steps.
 (frequencies of all shingles of all documents, added up in a sketch of fixed
 size; the sketch sets the order only, so its errors cost time and never links).
 Two sets that link share a shingle among the first ``n - ceil(0.75 n) + 1`` of
-each, so sets are brought together by these. A bitmap of two bits a shingle then
+each, so sets are brought together by these. A bitmap of one or two bits a shingle then
 rules out most pairs: the sets differ in at least as many shingles as the
 bitmaps in bits. What remains connects sets into blocks. Before that, sets that
 share one of a few least shingles under random orders are connected the same
@@ -105,8 +105,8 @@ def set_ids(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """Per bit, whether an odd number of shingles fall on it; about two bits a shingle."""
-    bits = max(64, 1 << int(2 * len(own) - 1).bit_length())
+    """Per bit, whether an odd number of shingles fall on it; one or two bits a shingle."""
+    bits = max(64, 1 << int(len(own) - 1).bit_length())
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -367,17 +367,22 @@ def _list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _edge_batch(list(dict.fromkeys(out)))
 
 
-def _candidates(lists: DataFrame) -> DataFrame:
-    """``a, b``: edges over the lists ``token, set_id, n, bits, label``.
+def _candidates(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: edges over the lists ``token, set_id, label`` of ``sets``.
 
-    A list longer than ``LIST_ROWS`` is cut into chunks by hash, and every pair
-    of chunks is a list, so each pair of sets still meets.
+    Of lists with the same sets one is kept. A list longer than ``LIST_ROWS`` is
+    cut into chunks by hash, and every pair of chunks is a list, so each pair of
+    sets still meets. Bitmaps join last, so they are shuffled once.
     """
-    of_token = Window.partitionBy("token")
-    cut = lists.withColumn(
-        "c", F.ceil(F.count(F.lit(1)).over(of_token) / LIST_ROWS).cast("int")
+    same = lists.groupBy("token").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bit_xor(F.xxhash64("set_id")).alias("one"),
+        F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("two"),
     )
-    cut = _paired(cut, F.xxhash64("set_id"))
+    kept = same.where("rows > 1").groupBy("rows", "one", "two").agg(F.min("token").alias("token"))
+    kept = kept.select("token", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("c"))
+    cut = _paired(lists.join(kept, "token"), F.xxhash64("set_id"))
+    cut = cut.join(sets.select("set_id", "n", "bits"), "set_id")
     cut = cut.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "set_id")
     return cut.mapInArrow(_list_edges, "a bigint, b bigint").distinct()
 
@@ -536,13 +541,10 @@ def classes(
         sets.withColumn("n", F.when(F.col("check") == F.col("other"), F.col("n")).otherwise(clash.cast("int"))),
         "sets",
     )
-    bare = sets.select("set_id", "n", "bits")
-
-    early = sets.select(F.posexplode("keys").alias("k", "key"), "set_id", "n", "bits")
-    early = early.select(
-        F.xxhash64("k", "key").alias("token"), "set_id", "n", "bits", F.col("set_id").alias("label")
+    early = sets.select(F.posexplode("keys").alias("k", "key"), "set_id").select(
+        F.xxhash64("k", "key").alias("token"), "set_id", F.col("set_id").alias("label")
     )
-    clusters = components(_candidates(early)).select(
+    clusters = components(_candidates(early, sets)).select(
         F.col("node").alias("set_id"), F.col("component").alias("label")
     )
 
@@ -553,11 +555,10 @@ def classes(
         "label", F.coalesce("label", "set_id")
     )
     of_token = Window.partitionBy("token")
-    mixed = labelled.where(F.col("set_id").isNotNull())
-    mixed = mixed.withColumn("low", F.min("label").over(of_token))
+    mixed = labelled.withColumn("low", F.min("label").over(of_token))
     mixed = mixed.withColumn("high", F.max("label").over(of_token))
     mixed = written(mixed.where("low <> high").select("token", "set_id", "label"), "lists")
-    late = _candidates(mixed.join(bare, "set_id"))
+    late = _candidates(mixed, sets)
     late = late.join(clusters.toDF("a", "la"), "a", "left").join(
         clusters.toDF("b", "lb"), "b", "left"
     )
