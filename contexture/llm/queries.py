@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contexture.llm import decontaminate, ngram_join
+from contexture.llm import decontaminate, ngram_join, toxicity
 from contexture.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out() -> Column:
+    """Rows that no label is learnt from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=held_out())
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(table(spark, sf_dir, "documents"))
     found = decontaminate.hits(index, table(spark, sf_dir, "benchmark"))
@@ -24,6 +41,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
