@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contexture.llm import words
 from contexture.llm.tables import free_name
@@ -418,7 +419,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
                 [*batch.columns, found], names=[*batch.schema.names, score]
             )
 
-    schema = docs.schema.add(score, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
