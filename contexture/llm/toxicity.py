@@ -47,7 +47,7 @@ LANDMARKS = 128
 RIDGE = 0.001
 DECAY = 0.6
 CLEAN_TIMES = 6
-HARD = 20_000
+HARD = 5_000
 TOXIC_SHARE = 0.2
 
 _SIDE = 6  # the last character is at most so many places after the first
@@ -342,13 +342,13 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     keep = values > 1e-6 * values[-1]
     root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     # Examples of toxic texts: words that tell, and after each fit all that score.
-    # Of the others: every eighth word, and those that come out as wrong or nearly.
+    # Of the others: every 32nd word, and those that come out as wrong or nearly.
     bad = label[coded.texts] == 1
     starts, ends, _ = words.spans(raw, offsets, words.NOT_BLANK)
     told = bad & np.isin(words.hashes(raw, starts, ends), _told(owned, label))
     if not told.any():
         return _nothing()
-    new = told | (~bad & (np.arange(len(bad)) % 8 == 0))
+    new = told | (~bad & (np.arange(len(bad)) % 32 == 0))
     rows, z = np.flatnonzero(new), _kernel(coded, new, columns, weights) @ root
     w = None
     for _ in range(rounds):
