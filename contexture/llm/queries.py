@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contexture.llm import decontaminate, ngram_join, toxicity
+from contexture.llm import decontaminate, ngram_join, token_store, toxicity
 from contexture.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.summary(found).drop("doc_print")
 
 
+def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored(table(spark, sf_dir, "documents"), token_store.default_tokenizer())
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_binary": op1_token_binary,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
