@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contexture.llm import decontaminate, ngram_join, token_store, toxicity
-from contexture.llm.tables import table
+from contexture.llm import decontaminate, mixing, ngram_join, sql, token_store, toxicity
+from contexture.llm.tables import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,30 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Targets of the mix: names without a weight have 1.
+WEIGHTS = {
+    "domain": {"a": 5, "b": 3, "c": 2},
+    "language": {"en": 4, "de": 2, "es": 2, "fr": 2},
+}
+SHARE = 0.75
+EPOCHS = 2
+SEED = "mix"
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = mixing.with_leaves(docs, mixing.source_family(), mixing.token_count())
+    own = written(own.drop("_row"), "counted")
+    return mixing.mixed(own, own, WEIGHTS, SHARE, EPOCHS, SEED).selectExpr(
+        "doc_id",
+        "epoch",
+        "_domain AS domain",
+        "_language AS lang",
+        "_origin AS source",
+        "_tokens AS tokens",
+    )
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(table(spark, sf_dir, "documents"))
     found = decontaminate.hits(index, table(spark, sf_dir, "benchmark"))
@@ -47,7 +71,10 @@ QUERIES: dict[str, Query] = {
     "op1_token_binary": op1_token_binary,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
+    "op6_mixing": op6_mixing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_mixing": sql.mixing(WEIGHTS, SHARE, EPOCHS, SEED),
+}
