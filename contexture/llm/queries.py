@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contexture.llm import decontaminate, mixing, ngram_join, sql, token_store, toxicity
+from contexture.llm import (
+    decontaminate,
+    licenses,
+    mixing,
+    ngram_join,
+    sql,
+    token_store,
+    toxicity,
+    warc,
+)
 from contexture.llm.tables import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def held_out() -> Column:
     """Rows that no label is learnt from."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -29,6 +42,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 #: Targets of the mix: names without a weight have 1.
 WEIGHTS = {
     "domain": {"a": 5, "b": 3, "c": 2},
@@ -70,8 +90,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_binary": op1_token_binary,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op6_mixing": op6_mixing,
+    "op8_warc": op8_warc,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
