@@ -8,16 +8,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contexture.llm import (
+    chat,
     decontaminate,
     licenses,
     mixing,
     ngram_join,
+    search,
     sql,
+    token_counts,
     token_store,
     toxicity,
     warc,
 )
 from contexture.llm.tables import table, written
+from contexture.session import shared_dir
+
+#: Words of letters, digits and everything beyond ASCII.
+ALNUM_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +56,64 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["conv_id", "turn", "role", "text"]
+    turns = table(spark, sf_dir, "conversations").select(names)
+    return chat.formatted(turns.unionByName(chat.control_conversation(spark)))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches, each delivered twice.
+
+    All documents are inserted with their blank-separated words (``words``), these
+    counts are revised to words of letters and digits, the same documents are
+    inserted with their characters (``chars``), and exact copies of a document
+    with a smaller doc_id are deleted under both.
+    """
+    docs = table(spark, sf_dir, "documents")
+    counted = written(
+        docs.select(
+            "doc_id",
+            "source",
+            "lang",
+            F.md5(F.coalesce("text", F.lit(""))).alias("print"),
+            mixing.token_count().alias("blank"),
+            F.coalesce(F.regexp_count("text", F.lit(ALNUM_WORDS)), F.lit(0)).alias("alnum"),
+            F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"),
+        ),
+        "counted",
+    )
+    first = counted.groupBy("print").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(first, "print").where("doc_id > first")
+
+    def change(rows: DataFrame, version: str, tokens: str, op: str) -> DataFrame:
+        return rows.selectExpr(
+            "doc_id",
+            f"'{version}' AS version",
+            "source",
+            "lang",
+            f"CAST({tokens} AS BIGINT) AS tokens",
+            f"'{op}' AS op",
+            "0 AS seq",
+        )
+
+    batches = [
+        lambda: change(counted, "words", "blank", "insert"),
+        lambda: change(counted, "words", "alnum", "revise"),
+        lambda: change(counted, "chars", "chars", "insert"),
+        lambda: change(copies, "words", "alnum", "delete").unionByName(
+            change(copies, "chars", "chars", "delete")
+        ),
+    ]
+    return token_counts.replayed(
+        token_counts.Rollup(spark, shared_dir(spark, "token-counts")), batches
+    )
+
+
 #: Targets of the mix: names without a weight have 1.
 WEIGHTS = {
     "domain": {"a": 5, "b": 3, "c": 2},
@@ -92,11 +157,16 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_mixing": op6_mixing,
+    "op7_chat_format": op7_chat_format,
     "op8_warc": op8_warc,
+    "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE: dict[str, str] = {
+    "op5_exact_top_k": sql.EXACT_TOP_K,
+    "op9_token_counts": sql.TOKEN_COUNTS,
     "op6_mixing": sql.mixing(WEIGHTS, SHARE, EPOCHS, SEED),
 }

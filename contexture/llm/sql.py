@@ -73,3 +73,37 @@ copies AS (
 SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, domain, lang, source, tokens
 FROM (SELECT *, unnest(range(1, times + 1)) AS epoch FROM copies)
 """
+
+
+EXACT_TOP_K = """
+WITH scaled AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+TOKEN_COUNTS = r"""
+WITH counted AS (
+  SELECT doc_id, source, lang,
+    coalesce(len(regexp_extract_all(text,
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 0) AS words,
+    coalesce(length(text), 0) AS chars,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents),
+kept AS (SELECT * FROM counted WHERE doc_id = first)
+SELECT source, lang, 'words' AS version, count(*) AS documents, CAST(sum(words) AS BIGINT) AS tokens
+FROM kept GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'chars', count(*), CAST(sum(chars) AS BIGINT)
+FROM kept GROUP BY source, lang
+"""
