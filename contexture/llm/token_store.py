@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ from contexture.llm.tables import written
 from contexture.session import shared_dir
 
 END_ID = 2
-KNOWN_WORDS = 1 << 18
+KNOWN_PIECES = 1 << 20
 
 MANIFEST_SCHEMA = (
     "shard int, first bigint, last bigint, has_null boolean, ids string, index string, "
@@ -63,63 +64,154 @@ def _files(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class Encoder:
-    """Ids of texts, word by word.
-
-    The tokenizer cuts at white space before anything else, so a text's ids are
-    those of its pieces between ASCII blanks, end to end. Pieces seen before are
-    not encoded again; the memory for them is bounded.
+    """Ids of texts, piece by piece.
+
+    The tokenizer lower-cases and cuts at white space and between letters and
+    marks before anything else, so a text's ids are those of its pieces end to
+    end: the words between ASCII blanks, a last run of ``.,;:!?`` after a letter apart.
+    Pieces seen before, known by 64-bit hash and length, are not encoded again;
+    the memory for them is bounded. A text with ``<|`` may hold a special token's
+    name and is encoded as it stands.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.ends = np.zeros(size, dtype=bool)
+        for token, at in self.tokenizer.get_vocab().items():
+            self.ends[at] = token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.keys = np.empty(0, dtype=np.uint64)
+        self.begins = np.empty(0, dtype=np.int64)
+        self.sizes = np.empty(0, dtype=np.int64)
         self.ids = np.empty(0, dtype=np.uint32)
-        self.begins = np.zeros(1, dtype=np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces end to end, and how many each has."""
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         lists = [one.ids for one in found]
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        for place, piece in enumerate(pieces, len(self.known)):
-            self.known[piece] = place
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, flat])
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+    def _encode_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters: as one text, cut after each word's end."""
+        ids, _ = self._encode([" ".join(pieces)])
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces):
+            return self._encode(pieces)
+        return ids, np.diff(stops, prepend=0)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        plain = np.array([bool(_LETTERS.fullmatch(piece)) for piece in pieces], dtype=bool)
+        for mask, encode in ((plain, self._encode_words), (~plain, self._encode)):
+            chosen = np.flatnonzero(mask)
+            for begin in range(0, len(chosen), _TOGETHER):
+                own = chosen[begin : begin + _TOGETHER]
+                ids, sizes = encode([pieces[k] for k in own])
+                self.keys = np.concatenate([self.keys, keys[own]])
+                starts = len(self.ids) + np.cumsum(sizes) - sizes
+                self.begins = np.concatenate([self.begins, starts])
+                self.sizes = np.concatenate([self.sizes, sizes])
+                self.ids = np.concatenate([self.ids, ids])
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.begins = self.keys[order], self.begins[order]
+        self.sizes = self.sizes[order]
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=bool)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return self.keys[at] == keys
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, each with the end id, and where each begins."""
-        # The pieces between ASCII blanks; other white space stays inside a piece.
-        split = [
-            (text or "").translate(_BLANKS).split(" ") if text else [] for text in texts
-        ]
-        if len(self.known) > KNOWN_WORDS:
+        marks = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+        special = np.unique(np.searchsorted(offsets, marks, side="right") - 1)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        row = 0
+        for at in [*special.tolist(), len(offsets) - 1]:
+            if at > row:
+                low, high = offsets[row], offsets[at]
+                parts.append(self._plain(raw[low:high], offsets[row : at + 1] - low))
+            if at < len(offsets) - 1:
+                text = raw[offsets[at] : offsets[at + 1]].tobytes().decode("utf-8", "replace")
+                ids, sizes = self._encode([text])
+                parts.append((np.append(ids, np.uint32(END_ID)), np.array([0, sizes[0] + 1])))
+            row = at + 1
+        shift, begins = 0, [np.zeros(1, dtype=np.int64)]
+        for ids, own in parts:
+            begins.append(own[1:] + shift)
+            shift += len(ids)
+        return np.concatenate([ids for ids, _ in parts] or [self.ids[:0]]), np.concatenate(begins)
+
+    def _plain(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > KNOWN_PIECES:
             self._forget()
-        known = self.known
-        new = {piece for pieces in split for piece in pieces if piece not in known}
-        if new:
-            self._learn(sorted(new))
-        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        places = np.fromiter(
-            map(known.__getitem__, itertools.chain.from_iterable(split)),
-            dtype=np.int64,
-            count=int(counts.sum()),
-        )
-        sizes = self.begins[places + 1] - self.begins[places]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        from_ = np.repeat(self.begins[places] - ends[:-1], sizes) + np.arange(ends[-1])
-        rows = np.concatenate([[0], np.cumsum(counts)])
-        begins = ends[rows]
-        ids = np.insert(self.ids[from_], begins[1:], END_ID)
+        starts, ends, first = words.spans(raw, offsets, words.NOT_BLANK)
+        cores = ends.copy()
+        open_ = np.arange(len(cores))
+        while len(open_):
+            open_ = open_[_MARKS[raw[cores[open_] - 1]]]
+            cores[open_] -= 1
+            open_ = open_[cores[open_] > starts[open_]]
+        cores = np.where(_ends_in_letter(raw, starts, cores), cores, ends)
+        tail = cores < ends
+        count = 1 + tail.astype(np.int64)
+        place = np.concatenate([[0], np.cumsum(count)])
+        lows, highs = np.repeat(starts, count), np.repeat(cores, count)
+        lows[place[:-1][tail] + 1] = cores[tail]
+        highs[place[:-1][tail] + 1] = ends[tail]
+        length = (highs - lows).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = words.mix(words.hashes(raw, lows, highs) + length)
+        distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        new = np.flatnonzero(~self._known(distinct))
+        if len(new):
+            lowered = words.LOWER[raw].tobytes()
+            own = at[new]
+            bounds = zip(lows[own].tolist(), highs[own].tolist(), strict=True)
+            pieces = [lowered[a:b].decode("utf-8", "replace") for a, b in bounds]
+            self._learn(distinct[new], pieces)
+        if not len(distinct):
+            sizes, ends_ = np.empty(0, np.int64), np.zeros(1, np.int64)
+            ids = self.ids[:0]
+        else:
+            spot = np.searchsorted(self.keys, distinct)
+            begins, sizes = self.begins[spot][inverse], self.sizes[spot][inverse]
+            ends_ = np.concatenate([[0], np.cumsum(sizes)])
+            ids = self.ids[np.repeat(begins - ends_[:-1], sizes) + np.arange(ends_[-1])]
+        begins = ends_[place[first]]
+        ids = np.insert(ids, begins[1:], np.uint32(END_ID))
         return ids, begins + np.arange(len(begins))
 
 
-_BLANKS = str.maketrans("\t\n\r", "   ")
+def _ends_in_letter(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the piece's last character is an ASCII letter or digit or a Latin letter.
+
+    Only there does the tokenizer surely cut before a mark. Two-byte characters
+    from U+00C0 to U+023F are letters, but for U+00D7 and U+00F7; U+0130 is left
+    out, as lower-casing adds a mark to it.
+    """
+    full = ends > starts
+    last = raw[np.maximum(ends - 1, 0)]
+    lead = np.where(ends - 2 >= starts, raw[np.maximum(ends - 2, 0)], 0)
+    two = (lead >= 0xC3) & (lead <= 0xC8) & (last >= 0x80)
+    two &= ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    two &= ~((lead == 0xC4) & (last == 0xB0))
+    return full & (two | (_ASCII_WORD[last]))
+
+
+_ASCII_WORD = words.ALNUM.copy()
+_ASCII_WORD[0x80:] = False
+_TOGETHER = 20_000
+_LETTERS = re.compile("[a-zÀ-ÖØ-öø-ɏ]+")
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[list(b".,;:!?")] = True
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -278,7 +370,7 @@ def encode(
         keys, nulls, ends, total = [], [], [], 0
         files, place = _files(names[0])
         stream = None
-        for batch, _, _ in words.chunks(batches, "text"):
+        for batch, raw, offsets in words.chunks(batches, "text"):
             if stream is None:
                 if isinstance(files, pa.fs.LocalFileSystem):
                     files.create_dir(place.rpartition("/")[0], recursive=True)
@@ -286,7 +378,7 @@ def encode(
             column = batch.column("doc_id")
             nulls.append(column.is_null().to_numpy(zero_copy_only=False))
             keys.append(column.fill_null(0).to_numpy(zero_copy_only=False))
-            ids, begins = encoder(batch.column("text").to_pylist())
+            ids, begins = encoder(raw, offsets)
             stream.write(ids.astype(kind).tobytes())
             ends.append(total + begins[1:])
             total += len(ids)
