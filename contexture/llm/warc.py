@@ -195,33 +195,38 @@ def write(
         .groupBy("sha1", "size")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows"))
         .where("rows > 1")
-        .select("sha1", "size", "first", F.lit(True).alias("copied"))
-    )
-    rows = pages.join(copies, ["sha1", "size"], "left")
-    stored = F.col("copied").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
-    shard = F.coalesce(F.expr(_shard_of(cuts)), F.lit(0))
-    rows = rows.select(
-        shard.alias("shard"), "page_id", "url", "size", "sha1", "first",
-        F.when(stored, F.col("payload")).alias("payload"),
-        F.col("copied").isNotNull().alias("copied"),
+        .select("sha1", "size", "first")
     )
+    # What to do with a copy goes to its shard as a row of its own ahead of the
+    # page, so payloads are shuffled once.
+    shard = F.coalesce(F.expr(_shard_of(cuts)), F.lit(0)).alias("shard")
+    notes = narrow.join(copies, ["sha1", "size"]).select(shard, "page_id", "sha1", "first")
+    notes = notes.distinct().withColumn("note", F.lit(0))
+    rows = pages.select(shard, "page_id", "sha1", "url", "size", "payload", F.lit(1).alias("note"))
+    rows = rows.unionByName(notes, allowMissingColumns=True)
     rows = rows.repartitionById(len(cuts) + 1, F.col("shard"))
-    rows = rows.sortWithinPartitions(F.col("page_id").asc_nulls_first(), "sha1", "url")
+    rows = rows.sortWithinPartitions(F.col("page_id").asc_nulls_first(), "sha1", "note", "url")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, done, last = None, [], None
+        files, done = None, []
+        copied = stored = None
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
+                key = row["page_id"], row["sha1"]
+                if row["note"] == 0:
+                    copied, first = key, row["first"]
+                    continue
                 files = files or _Files(path, row["shard"], file_bytes)
-                same = row["copied"] and last == (row["page_id"], row["sha1"])
-                last = (row["page_id"], row["sha1"])
-                payload = None if same else row["payload"]
+                payload, of = row["payload"], ""
+                if key == copied:
+                    if first != row["page_id"] or key == stored:
+                        payload, of = None, _name(first)
+                    stored = key
                 sha1 = base64.b32encode(row["sha1"]).decode()
                 if payload is not None and digest(payload) != sha1:
                     raise OSError(f"payload of page {row['page_id']} changed on its way")
-                first = _name(row["first"])
-                data = record(row["page_id"], row["url"], payload, row["size"], sha1, first)
+                data = record(row["page_id"], row["url"], payload, row["size"], sha1, of)
                 done += [files.add(row["page_id"], data)]
         if files:
             done += [files.close()]
