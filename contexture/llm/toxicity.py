@@ -49,6 +49,7 @@ DECAY = 0.6
 CLEAN_TIMES = 6
 HARD = 5_000
 TOXIC_SHARE = 0.2
+MARGIN = 3.0
 
 _SIDE = 6  # the last character is at most so many places after the first
 _GAPS = [
@@ -74,6 +75,7 @@ class Coded:
     codes: np.ndarray
     begins: np.ndarray
     texts: np.ndarray
+    kept: np.ndarray  # of all blank-separated words, those that begin one here
 
     @classmethod
     def of(cls, raw: np.ndarray, offsets: np.ndarray) -> Coded:
@@ -92,7 +94,9 @@ class Coded:
         codes = np.zeros(int(before[-1]) + (count + 1) * _SIDE, dtype=np.int32)
         place = before[:-1] + np.repeat(shift, np.diff(offsets))
         codes[place[kept]] = _CODES[raw[kept]]
-        return cls(codes, place[starts], owner)
+        first_letter = np.ones(len(starts), dtype=bool)
+        first_letter[1:] = ~spaced
+        return cls(codes, place[starts[first_letter]], owner[first_letter], first_letter)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         if not len(self.begins):
@@ -160,11 +164,12 @@ class Model:
     shift: float
 
     def margins(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The worst word's margin for each text."""
+        """The worst word's margin for each text, within ``MARGIN``: beyond it says no more."""
         coded = Coded.of(raw, offsets)
         worst = np.full(len(offsets) - 1, -np.inf)
         np.maximum.at(worst, coded.texts, coded.sums(_scan(coded.codes, self.table)))
-        return np.where(np.isfinite(worst), worst, 0.0) + self.bias
+        worst = np.where(np.isfinite(worst), worst, 0.0) + self.bias
+        return np.clip(worst, -MARGIN, MARGIN)
 
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         value = self.slope * self.margins(raw, offsets) + self.shift
@@ -181,8 +186,11 @@ def _words(text: str) -> set[str]:
 
 
 def _telling(toxic: int, all_: int, rate: float) -> bool:
-    """Whether a word stands in several toxic texts and mostly in such."""
-    return toxic >= 2 and toxic >= 3 * rate * all_
+    """Whether a word stands in several toxic texts, and five times as often as in others.
+
+    ``rate`` is the share of toxic texts.
+    """
+    return toxic >= 2 and toxic * (1 - rate) >= 5 * rate * (all_ - toxic)
 
 
 def _told(owned: list[list[str]], toxic: np.ndarray) -> np.ndarray:
@@ -345,7 +353,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     # Of the others: every 32nd word, and those that come out as wrong or nearly.
     bad = label[coded.texts] == 1
     starts, ends, _ = words.spans(raw, offsets, words.NOT_BLANK)
-    told = bad & np.isin(words.hashes(raw, starts, ends), _told(owned, label))
+    told = bad & np.isin(words.hashes(raw, starts, ends), _told(owned, label))[coded.kept]
     if not told.any():
         return _nothing()
     new = told | (~bad & (np.arange(len(bad)) % 32 == 0))

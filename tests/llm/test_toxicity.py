@@ -9,7 +9,7 @@ from tests.llm.helpers import awkward, frame, prose
 INSULTS = ["blockhead", "numbskull", "dimwit"]
 
 
-def labelled(count=120):
+def labelled(count=600):
     texts, toxic = [], []
     for k in range(count):
         own = prose(k, 60).split()
