@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from contexture.functions.bands import VISIBILITY_BANDS, Bands
 from contexture.functions.codes import SEVERITIES
 
+OTHER = "Other"
+
 
 def _rate(numerator: str, denominator: str) -> Column:
     """Missing counts are 0; a denominator of 0 gives null."""
@@ -63,14 +65,19 @@ def severity_pivot(
     severity: str = "t_severity",
     incident_id: str = "t_id",
     severities: Sequence[str] = SEVERITIES,
+    other: str = OTHER,
 ) -> DataFrame:
     """One row per label, one column per severity, 0 where there is none.
 
     The severities are given, so no pass over the data is spent finding them.
+    Those not among them are added up under ``other``: a row's columns always
+    sum to what ``severity_by_context`` has for its label.
     """
     counts = severity_by_context(joined, label, severity, incident_id, ordered=False)
-    wide = counts.groupBy(label).pivot(severity, list(severities))
-    return wide.agg(F.sum("incident_count")).na.fill(0, list(severities))
+    columns = list(dict.fromkeys([*severities, other]))
+    listed = F.when(F.col(severity).isin(columns), F.col(severity)).otherwise(other)
+    wide = counts.withColumn(severity, listed).groupBy(label).pivot(severity, columns)
+    return wide.agg(F.sum("incident_count")).na.fill(0, columns)
 
 
 def count_by_context(

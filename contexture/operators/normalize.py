@@ -26,14 +26,31 @@ from contexture.functions.times import (
 )
 
 
+def readable(payloads: DataFrame, feed: str, column: str = "value") -> DataFrame:
+    """Payloads that can be read; all and the rejected ones are counted.
+
+    ``feed`` is ``weather`` or ``incidents``; the counts are observed metrics
+    ``rows`` and ``rejects`` under ``<feed>_payloads``.
+    """
+    schema, field = {
+        "weather": (schemas.WEATHER_PAYLOAD, "current"),
+        "incidents": (schemas.INCIDENT_PAYLOAD, "incidents"),
+    }[feed]
+    bad = decode(F.col(column), schema)[field].isNull()
+    counted = payloads.observe(
+        f"{feed}_payloads", F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("rejects")
+    )
+    return counted.where(~bad)
+
+
 def weather_records(payloads: DataFrame, column: str = "value") -> DataFrame:
-    """Raw weather payloads to flat records, one each.
+    """Raw weather payloads to flat records, one each; unreadable ones give none.
 
     Missing rain, a missing rain figure and a null one all read 0.0; an empty
     list of conditions gives a null label.
     """
     payload = decode(F.col(column), schemas.WEATHER_PAYLOAD)
-    current = payloads.select(payload["current"].alias("c"))
+    current = payloads.select(payload["current"].alias("c")).where("c IS NOT NULL")
     return current.select(
         F.col("c.dt").alias("timestamp"),
         F.get("c.weather", F.lit(0))["main"].alias("weather"),

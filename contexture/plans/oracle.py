@@ -213,9 +213,24 @@ SELECT weather_desc,
        count(DISTINCT t_id) FILTER (WHERE t_severity = 'Minor') AS Minor,
        count(DISTINCT t_id) FILTER (WHERE t_severity = 'Moderate') AS Moderate,
        count(DISTINCT t_id) FILTER (WHERE t_severity = 'Undefined') AS Undefined,
-       count(DISTINCT t_id) FILTER (WHERE t_severity = 'Unknown') AS Unknown
+       count(DISTINCT t_id) FILTER (WHERE t_severity = 'Unknown') AS Unknown,
+       CAST(0 AS BIGINT) AS Other
 FROM joined WHERE t_severity IS NOT NULL
 GROUP BY weather_desc""",
+    "severity_pivot_open": _NEAR
+    + """,
+renamed AS (
+    SELECT t_id, weather_desc,
+           CASE WHEN visibility < 5000 THEN 'Low ' ELSE '' END || t_severity AS severity
+    FROM joined WHERE t_severity IS NOT NULL)
+SELECT weather_desc,
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Major') AS Major,
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Minor') AS Minor,
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Moderate') AS Moderate,
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Undefined') AS Undefined,
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Unknown') AS Unknown,
+       count(DISTINCT t_id || '/' || severity) FILTER (WHERE severity LIKE 'Low %') AS Other
+FROM renamed GROUP BY weather_desc""",
     "count_by_context": _NEAR
     + """
 SELECT weather_desc, count(*) AS incident_count FROM joined GROUP BY weather_desc""",
@@ -245,16 +260,47 @@ SELECT weather_desc, instants, coalesce(incidents, 0) AS incidents
 FROM (SELECT weather_desc, count(*) AS instants FROM observations GROUP BY 1)
 LEFT JOIN (SELECT weather_desc, count(DISTINCT t_id) AS incidents
            FROM joined GROUP BY 1) USING (weather_desc)""",
+    "sql_history": _NEAR
+    + """
+SELECT t_id, min(t) AS first_start, count(*) AS starts,
+       count(DISTINCT weather_desc) AS conditions
+FROM joined GROUP BY t_id""",
+    "sql_rate_by_bucket": _NEAR
+    + f"""
+SELECT {_BAND_LABEL} AS vis_range, CAST(coalesce(n, 0) AS DOUBLE) / nullif(m, 0) AS incident_rate
+FROM (SELECT {_BAND} AS bucket_rank, count(DISTINCT w) AS m
+      FROM observations WHERE visibility IS NOT NULL GROUP BY 1)
+LEFT JOIN (SELECT {_BAND} AS bucket_rank, count(DISTINCT t_id) AS n
+           FROM joined WHERE visibility IS NOT NULL GROUP BY 1) USING (bucket_rank)""",
     "live_snapshot_recent": _NEAR
     + f"\nSELECT {_ROW} FROM joined ORDER BY t DESC, t_id LIMIT 100",
     "live_snapshot_counts": _NEAR
     + "\nSELECT weather_desc, count(*) AS count FROM joined GROUP BY weather_desc",
     "topic_roundtrip": _EVENTS + _PAYLOADS + _INCIDENT_ROWS,
     "topic_roundtrip_weather": _EVENTS + _PAYLOADS + _WEATHER_ROWS,
-    "stream_publish": _EVENTS + _PAYLOADS + _INCIDENT_ROWS,
-    "stream_dedup": _EVENTS + "\nSELECT t_id, t AS t_start_epoch FROM incidents",
+    "stream_publish": _EVENTS
+    + _PAYLOADS
+    + _INCIDENT_ROWS
+    + "\nUNION ALL BY NAME\n"
+    + _WEATHER_ROWS,
+    "publish_rejects": _EVENTS
+    + """
+SELECT 'weather' AS feed, count(*) AS payloads,
+       count(*) FILTER (WHERE event_id % 29 = 0) AS rejects
+FROM labelled WHERE event_type IN ('view', 'click')
+UNION ALL
+SELECT 'incidents', count(*), count(*) FILTER (WHERE event_id % 29 = 0)
+FROM labelled WHERE event_type IN ('error', 'purchase', 'signup') AND poll = 1""",
+    "ingestion_stamp": _EVENTS
+    + _PAYLOADS
+    + """
+SELECT 'weather' AS feed, TRUE AS well_formed, count(*) AS records FROM weather_rows
+UNION ALL
+SELECT 'incidents', TRUE, count(*) FROM incident_rows""",
+    "stream_dedup": _EVENTS
+    + "\nSELECT t_id, t AS t_start_epoch, TRUE AS known FROM incidents",
     "stream_dedup_observations": _EVENTS
-    + "\nSELECT w AS w_timestamp_epoch FROM observations",
+    + "\nSELECT w AS w_timestamp_epoch, TRUE AS known FROM observations",
     "stream_context_join_nearest": _NEAR
     + f"\nSELECT {_ROW} FROM joined WHERE "
     + _COMPLETE.format(end=_MINUTE_END, w="weather_in", t="incident_in"),
@@ -263,26 +309,71 @@ LEFT JOIN (SELECT weather_desc, count(DISTINCT t_id) AS incidents
     + _JOINED
     + f"\nSELECT {_ROW} FROM joined WHERE "
     + _COMPLETE.format(end=_REACH_END, w="weather_in", t="incident_in"),
+    "stream_context_join_exact_times": _EVENTS.replace(
+        "CAST(floor(epoch(ts)) AS BIGINT) AS sec", "epoch_us(ts) AS sec"
+    )
+    + _MATCH.format(
+        name="matched", condition="i.t BETWEEN o.w - 300000000 AND o.w + 300000000"
+    )
+    + _JOINED
+    + f"\nSELECT {_ROW.replace('t_start_epoch', 't_start')} FROM joined WHERE "
+    + """t // 300000000 * 300000000 + 600000000 <=
+    (SELECT least((SELECT max(w) FROM weather_in), (SELECT max(t) FROM incident_in))
+     - 600000000)""",
     "stream_context_join_first": _EVENTS
     + _MINUTE_MATCH
-    + "\nSELECT t_id, t AS t_start_epoch FROM matched",
+    + """
+SELECT t_id, t AS t_start_epoch, TRUE AS incident_known, TRUE AS context_known
+FROM matched""",
+    "stream_late_rows": _EVENTS
+    + """
+SELECT count(*) AS late_rows FROM incident_in
+WHERE t <= (SELECT max(t) FROM incident_in) - 600""",
+    "pipeline_epochs": _EVENTS
+    + """
+SELECT CAST(2 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS epochs, count(*) AS rows
+FROM incident_in""",
+    "pipeline_first": _EVENTS
+    + _PAYLOADS
+    + """,
+minutes AS (
+    SELECT w // 60 AS minute, bool_or(weather_desc IS NULL) AS open
+    FROM weather_rows GROUP BY 1)
+SELECT 'joined' AS part, t_id, t AS t_start_epoch, TRUE AS incident_known,
+       TRUE AS context_known, CAST(NULL AS BIGINT) AS w_timestamp_epoch,
+       CAST(NULL AS BIGINT) AS wrong
+FROM (SELECT DISTINCT t_id, t FROM incident_rows WHERE t IS NOT NULL)
+JOIN minutes ON t // 60 = minute WHERE NOT open
+UNION ALL
+SELECT DISTINCT 'observations', NULL, NULL, NULL, TRUE, w, NULL FROM weather_rows
+UNION ALL SELECT 'joined_not_delivered', NULL, NULL, NULL, NULL, NULL, 0
+UNION ALL SELECT 'snapshot_not_joined', NULL, NULL, NULL, NULL, NULL, 0""",
     "pipeline_tables": _EVENTS
     + _PAYLOADS
     + f""",
+incidents_once AS (
+    SELECT t_id, t_type, t_severity, t FROM (
+        SELECT *, row_number() OVER (
+            PARTITION BY t_id, t
+            ORDER BY t_type ASC NULLS LAST, t_severity ASC NULLS LAST) AS rn
+        FROM incident_rows WHERE t IS NOT NULL)
+    WHERE rn = 1
+),
 pairs AS (
-    SELECT i.t_id, i.t, o.weather_desc, row_number() OVER (
+    SELECT i.*, o.weather_desc, o.visibility, o.rain, row_number() OVER (
         PARTITION BY i.t_id, i.t
         ORDER BY abs(o.w - i.t), o.w, o.weather_desc ASC NULLS LAST,
                  o.visibility ASC NULLS LAST, o.rain ASC NULLS LAST) AS rn
-    FROM (SELECT DISTINCT t_id, t FROM incident_rows WHERE t IS NOT NULL) i
-    JOIN weather_rows o ON i.t // 60 = o.w // 60
+    FROM incidents_once i JOIN weather_rows o ON i.t // 60 = o.w // 60
+),
+kept AS (
+    SELECT {_ROW} FROM pairs WHERE rn = 1 AND weather_desc IS NOT NULL
+    AND {_COMPLETE.format(end=_MINUTE_END, w='weather_rows', t='incident_rows')}
 )
-SELECT 'instants' AS measure, CAST(NULL AS VARCHAR) AS weather_desc,
-       count(DISTINCT w) AS n
+SELECT 'joined' AS part, * FROM kept
+UNION ALL BY NAME
+SELECT DISTINCT 'observations' AS part, w AS w_timestamp_epoch, TRUE AS known
 FROM weather_rows
-UNION ALL
-SELECT 'incidents', weather_desc, count(*) FROM pairs
-WHERE rn = 1 AND weather_desc IS NOT NULL
-  AND {_COMPLETE.format(end=_MINUTE_END, w='weather_rows', t='incident_rows')}
-GROUP BY weather_desc""",
+UNION ALL BY NAME
+SELECT 'snapshot' AS part, weather_desc, count(*) AS count FROM kept GROUP BY weather_desc""",
 }

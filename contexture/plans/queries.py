@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from contexture.functions.codes import category_label, severity_label
 from contexture.functions.times import bucket_number
@@ -23,6 +24,7 @@ from contexture.sources import landing, snapshot, tables
 from contexture.sources.topics import INCIDENT_TOPIC, WEATHER_TOPIC, FolderTopics
 from contexture.streaming import intake, pipeline, publish
 from contexture.streaming.join import stream_context_join
+from contexture.streaming.progress import Totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,6 +180,14 @@ def severity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.severity_pivot(_joined(spark, sf_dir))
 
 
+def severity_pivot_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severities that are on no list: they are added up, not lost."""
+    severity = "IF(visibility < 5000, concat('Low ', t_severity), t_severity)"
+    return marts.severity_pivot(
+        _joined(spark, sf_dir).withColumn("t_severity", F.expr(severity))
+    )
+
+
 def count_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.count_by_context(_joined(spark, sf_dir))
 
@@ -244,6 +254,37 @@ def sql_over_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _in_two_batches(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL over tables whose second batch came after the views were registered."""
+    observed, joined = _tables(spark, sf_dir)
+    paths = shared_dir(spark, "joined"), shared_dir(spark, "observations")
+    tables.write_epoch(observed, paths[1], "batch", 0)
+    half = F.pmod(F.xxhash64("t_id"), F.lit(2))
+    for part in (0, 1):
+        tables.write_epoch(joined.where(half == part), paths[0], "batch", part)
+        if part == 0:
+            tables.register_views(spark, *paths)
+    return tables.run_sql(spark, text, *paths)
+
+
+def sql_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_two_batches(
+        spark,
+        sf_dir,
+        """
+        SELECT t_id, unix_seconds(min(t_start)) AS first_start, count(*) AS starts,
+               count(DISTINCT weather_desc) AS conditions
+        FROM weather_traffic_comb GROUP BY t_id
+        """,
+    )
+
+
+def sql_rate_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_two_batches(
+        spark, sf_dir, "SELECT vis_range, incident_rate FROM incident_rate_by_bucket"
+    )
+
+
 def _written_snapshot(spark: SparkSession, sf_dir: str) -> snapshot.Snapshot:
     path = shared_dir(spark, "snapshot")
     batch = _joined(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
@@ -295,98 +336,277 @@ def topic_roundtrip_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _epochs(normalize.with_event_time(rows, "w_timestamp"))
 
 
-def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed payloads, published by streams; the incidents as they arrive."""
+def _published(spark: SparkSession, sf_dir: str) -> tuple[FolderTopics, list[dict]]:
+    """Landed payloads, published by streams, and what the streams counted."""
     topics = FolderTopics(shared_dir(spark, "topics"))
-    publishing = publish.start_publishing(
-        state_session(spark),
-        *_landed(spark, sf_dir),
-        topics,
-        shared_dir(spark, "checkpoints"),
-        pipeline.AVAILABLE_NOW,
-    )
-    for query in publishing:
-        query.awaitTermination()
-    return _epochs(normalize.parse_incidents(topics.read(spark, INCIDENT_TOPIC)))
+    session = state_session(spark)
+    landed = _landed(spark, sf_dir)
+    with Totals(session) as totals:
+        publishing = publish.start_publishing(
+            session,
+            *landed,
+            topics,
+            shared_dir(spark, "checkpoints"),
+            pipeline.AVAILABLE_NOW,
+        )
+        for query in publishing:
+            query.awaitTermination()
+        counted = [totals.of(query)["observed"] for query in publishing]
+    return topics, counted
+
+
+def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both topics as they arrive."""
+    topics, _ = _published(spark, sf_dir)
+    incidents = _epochs(normalize.parse_incidents(topics.read(spark, INCIDENT_TOPIC)))
+    weather = _epochs(normalize.parse_weather(topics.read(spark, WEATHER_TOPIC)))
+    return incidents.unionByName(weather, allowMissingColumns=True)
+
+
+def publish_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads landed and those that could not be read, by feed."""
+    _, counted = _published(spark, sf_dir)
+    rows = [
+        (feed, own[f"{feed}_payloads.rows"], own[f"{feed}_payloads.rejects"])
+        for feed, own in zip(("weather", "incidents"), counted, strict=True)
+    ]
+    return spark.createDataFrame(rows, "feed string, payloads bigint, rejects bigint")
+
+
+def ingestion_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by feed, and whether their processing time is well formed."""
+    source = roles.events(spark, sf_dir)
+    form = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}[+-]\d\d:\d\d$"
+    parts = [
+        records.select(
+            F.lit(feed).alias("feed"), F.col("ingestion_time").rlike(form).alias("well_formed")
+        )
+        for feed, records in (
+            ("weather", normalize.weather_records(roles.weather_payloads(source))),
+            ("incidents", normalize.incident_records(roles.incident_payloads(source))),
+        )
+    ]
+    rows = parts[0].unionByName(parts[1]).groupBy("feed", "well_formed")
+    return rows.agg(F.count(F.lit(1)).alias("records"))
 
 
 # Streams: run over all available files, then read back from the written table
 
 
-def _run_stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+def _known(rows: DataFrame, delivered: DataFrame, name: str) -> DataFrame:
+    """Whether each row's values, in the columns of ``delivered``, were delivered."""
+    found = delivered.distinct().withColumn(name, F.lit(True)).alias("d")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in delivered.columns]
+    out = rows.alias("r").join(found, same, "left")
+    return out.select("r.*", F.coalesce(F.col(f"d.{name}"), F.lit(False)).alias(name))
+
+
+def _by_minute(observations: DataFrame) -> DataFrame:
+    return observations.select(
+        F.date_trunc("minute", "w_timestamp").alias("minute"),
+        "weather_desc",
+        "visibility",
+        "rain",
+    )
+
+
+def _checked(joined: DataFrame, incidents: DataFrame, observations: DataFrame) -> DataFrame:
+    """Joined rows by key, with what is open told as delivered or not."""
+    rows = joined.withColumn("minute", F.date_trunc("minute", "t_start"))
+    rows = _known(rows, _by_minute(observations), "context_known")
+    rows = _known(rows, incidents, "incident_known")
+    return rows.selectExpr(
+        "t_id", "unix_seconds(t_start) AS t_start_epoch", "incident_known", "context_known"
+    )
+
+
+def _stream_table(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     base = shared_dir(spark, name)
     writer = pipeline.table_writer(rows, f"{base}/table", f"{base}/checkpoint")
     writer.start().awaitTermination()
-    return _epochs(tables.read_table(spark, f"{base}/table", rows.schema))
+    return tables.read_table(spark, f"{base}/table", rows.schema)
+
+
+def _run_stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    return _epochs(_stream_table(spark, rows, name))
 
 
 def _role_streams(
-    spark: SparkSession, sf_dir: str, combine: bool = True
+    spark: SparkSession, sf_dir: str, time: str = roles.SECOND
 ) -> tuple[DataFrame, DataFrame]:
     source = roles.event_stream(state_session(spark), sf_dir)
     return (
-        intake.incident_stream(roles.incidents(source), combine=combine),
-        intake.observation_stream(roles.observations(source), combine=combine),
+        intake.incident_stream(roles.incidents(source, time)),
+        intake.observation_stream(roles.observations(source, time)),
     )
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Which copy of a key arrives first is open, so the keys alone are shown.
+    # Which copy of a key arrives first is open: it must be one of those delivered.
     rows = intake.distinct_incident_stream(_role_streams(spark, sf_dir)[0])
-    return _run_stream(spark, rows.select("t_id", "t_start"), "stream-incidents")
+    table = _stream_table(spark, rows, "stream-incidents")
+    delivered = roles.incidents(roles.events(spark, sf_dir))
+    return _epochs(_known(table, delivered, "known").drop("t_type", "t_severity"))
 
 
 def stream_dedup_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = intake.distinct_observation_stream(_role_streams(spark, sf_dir)[1])
-    return _run_stream(spark, rows.select("w_timestamp"), "stream-observations")
+    table = _stream_table(spark, rows, "stream-observations")
+    delivered = roles.observations(roles.events(spark, sf_dir)).drop("rain")
+    return _epochs(_known(table, delivered, "known").select("w_timestamp", "known"))
 
 
 def stream_context_join_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    incidents, observations = _role_streams(spark, sf_dir, combine=False)
+    incidents, observations = _role_streams(spark, sf_dir)
     rows = stream_context_join(incidents, observations, match="nearest")
     return _run_stream(spark, rows, "stream-nearest")
 
 
 def stream_context_join_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    incidents, observations = _role_streams(spark, sf_dir, combine=False)
+    incidents, observations = _role_streams(spark, sf_dir)
     rows = stream_context_join(
         incidents, observations, match="nearest", bucket_seconds=None
     )
     return _run_stream(spark, rows, "stream-tolerance")
 
 
+def stream_context_join_exact_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times to the microsecond, within tolerance."""
+    incidents, observations = _role_streams(spark, sf_dir, roles.EXACT)
+    rows = stream_context_join(
+        incidents, observations, match="nearest", bucket_seconds=None
+    )
+    table = _stream_table(spark, rows, "stream-exact")
+    return table.withColumn("t_start", F.unix_micros("t_start"))
+
+
 def stream_context_join_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Which observation of a bucket arrives first is open: keys alone.
+    # Which observation of a bucket arrives first is open: it must be one of these.
     incidents, observations = _role_streams(spark, sf_dir)
     rows = stream_context_join(incidents, observations, match="first", required=None)
-    return _run_stream(spark, rows.select("t_id", "t_start"), "stream-first")
+    source = roles.events(spark, sf_dir)
+    table = _stream_table(spark, rows, "stream-first")
+    return _checked(table, roles.incidents(source), roles.observations(source))
 
 
-def pipeline_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landing folders to topics to both tables, then counts over these."""
-    topics = _filled_topics(spark, sf_dir)
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events delivered again after the watermark has passed most of them."""
+    source = roles.events(spark, sf_dir)
+    base = shared_dir(spark, "late")
+    session = state_session(spark)
+
+    def deliver() -> StreamingQuery:
+        source.write.mode("append").parquet(f"{base}/events")
+        stream = session.readStream.schema(source.schema).parquet(f"{base}/events")
+        rows = intake.distinct_incident_stream(
+            intake.incident_stream(roles.incidents(stream))
+        )
+        query = pipeline.table_writer(rows, f"{base}/table", f"{base}/checkpoint").start()
+        query.awaitTermination()
+        return query
+
+    deliver()
+    with Totals(session) as totals:
+        late = totals.of(deliver())["late"]
+    return spark.createDataFrame([(late,)], "late_rows bigint")
+
+
+def pipeline_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of incidents, then one without any: the latter adds no epoch."""
+    source = roles.events(spark, sf_dir)
+    base = shared_dir(spark, "epochs")
+    session = state_session(spark)
+    batches = 0
+    with Totals(session) as totals:
+        for part in (roles.INCIDENT, roles.OBSERVED):
+            source.where(part).write.mode("append").parquet(f"{base}/events")
+            stream = session.readStream.schema(source.schema).parquet(f"{base}/events")
+            rows = intake.incident_stream(roles.incidents(stream))
+            writer = pipeline.table_writer(rows, f"{base}/table", f"{base}/checkpoint")
+            query = writer.start()
+            query.awaitTermination()
+            batches += totals.of(query)["batches"] > 0
+    listed = tables.manifest(spark, f"{base}/table")[1]["folders"]
+    table = tables.read_table(spark, f"{base}/table", rows.schema)
+    return table.agg(
+        F.lit(batches).cast("bigint").alias("runs"),
+        F.lit(len(listed)).cast("bigint").alias("epochs"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+
+
+def _run_pipeline(
+    spark: SparkSession, topics: FolderTopics, match: str
+) -> tuple[DataFrame, DataFrame, snapshot.Snapshot]:
+    """Both tables and the snapshot after all topics have been worked off."""
     base = shared_dir(spark, "pipeline")
     config = pipeline.PipelineConfig(
         joined_path=f"{base}/joined",
         observations_path=f"{base}/observations",
         checkpoint_path=f"{base}/checkpoints",
         snapshot_path=f"{base}/snapshot",
-        match="nearest",
+        match=match,
         trigger=pipeline.AVAILABLE_NOW,
     )
     pipeline.run(state_session(spark), topics, config)
-    observed = tables.read_observations(spark, config.observations_path)
-    joined = tables.read_joined(spark, config.joined_path)
-    # Which copy of an instant is kept is open, so instants are counted whole.
-    instants = observed.agg(F.countDistinct("w_timestamp").alias("n")).select(
-        F.lit("instants").alias("measure"),
-        F.lit(None).cast("string").alias("weather_desc"),
-        "n",
+    return (
+        tables.read_joined(spark, config.joined_path),
+        tables.read_observations(spark, config.observations_path),
+        snapshot.read_snapshot(spark, config.snapshot_path),
     )
-    incidents = marts.count_by_context(joined, name="n").select(
-        F.lit("incidents").alias("measure"), "weather_desc", "n"
+
+
+def _part(rows: DataFrame, name: str) -> DataFrame:
+    return rows.withColumn("part", F.lit(name))
+
+
+def pipeline_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing folders to topics to both tables and the snapshot: all rows."""
+    topics = _filled_topics(spark, sf_dir)
+    joined, observed, live = _run_pipeline(spark, topics, "nearest")
+    delivered = normalize.parse_weather(topics.read(spark, WEATHER_TOPIC)).drop("rain")
+    seen = _known(observed, delivered, "known").select("w_timestamp", "known")
+    counts = live.counts.select("weather_desc", "count")
+    return (
+        _part(_epochs(joined), "joined")
+        .unionByName(_part(_epochs(seen), "observations"), allowMissingColumns=True)
+        .unionByName(_part(counts, "snapshot"), allowMissingColumns=True)
+    )
+
+
+def pipeline_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default mode, content checked where the pick is open.
+
+    An incident's row depends on which observation came first where its minute has
+    labelled and unlabelled ones. Rows of other minutes are listed; of these
+    minutes', and of the snapshot, those are counted that were never delivered.
+    """
+    topics = _filled_topics(spark, sf_dir)
+    joined, observed, live = _run_pipeline(spark, topics, "first")
+    incidents = normalize.parse_incidents(topics.read(spark, INCIDENT_TOPIC))
+    weather = normalize.with_event_time(
+        normalize.parse_weather(topics.read(spark, WEATHER_TOPIC)), "w_timestamp"
+    )
+    rows = _checked(joined, incidents, weather)
+    open_ = (
+        _by_minute(weather)
+        .groupBy(F.unix_seconds("minute").alias("minute"))
+        .agg(F.count_if(F.expr("weather_desc IS NULL")).alias("unlabelled"))
+        .where("unlabelled > 0")
+    )
+    rows = rows.withColumn("minute", F.expr("t_start_epoch - pmod(t_start_epoch, 60)"))
+    sure = rows.join(open_, "minute", "left_anti").drop("minute")
+    wrong = rows.agg(F.count_if(F.expr("NOT (incident_known AND context_known)")).alias("wrong"))
+    recent = live.recent.drop("updated_at", "expires_at")
+    strange = recent.exceptAll(joined).agg(F.count(F.lit(1)).alias("wrong"))
+    seen = _known(observed, weather.drop("rain"), "context_known")
+    seen = seen.select("w_timestamp", "context_known")
+    return (
+        _part(sure, "joined")
+        .unionByName(_part(_epochs(seen), "observations"), allowMissingColumns=True)
+        .unionByName(_part(wrong, "joined_not_delivered"), allowMissingColumns=True)
+        .unionByName(_part(strange, "snapshot_not_joined"), allowMissingColumns=True)
     )
-    return instants.unionAll(incidents)
 
 
 QUERIES: dict[str, Query] = {
@@ -410,6 +630,7 @@ QUERIES: dict[str, Query] = {
         incidents_by_bucket,
         severity_by_context,
         severity_pivot,
+        severity_pivot_open,
         count_by_context,
         count_by_context_with_null,
         batch_row_count,
@@ -419,16 +640,24 @@ QUERIES: dict[str, Query] = {
         latest_snapshot,
         newest_first,
         sql_over_tables,
+        sql_history,
+        sql_rate_by_bucket,
         live_snapshot_recent,
         live_snapshot_counts,
         topic_roundtrip,
         topic_roundtrip_weather,
         stream_publish,
+        publish_rejects,
+        ingestion_stamp,
         stream_dedup,
         stream_dedup_observations,
         stream_context_join_nearest,
         stream_context_join_tolerance,
+        stream_context_join_exact_times,
         stream_context_join_first,
+        stream_late_rows,
+        pipeline_epochs,
         pipeline_tables,
+        pipeline_first,
     )
 }

@@ -37,27 +37,6 @@ STATE_CONF = {
 # handling; blocks this many times the median are reported as they are.
 CORE_CONF = {"spark.shuffle.accurateBlockSkewedFactor": "5.0"}
 
-_MB = 1024 * 1024
-PARTITION_BYTES = 256 * _MB
-MAX_PARTITIONS = 20_000
-SPLIT_BYTES = 128 * _MB
-MAX_SPLITS = 200_000
-
-
-def sized_conf(input_bytes: int) -> dict[str, str]:
-    """Shuffle partitions and scan splits for a batch over ``input_bytes``.
-
-    Adaptive execution merges partitions that turn out small, so the number
-    errs upward. Both numbers are held where the driver can still track every
-    map output; past that, partitions grow and spill.
-    """
-    partitions = min(MAX_PARTITIONS, max(200, -(-input_bytes // PARTITION_BYTES)))
-    split = max(SPLIT_BYTES, -(-input_bytes // MAX_SPLITS))
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(split),
-    }
-
 
 def build_session(
     app_name: str, master: str | None = None, conf: dict[str, str] | None = None
@@ -82,16 +61,13 @@ def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSe
     """A sibling session for stateful queries, leaving the caller's settings alone.
 
     The number of state partitions is fixed by a query's first run. Unless
-    given, it is the number of cores; on a cluster, where executors may still be
-    on their way, it is no less than the caller's shuffle partitions.
+    given, it is the number of cores there are now; give it where executors may
+    still be on their way.
     """
     session = spark.newSession()
     for key, value in {**SQL_CONF, **STATE_CONF}.items():
         session.conf.set(key, value)
-    context = spark.sparkContext
-    count = partitions or max(1, context.defaultParallelism)
-    if not partitions and not context.master.startswith("local"):
-        count = max(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    count = partitions or max(1, spark.sparkContext.defaultParallelism)
     session.conf.set("spark.sql.shuffle.partitions", str(count))
     return session
 

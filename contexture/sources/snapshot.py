@@ -1,11 +1,14 @@
 """The live snapshot: three small tables that lapse after a while.
 
-It describes the last non-empty micro-batch alone. Two slots are written in
-turn, so a reader finds the previous snapshot whole while the next is written.
+It describes the last non-empty micro-batch alone. Every snapshot has a folder of
+its own, and one empty file whose name says that all its parts are there; a
+reader takes the newest of these names once and reads all parts from that folder,
+so parts of two snapshots never mix, and the folder being read is not written to.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
@@ -20,6 +23,7 @@ from contexture.sources import storage
 
 TTL_SECONDS = 300
 RECENT_ROWS = 100
+KEPT = 2
 
 _PARTS = {
     "recent_incidents": schemas.SNAPSHOT_RECENT,
@@ -46,38 +50,36 @@ def write_snapshot(
 ) -> None:
     """Replace the snapshot by that of ``batch``.
 
-    The batch is read twice; the caller keeps it persisted. Counts include the
-    null label.
+    The batch is worked out before the time is taken, so its own running time is
+    not taken off the time to live; the caller keeps it persisted. Counts include
+    the null label.
     """
+    spark = batch.sparkSession
+    base = path.rstrip("/")
+    name = uuid.uuid4().hex
+    parts = {
+        "recent_incidents": latest(batch, rows),
+        "incident_counts": count_by_context(batch, keep_null=True, name="count"),
+    }
+    for part, table in parts.items():
+        table.write.parquet(f"{base}/drafts/{name}/{part}")
     now = now or datetime.now(timezone.utc)
     stamps = {
         "updated_at": F.lit(now),
         "expires_at": F.lit(now + timedelta(seconds=ttl_seconds)),
     }
-    update = batch.sparkSession.range(0, 1, 1, 1).select(
-        F.lit(now.isoformat()).alias("last_update_ts")
-    )
-    parts = {
-        "recent_incidents": latest(batch, rows),
-        "incident_counts": count_by_context(batch, keep_null=True, name="count"),
-        # Written last: it is the part that says the others are there.
-        "last_update": update,
-    }
-    for name, part in parts.items():
-        target = f"{path.rstrip('/')}/{name}/slot={epoch_id % 2}"
-        part.withColumns(stamps).write.mode("overwrite").parquet(target)
-
-
-def _live(
-    spark: SparkSession, path: str, name: str, schema: T.StructType, now: datetime
-) -> DataFrame:
-    base = f"{path.rstrip('/')}/{name}"
-    if not storage.exists(spark, base):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(base).drop("slot")
-    rows = rows.filter(F.col("expires_at") > F.lit(now))
-    newest = rows.agg(F.max("updated_at").alias("updated_at"))
-    return rows.join(newest, "updated_at").select(*schema.fieldNames())
+    # Names ascend with time; the epoch tells equal times apart.
+    place = f"{int(now.timestamp() * 1e6):020d}-{epoch_id:012d}-{name}"
+    update = spark.range(0, 1, 1, 1).select(F.lit(now.isoformat()).alias("last_update_ts"))
+    for part in parts:
+        draft = spark.read.parquet(f"{base}/drafts/{name}/{part}")
+        draft.withColumns(stamps).write.parquet(f"{base}/data/{place}/{part}")
+    update.withColumns(stamps).write.parquet(f"{base}/data/{place}/last_update")
+    storage.write_text(spark, f"{base}/live/{place}", "")
+    storage.delete(spark, f"{base}/drafts/{name}")
+    for old in storage.names(spark, f"{base}/live")[:-KEPT]:
+        storage.delete(spark, f"{base}/live/{old}")
+        storage.delete(spark, f"{base}/data/{old}")
 
 
 def read_snapshot(
@@ -85,19 +87,31 @@ def read_snapshot(
 ) -> Snapshot:
     """The newest snapshot that has not lapsed; its parts are empty if none.
 
-    A snapshot that cannot be read gives empty parts and the reason.
+    A snapshot of which any part cannot be read gives empty parts and the reason;
+    all parts are small and are read once to find out. Without ``now`` the parts
+    go empty by themselves when their time is over.
     """
-    now = now or datetime.now(timezone.utc)
+    base = path.rstrip("/")
+    moment = F.lit(now) if now else F.current_timestamp()
+
+    def part(place: str, name: str, schema: T.StructType) -> DataFrame:
+        rows = spark.read.schema(schema).parquet(f"{base}/data/{place}/{name}")
+        rows.write.format("noop").mode("overwrite").save()
+        return rows.filter(F.col("expires_at") > moment)
+
+    parts = {name: spark.createDataFrame([], schema) for name, schema in _PARTS.items()}
+    stamp, error = None, None
     try:
-        parts = {n: _live(spark, path, n, s, now) for n, s in _PARTS.items()}
-        stamp = parts["last_update"].first()
+        places = storage.names(spark, f"{base}/live")
+        if places:
+            found = {name: part(places[-1], name, schema) for name, schema in _PARTS.items()}
+            stamp = found["last_update"].first()
+            parts = found
     except Exception as reason:  # noqa: BLE001 - told to the reader, not raised
-        empty = {n: spark.createDataFrame([], s) for n, s in _PARTS.items()}
-        return Snapshot(
-            empty["recent_incidents"], empty["incident_counts"], None, str(reason)
-        )
+        error = str(reason)
     return Snapshot(
         parts["recent_incidents"],
         parts["incident_counts"],
         stamp["last_update_ts"] if stamp else None,
+        error,
     )

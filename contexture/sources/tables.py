@@ -1,20 +1,36 @@
-"""The joined and the observation table: Parquet, appended per micro-batch.
-
-Each micro-batch owns the folder ``query_id=<id>/epoch_id=<n>`` and overwrites
-it, so a batch that is run again leaves the same rows. The query id is kept in
-the checkpoint: a new checkpoint starts new folders and overwrites no old ones.
+"""The joined and the observation table: Parquet by event day, listed in a manifest.
+
+A micro-batch is written to a folder of its own, cut by ``event_day``, and then
+appears in the next manifest, one small file that lists all folders of the
+table. A reader goes by the newest manifest, so it sees a batch whole or not at
+all. A batch that is run again finds itself listed and writes nothing; what a
+failed attempt left is listed nowhere. ``compact`` replaces the folders of past
+days by one and keeps what it knows of their batches. The query id is kept in the
+checkpoint: a new checkpoint begins new numbers and repeats no old ones.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import date, datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contexture.operators import marts
 from contexture.schemas import JOINED_TABLE, OBSERVATION_TABLE
 from contexture.sources import storage
 
 JOINED_VIEW = "weather_traffic_comb"
 OBSERVATION_VIEW = "weather_duration"
+RATE_VIEW = "incident_rate_by_context"
+BUCKET_VIEW = "incident_rate_by_bucket"
+
+DAY = "event_day"
+FOLDER = "attempt"
+ATTEMPTS = 20
 
 
 def streaming_query_id(spark: SparkSession) -> str:
@@ -25,38 +41,159 @@ def streaming_query_id(spark: SparkSession) -> str:
     return found
 
 
-def epoch_path(base: str, query_id: str, epoch_id: int) -> str:
-    return f"{base.rstrip('/')}/query_id={query_id}/epoch_id={epoch_id}"
-
+def manifest(spark: SparkSession, base: str) -> tuple[int, dict]:
+    """Number and content of the newest manifest: ``folders`` and ``done``.
 
-def write_epoch(batch: DataFrame, base: str, query_id: str, epoch_id: int) -> None:
-    """Write one micro-batch in place; an error reaches the caller."""
-    batch.write.mode("overwrite").parquet(epoch_path(base, query_id, epoch_id))
+    ``done`` has the last listed epoch of each query.
+    """
+    folder = f"{base.rstrip('/')}/manifests"
+    found = [name for name in storage.names(spark, folder) if name.endswith(".json")]
+    if not found:
+        return 0, {"folders": [], "done": {}}
+    return int(found[-1].removesuffix(".json")), json.loads(
+        storage.read_text(spark, f"{folder}/{found[-1]}")
+    )
 
 
-def read_table(spark: SparkSession, base: str, schema: T.StructType) -> DataFrame:
-    """All epochs of a table; a table not yet written is empty."""
-    if not storage.exists(spark, base):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(base).select(*schema.fieldNames())
+def _commit(spark: SparkSession, base: str, number: int, content: dict) -> bool:
+    path = f"{base.rstrip('/')}/manifests/{number:012d}.json"
+    return storage.write_text(spark, path, json.dumps(content))
+
+
+def _write(rows: DataFrame, base: str) -> dict:
+    """A new folder of rows, not yet listed; its first and last day."""
+    folder = f"{FOLDER}={uuid.uuid4().hex}"
+    time = next(f.name for f in rows.schema if isinstance(f.dataType, T.TimestampType))
+    dated = rows.withColumn(DAY, F.to_date(time))
+    path = f"{base.rstrip('/')}/data/{folder}"
+    dated.write.partitionBy(DAY).parquet(path)
+    days = [
+        name.partition("=")[2]
+        for name in storage.names(rows.sparkSession, path)
+        if name.startswith(f"{DAY}=")
+    ]
+    return {"folder": folder, "days": [min(days), max(days)] if days else None}
+
+
+def write_epoch(batch: DataFrame, base: str, query_id: str, epoch_id: int) -> bool:
+    """Add one micro-batch; False if it is listed already. An error reaches the caller."""
+    spark = batch.sparkSession
+    if manifest(spark, base)[1]["done"].get(query_id, -1) >= epoch_id:
+        return False
+    entry = _write(batch, base)
+    for _ in range(ATTEMPTS):
+        number, content = manifest(spark, base)
+        if content["done"].get(query_id, -1) >= epoch_id:
+            return False
+        content["folders"].append(entry | {"query": query_id, "epoch": epoch_id})
+        content["done"][query_id] = epoch_id
+        if _commit(spark, base, number + 1, content):
+            return True
+    raise RuntimeError(f"{base}: others kept writing manifests")
+
+
+def compact(
+    spark: SparkSession, base: str, schema: T.StructType, before: date, files_per_day: int = 1
+) -> bool:
+    """Replace the folders whose days all lie before ``before`` by one folder.
+
+    The old folders stay for readers that hold them; ``drop_unlisted`` removes
+    them later. False if there is nothing to do or another writer came first.
+    """
+    number, content = manifest(spark, base)
+    closed = [e for e in content["folders"] if e["days"] and e["days"][1] < before.isoformat()]
+    if len(closed) < 2:
+        return False
+    rows = _read(spark, base, schema, closed)
+    entry = _write(rows.repartition(F.col(DAY), F.floor(F.rand(0) * files_per_day)).drop(DAY), base)
+    kept = [e for e in content["folders"] if e not in closed]
+    content["folders"] = [entry | {"query": None, "epoch": None}, *kept]
+    return _commit(spark, base, number + 1, content)
+
+
+def drop_unlisted(spark: SparkSession, base: str, keep_manifests: int = 10) -> int:
+    """Remove folders that none of the newest manifests lists, and older manifests.
+
+    Run it while nothing is being written, or long after: a folder being written
+    is not listed yet.
+    """
+    root = base.rstrip("/")
+    names = [n for n in storage.names(spark, f"{root}/manifests") if n.endswith(".json")]
+    listed = set()
+    for name in names[-keep_manifests:]:
+        content = json.loads(storage.read_text(spark, f"{root}/manifests/{name}"))
+        listed |= {entry["folder"] for entry in content["folders"]}
+    for name in names[:-keep_manifests]:
+        storage.delete(spark, f"{root}/manifests/{name}")
+    gone = [name for name in storage.names(spark, f"{root}/data") if name not in listed]
+    for name in gone:
+        storage.delete(spark, f"{root}/data/{name}")
+    return len(gone)
+
+
+def _read(spark: SparkSession, base: str, schema: T.StructType, entries: list[dict]) -> DataFrame:
+    root = f"{base.rstrip('/')}/data"
+    paths = [f"{root}/{entry['folder']}" for entry in entries if entry["days"]]
+    days = T.StructField(DAY, T.DateType())
+    if not paths:
+        return spark.createDataFrame([], T.StructType([*schema.fields, days]))
+    found = T.StructType([*schema.fields, T.StructField(FOLDER, T.StringType()), days])
+    return spark.read.schema(found).option("basePath", root).parquet(*paths).drop(FOLDER)
+
+
+def read_table(
+    spark: SparkSession,
+    base: str,
+    schema: T.StructType,
+    since: datetime | None = None,
+    until: datetime | None = None,
+) -> DataFrame:
+    """The rows listed now; a table not yet written is empty.
+
+    ``since`` and ``until`` bound the event time, ends included, and keep other
+    days from being read.
+    """
+    rows = _read(spark, base, schema, manifest(spark, base)[1]["folders"])
+    time = next(f.name for f in schema if isinstance(f.dataType, T.TimestampType))
+    for limit, keep in ((since, lambda c, v: c >= v), (until, lambda c, v: c <= v)):
+        if limit is not None:
+            limit = limit if limit.tzinfo else limit.replace(tzinfo=timezone.utc)
+            day = limit.astimezone(timezone.utc).date()
+            rows = rows.where(keep(F.col(DAY), F.lit(day)) & keep(F.col(time), F.lit(limit)))
+    return rows.select(*schema.fieldNames())
 
 
-def read_joined(spark: SparkSession, base: str) -> DataFrame:
-    return read_table(spark, base, JOINED_TABLE)
+def read_joined(spark: SparkSession, base: str, **bounds: datetime | None) -> DataFrame:
+    return read_table(spark, base, JOINED_TABLE, **bounds)
 
 
-def read_observations(spark: SparkSession, base: str) -> DataFrame:
-    return read_table(spark, base, OBSERVATION_TABLE)
+def read_observations(spark: SparkSession, base: str, **bounds: datetime | None) -> DataFrame:
+    return read_table(spark, base, OBSERVATION_TABLE, **bounds)
 
 
 def register_views(
     spark: SparkSession, joined_path: str, observations_path: str
 ) -> None:
-    """Both tables under their SQL names, so that SQL text runs as it stands."""
-    read_joined(spark, joined_path).createOrReplaceTempView(JOINED_VIEW)
-    read_observations(spark, observations_path).createOrReplaceTempView(
-        OBSERVATION_VIEW
-    )
+    """Both tables as they stand now under their SQL names, and their rates.
+
+    A view keeps to the manifest of its registration; ``run_sql`` registers anew
+    before each text. The rate views count each side before they join, which a
+    plain join of the two tables by label would not.
+    """
+    joined = read_joined(spark, joined_path)
+    observed = read_observations(spark, observations_path)
+    joined.createOrReplaceTempView(JOINED_VIEW)
+    observed.createOrReplaceTempView(OBSERVATION_VIEW)
+    marts.rate_by_context(observed, joined).createOrReplaceTempView(RATE_VIEW)
+    marts.rate_by_bucket(observed, joined, ordered=False).createOrReplaceTempView(BUCKET_VIEW)
+
+
+def run_sql(
+    spark: SparkSession, text: str, joined_path: str, observations_path: str
+) -> DataFrame:
+    """SQL text over both tables with all batches that are there now."""
+    register_views(spark, joined_path, observations_path)
+    return spark.sql(text)
 
 
 def reset(spark: SparkSession, *paths: str) -> None:

@@ -16,6 +16,9 @@ from contexture.functions.records import encode
 WEATHER_TOPIC = "weather_topic"
 INCIDENT_TOPIC = "traffic_topic"
 
+# A batch read takes no such limits.
+STREAM_ONLY = ("maxOffsetsPerTrigger", "minOffsetsPerTrigger", "maxTriggerDelay")
+
 
 @dataclass(frozen=True)
 class KafkaTopics:
@@ -43,7 +46,10 @@ class KafkaTopics:
         return reader.load().select("value")
 
     def read(self, spark: SparkSession, topic: str) -> DataFrame:
-        reader = spark.read.format("kafka").options(**self.options(topic))
+        options = self.options(topic)
+        for name in STREAM_ONLY:
+            options.pop(name, None)
+        reader = spark.read.format("kafka").options(**options)
         return reader.load().select("value")
 
     def _write_options(self, topic: str) -> dict[str, str]:

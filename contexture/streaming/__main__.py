@@ -24,10 +24,16 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--match", choices=["first", "nearest"], default="first")
     parser.add_argument("--every", default="60 seconds", help="processing interval")
     parser.add_argument(
-        "--drain", action="store_true", help="process what is there, then stop"
+        "--drain",
+        action="store_true",
+        help="process what is there, then stop; with --match nearest, incidents "
+        "whose minute the watermark has not passed stay in state for the next run",
     )
     parser.add_argument(
-        "--state-partitions", type=int, help="kept from the first run on"
+        "--state-partitions",
+        type=int,
+        default=200,
+        help="kept from the first run on; about twice the cores of the cluster",
     )
     parser.add_argument("--max-offsets", help="Kafka offsets per micro-batch")
     return parser.parse_args(arguments)

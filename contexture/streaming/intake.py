@@ -24,17 +24,19 @@ def combine_copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Stateful de-duplication shuffles every row to its key's partition, with no
     combining on the map side. Where one key makes up a large part of a
-    micro-batch, this lets one row per batch of rows through in its place.
+    micro-batch, this lets one row per batch of rows through in its place. It
+    takes every row through Python, so it is off unless asked for.
     """
     names = list(keys)
 
     def first_rows(batches: Iterator) -> Iterator:
         # Imported on the executor.
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             rows = pa.table(
-                [*(batch.column(n) for n in names), pa.array(range(batch.num_rows))],
+                [*(batch.column(n) for n in names), pa.array(np.arange(batch.num_rows))],
                 names=[*names, "_row"],
             )
             first = rows.group_by(names).aggregate([("_row", "min")])["_row_min"]
@@ -47,7 +49,7 @@ def observation_stream(
     observations: DataFrame,
     delay: str = WATERMARK_DELAY,
     metric: str | None = "observations_in",
-    combine: bool = True,
+    combine: bool = False,
 ) -> DataFrame:
     """Watermarked observations; rows without a time are counted and dropped.
 
@@ -65,7 +67,7 @@ def incident_stream(
     since: datetime | Column | None = None,
     delay: str = WATERMARK_DELAY,
     metric: str | None = "incidents_in",
-    combine: bool = True,
+    combine: bool = False,
 ) -> DataFrame:
     """Watermarked incidents; rows without a time are counted and dropped.
 
@@ -81,7 +83,7 @@ def incident_stream(
 
 
 def weather_from_topic(
-    messages: DataFrame, delay: str = WATERMARK_DELAY, combine: bool = True
+    messages: DataFrame, delay: str = WATERMARK_DELAY, combine: bool = False
 ) -> DataFrame:
     return observation_stream(parse_weather(messages), delay, combine=combine)
 
@@ -90,7 +92,7 @@ def incidents_from_topic(
     messages: DataFrame,
     since: datetime | Column | None = None,
     delay: str = WATERMARK_DELAY,
-    combine: bool = True,
+    combine: bool = False,
     patterns: Sequence[str] = (OFFSET_PATTERN,),
 ) -> DataFrame:
     rows = parse_incidents(messages, patterns=patterns)

@@ -3,8 +3,9 @@
 Both sides carry the tumbling bucket as their event time and meet on it. The
 observation side is brought to one row per bucket *before* the join, so an
 incident meets one partner and is emitted once, however many observations its
-bucket holds. Incidents of a busy bucket spread over ``salts`` state
-partitions; the bucket's single row is repeated once per salt.
+bucket holds. Incidents of a busy bucket spread over ``salts`` keys, by default
+twice the number of state partitions; the bucket's single row is repeated once
+per salt.
 
 ``first`` keeps the first observation to arrive in a bucket and the first copy
 of an incident, and emits at once. ``nearest`` waits until the watermark has
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contexture.functions.order import least, quoted
@@ -28,7 +29,11 @@ from contexture.operators.context import (
 )
 from contexture.streaming.intake import distinct_incident_stream
 
-SALTS = 8
+
+
+def default_salts(spark: SparkSession) -> int:
+    """Two for each state partition, so that one bucket's incidents reach most."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 @dataclass(frozen=True)
@@ -125,7 +130,7 @@ def stream_context_join(
     tolerance_seconds: int = TOLERANCE_SECONDS,
     context: Sequence[str] = CONTEXT_COLUMNS,
     required: str | None = "weather_desc",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Distinct incidents with the ``context`` columns of one observation.
 
@@ -134,6 +139,7 @@ def stream_context_join(
     ``bucket_seconds=None`` is for ``nearest``: one observation cannot stand for
     all of a bucket whose ends lie further apart than the tolerance.
     """
+    salts = salts or default_salts(incidents.sparkSession)
     carried = [c for c in incidents.columns if c != "t_start"]
     buckets = _Buckets(bucket_seconds, tolerance_seconds)
     if match == "first":

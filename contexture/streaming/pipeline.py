@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from contexture.operators.context import BUCKET_SECONDS, TOLERANCE_SECONDS
 from contexture.schemas import JOINED_TABLE
+from contexture.sources import storage
 from contexture.sources.snapshot import RECENT_ROWS, TTL_SECONDS, write_snapshot
 from contexture.sources.tables import reset, streaming_query_id, write_epoch
 from contexture.sources.topics import (
@@ -21,7 +22,7 @@ from contexture.sources.topics import (
     KafkaTopics,
 )
 from contexture.streaming import intake
-from contexture.streaming.join import SALTS, stream_context_join
+from contexture.streaming.join import default_salts, stream_context_join
 
 log = logging.getLogger(__name__)
 
@@ -36,7 +37,9 @@ class PipelineConfig:
     ``since`` leaves out incidents that started earlier. It belongs to the
     configuration, so a restart takes up the backlog of the downtime.
     ``trigger`` is passed to the stream writer; empty means as fast as
-    possible.
+    possible. ``combine_copies`` is for micro-batches that one key makes up a
+    large part of (see ``intake.combine_copies``). ``salts`` is fixed by the first
+    run on a checkpoint, as the state is laid out by it.
     """
 
     joined_path: str
@@ -48,7 +51,8 @@ class PipelineConfig:
     match: str = "first"
     bucket_seconds: int | None = BUCKET_SECONDS
     tolerance_seconds: int = TOLERANCE_SECONDS
-    salts: int = SALTS
+    salts: int | None = None
+    combine_copies: bool = False
     snapshot_ttl_seconds: int = TTL_SECONDS
     snapshot_rows: int = RECENT_ROWS
     trigger: dict = field(default_factory=dict)
@@ -61,7 +65,7 @@ def joined_stream(
     spark: SparkSession, topics: KafkaTopics | FolderTopics, config: PipelineConfig
 ) -> DataFrame:
     # The nearest match picks among all copies itself.
-    combine = config.match == "first"
+    combine = config.combine_copies and config.match == "first"
     incidents = intake.incidents_from_topic(
         topics.read_stream(spark, INCIDENT_TOPIC), config.since, config.delay, combine
     )
@@ -74,7 +78,7 @@ def joined_stream(
         config.match,
         config.bucket_seconds,
         config.tolerance_seconds,
-        salts=config.salts,
+        salts=config.salts or default_salts(spark),
     )
     return joined.select(*JOINED_TABLE.fieldNames())
 
@@ -131,9 +135,22 @@ def table_writer(
     return writer.trigger(**trigger) if trigger else writer
 
 
+def _fix_salts(spark: SparkSession, config: PipelineConfig) -> PipelineConfig:
+    """The salts of the checkpoint's first run; other ones are refused."""
+    path = f"{config.checkpoint_path.rstrip('/')}/joined-salts"
+    wanted = config.salts or default_salts(spark)
+    found = storage.read_text(spark, path)
+    if found is None:
+        storage.write_text(spark, path, str(wanted))
+    elif config.salts and int(found) != config.salts:
+        raise ValueError(f"this checkpoint was begun with {found} salts, not {config.salts}")
+    return replace(config, salts=int(found or wanted))
+
+
 def start_joined(
     spark: SparkSession, topics: KafkaTopics | FolderTopics, config: PipelineConfig
 ) -> StreamingQuery:
+    config = _fix_salts(spark, config)
     return table_writer(
         joined_stream(spark, topics, config),
         config.joined_path,

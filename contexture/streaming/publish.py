@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from contexture.operators.normalize import incident_records, weather_records
+from contexture.operators.normalize import (
+    incident_records,
+    readable,
+    weather_records,
+)
 from contexture.sources.landing import read_payloads
 from contexture.sources.topics import (
     INCIDENT_TOPIC,
@@ -24,14 +28,18 @@ def start_publishing(
     trigger: dict | None = None,
     whole_files: bool = False,
 ) -> list[StreamingQuery]:
-    """Publish every payload that lands, each folder to its topic."""
+    """Publish every readable payload that lands, each folder to its topic.
+
+    Each query reports ``rows`` and ``rejects`` as observed metrics.
+    """
     queries = []
-    for folder, to_records, topic in (
-        (weather_folder, weather_records, WEATHER_TOPIC),
-        (incident_folder, incident_records, INCIDENT_TOPIC),
+    for feed, folder, to_records, topic in (
+        ("weather", weather_folder, weather_records, WEATHER_TOPIC),
+        ("incidents", incident_folder, incident_records, INCIDENT_TOPIC),
     ):
         payloads = read_payloads(spark, folder, streaming=True, whole_files=whole_files)
-        writer = topics.write_stream(to_records(payloads), topic).option(
+        records = to_records(readable(payloads, feed))
+        writer = topics.write_stream(records, topic).option(
             "checkpointLocation", f"{checkpoint_path.rstrip('/')}/{topic}"
         )
         writer = writer.trigger(**trigger) if trigger else writer

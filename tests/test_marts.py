@@ -97,8 +97,24 @@ def test_severity(spark):
         "Moderate",
         "Undefined",
         "Unknown",
+        "Other",
     ]
-    assert tuples(pivot) == [("Fog", 0, 1, 0, 0, 0), ("Rain", 1, 1, 0, 0, 0)]
+    assert tuples(pivot) == [("Fog", 0, 1, 0, 0, 0, 0), ("Rain", 1, 1, 0, 0, 0, 0)]
+
+
+def test_unlisted_severities_are_added_up(spark):
+    rows = joined(
+        spark,
+        [
+            ("A", 0, "Severe", "Rain", 1),
+            ("A", 1, "Critical", "Rain", 1),
+            ("B", 0, "Critical", "Fog", 1),
+            ("C", 0, "Other", "Fog", 1),
+        ],
+    )
+    pivot = {r["weather_desc"]: r for r in marts.severity_pivot(rows).collect()}
+    assert pivot["Rain"]["Other"] == 2 and pivot["Fog"]["Other"] == 2
+    assert pivot["Rain"]["Major"] == 0
 
 
 def test_counts_with_and_without_null(spark):

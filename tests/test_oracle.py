@@ -5,12 +5,14 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from contexture.plans import oracle, queries
 from tests.compare import oracle_connection, spark_rows, sql_rows
 from tests.conftest import TESTDATA
 
 SF_DIR = TESTDATA / "sf0.01"
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+# Those of optional parts are tested with these.
+QUERIES = queries.QUERIES
+ORACLE = oracle.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,8 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

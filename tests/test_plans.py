@@ -7,13 +7,15 @@ import pytest
 from contexture.operators.context import context_join
 from contexture.plans import events_roles as roles
 from contexture.plans import queries
+from contexture.sources.topics import INCIDENT_TOPIC, WEATHER_TOPIC, FolderTopics
+from contexture.streaming import pipeline
 from tests.conftest import TESTDATA
 
 SF_DIR = str(TESTDATA / "sf0.001")
 LAZY = [
     name
     for name in queries.QUERIES
-    if not name.startswith(("stream_", "topic_", "live_", "sql_", "pipeline_"))
+    if not name.startswith(("stream_", "topic_", "live_", "sql_", "pipeline_", "publish_"))
 ]
 
 
@@ -35,6 +37,20 @@ def test_event_filters_reach_the_scan(spark, check_plan, name):
     assert all("In(event_type" in filters for filters in pushed)
 
 
+@pytest.mark.parametrize("match", ["first", "nearest"])
+def test_default_streams_run_no_python(spark, tmp_path, match):
+    topics = FolderTopics(str(tmp_path))
+    for topic in (WEATHER_TOPIC, INCIDENT_TOPIC):
+        (tmp_path / topic).mkdir()
+    config = pipeline.PipelineConfig("j", "o", "c", match=match)
+    for rows in (
+        pipeline.joined_stream(spark, topics, config),
+        pipeline.observations_stream(spark, topics, config),
+    ):
+        plan = rows._jdf.queryExecution().analyzed().toString()
+        assert "Python" not in plan and "MapInArrow" not in plan
+
+
 def test_join_sides_share_one_reduction(spark, check_plan):
     """Observations are reduced once for the join and for the rates."""
     df = queries.rate_by_context(spark, SF_DIR)

@@ -1,14 +1,15 @@
 from __future__ import annotations
 
 import json
-from datetime import timedelta
+import time
+from datetime import date, timedelta
 from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
 
 from contexture import schemas
-from contexture.session import shared_dir, sized_conf, state_session
+from contexture.session import shared_dir, state_session
 from contexture.sources import landing, snapshot, storage, tables
 from contexture.sources.topics import FolderTopics, KafkaTopics
 from tests.helpers import at, joined, observed, tuples
@@ -34,6 +35,59 @@ def test_new_query_keeps_old_epochs(spark, folder):
     assert tables.read_joined(spark, base).count() == 2
 
 
+def test_a_replay_shows_neither_hole_nor_double(spark, folder):
+    base = folder("joined")
+    batch = joined(spark, [("A", 0, "Minor", "Rain", 1)])
+    assert tables.write_epoch(batch, base, "q", 0)
+    held = tables.read_joined(spark, base)
+    assert not tables.write_epoch(batch, base, "q", 0)
+    assert held.count() == tables.read_joined(spark, base).count() == 1
+
+
+def test_an_attempt_that_is_not_listed_is_not_read(spark, folder):
+    base = folder("joined")
+    tables.write_epoch(joined(spark, [("A", 0, "Minor", "Rain", 1)]), base, "q", 0)
+    tables._write(joined(spark, [("B", 0, "Minor", "Rain", 1)]), base)
+    assert tables.read_joined(spark, base).count() == 1
+    assert tables.drop_unlisted(spark, base) == 1
+    assert tables.read_joined(spark, base).count() == 1
+
+
+def test_past_days_are_compacted(spark, folder):
+    base, day = folder("joined"), 86_400
+    for epoch, second in enumerate([0, 10, day, day + 1, 3 * day]):
+        batch = joined(spark, [(f"I{epoch}", second, "Minor", "Rain", 1)])
+        tables.write_epoch(batch, base, "q", epoch)
+    before = tuples(tables.read_joined(spark, base))
+    assert tables.compact(spark, base, schemas.JOINED_TABLE, (at(2 * day)).date())
+    assert len(tables.manifest(spark, base)[1]["folders"]) == 2
+    assert not tables.write_epoch(joined(spark, [("X", 0, "Minor", "Rain", 1)]), base, "q", 3)
+    tables.drop_unlisted(spark, base, keep_manifests=1)
+    assert tuples(tables.read_joined(spark, base)) == before
+    assert not tables.compact(spark, base, schemas.JOINED_TABLE, date(1999, 1, 1))
+
+
+def test_a_time_filter_keeps_other_days_from_being_read(spark, folder, check_plan):
+    base, day = folder("joined"), 86_400
+    for epoch in range(3):
+        tables.write_epoch(
+            joined(spark, [(f"I{epoch}", epoch * day, "Minor", "Rain", 1)]), base, "q", epoch
+        )
+    found = tables.read_joined(spark, base, since=at(day), until=at(day + 5))
+    assert [r["t_id"] for r in found.collect()] == ["I1"]
+    assert "PartitionFilters: [isnotnull(event_day" in check_plan(found)
+
+
+def test_sql_sees_batches_that_came_later(spark, folder):
+    paths = folder("joined"), folder("seen")
+    tables.register_views(spark, *paths)
+    text = "SELECT count(*) AS n FROM weather_traffic_comb"
+    for epoch in range(2):
+        batch = joined(spark, [(f"I{epoch}", 0, "Minor", "Rain", 1)])
+        tables.write_epoch(batch, paths[0], "q", epoch)
+        assert tables.run_sql(spark, text, *paths).first()["n"] == epoch + 1
+
+
 def test_table_not_yet_written_is_empty(spark, folder):
     df = tables.read_observations(spark, folder("none"))
     assert df.schema == schemas.OBSERVATION_TABLE
@@ -104,16 +158,50 @@ def test_missing_snapshot_is_empty(spark, folder):
     assert live.last_update is None and live.error is None
 
 
-def test_unreadable_snapshot_tells_why(spark, folder):
+@pytest.mark.parametrize("part", ["last_update", "recent_incidents", "incident_counts"])
+def test_unreadable_snapshot_tells_why(spark, folder, part):
     path = Path(folder("snapshot"))
     snapshot.write_snapshot(joined(spark, BATCH), str(path), 0, now=at(0))
-    for part in path.glob("last_update/slot=0/*.parquet"):
+    for part in path.glob(f"data/*/{part}/*.parquet"):
         for crc in part.parent.glob(f".{part.name}.crc"):
             crc.unlink()
         part.write_text("not parquet")
     live = snapshot.read_snapshot(spark, str(path), now=at(1))
     assert live.error
-    assert live.recent.count() == 0 and live.last_update is None
+    assert live.recent.count() == live.counts.count() == 0 and live.last_update is None
+
+
+def test_a_slow_write_does_not_use_up_the_time_to_live(spark, folder):
+    path = folder("snapshot")
+
+    def slow(batches):
+        time.sleep(3)
+        yield from batches
+
+    rows = joined(spark, BATCH)
+    slowly = rows.coalesce(1).mapInPandas(slow, rows.schema)
+    snapshot.write_snapshot(slowly, path, 0, ttl_seconds=30)
+    live = snapshot.read_snapshot(spark, path)
+    assert live.recent.count() == 3 and live.last_update
+
+
+def test_a_held_snapshot_lapses_by_itself(spark, folder):
+    path = folder("snapshot")
+    snapshot.write_snapshot(joined(spark, BATCH), path, 0, ttl_seconds=3600)
+    live = snapshot.read_snapshot(spark, path)
+    assert live.recent.count() == 3
+    snapshot.write_snapshot(joined(spark, BATCH), path, 1, ttl_seconds=0)
+    lapsed = snapshot.read_snapshot(spark, path)
+    assert lapsed.recent.count() == lapsed.counts.count() == 0
+
+
+def test_epochs_of_one_parity_leave_the_live_snapshot_alone(spark, folder):
+    path = folder("snapshot")
+    snapshot.write_snapshot(joined(spark, BATCH), path, 2)
+    held = snapshot.read_snapshot(spark, path)
+    snapshot.write_snapshot(joined(spark, BATCH[:1]), path, 4)
+    assert held.recent.count() == 3
+    assert snapshot.read_snapshot(spark, path).recent.count() == 1
 
 
 def test_folder_topic_keeps_records(spark, folder):
@@ -168,15 +256,6 @@ def test_shared_dir_comes_from_the_session(spark):
     assert one.startswith(root) and one != other
 
 
-def test_settings_by_size():
-    small = sized_conf(10 * 1024**3)
-    assert small["spark.sql.shuffle.partitions"] == "200"
-    assert small["spark.sql.files.maxPartitionBytes"] == str(128 * 1024**2)
-    large = sized_conf(100 * 1024**4)
-    assert large["spark.sql.shuffle.partitions"] == "20000"
-    assert 100 * 1024**4 / int(large["spark.sql.files.maxPartitionBytes"]) <= 200_000
-
-
 def test_state_session_leaves_the_caller_alone(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     session = state_session(spark, partitions=3)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from datetime import timedelta
 from pathlib import Path
 
@@ -21,7 +22,8 @@ from contexture.sources.topics import (
 from contexture.streaming import intake, pipeline
 from contexture.streaming.__main__ import configure, parse
 from contexture.streaming.publish import start_publishing
-from contexture.streaming.progress import late_rows, state_report
+from contexture.streaming.join import default_salts
+from contexture.streaming.progress import Totals, late_rows, state_report
 from tests.helpers import at, incidents, observations
 
 
@@ -393,12 +395,56 @@ def test_hot_bucket_spreads_over_salts(session, feed, config):
         query.stop()
 
 
+def test_one_minute_reaches_most_state_partitions(spark):
+    session = state_session(spark, partitions=64)
+    salts = default_salts(session)
+    keys = session.range(salts).selectExpr("CAST(id AS INT) AS salt", "0 AS bucket")
+    used = keys.repartition(64, "bucket", "salt").select(F.spark_partition_id()).distinct()
+    assert used.count() > 48
+
+
+def test_salts_are_those_of_the_first_run(session, feed, config):
+    cfg = config(salts=None, trigger={"availableNow": True})
+    feed.weather((0, "Rain"))
+    feed.incidents(("A", 10))
+    pipeline.start_joined(session, feed.topics, cfg).awaitTermination()
+    wider = state_session(session, partitions=7)
+    feed.incidents(("B", 20))
+    pipeline.start_joined(wider, feed.topics, cfg).awaitTermination()
+    assert len(joined_rows(session, cfg)) == 2
+    with pytest.raises(ValueError, match="begun with 4 salts"):
+        pipeline.start_joined(session, feed.topics, replace(cfg, salts=8))
+
+
+def test_unreadable_payloads_are_counted_and_not_published(spark, session, folder):
+    folders = [Path(folder(name)) for name in ("weather", "incidents")]
+    lines = [
+        ['{"current": {"dt": 1709251200}}', "junk", "{}"],
+        ['{"incidents": []}', "junk", '{"incidents": [{"properties": {"id": "A"}}]}'],
+    ]
+    for path, own in zip(folders, lines, strict=True):
+        path.mkdir()
+        (path / "poll.json").write_text("\n".join(own))
+    topics = FolderTopics(folder("out"))
+    with Totals(session) as totals:
+        queries = start_publishing(
+            session, *map(str, folders), topics, folder("checkpoints"), pipeline.AVAILABLE_NOW
+        )
+        for query in queries:
+            query.awaitTermination()
+        counted = [totals.of(query)["observed"] for query in queries]
+    assert counted[0] == {"weather_payloads.rows": 3, "weather_payloads.rejects": 2}
+    assert counted[1] == {"incidents_payloads.rows": 3, "incidents_payloads.rejects": 1}
+    assert topics.read(spark, WEATHER_TOPIC).count() == 1
+    assert topics.read(spark, INCIDENT_TOPIC).count() == 1
+
+
 def test_batch_size_decides_the_files(spark, session, feed, config):
     cfg = config(trigger={"availableNow": True})
     feed.weather((0, "Rain"))
     feed.incidents(*[(f"I{i}", i % 60) for i in range(100)])
     pipeline.start_joined(session, feed.topics, cfg).awaitTermination()
-    files = list(Path(cfg.joined_path).glob("query_id=*/epoch_id=*/*.parquet"))
+    files = list(Path(cfg.joined_path).glob("data/*/event_day=*/*.parquet"))
     assert len(files) == 1
 
 
