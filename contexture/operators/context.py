@@ -6,7 +6,8 @@ per distinct start instant and then joined back:
 1. observations shrink to one row per instant, incidents to their instants;
 2. both are laid on one time line per bucket, and window functions carry the
    last observation before and the first after to every incident instant;
-3. the incidents join the answer on their start time.
+3. the incidents join the answer on their start time, and of those that found
+   one the copies are dropped.
 
 No pair of candidates is ever formed. Steps 1 and 2 handle distinct instants
 only: at second precision a one-minute bucket holds at most 60 of each kind,
@@ -161,7 +162,12 @@ def context_join(
     )
     if required:
         answer = answer.where(f"{quoted(required)} IS NOT NULL")
-    rows = distinct_incidents(incidents).join(
+    rows = incidents.where("t_start IS NOT NULL").join(
         answer.select("t_start", *context), "t_start"
     )
-    return rows.select(*incidents.columns, *context)
+    # The answer depends on the start time alone, so copies can go after the
+    # join, where few rows are left; plain copies first, which needs no order.
+    # The time is taken through its number, so that the join's shuffle does not
+    # serve for what follows: else a hot start time could not be split.
+    rows = rows.withColumn("t_start", F.expr("timestamp_micros(unix_micros(t_start))"))
+    return distinct_incidents(rows.distinct()).select(*incidents.columns, *context)
