@@ -100,14 +100,17 @@ def _tree(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(columns, names=names)
 
 
-def trees(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The index: a row per shard of about ``SHARD_ROWS`` vectors of one length."""
+def trees(
+    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
+) -> tuple[DataFrame, int]:
+    """The index, a row per shard of about ``SHARD_ROWS`` vectors, and the number of shards."""
     rows = _usable(vectors, vec_id, embedding).withColumn("dim", F.size("v"))
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     # Copies of one vector are spread like others: the shard goes by id, and the
     # rows of one id by a hash of the vector.
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    return written(rows.groupBy("dim", "shard").applyInArrow(_tree, TREE_SCHEMA), "trees")
+    made = rows.groupBy("dim", "shard").applyInArrow(_tree, TREE_SCHEMA)
+    return written(made, "trees"), shards
 
 
 def _blocks(key: tuple, rows: pa.Table) -> pa.Table:
@@ -128,7 +131,7 @@ BLOCK_SCHEMA = "dim int, block bigint, queries binary, points binary, floors bin
 
 def _score(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     if not q.size or not v.size:
-        return np.zeros((len(q), len(v)), dtype=object if False else np.int64)
+        return np.zeros((len(q), len(v)), dtype=np.int64)
     largest = np.abs(q).sum(axis=1).max() * np.abs(v).max()
     if largest < _EXACT:
         return (q @ v.T).astype(np.int64)
@@ -196,8 +199,13 @@ def _visit(row: dict, k: int, first_only: bool) -> tuple[list, list, list]:
     )
 
 
-def _pass(index: DataFrame, queries: DataFrame, k: int, first_only: bool) -> DataFrame:
-    """Each block of queries through each tree of its length."""
+def _pass(
+    index: DataFrame, shards: int, queries: DataFrame, k: int, first_only: bool
+) -> DataFrame:
+    """Each block of queries through each tree of its length.
+
+    A block is sent to every shard by number and meets its tree there.
+    """
     blocks = queries.groupBy("dim", "block").applyInArrow(_blocks, BLOCK_SCHEMA)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +216,9 @@ def _pass(index: DataFrame, queries: DataFrame, k: int, first_only: bool) -> Dat
                     [pa.array(part) for part in found], names=["query_id", "vec_id", "score"]
                 )
 
-    pairs = index.join(blocks, "dim").repartition("shard", "block")
-    hits = pairs.mapInArrow(visit, HIT_SCHEMA)
-    return hits
+    sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    sent = sent.withColumn("shard", F.col("shard").cast("bigint"))
+    return sent.join(index, ["dim", "shard"]).mapInArrow(visit, HIT_SCHEMA)
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
@@ -226,19 +234,19 @@ def top_k(
     embedding: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for the rows ``wanted`` the k best of all others."""
-    index = trees(vectors, vec_id, embedding)
+    index, shards = trees(vectors, vec_id, embedding)
     queries = _usable(vectors.where(wanted), vec_id, embedding)
     queries = queries.dropDuplicates(["vec_id"]).withColumn("dim", F.size("v"))
     blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     queries = written(queries, "queries")
     lowest = -(1 << 62)
-    early = _top(_pass(index, queries.withColumn("floor", F.lit(lowest)), k, True), k)
+    early = _top(_pass(index, shards, queries.withColumn("floor", F.lit(lowest)), k, True), k)
     floors = early.where(F.col("rank") == k).select(
         F.col("query_id").alias("vec_id"), F.col("score").alias("floor")
     )
     floors = queries.join(floors, "vec_id", "left").withColumn(
         "floor", F.coalesce("floor", F.lit(lowest))
     )
-    hits = _top(_pass(index, written(floors, "floors"), k, False), k)
+    hits = _top(_pass(index, shards, written(floors, "floors"), k, False), k)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
