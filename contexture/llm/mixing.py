@@ -71,9 +71,7 @@ def _shared(nodes: DataFrame, parents: DataFrame, by: list[str], name: str, weig
     """The budget of every child: ``by, name, supply, budget``."""
     children = nodes.groupBy(*by, name).agg(F.sum("supply").alias("supply"))
     children = children.withColumn("weight", _weight(name, weights))
-    children = (
-        children.join(parents, by) if by else children.crossJoin(F.broadcast(parents))
-    )
+    children = children.join(parents, by)
     # Those that run out first, in proportion to their weight, come first.
     order = [F.col("supply") / F.col("weight"), F.col(name)]
     own = Window.partitionBy(*by).orderBy(*order)
@@ -105,14 +103,16 @@ def budgets(
     """
     keys = [f"_{level}" for level in LEVELS]
     leaves = written(counted.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "leaves")
-    nodes = leaves.withColumn("supply", F.col("tokens") * epochs)
-    top = nodes.agg(
+    nodes = leaves.withColumn("supply", F.col("tokens") * epochs).withColumn("_root", F.lit(0))
+    top = nodes.groupBy("_root").agg(
         F.least(
             F.floor(F.sum("tokens") * F.lit(share)).cast("bigint"), F.sum("supply")
         ).alias("parent_budget")
     )
     for depth, key in enumerate(keys):
-        top = _shared(nodes, top, keys[:depth], key, weights.get(LEVELS[depth], {}))
+        above = ["_root", *keys[:depth]]
+        top = _shared(nodes, top, above, key, weights.get(LEVELS[depth], {}))
+    top = top.drop("_root")
     leaves = leaves.join(top.withColumnRenamed("parent_budget", "budget"), keys)
     leaves = leaves.withColumn("full", F.expr("coalesce(budget div nullif(tokens, 0), 0L)"))
     return leaves.withColumn("rest", F.expr("budget - full * tokens"))
