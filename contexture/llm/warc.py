@@ -42,7 +42,7 @@ from contexture.session import shared_dir
 SHARD_BYTES = 16 << 20
 FILE_BYTES = 4 << 20
 SPANS_PER_SHARD = 8
-MOST_SPANS = 1 << 20
+MOST_SPANS = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 
 MANIFEST_SCHEMA = (
@@ -149,28 +149,30 @@ def _manifest(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _cuts(sized: DataFrame, shard_bytes: int) -> list[int]:
-    """Last page_id of every shard but the last one.
+def _shards(sized: DataFrame, shard_bytes: int) -> tuple[int, str]:
+    """How many shards there are, and SQL for a page_id's shard.
 
-    Collected: one row per span of ids, at most ``MOST_SPANS``.
+    Ids are cut into equal spans, and spans put together in order until a shard
+    is full. Collected: one row per span, at most ``MOST_SPANS``.
     """
     known = sized.where("page_id IS NOT NULL")
     low, high, total = known.agg(
         F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + 512)
     ).first()
     if low is None:
-        return []
+        return 1, "0"
     spans = min(MOST_SPANS, -(-total // shard_bytes) * SPANS_PER_SHARD, high - low + 1)
     width = -(-(high - low + 1) // spans)
-    span = F.floor((F.col("page_id").cast("decimal(38,0)") - F.lit(low)) / F.lit(width))
-    rows = known.groupBy(span.cast("bigint").alias("span")).agg(F.sum(F.col("size") + 512).alias("n"))
-    out, held = [], 0
+    span = f"CAST(floor((CAST(page_id AS DECIMAL(38, 0)) - {low}) / {width}) AS INT)"
+    rows = known.groupBy(F.expr(span).alias("span")).agg(F.sum(F.col("size") + 512).alias("n"))
+    shard_of, shard, held = [0] * spans, 0, 0
     for row in rows.orderBy("span").collect():
         if held and held + row["n"] > shard_bytes:
-            out.append(low + row["span"] * width - 1)
-            held = 0
+            shard, held = shard + 1, 0
         held += row["n"]
-    return out
+        shard_of[row["span"]] = shard
+    table = f"from_json('{shard_of}', 'array<int>')"
+    return shard + 1, f"coalesce(get({table}, {span}), 0)"
 
 
 def write(
@@ -189,7 +191,7 @@ def write(
     pages = pages.withColumn("sha1", F.unhex(F.sha1("payload")))
     pages = pages.withColumn("size", F.octet_length("payload").cast("bigint"))
     narrow = written(pages.select("page_id", "sha1", "size"), "digests")
-    cuts = _cuts(narrow, shard_bytes)
+    shards, place = _shards(narrow, shard_bytes)
     copies = (
         narrow.where(F.col("size") >= revisit_bytes)
         .groupBy("sha1", "size")
@@ -199,12 +201,12 @@ def write(
     )
     # What to do with a copy goes to its shard as a row of its own ahead of the
     # page, so payloads are shuffled once.
-    shard = F.coalesce(F.expr(_shard_of(cuts)), F.lit(0)).alias("shard")
+    shard = F.expr(place).alias("shard")
     notes = narrow.join(copies, ["sha1", "size"]).select(shard, "page_id", "sha1", "first")
     notes = notes.distinct().withColumn("note", F.lit(0))
     rows = pages.select(shard, "page_id", "sha1", "url", "size", "payload", F.lit(1).alias("note"))
     rows = rows.unionByName(notes, allowMissingColumns=True)
-    rows = rows.repartitionById(len(cuts) + 1, F.col("shard"))
+    rows = rows.repartitionById(shards, F.col("shard"))
     rows = rows.sortWithinPartitions(F.col("page_id").asc_nulls_first(), "sha1", "note", "url")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,22 +237,6 @@ def write(
     return written(rows.mapInArrow(put, MANIFEST_SCHEMA), "warc-manifest")
 
 
-def _shard_of(cuts: list[int]) -> str:
-    """The number of cuts below a page_id, by bisection as nested conditions."""
-    if not cuts:
-        return "0"
-
-    def part(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        middle = (low + high) // 2
-        return f"IF(page_id <= {cuts[middle]}L, {part(low, middle)}, {part(middle + 1, high)})"
-
-    return part(0, len(cuts)) if len(cuts) < 512 else (
-        f"size(filter(array({', '.join(f'{cut}L' for cut in cuts)}), c -> c < page_id))"
-    )
-
-
 def _members(stream: io.RawIOBase) -> Iterator[tuple[int, bytes]]:
     """Offset and content of each gzip member."""
     at, held = 0, b""
