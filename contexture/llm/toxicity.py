@@ -388,8 +388,9 @@ def training_rows(
 
     They are chosen by a hash of their doc_id.
 
-    ``held_out`` is a condition on doc_id of rows never learnt from. The first
-    ``MAX_TEXT`` characters of a text are learnt from; all of it is scored.
+    ``held_out`` is a condition on doc_id of rows never learnt from. Texts longer
+    than ``MAX_TEXT`` characters are not learnt from, so the sample's size is
+    bounded; they are scored like others.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     if held_out is not None:
@@ -401,8 +402,8 @@ def training_rows(
         for kind, count in ((0, CLEAN_TIMES * max_docs), (1, max_docs))
     ]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", F.substring("text", 1, MAX_TEXT).alias("text"))
-    rows = rows.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= MAX_TEXT)
+    rows = rows.join(F.broadcast(chosen), "doc_id")
     # A repeated doc_id is one example, so the bound above holds for texts too.
     return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
