@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from contexture.llm import words
 from contexture.llm.tables import free_name
 
-MAX_DOCS = 300
+MAX_DOCS = 200
 MAX_TEXT = 1 << 16
 LANDMARKS = 128
 RIDGE = 0.001
@@ -89,10 +89,12 @@ class Coded:
         spaced = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1) & (owner[1:] == owner[:-1])
         kept[starts[1:][spaced] - 1] = False
         blank = kept & (_CODES[raw] == 0)
-        before = np.concatenate([[0], np.cumsum(kept) + np.cumsum(blank)])
+        before = np.zeros(len(raw) + 1, dtype=np.int64)
+        np.cumsum(kept.view(np.uint8) + blank.view(np.uint8), dtype=np.int64, out=before[1:])
         shift = np.arange(count) * _SIDE
         codes = np.zeros(int(before[-1]) + (count + 1) * _SIDE, dtype=np.int32)
-        place = before[:-1] + np.repeat(shift, np.diff(offsets))
+        place = before[:-1]
+        place += np.repeat(shift, np.diff(offsets))
         codes[place[kept]] = _CODES[raw[kept]]
         first_letter = np.ones(len(starts), dtype=bool)
         first_letter[1:] = ~spaced

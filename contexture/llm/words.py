@@ -27,7 +27,7 @@ ALNUM[0x41:0x5B] = True
 ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _SLICE = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 
