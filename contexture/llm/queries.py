@@ -167,6 +167,9 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op5_exact_top_k": sql.EXACT_TOP_K,
+    "op7_chat_format": sql.CHAT_FORMAT,
+    "op8_warc": sql.WARC,
     "op9_token_counts": sql.TOKEN_COUNTS,
+    "op10_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
     "op6_mixing": sql.mixing(WEIGHTS, SHARE, EPOCHS, SEED),
 }
