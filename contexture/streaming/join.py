@@ -1,16 +1,20 @@
 """The context join on streams.
 
-Both sides carry the tumbling bucket as their event time and meet on it. The
-observation side is brought to one row per bucket *before* the join, so an
-incident meets one partner and is emitted once, however many observations its
-bucket holds. Incidents of a busy bucket spread over ``salts`` keys, by default
-twice the number of state partitions; the bucket's single row is repeated once
-per salt.
+Both sides carry the tumbling bucket as their event time and meet on it.
+Incidents of a busy bucket spread over ``salts`` keys, by default twice the
+number of state partitions.
 
 ``first`` keeps the first observation to arrive in a bucket and the first copy
-of an incident, and emits at once. ``nearest`` waits until the watermark has
-passed the bucket and then picks as the batch join does; its aggregates
-combine copies on the map side.
+of an incident, and emits at once; the bucket's single row is repeated once per
+salt.
+
+``nearest`` waits until the watermark has passed the bucket and then picks as
+the batch join does. Observations shrink to the first and last of each slot, at
+widths from a microsecond up to the bucket, and a slot that incidents ask for
+gets the ends of its neighbours. An incident meets one row per width, and the
+least of these is its answer. No row holds more than ``FAN`` slots, and a slot's
+row is repeated for those salts only that ask for it; the aggregates combine
+copies on the map side.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contexture.functions.order import least, quoted
+from contexture.functions.order import least, nulls_last_struct, quoted
 from contexture.operators.context import (
     BUCKET_SECONDS,
     CONTEXT_COLUMNS,
@@ -29,6 +33,8 @@ from contexture.operators.context import (
 )
 from contexture.streaming.intake import distinct_incident_stream
 
+#: Slots in a slot of the next width.
+FAN = 1000
 
 
 def default_salts(spark: SparkSession) -> int:
@@ -48,6 +54,10 @@ class _Buckets:
     seconds: int | None
     tolerance: int
 
+    @property
+    def micros(self) -> int:
+        return (self.seconds or 3 * self.tolerance) * 1_000_000
+
     def observed(self, time: str) -> Column:
         if self.seconds:
             return F.window(time, f"{self.seconds} seconds").alias("bucket")
@@ -99,26 +109,129 @@ def _first_per_bucket(
     return rows.select("bucket", F.array(F.struct("at", *context)).alias("seen"))
 
 
-def _all_per_bucket(
-    observations: DataFrame, context: Sequence[str], buckets: _Buckets
-):
-    # One row per instant first: the list below then holds distinct instants
-    # only, at most one per second of the bucket for second-precision times.
-    instants = observations.groupBy(
-        buckets.observed("w_timestamp"), F.unix_micros("w_timestamp").alias("at")
-    ).agg(least(context).alias("least"))
-    fields = ", ".join(f"least.{quoted(c)} AS {quoted(c)}" for c in context)
-    return instants.groupBy("bucket").agg(
-        F.expr(f"collect_list(struct(at, {fields}))").alias("seen")
+def _first_met(
+    left: DataFrame, observations: DataFrame, context: Sequence[str], buckets, salts: int
+) -> DataFrame:
+    """Incidents with their bucket's one observation as ``nearest``."""
+    right = _first_per_bucket(observations, context, buckets)
+    right = right.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt")
+    fields = ", ".join(f"seen[0].{quoted(c)} AS {quoted(c)}" for c in context)
+    return left.join(right, ["bucket", "salt"]).selectExpr(
+        "*", f"struct(abs(seen[0].at - start_micros) AS gap, {fields}) AS nearest"
+    )
+
+
+def _levels(bucket_micros: int) -> str:
+    """SQL that explodes ``at`` into the slots it lies in, one per width.
+
+    Widths grow by ``FAN`` from a microsecond on, so a slot (``node``) holds at
+    most ``FAN`` slots of the next smaller width (``child``), and the bucket at
+    most ``FAN`` of the widest, and one more where they are not aligned.
+    """
+    widths = [1]
+    while widths[-1] * FAN < bucket_micros:
+        widths.append(widths[-1] * FAN)
+    # Floors, also before 1970; a level's node is one child of the next level.
+    slots = [f"(at - pmod(at, {w})) DIV {w}" for w in widths]
+    nodes = [*slots[1:], "0L"]
+    structs = ", ".join(
+        f"struct({k} AS level, {node} AS node, {child} AS child)"
+        for k, (child, node) in enumerate(zip(slots, nodes, strict=True))
+    )
+    return f"explode(array({structs})) AS slot"
+
+
+def _nodes(
+    asked: DataFrame, observations: DataFrame, context: Sequence[str], buckets: _Buckets
+) -> DataFrame:
+    """``bucket, level, node, slots``: a node's slots with their ends and the salts that ask.
+
+    A list has at most ``FAN`` entries, whatever the precision of the times.
+    """
+    levels = _levels(buckets.micros)
+    own = nulls_last_struct(context)
+    seen = (
+        observations.select(
+            buckets.observed("w_timestamp"),
+            F.unix_micros("w_timestamp").alias("at"),
+            F.expr(own).alias("own"),
+        )
+        .selectExpr("bucket", "at", "own", levels)
+        .selectExpr(
+            "bucket",
+            "slot.*",
+            "struct(at AS key, own) AS first",
+            "struct(-at AS key, own) AS last",
+        )
+    )
+    asked = asked.selectExpr("bucket", "start_micros AS at", "salt")
+    asked = asked.selectExpr("bucket", "salt", levels).selectExpr("bucket", "slot.*", "salt")
+    # First and last per slot combine on the map side, and so do the salts.
+    slots = (
+        seen.unionByName(asked, allowMissingColumns=True)
+        .groupBy("bucket", "level", "node", "child")
+        .agg(
+            F.min("first").alias("first"),
+            F.min("last").alias("last"),
+            F.collect_set("salt").alias("salts"),
+        )
+    )
+    return slots.groupBy("bucket", "level", "node").agg(
+        F.expr("collect_list(struct(child, first, last, salts))").alias("slots")
+    )
+
+
+def _ends(nodes: DataFrame) -> DataFrame:
+    """``bucket, level, child, salt, earlier, later`` for the slots that incidents ask for.
+
+    ``earlier`` is the last observation in the slots before this one within the
+    same node, ``later`` the first in those behind it; at the lowest level, where
+    a slot is one instant, ``earlier`` also looks at the slot itself. Any other
+    observation of the bucket lies beside the incident's slot at exactly one
+    level, so the ends of all levels hold its neighbours on both sides.
+    """
+    before = "o.child < c.child OR (level = 0 AND o.child = c.child)"
+    found = nodes.selectExpr(
+        "bucket",
+        "level",
+        f"""inline(transform(filter(slots, c -> size(c.salts) > 0), c -> struct(
+            c.child AS child,
+            c.salts AS salts,
+            array_min(transform(filter(slots, o -> {before}), o -> o.last)) AS earlier,
+            array_min(transform(filter(slots, o -> o.child > c.child), o -> o.first)) AS later
+        )))""",
+    )
+    return found.where("earlier IS NOT NULL OR later IS NOT NULL").selectExpr(
+        "bucket", "level", "child", "explode(salts) AS salt", "earlier", "later"
     )
 
 
-def _nearest(context: Sequence[str]) -> Column:
-    """Least by distance, then by time; one entry per instant leaves no tie."""
-    fields = ", ".join(f"o.{quoted(c)} AS {quoted(c)}" for c in context)
-    return F.expr(
-        "array_min(transform(seen, o -> struct("
-        f"abs(o.at - start_micros) AS gap, o.at AS at, {fields})))"
+def _nearest_met(
+    left: DataFrame,
+    asked: DataFrame,
+    observations: DataFrame,
+    context: Sequence[str],
+    buckets: _Buckets,
+) -> DataFrame:
+    """Incidents with the least observation by distance, then time, as ``nearest``."""
+    right = _ends(_nodes(asked, observations, context, buckets))
+    rows = left.selectExpr("*", "start_micros AS at").selectExpr("*", _levels(buckets.micros))
+    rows = rows.selectExpr("*", "slot.level AS level", "slot.child AS child").drop("at", "slot")
+    # One entry per instant leaves no tie.
+    near = """array_min(filter(array(
+        struct(start_micros + earlier.key AS gap, -earlier.key AS at, earlier.own AS own),
+        struct(later.key - start_micros AS gap, later.key AS at, later.own AS own)
+    ), o -> o.gap IS NOT NULL))"""
+    kept = [c for c in left.columns if c not in ("bucket", "salt", "start_micros", "t_id")]
+    fields = ", ".join(f"near.own.{quoted(c)} AS {quoted(c)}" for c in context)
+    return (
+        rows.join(right, ["bucket", "level", "child", "salt"])
+        .selectExpr("bucket", "start_micros", "t_id", *map(quoted, kept), f"{near} AS near")
+        .groupBy("bucket", "start_micros", "t_id")
+        .agg(F.min("near").alias("near"), *[F.first(quoted(c)).alias(c) for c in kept])
+        .selectExpr(
+            "start_micros", "t_id", *map(quoted, kept), f"struct(near.gap AS gap, {fields}) AS nearest"
+        )
     )
 
 
@@ -146,20 +259,19 @@ def stream_context_join(
         if not bucket_seconds or bucket_seconds > tolerance_seconds:
             raise ValueError("'first' needs a bucket no wider than the tolerance")
         left = _first_incidents(incidents, carried, buckets)
-        right = _first_per_bucket(observations, context, buckets)
     elif match == "nearest":
         left = _least_incidents(incidents, carried, buckets)
-        right = _all_per_bucket(observations, context, buckets)
     else:
         raise ValueError(f"match is 'first' or 'nearest', not {match!r}")
 
     salt = f"CAST(pmod(xxhash64(t_id, start_micros), {salts}) AS INT) AS salt"
     left = left.selectExpr("*", salt)
-    right = right.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt")
-    matched = left.join(right, ["bucket", "salt"])
-    matched = matched.withColumn("nearest", _nearest(context)).where(
-        f"nearest.gap <= {tolerance_seconds * 1_000_000}"
-    )
+    if match == "first":
+        matched = _first_met(left, observations, context, buckets, salts)
+    else:
+        asked = buckets.incidents(incidents, ["t_id"]).selectExpr("*", salt)
+        matched = _nearest_met(left, asked, observations, context, buckets)
+    matched = matched.where(f"nearest.gap <= {tolerance_seconds * 1_000_000}")
     if required:
         matched = matched.where(f"nearest.{quoted(required)} IS NOT NULL")
     start = {"t_start": "timestamp_micros(start_micros) AS t_start"}

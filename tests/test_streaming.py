@@ -19,10 +19,10 @@ from contexture.sources.topics import (
     FolderTopics,
     KafkaTopics,
 )
-from contexture.streaming import intake, pipeline
+from contexture.streaming import intake, join, pipeline
 from contexture.streaming.__main__ import configure, parse
 from contexture.streaming.publish import start_publishing
-from contexture.streaming.join import default_salts
+from contexture.streaming.join import default_salts, stream_context_join
 from contexture.streaming.progress import Totals, late_rows, state_report
 from tests.helpers import at, incidents, observations
 
@@ -462,3 +462,52 @@ def test_delay_is_a_parameter(session, feed):
     )
     plan = stream._jdf.queryExecution().analyzed().toString()
     assert "1 hours" in plan or "60 minutes" in plan
+
+
+def test_nearest_at_microseconds_holds_no_list_of_a_bucket(session, folder, monkeypatch):
+    """Three thousand instants within one second, and ends in other slots."""
+    monkeypatch.setattr(join, "FAN", 10)
+    path = folder("rows")
+    base = 1_700_000_040_000_000
+    seen = [base + 20_000_000 + k * k * 7 % 900_000 for k in range(3000)] + [base + 3, base + 50_999_999]
+    starts = [base + 20_000_000 + k * 331 % 900_000 for k in range(2000)] + [base, base + 40_000_000]
+    starts += [base + 15_000_000, base + 59_999_999, base + 20_000_000]
+    rows = [(at, "w", f"L{at % 5}" if at % 7 else None) for at in [*seen, base + 86_400_000_000]]
+    rows += [(at, "i", f"I{at % 400}") for at in [*starts, base + 90_000_000_000]]
+    schema = "at bigint, side string, name string"
+    session.createDataFrame(rows, schema).repartition(3).write.parquet(path)
+
+    def sides(df):
+        time = F.timestamp_micros("at")
+        return (
+            df.where("side = 'i'").select(F.col("name").alias("t_id"), time.alias("t_start")),
+            df.where("side = 'w'").select(time.alias("w_timestamp"), F.col("name").alias("weather_desc")),
+        )
+
+    context = {"context": ["weather_desc"], "required": None}
+    for bucket in (60, None):
+        left, right = sides(session.readStream.schema(schema).parquet(path))
+        found = stream_context_join(
+            left.withWatermark("t_start", "1 minute"),
+            right.withWatermark("w_timestamp", "1 minute"),
+            match="nearest",
+            bucket_seconds=bucket,
+            tolerance_seconds=60,
+            salts=3,
+            **context,
+        )
+        out = folder("out")
+        writer = found.writeStream.option("checkpointLocation", folder("checkpoint"))
+        query = writer.trigger(availableNow=True).start(out, format="parquet")
+        query.awaitTermination()
+        left, right = sides(session.read.parquet(path))
+        buckets = join._Buckets(bucket, 60)
+        asked = buckets.incidents(left, ["t_id"]).withColumn("salt", F.lit(0))
+        nodes = join._nodes(asked, right, ["weather_desc"], buckets)
+        assert nodes.agg(F.max(F.size("slots"))).first()[0] <= 11
+        batch = context_join(
+            left, right, bucket_seconds=bucket, tolerance_seconds=60, **context
+        )
+        expected = sorted(map(repr, batch.collect()))
+        assert len(expected) > 1900
+        assert sorted(map(repr, session.read.parquet(out).collect())) == expected
