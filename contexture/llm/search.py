@@ -18,8 +18,12 @@ are scored in Python integers.
 Defined results: a vector that is null, or has a null, NaN or infinite component,
 takes no part; an empty vector scores 0 with others like it; vectors of different
 lengths do not meet; ties go to the smaller vec_id; a repeated row is a candidate
-of its own (not for the query with its own id); a null vec_id takes no part; fewer
-candidates than k give fewer rows. Extra columns are not read.
+of its own (not for the query with its own id); all rows of a wanted vec_id are
+asked, copies too, and their hits are ranked together; a null vec_id takes no part;
+fewer candidates than k give fewer rows. Extra columns are not read.
+
+No more than k copies of a row can come to a result, on either side, so copies
+beyond these are dropped first.
 """
 
 from __future__ import annotations
@@ -100,15 +104,22 @@ def _tree(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(columns, names=names)
 
 
+def _copies(rows: DataFrame, k: int) -> DataFrame:
+    """Distinct rows with the number of their copies, ``k`` at most."""
+    found = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    return found.withColumn("copies", F.expr(f"CAST(least(copies, {k}) AS INT)"))
+
+
 def trees(
-    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
+    vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> tuple[DataFrame, int]:
     """The index, a row per shard of about ``SHARD_ROWS`` vectors, and the number of shards."""
-    rows = _usable(vectors, vec_id, embedding).withColumn("dim", F.size("v"))
+    rows = _usable(vectors, vec_id, embedding)
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    # Copies of one vector are spread like others: the shard goes by id, and the
-    # rows of one id by a hash of the vector.
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    copies = F.expr("explode(sequence(1, copies))")
+    rows = _copies(rows, k).select("vec_id", "v", copies, F.size("v").alias("dim")).drop("col")
+    # Copies of one vector are spread like others, and so are the rows of one id.
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
     made = rows.groupBy("dim", "shard").applyInArrow(_tree, TREE_SCHEMA)
     return written(made, "trees"), shards
 
@@ -120,13 +131,18 @@ def _blocks(key: tuple, rows: pa.Table) -> pa.Table:
     columns = [pa.array([dim], pa.int32()), pa.array([block], pa.int64())]
     columns += [
         pa.array([np.ascontiguousarray(part).tobytes()], pa.binary())
-        for part in (rows.column("vec_id").to_numpy(), v, rows.column("floor").to_numpy())
+        for part in (
+            rows.column("vec_id").to_numpy(),
+            v,
+            rows.column("floor").to_numpy(),
+            rows.column("copies").to_numpy(),
+        )
     ]
-    names = ["dim", "block", "queries", "points", "floors"]
+    names = ["dim", "block", "queries", "points", "floors", "copies"]
     return pa.Table.from_arrays(columns, names=names)
 
 
-BLOCK_SCHEMA = "dim int, block bigint, queries binary, points binary, floors binary"
+BLOCK_SCHEMA = "dim int, block bigint, queries binary, points binary, floors binary, copies binary"
 
 
 def _score(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -191,6 +207,12 @@ def _visit(row: dict, k: int, first_only: bool) -> tuple[list, list, list]:
                 found[query] = all_scores[best], all_ids[best]
                 if len(best) == k:
                     kth[query] = max(kth[query], int(all_scores[best[-1]]))
+    # A query asked by several rows has each hit as many times, of which k can count.
+    copies = np.frombuffer(row["copies"], np.int32)
+    found = [
+        (np.repeat(scores, own)[:k], np.repeat(hits, own)[:k])
+        for (scores, hits), own in zip(found, copies, strict=True)
+    ]
     sizes = [len(scores) for scores, _ in found]
     return (
         np.repeat(queries, sizes),
@@ -234,11 +256,11 @@ def top_k(
     embedding: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for the rows ``wanted`` the k best of all others."""
-    index, shards = trees(vectors, vec_id, embedding)
+    index, shards = trees(vectors, k, vec_id, embedding)
     queries = _usable(vectors.where(wanted), vec_id, embedding)
-    queries = queries.dropDuplicates(["vec_id"]).withColumn("dim", F.size("v"))
+    queries = _copies(queries, k).withColumn("dim", F.size("v"))
     blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
     queries = written(queries, "queries")
     lowest = -(1 << 62)
     early = _top(_pass(index, shards, queries.withColumn("floor", F.lit(lowest)), k, True), k)

@@ -51,3 +51,32 @@ def test_scores_beyond_exact_floats():
 
 def test_empty_table(spark):
     assert search.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).collect() == []
+
+
+@pytest.mark.parametrize("shard_rows", [8192, 60])
+def test_all_rows_of_a_query_are_asked(spark, monkeypatch, shard_rows):
+    """As the SQL: rows of one id with other vectors, and copies, rank together."""
+    monkeypatch.setattr(search, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 3)
+    rows = vectors()
+    rows += [rows[100]] * 3 + [rows[7]] * 9 + [(150, rows[k][1], 1) for k in range(200, 300)]
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    expected = []
+    for query in {i for i, _ in usable if i % 50 == 0}:
+        scored = sorted(
+            (-sum(a * b for a, b in zip(q, v, strict=True)), i)
+            for own, q in usable if own == query
+            for i, v in usable if i != query and len(v) == len(q)
+        )
+        expected += [(query, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
+    for parts in (1, 7):
+        found = search.top_k(spark.createDataFrame(rows, SCHEMA).repartition(parts), F.col("vec_id") % 50 == 0)
+        assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
+def test_rows_of_one_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_ROWS", 50)
+    rows = [(1, [float(k), 1.0], 1) for k in range(1000)] + [(2, [1.0, 1.0], 1)] * 1000
+    index, _ = search.trees(spark.createDataFrame(rows, SCHEMA))
+    sizes = [len(r["ids"]) // 8 for r in index.select("ids").collect()]
+    assert sum(sizes) == 1005 and max(sizes) < 100
