@@ -2,7 +2,7 @@
 
 One automaton holds all phrases, over a text's words joined by single blanks. It
 finds the base phrases, the longer notices below and the words of the
-identifier tag. Behind a tag, the rest of the line is read as a licence expression by a
+identifier tag. Behind a tag, the longest licence expression in its line is read by a
 shunting-yard parser (``OR`` binds weakest, then ``AND``, then ``WITH``; ``+``
 belongs to its identifier), which also tells whether a set of accepted licences
 satisfies it. A malformed expression gives no labels.
@@ -57,8 +57,9 @@ NOTICES = {
 }
 
 TAG = "spdx license identifier"
-_TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_TAG = re.compile(r"spdx-license-identifier:", re.IGNORECASE)
 _PIECE = re.compile(r"\s*(?:([()])|([A-Za-z0-9.:-]+\+?))")
+_STEP = re.compile(r"[^\S\r\n]*(?:([()])|([A-Za-z0-9.:-]+\+?))")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 SCHEMA = (
@@ -71,9 +72,24 @@ class Malformed(ValueError):
     """An expression that cannot be read."""
 
 
+def _trimmed(text: str) -> str:
+    """``text`` without blanks and comment ends behind it."""
+    end = len(text)
+    while end:
+        if text[end - 1].isspace() or text[end - 1] == "#":
+            end -= 1
+        elif text.endswith("*/", 0, end):
+            end -= 2
+        elif text.endswith("-->", 0, end):
+            end -= 3
+        else:
+            break
+    return text[:end]
+
+
 def to_postfix(expression: str) -> list[str]:
     """The expression's identifiers and operators in postfix order, lower-cased."""
-    text = re.sub(r"(\*/|-->|#+|\s)+$", "", expression)
+    text = _trimmed(expression)
     out: list[str] = []
     held: list[str] = []
     at, wanted = 0, True
@@ -149,12 +165,64 @@ def satisfied(expression: str, accepted: set[str]) -> bool:
     return stack[0]
 
 
+def leading(text: str, at: int = 0) -> str:
+    """The longest expression that begins at ``at`` and ends in the same line.
+
+    It stops before the first piece that cannot go on: other signs, a second
+    licence without an operator, a bracket that nothing opened, or an exception
+    to more than one licence. A full stop, colon or dash behind a licence is not
+    part of it and ends the expression. An operator where a licence must stand
+    makes the whole malformed.
+    """
+    start = end = at
+    groups: list[list[bool]] = []  # open brackets: behind WITH, and with an operator inside
+    last, single = "", False  # the piece before, and whether it is one licence
+    while True:
+        found = _STEP.match(text, at)
+        if not found:
+            break
+        bracket, word = found.groups()
+        piece = (bracket or word).lower()
+        at = stop = found.end()
+        wanted = last in ("", "(") or last in _BINDS
+        if piece == "(":
+            if not wanted:
+                break
+            groups.append([last == "with", False])
+        elif piece == ")":
+            if wanted or not groups:
+                break
+            behind_with, several = groups.pop()
+            if behind_with and several:
+                break
+            single = not (behind_with or several)
+        elif piece in _BINDS:
+            if wanted:
+                raise Malformed(text[start:stop])
+            if piece == "with" and not single:
+                break
+            if groups:
+                groups[-1][1] = True
+        else:
+            name = piece.rstrip(".:-")
+            stop -= len(piece) - len(name)
+            if not wanted or not name or name == "spdx-license-identifier":
+                break
+            single = last != "with"
+        last = piece
+        if piece not in _BINDS and not groups:
+            end = stop
+        if stop < at:
+            break
+    return text[start:end]
+
+
 def tag_labels(text: str) -> list[str]:
     """Licences named by the text's identifier tags."""
     out: list[str] = []
-    for found in _TAG_LINE.finditer(text):
+    for found in _TAG.finditer(text):
         try:
-            out += evaluate(to_postfix(found.group(1)))[0]
+            out += evaluate(to_postfix(leading(text, found.end())))[0]
         except Malformed:
             continue
     return [name.replace(" with ", "-with-") for name in out]

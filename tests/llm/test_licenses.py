@@ -56,3 +56,36 @@ def test_malformed_expressions(bad):
 
 def test_empty_table(spark):
     assert licenses.scanned(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize(
+    "line,labels",
+    [
+        ("MIT, see LICENSE", ["mit"]),
+        ("MIT */ int main", ["mit"]),
+        ("MIT Copyright (c) 2020", ["mit"]),
+        ("Apache-2.0.", ["apache-2.0"]),
+        ("Apache-2.0. Or ask us", ["apache-2.0"]),
+        ("(MIT OR GPL-2.0+) AND BSD) and more", ["mit", "gpl-2.0+", "bsd"]),
+        ("(a or b) with c", ["a", "b"]),
+        ("a with b with c", ["a-with-b"]),
+        ("a with (b)", ["a-with-b"]),
+        ("((a) with b) or c; d", ["a-with-b", "c"]),
+        ("MIT x SPDX-License-Identifier: ISC y", ["mit", "isc"]),
+        ("MIT OR\nBSD", ["mit"]),
+        ("MIT OR (BSD", ["mit"]),
+        ("MIT OR OR", []),
+        ("(MIT", []),
+        ("", []),
+        (", MIT", []),
+    ],
+)
+def test_tags_in_running_text(line, labels):
+    assert licenses.tag_labels(f"SPDX-License-Identifier: {line}") == labels
+
+
+def test_banners_behind_a_tag_end():
+    for tail in ("#" * 100_000 + "x", "*/ " * 30_000, "#" * 100_000):
+        assert licenses.tag_labels("SPDX-License-Identifier: MIT " + tail) == ["mit"]
+    with pytest.raises(licenses.Malformed):
+        licenses.to_postfix("MIT " + "#" * 100_000 + "x")
