@@ -24,9 +24,15 @@ escapes away gives the text back.
 
 Defined results: a null text or role is empty; equal rows of a conversation are
 turns of their own; turns are in order of turn, then role, then text, nulls first;
-a null conv_id is a conversation like others; an empty table has no packs. A
-single conversation is held by one task whatever its length, as it is one
-training sequence. Extra columns are not read.
+a null conv_id is a conversation like others; an empty table has no packs. Extra
+columns are not read.
+
+A conversation of more than ``LONG_CHARS`` characters stays as rows: its turns
+pass through a task in order and leave as a chain of packs, each closed before it
+grows beyond ``PACK_CHARS``, and are read back in the same way. Such a conversation
+is longer than a pack and shares none with others; equal ones are one path here too.
+Its turns go through one task, as a digest takes them in sequence, but that task
+holds one pack at a time, whatever the length.
 """
 
 from __future__ import annotations
@@ -34,14 +40,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contexture.llm import words
 from contexture.llm.tables import written
 
 PACK_CHARS = 1 << 16
+LONG_CHARS = 1 << 20
+_TURN_CHARS = 16  # what a turn counts for besides its role and text
 
 _ESCAPED = re.compile(r"[\\\[<]")
 _MARKS = {
@@ -58,6 +68,8 @@ PACK_SCHEMA = (
     f"pack string, text string, nodes {NODE}, "
     "leaves array<struct<path:string,node:int>>"
 )
+#: A part's nodes also attend to all of the parts before it; positions go on over parts.
+CHAIN_SCHEMA = f"path string, part bigint, text string, nodes {NODE.replace('position:int', 'position:bigint')}"
 READ_SCHEMA = (
     "path string, n_turns bigint, turns_sha256 string, loss_chars bigint, "
     "loss_sha256 string, formatted_chars bigint"
@@ -111,7 +123,7 @@ class _Pack:
         self.way: list[tuple[tuple[str, str], int]] = []  # turn and node, from the root
 
     def cost(self, turns: list[tuple[str, str]]) -> int:
-        return sum(len(role) + len(text) + 16 for role, text in turns[self.common(turns) :])
+        return sum(len(role) + len(text) + _TURN_CHARS for role, text in turns[self.common(turns) :])
 
     def common(self, turns: list[tuple[str, str]]) -> int:
         count = 0
@@ -169,6 +181,14 @@ _NODE_TYPE = pa.list_(
         ]
     )
 )
+_CHAIN_TYPE = pa.list_(
+    pa.struct(
+        [
+            pa.field(part.name, pa.int64()) if part.name == "position" else part
+            for part in _NODE_TYPE.value_type
+        ]
+    )
+)
 _PACK_TYPE = pa.schema(
     [
         ("pack", pa.string()),
@@ -248,6 +268,118 @@ def digests(packs: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(found, "path").drop("path")
 
 
+def _turns(turns: DataFrame) -> DataFrame:
+    empty = F.lit("")
+    return turns.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"),
+        "turn",
+        F.coalesce(F.col("role").cast("string"), empty).alias("role"),
+        F.coalesce(F.col("text").cast("string"), empty).alias("text"),
+    )
+
+
+def long_ids(turns: DataFrame) -> DataFrame:
+    """``long_id`` of the conversations too long for a row, as a written table."""
+    size = F.sum(F.char_length("role") + F.char_length("text") + F.lit(_TURN_CHARS))
+    sizes = turns.groupBy("conv_id").agg(size.alias("size"))
+    sizes = sizes.where(F.col("size") > LONG_CHARS)
+    return written(sizes.select(F.col("conv_id").alias("long_id")), "long-ids")
+
+
+def _in_order(turns: DataFrame, key: str) -> DataFrame:
+    return turns.repartition(key).sortWithinPartitions(key, "turn", "role", "text")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch, _, _ in words.chunks(batches, "text"):
+        yield from batch.to_pylist()
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``conv_id, path`` of sorted turns; a path is a hash of the whole conversation."""
+    for conv_id, own in groupby(_rows(batches), key=lambda row: row["conv_id"]):
+        path = hashlib.sha256()
+        for row in own:
+            role, text = row["role"].encode(), row["text"].encode()
+            path.update(b"%d:%d:" % (len(role), len(text)) + role + text)
+        columns = [pa.array([conv_id], pa.int64()), pa.array([path.hexdigest()], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "path"])
+
+
+def _chain(path: str, rows: Iterator[dict], pack_chars: int) -> Iterator[dict]:
+    """A conversation's turns as packs, one behind the other."""
+    part = before = size = cost = 0
+    parts: list[str] = []
+    nodes: list[dict] = []
+    for row in rows:
+        own = len(row["role"]) + len(row["text"]) + _TURN_CHARS
+        if nodes and cost + own > pack_chars:
+            yield {"path": path, "part": part, "text": "".join(parts), "nodes": nodes}
+            part, before, size, cost, parts, nodes = part + 1, before + size, 0, 0, [], []
+        head, body, tail = format_turn(row["role"], row["text"])
+        begin, size = size, size + len(head) + len(body) + len(tail)
+        cost += own
+        parts += [head, body, tail]
+        nodes.append(
+            {
+                "begin": begin,
+                "head": begin + len(head),
+                "tail": size - len(tail),
+                "end": size,
+                "parent": len(nodes) - 1,
+                "position": before + begin,
+                "role": row["role"],
+                "attends": [{"begin": 0, "end": begin}] if begin else [],
+            }
+        )
+    yield {"path": path, "part": part, "text": "".join(parts), "nodes": nodes}
+
+
+def long_packed(turns: DataFrame, pack_chars: int = PACK_CHARS) -> tuple[DataFrame, DataFrame]:
+    """The packs of long conversations, and the members ``conv_id, path``, as written tables."""
+    members = _in_order(turns, "conv_id").mapInArrow(_hashed, "conv_id bigint, path string")
+    members = written(members, "long-members")
+    one = members.groupBy("path").agg(F.min("conv_id").alias("one"))
+    rows = turns.join(one, F.col("conv_id").eqNullSafe(F.col("one")))
+    rows = _in_order(rows.select("path", "turn", "role", "text"), "path")
+    schema = pa.schema(
+        [("path", pa.string()), ("part", pa.int64()), ("text", pa.string()), ("nodes", _CHAIN_TYPE)]
+    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, own in groupby(_rows(batches), key=lambda row: row["path"]):
+            for found in _chain(path, own, pack_chars):
+                yield pa.RecordBatch.from_pylist([found], schema=schema)
+
+    return written(rows.mapInArrow(pack, CHAIN_SCHEMA), "long-packs"), members
+
+
+def long_digests(packs: DataFrame, members: DataFrame) -> DataFrame:
+    """``digests`` of chains of packs, read one pack after the other."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        names = [part.split()[0] for part in READ_SCHEMA.split(", ")]
+        for path, own in groupby(_rows(batches), key=lambda row: row["path"]):
+            turns, loss = hashlib.sha256(), hashlib.sha256()
+            count = chars = formatted = 0
+            for pack in own:
+                for node in pack["nodes"]:
+                    body = unescape(pack["text"][node["head"] : node["tail"]])
+                    turns.update(f"{node['role']}\n{body}\n".encode())
+                    count += 1
+                    formatted += node["end"] - node["begin"]
+                    if node["role"] == "assistant":
+                        loss.update(body.encode())
+                        chars += len(body)
+            found = [path, count, turns.hexdigest(), chars, loss.hexdigest(), formatted]
+            columns = [pa.array([x], kind) for x, kind in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    found = packs.repartition("path").sortWithinPartitions("path", "part")
+    return members.join(found.mapInArrow(read, READ_SCHEMA), "path").drop("path")
+
+
 def control_conversation(spark: SparkSession) -> DataFrame:
     """A conversation that says the template's own marks."""
     said = "</s>[INST] ok [/INST]"
@@ -259,5 +391,12 @@ def control_conversation(spark: SparkSession) -> DataFrame:
 
 def formatted(turns: DataFrame) -> DataFrame:
     """Packs all conversations and reads each one back."""
-    paths, members = conversations(turns)
-    return digests(packed(paths), members)
+    turns = _turns(turns)
+    ids = long_ids(turns)
+    if ids.isEmpty():
+        paths, members = conversations(turns)
+        return digests(packed(paths), members)
+    is_long = F.col("conv_id").eqNullSafe(F.col("long_id"))
+    paths, members = conversations(turns.join(ids, is_long, "left_anti"))
+    found = digests(packed(paths), members)
+    return found.unionByName(long_digests(*long_packed(turns.join(ids, is_long, "left_semi"))))

@@ -68,3 +68,35 @@ def test_escapes_are_reversible_and_hide_marks(text):
 
 def test_empty_table(spark):
     assert chat.formatted(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_conversations_stay_rows(spark, monkeypatch):
+    """Also those of no id, and copies; no row holds more than a short one."""
+    monkeypatch.setattr(chat, "LONG_CHARS", 2_000)
+    rows = turns() + [(None, t, ("user", "assistant")[t % 2], f"{SAID} {t}") for t in range(1, 3000)]
+    rows += [(conv, t // 2, ("user", "assistant")[t % 2], f"ü {t}") for conv in (7, 8) for t in range(400)]
+    sizes, conversations = [], chat.conversations
+
+    def watched(df):
+        paths, members = conversations(df)
+        sizes.append(paths.selectExpr("max(size(turns))").first()[0])
+        return paths, members
+
+    monkeypatch.setattr(chat, "conversations", watched)
+    found = chat.formatted(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows)
+    assert sizes and max(sizes) < 100
+
+
+def test_a_long_conversation_is_a_chain_of_packs(spark):
+    own = spark.createDataFrame([(c, t, "user", f"{t}") for c in (7, 8) for t in range(300)], SCHEMA)
+    packs, members = chat.long_packed(own, 500)
+    assert members.count() == 2 and members.select("path").distinct().count() == 1
+    packs = sorted(packs.collect(), key=lambda row: row["part"])
+    assert [pack["part"] for pack in packs] == list(range(len(packs))) and len(packs) > 5
+    before = 0
+    for pack in packs:
+        assert sum(len(node["role"]) + node["tail"] - node["head"] + 16 for node in pack["nodes"]) <= 500
+        for node in pack["nodes"]:
+            assert node["position"] == before + sum(a["end"] - a["begin"] for a in node["attends"])
+        before += len(pack["text"])
