@@ -14,6 +14,7 @@ from contexture.llm import (
     mixing,
     ngram_join,
     search,
+    spelling,
     sql,
     token_counts,
     token_store,
@@ -152,6 +153,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_binary": op1_token_binary,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -163,6 +168,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -171,5 +177,6 @@ ORACLE: dict[str, str] = {
     "op8_warc": sql.WARC,
     "op9_token_counts": sql.TOKEN_COUNTS,
     "op10_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
+    "op11_spelling_variants": sql.SPELLING_VARIANTS,
     "op6_mixing": sql.mixing(WEIGHTS, SHARE, EPOCHS, SEED),
 }

@@ -171,3 +171,52 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM named
 """
+
+_HEX = "hex(encode(key))"
+_CRC_TABLE = """crc_table AS (
+  SELECT [list_reduce(range(8),
+      lambda crc, bit: CASE WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END, k)
+    for k in range(256)] AS crc)"""
+_CRC32 = f"""xor(CAST(4294967295 AS BIGINT), list_reduce(
+    [CAST('0x' || substr({_HEX}, 2 * k + 1, 2) AS BIGINT) for k in range(octet_length(encode(key)))],
+    lambda was, byte: xor(was // 256, crc[xor(was, byte) % 256 + 1]), CAST(4294967295 AS BIGINT)))"""
+
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-zA-ZÀ-ÿ]+')) AS run FROM documents),
+marked AS (
+  SELECT run, {_CRC32} AS mark
+  FROM (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key FROM runs
+        WHERE length(run) >= 7), crc_table),
+damaged AS (
+  SELECT CASE WHEN mark % 31 = 0
+    THEN run[:mark % length(run)] || run[mark % length(run) + 2:] ELSE run END AS word
+  FROM marked),
+words AS (
+  SELECT word, count(*) AS n FROM damaged
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+shorter AS (
+  SELECT word, k, word[:k - 1] || word[k + 1:] AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words)),
+pairs AS (
+  SELECT a.word AS word, b.word AS near FROM shorter a JOIN shorter b USING (k, rest)
+  WHERE a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word),
+ranked AS (
+  SELECT p.word, p.near, w.n AS m, count(*) OVER (PARTITION BY p.word) AS n_near,
+    row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, encode(p.near)) AS place
+  FROM pairs p JOIN words w ON p.near = w.word),
+found AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+    CASE WHEN r.m >= 10 * w.n THEN r.near END AS form,
+    CASE WHEN r.m >= 10 * w.n THEN r.m END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+ways AS (
+  SELECT word, word AS root, form AS further FROM found
+  UNION ALL
+  SELECT y.word, y.further, f.form FROM ways y JOIN found f ON f.word = y.further)
+SELECT f.word, f.form, y.root, f.n, f.n_near, f.form_n
+FROM found f JOIN ways y ON y.word = f.word AND y.further IS NULL
+"""
