@@ -13,6 +13,7 @@ from contexture.llm import (
     licenses,
     mixing,
     ngram_join,
+    repair,
     search,
     spelling,
     sql,
@@ -157,6 +158,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_binary": op1_token_binary,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -169,6 +174,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -178,5 +184,6 @@ ORACLE: dict[str, str] = {
     "op9_token_counts": sql.TOKEN_COUNTS,
     "op10_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
     "op11_spelling_variants": sql.SPELLING_VARIANTS,
+    "op13_conversation_repair": sql.CONVERSATION_REPAIR,
     "op6_mixing": sql.mixing(WEIGHTS, SHARE, EPOCHS, SEED),
 }

@@ -220,3 +220,74 @@ ways AS (
 SELECT f.word, f.form, y.root, f.n, f.n_near, f.form_n
 FROM found f JOIN ways y ON y.word = f.word AND y.further IS NULL
 """
+
+# Up to three insertions lead from any state to any other.
+_INSERTED = """
+    [[0, 2, 3, 2], [1, 2, 3, 2], [2, 3, 2, 3], [3, 2, 3, 2]][st + 1][k + 1] AS st,
+    cost + 3 * k AS cost, audit || repeat('I', k) AS audit,
+    body || CASE WHEN st = 2
+      THEN ['', chr(10) || 'assistant:', chr(10) || 'assistant:' || chr(10) || 'user:',
+        chr(10) || 'assistant:' || chr(10) || 'user:' || chr(10) || 'assistant:'][k + 1]
+      ELSE ['', chr(10) || 'user:', chr(10) || 'user:' || chr(10) || 'assistant:',
+        chr(10) || 'user:' || chr(10) || 'assistant:' || chr(10) || 'user:'][k + 1] END AS body"""
+
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE {_CRC_TABLE},
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') AS c,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+kinds AS (SELECT *, {_CRC32} % 20 AS kind FROM keyed, crc_table),
+damaged AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds)
+  WHERE kind <> 0),
+numbered AS (
+  SELECT *, substr(role, 1, 1) AS initial,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) AS pos,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN last = '' THEN 1
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 THEN 2
+    WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(initial) OVER (PARTITION BY c ORDER BY pos) || initial AS meeting
+  FROM numbered),
+dp(c, pos, st, cost, audit, body) AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', '' FROM kinds
+  UNION ALL
+  SELECT c, pos, st, cost, audit, body FROM (
+    SELECT f.c, f.pos,
+      CASE letter WHEN 'D' THEN d.st WHEN 'K' THEN kept
+        ELSE CASE d.st WHEN 2 THEN 3 ELSE 2 END END AS st,
+      CAST(d.cost + CASE letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+        + CASE WHEN letter <> 'D' AND fault = 3 THEN 3 ELSE 0 END AS BIGINT) AS cost,
+      d.audit || letter AS audit,
+      d.body || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text
+        ELSE chr(10) || CASE d.st WHEN 2 THEN 'assistant:' ELSE 'user:' END || text END AS body
+    FROM (SELECT c, pos, {_INSERTED} FROM (SELECT *, unnest(range(4)) AS k FROM dp)) d
+    JOIN (SELECT *, unnest(['D', 'R', 'K']) AS letter FROM faults) f
+      ON f.c = d.c AND f.pos = d.pos + 1,
+    LATERAL (SELECT CASE WHEN d.st = 0 AND initial = 's' THEN 1
+      WHEN d.st <> 2 AND initial = 'u' THEN 2 WHEN d.st = 2 AND initial = 'a' THEN 3 END AS kept)
+    WHERE letter = 'D' OR (fault NOT IN (1, 2) AND (letter = 'R' OR kept IS NOT NULL)))
+  QUALIFY row_number() OVER (PARTITION BY c, st ORDER BY cost, audit) = 1),
+sizes AS (
+  SELECT c, count(pos) AS turns,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (meeting NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT c FROM kinds) LEFT JOIN faults USING (c) GROUP BY c),
+ended AS (
+  SELECT c, cost, audit, body FROM (
+    SELECT c, {_INSERTED} FROM (
+      SELECT dp.*, unnest(range(4)) AS k FROM dp JOIN sizes ON dp.c = sizes.c AND pos = turns))
+  WHERE st IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY c ORDER BY cost, audit) = 1)
+SELECT k.conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit,
+  sha256(substr(body, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM kinds) k JOIN sizes USING (c) JOIN ended USING (c)
+"""
