@@ -20,6 +20,7 @@ from contexture.llm import (
     token_counts,
     token_store,
     toxicity,
+    vector_dedup,
     warc,
 )
 from contexture.llm.tables import table, written
@@ -158,6 +159,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -174,6 +179,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_dedup": op12_vector_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -184,6 +190,7 @@ ORACLE: dict[str, str] = {
     "op9_token_counts": sql.TOKEN_COUNTS,
     "op10_benchmark_decontamination": sql.BENCHMARK_DECONTAMINATION,
     "op11_spelling_variants": sql.SPELLING_VARIANTS,
+    "op12_vector_dedup": sql.VECTOR_DEDUP,
     "op13_conversation_repair": sql.CONVERSATION_REPAIR,
     "op6_mixing": sql.mixing(WEIGHTS, SHARE, EPOCHS, SEED),
 }

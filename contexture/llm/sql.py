@@ -291,3 +291,27 @@ SELECT k.conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit,
   sha256(substr(body, 2)) AS repaired_sha256
 FROM (SELECT DISTINCT c, conv_id FROM kinds) k JOIN sizes USING (c) JOIN ended USING (c)
 """
+
+VECTOR_DEDUP = """
+WITH RECURSIVE own AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v
+  FROM embeddings),
+sound AS (
+  SELECT r, vec_id, v, len(v) AS dim, sqrt(list_inner_product(v, v)) AS size
+  FROM own
+  WHERE vec_id IS NOT NULL AND len([x for x in v if x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x for x in v if x <> 0]) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.dim = b.dim AND a.r <> b.r
+  WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+reached AS (
+  SELECT r, r AS other FROM own
+  UNION SELECT reached.r, links.b FROM reached JOIN links ON links.a = reached.other),
+least AS (
+  SELECT reached.r, min(own.vec_id) AS component_id
+  FROM reached JOIN own ON own.r = reached.other GROUP BY reached.r),
+counted AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id,
+  coalesce(vec_id = component_id, false) AS kept
+FROM own JOIN least USING (r) LEFT JOIN counted USING (r)
+"""
