@@ -5,15 +5,24 @@ appears in the next manifest, one small file that lists all folders of the
 table. A reader goes by the newest manifest, so it sees a batch whole or not at
 all. A batch that is run again finds itself listed and writes nothing; what a
 failed attempt left is listed nowhere. ``compact`` replaces the folders of past
-days by one and keeps what it knows of their batches. The query id is kept in the
-checkpoint: a new checkpoint begins new numbers and repeats no old ones.
+days by one and keeps what it knows of their batches.
+
+The manifest also has each folder's span of event times, and says where a filter
+over its ids is (``pruning``); readers by time or id leave folders out before
+they are listed.
+
+The query id is kept in the checkpoint: a new checkpoint begins new numbers and may
+begin its topics anew. Rows are therefore also known by content: a batch that
+names its ``unique`` columns leaves out rows that folders of other queries hold
+already. Those of its own query are not asked, as its state sees to them.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from datetime import date, datetime, timezone
+from collections.abc import Sequence
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +30,8 @@ from pyspark.sql import types as T
 
 from contexture.operators import marts
 from contexture.schemas import JOINED_TABLE, OBSERVATION_TABLE
-from contexture.sources import storage
+from contexture.sources import pruning, storage
+from contexture.sources.pruning import FOLDER, time_column
 
 JOINED_VIEW = "weather_traffic_comb"
 OBSERVATION_VIEW = "weather_duration"
@@ -29,8 +39,9 @@ RATE_VIEW = "incident_rate_by_context"
 BUCKET_VIEW = "incident_rate_by_bucket"
 
 DAY = "event_day"
-FOLDER = "attempt"
+ID = "t_id"
 ATTEMPTS = 20
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def streaming_query_id(spark: SparkSession) -> str:
@@ -61,31 +72,68 @@ def _commit(spark: SparkSession, base: str, number: int, content: dict) -> bool:
 
 
 def _write(rows: DataFrame, base: str) -> dict:
-    """A new folder of rows, not yet listed; its first and last day."""
+    """A new folder of rows, not yet listed: its days, span of times and filter."""
+    spark = rows.sparkSession
     folder = f"{FOLDER}={uuid.uuid4().hex}"
-    time = next(f.name for f in rows.schema if isinstance(f.dataType, T.TimestampType))
-    dated = rows.withColumn(DAY, F.to_date(time))
+    time = time_column(rows.schema)
     path = f"{base.rstrip('/')}/data/{folder}"
-    dated.write.partitionBy(DAY).parquet(path)
+    rows.withColumn(DAY, F.to_date(time)).write.partitionBy(DAY).parquet(path)
     days = [
         name.partition("=")[2]
-        for name in storage.names(rows.sparkSession, path)
+        for name in storage.names(spark, path)
         if name.startswith(f"{DAY}=")
     ]
-    return {"folder": folder, "days": [min(days), max(days)] if days else None}
-
+    entry = {"folder": folder, "days": [min(days), max(days)] if days else None}
+    if days:
+        found = spark.read.schema(rows.schema).parquet(path)
+        entry["span"], entry["rows"] = pruning.span_of(found, time)
+        if ID in rows.columns:
+            entry["filter"] = pruning.write_filter(found, ID, entry["rows"], base, folder)
+    return entry
+
+
+def _unknown(
+    batch: DataFrame, base: str, entries: list[dict], unique: Sequence[str]
+) -> tuple[DataFrame, set[str]]:
+    """Rows of ``batch`` that the folders do not hold, and the folders this holds for.
+
+    Only folders that may hold such rows are read, and of these the ``unique``
+    columns and the days of the batch.
+    """
+    spark = batch.sparkSession
+    asked = {e["folder"] for e in entries}
+    time = time_column(batch.schema)
+    span, _ = pruning.span_of(batch, time)
+    entries = pruning.within(entries, *span) if span else []
+    if entries and ID in unique:
+        entries = pruning.with_ids(spark, base, entries, batch.select(ID), ID)
+    if not entries:
+        return batch, asked
+    stored = _between(_read(spark, base, batch.schema, entries), time, *map(_moment, span))
+    stored = stored.select(*(F.col(c).alias(f"_stored_{c}") for c in unique)).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_stored_{c}")) for c in unique]
+    return batch.join(stored, same, "left_anti"), asked
+
+
+def write_epoch(
+    batch: DataFrame, base: str, query_id: str, epoch_id: int, unique: Sequence[str] | None = None
+) -> bool:
+    """Add one micro-batch; False if it is listed already. An error reaches the caller.
 
-def write_epoch(batch: DataFrame, base: str, query_id: str, epoch_id: int) -> bool:
-    """Add one micro-batch; False if it is listed already. An error reaches the caller."""
+    With ``unique``, rows that another query's folders hold are left out.
+    """
     spark = batch.sparkSession
-    if manifest(spark, base)[1]["done"].get(query_id, -1) >= epoch_id:
-        return False
-    entry = _write(batch, base)
+    entry, asked = None, set()
     for _ in range(ATTEMPTS):
         number, content = manifest(spark, base)
         if content["done"].get(query_id, -1) >= epoch_id:
             return False
-        content["folders"].append(entry | {"query": query_id, "epoch": epoch_id})
+        others = [e for e in content["folders"] if unique and e["query"] != query_id]
+        if entry is None or not {e["folder"] for e in others} <= asked:
+            rows, asked = _unknown(batch, base, others, unique or [])
+            entry = _write(rows, base)
+        if entry["days"]:
+            content["folders"].append(entry | {"query": query_id, "epoch": epoch_id})
         content["done"][query_id] = epoch_id
         if _commit(spark, base, number + 1, content):
             return True
@@ -128,6 +176,7 @@ def drop_unlisted(spark: SparkSession, base: str, keep_manifests: int = 10) -> i
     gone = [name for name in storage.names(spark, f"{root}/data") if name not in listed]
     for name in gone:
         storage.delete(spark, f"{root}/data/{name}")
+        storage.delete(spark, f"{root}/filters/{name}")
     return len(gone)
 
 
@@ -141,30 +190,65 @@ def _read(spark: SparkSession, base: str, schema: T.StructType, entries: list[di
     return spark.read.schema(found).option("basePath", root).parquet(*paths).drop(FOLDER)
 
 
+def _moment(micros: int) -> datetime:
+    return EPOCH + timedelta(microseconds=micros)
+
+
+def _micros(moment: datetime | None) -> int | None:
+    return None if moment is None else (moment - EPOCH) // timedelta(microseconds=1)
+
+
+def _between(
+    rows: DataFrame, time: str, since: datetime | None, until: datetime | None
+) -> DataFrame:
+    """Rows of the days and times asked for, ends included."""
+    for limit, keep in ((since, lambda c, v: c >= v), (until, lambda c, v: c <= v)):
+        if limit is not None:
+            day = limit.astimezone(timezone.utc).date()
+            rows = rows.where(keep(F.col(DAY), F.lit(day)) & keep(F.col(time), F.lit(limit)))
+    return rows
+
+
+def folders(
+    spark: SparkSession,
+    base: str,
+    since: datetime | None = None,
+    until: datetime | None = None,
+    ids: DataFrame | None = None,
+) -> list[dict]:
+    """The listed folders that may hold rows of these times and of these ``t_id``."""
+    listed = [e for e in manifest(spark, base)[1]["folders"] if e["days"]]
+    found = pruning.within(listed, _micros(since), _micros(until))
+    return found if ids is None else pruning.with_ids(spark, base, found, ids, ID)
+
+
 def read_table(
     spark: SparkSession,
     base: str,
     schema: T.StructType,
     since: datetime | None = None,
     until: datetime | None = None,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """The rows listed now; a table not yet written is empty.
 
-    ``since`` and ``until`` bound the event time, ends included, and keep other
-    days from being read.
+    ``since`` and ``until`` bound the event time, ends included; ``ids`` has the
+    wanted ``t_id`` and is read to find their folders. Folders that cannot hold
+    such rows are not listed, and other days not read.
     """
-    rows = _read(spark, base, schema, manifest(spark, base)[1]["folders"])
-    time = next(f.name for f in schema if isinstance(f.dataType, T.TimestampType))
-    for limit, keep in ((since, lambda c, v: c >= v), (until, lambda c, v: c <= v)):
-        if limit is not None:
-            limit = limit if limit.tzinfo else limit.replace(tzinfo=timezone.utc)
-            day = limit.astimezone(timezone.utc).date()
-            rows = rows.where(keep(F.col(DAY), F.lit(day)) & keep(F.col(time), F.lit(limit)))
-    return rows.select(*schema.fieldNames())
+    since, until = (
+        limit.replace(tzinfo=timezone.utc) if limit and not limit.tzinfo else limit
+        for limit in (since, until)
+    )
+    rows = _read(spark, base, schema, folders(spark, base, since, until, ids))
+    rows = _between(rows, time_column(schema), since, until).select(*schema.fieldNames())
+    return rows if ids is None else rows.join(ids.select(ID).distinct(), ID, "left_semi")
 
 
-def read_joined(spark: SparkSession, base: str, **bounds: datetime | None) -> DataFrame:
-    return read_table(spark, base, JOINED_TABLE, **bounds)
+def read_joined(
+    spark: SparkSession, base: str, ids: DataFrame | None = None, **bounds: datetime | None
+) -> DataFrame:
+    return read_table(spark, base, JOINED_TABLE, ids=ids, **bounds)
 
 
 def read_observations(spark: SparkSession, base: str, **bounds: datetime | None) -> DataFrame:

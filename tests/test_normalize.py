@@ -41,12 +41,15 @@ def test_weather_payload(spark, current, expected):
     assert record["ingestion_time"].endswith("+00:00")
 
 
-def test_junk_payload_is_dropped_with_its_time(spark):
-    records = normalize.weather_records(payloads(spark, "junk", "{}", weather()))
-    rows = normalize.weather_observations(records)
-    assert rows.count() == 3
-    kept = normalize.with_event_time(rows, "w_timestamp")
-    assert [r["weather_desc"] for r in kept.collect()] == ["Rain"]
+def test_junk_payloads_are_counted_and_dropped(spark):
+    found = payloads(spark, "junk", "{}", weather())
+    rows = normalize.weather_observations(normalize.weather_records(found))
+    assert [r["weather_desc"] for r in rows.collect()] == ["Rain"]
+    readable = normalize.readable(found, "weather")
+    assert len(readable.collect()) == 1
+    metrics = readable._jdf.queryExecution().observedMetrics()
+    row = metrics.get("weather_payloads").get()
+    assert (row.getLong(0), row.getLong(1)) == (3, 2)
 
 
 def incident(code, magnitude=1, start="2024-03-01T00:00:40Z", id_="A"):
