@@ -272,6 +272,10 @@ FROM (SELECT {_BAND} AS bucket_rank, count(DISTINCT w) AS m
       FROM observations WHERE visibility IS NOT NULL GROUP BY 1)
 LEFT JOIN (SELECT {_BAND} AS bucket_rank, count(DISTINCT t_id) AS n
            FROM joined WHERE visibility IS NOT NULL GROUP BY 1) USING (bucket_rank)""",
+    "joined_by_ids": _NEAR
+    + f"""
+SELECT {_ROW} FROM joined
+WHERE t_id IN (SELECT t_id FROM joined ORDER BY t DESC, t_id LIMIT 100)""",
     "live_snapshot_recent": _NEAR
     + f"\nSELECT {_ROW} FROM joined ORDER BY t DESC, t_id LIMIT 100",
     "live_snapshot_counts": _NEAR
@@ -309,6 +313,12 @@ SELECT 'incidents', TRUE, count(*) FROM incident_rows""",
     + _JOINED
     + f"\nSELECT {_ROW} FROM joined WHERE "
     + _COMPLETE.format(end=_REACH_END, w="weather_in", t="incident_in"),
+    "stream_drained_tolerance": _EVENTS
+    + _TOLERANCE_MATCH
+    + _JOINED
+    + f"\nSELECT {_ROW} FROM joined",
+    "stream_replayed_from_zero": _EVENTS
+    + "\nSELECT t_id, t AS t_start_epoch, TRUE AS known FROM incidents",
     "stream_context_join_exact_times": _EVENTS.replace(
         "CAST(floor(epoch(ts)) AS BIGINT) AS sec", "epoch_us(ts) AS sec"
     )

@@ -17,12 +17,12 @@ from contexture.functions.codes import category_label, severity_label
 from contexture.functions.times import bucket_number
 from contexture.operators import history, marts, normalize
 from contexture.operators.context import context_join
-from contexture.operators.dedup import distinct_incidents
+from contexture.operators.dedup import INCIDENT_KEY, distinct_incidents
 from contexture.plans import events_roles as roles
 from contexture.session import shared_dir, state_session
 from contexture.sources import landing, snapshot, tables
 from contexture.sources.topics import INCIDENT_TOPIC, WEATHER_TOPIC, FolderTopics
-from contexture.streaming import intake, pipeline, publish
+from contexture.streaming import drain, intake, pipeline, publish
 from contexture.streaming.join import stream_context_join
 from contexture.streaming.progress import Totals
 
@@ -285,6 +285,22 @@ def sql_rate_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def joined_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the ids of the newest rows, from a table of a folder a week."""
+    joined = _joined(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    base = shared_dir(spark, "joined")
+    try:
+        week = F.date_trunc("week", "t_start")
+        weeks = [row[0] for row in joined.select(week).distinct().orderBy(week).collect()]
+        for epoch, begin in enumerate(weeks):
+            tables.write_epoch(joined.where(week == begin), base, "batch", epoch)
+        ids = history.latest(joined, snapshot.RECENT_ROWS).select("t_id")
+        ids.write.parquet(f"{base}/wanted")
+    finally:
+        joined.unpersist()
+    return _epochs(tables.read_joined(spark, base, ids=spark.read.parquet(f"{base}/wanted")))
+
+
 def _written_snapshot(spark: SparkSession, sf_dir: str) -> snapshot.Snapshot:
     path = shared_dir(spark, "snapshot")
     batch = _joined(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
@@ -470,6 +486,34 @@ def stream_context_join_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame
     return _run_stream(spark, rows, "stream-tolerance")
 
 
+def stream_drained_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream to its end, and then what it still held, answered twice: all rows once."""
+    incidents, observations = _role_streams(spark, sf_dir)
+    rows = stream_context_join(incidents, observations, match="nearest", bucket_seconds=None)
+    base = shared_dir(spark, "stream-drained")
+    table, checkpoint = f"{base}/table", f"{base}/checkpoint"
+    pipeline.table_writer(rows, table, checkpoint).start().awaitTermination()
+    session = state_session(spark)
+    rest = drain.tail(session, checkpoint, incidents.columns, bucket_seconds=None)
+    drain.commit_tail(session, checkpoint, table, rest.select(*rows.columns))
+    drain.commit_tail(session, checkpoint, table, rest.select(*rows.columns))
+    return _epochs(tables.read_table(spark, table, rows.schema))
+
+
+def stream_replayed_from_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """De-duplicated incidents, then all of them again under a new checkpoint."""
+    base = shared_dir(spark, "stream-replayed")
+    for run in (1, 2):
+        rows = intake.distinct_incident_stream(_role_streams(spark, sf_dir)[0])
+        writer = pipeline.table_writer(
+            rows, f"{base}/table", f"{base}/checkpoint-{run}", unique=INCIDENT_KEY
+        )
+        writer.start().awaitTermination()
+    table = tables.read_table(spark, f"{base}/table", rows.schema)
+    delivered = roles.incidents(roles.events(spark, sf_dir))
+    return _epochs(_known(table, delivered, "known").drop("t_type", "t_severity"))
+
+
 def stream_context_join_exact_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times to the microsecond, within tolerance."""
     incidents, observations = _role_streams(spark, sf_dir, roles.EXACT)
@@ -642,6 +686,7 @@ QUERIES: dict[str, Query] = {
         sql_over_tables,
         sql_history,
         sql_rate_by_bucket,
+        joined_by_ids,
         live_snapshot_recent,
         live_snapshot_counts,
         topic_roundtrip,
@@ -653,6 +698,8 @@ QUERIES: dict[str, Query] = {
         stream_dedup_observations,
         stream_context_join_nearest,
         stream_context_join_tolerance,
+        stream_drained_tolerance,
+        stream_replayed_from_zero,
         stream_context_join_exact_times,
         stream_context_join_first,
         stream_late_rows,

@@ -88,7 +88,7 @@ def with_ids(
     sizes = spark.createDataFrame(sizes, f"{FOLDER} string, pages bigint")
     known = ids.select(F.col(id_).cast("string").alias("id")).where("id IS NOT NULL").distinct()
     powers = sorted({e["filter"]["pages"] for e in filtered})  # a few powers of two
-    known = known.select("id", F.explode(F.array(*map(F.lit, powers))).cast("bigint").alias("pages"))
+    known = known.select("id", F.explode(F.array(*(F.lit(p).cast("bigint") for p in powers))).alias("pages"))
     known = known.select("pages", _page("id", F.col("pages")).alias("page"), _bits("id").alias("wanted"))
     byte = "CAST(conv(hex(substring(bits, CAST(p DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
     held = f"forall(wanted, p -> shiftright({byte}, CAST(p % 8 AS INT)) % 2 = 1)"

@@ -27,7 +27,7 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
         "--drain",
         action="store_true",
         help="process what is there, then stop; with --match nearest, incidents "
-        "whose minute the watermark has not passed stay in state for the next run",
+        "whose minute the watermark has not passed are answered by what is there",
     )
     parser.add_argument(
         "--state-partitions",
@@ -54,6 +54,7 @@ def configure(
         checkpoint_path=f"{base}/checkpoints",
         since=since,
         match=options.match,
+        finish=options.drain,
         trigger=AVAILABLE_NOW if options.drain else {"processingTime": options.every},
     )
     if options.folder:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 
@@ -10,7 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from contexture.operators.context import BUCKET_SECONDS, TOLERANCE_SECONDS
+from contexture.operators.context import BUCKET_SECONDS, CONTEXT_COLUMNS, TOLERANCE_SECONDS
+from contexture.operators.dedup import INCIDENT_KEY, OBSERVATION_KEY
 from contexture.schemas import JOINED_TABLE
 from contexture.sources import storage
 from contexture.sources.snapshot import RECENT_ROWS, TTL_SECONDS, write_snapshot
@@ -21,7 +23,7 @@ from contexture.sources.topics import (
     FolderTopics,
     KafkaTopics,
 )
-from contexture.streaming import intake
+from contexture.streaming import drain, intake
 from contexture.streaming.join import default_salts, stream_context_join
 
 log = logging.getLogger(__name__)
@@ -39,7 +41,8 @@ class PipelineConfig:
     ``trigger`` is passed to the stream writer; empty means as fast as
     possible. ``combine_copies`` is for micro-batches that one key makes up a
     large part of (see ``intake.combine_copies``). ``salts`` is fixed by the first
-    run on a checkpoint, as the state is laid out by it.
+    run on a checkpoint, as the state is laid out by it. ``finish`` is for runs that
+    end: what a ``nearest`` stream then still holds is answered in batch (``drain``).
     """
 
     joined_path: str
@@ -53,6 +56,7 @@ class PipelineConfig:
     tolerance_seconds: int = TOLERANCE_SECONDS
     salts: int | None = None
     combine_copies: bool = False
+    finish: bool = False
     snapshot_ttl_seconds: int = TTL_SECONDS
     snapshot_rows: int = RECENT_ROWS
     trigger: dict = field(default_factory=dict)
@@ -93,10 +97,16 @@ def observations_stream(
 
 
 def table_writer(
-    rows: DataFrame, path: str, checkpoint: str, config: PipelineConfig | None = None
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    config: PipelineConfig | None = None,
+    unique: Sequence[str] | None = None,
 ) -> DataStreamWriter:
     """Append the non-empty micro-batches of ``rows`` to the table at ``path``.
 
+    Rows that another query's epochs hold under the same ``unique`` columns are
+    left out, so a new checkpoint that begins its topics anew adds nothing twice.
     With a ``config`` that names a snapshot, each of them also replaces the
     snapshot. A failed write fails the query: the epoch is then run again from
     the checkpoint instead of being lost.
@@ -122,7 +132,7 @@ def table_writer(
             # Files by size of the batch, not by number of state partitions.
             files = -(-count // ROWS_PER_FILE)
             query_id = streaming_query_id(batch.sparkSession)
-            write_epoch(batch.coalesce(files), path, query_id, epoch_id)
+            write_epoch(batch.coalesce(files), path, query_id, epoch_id, unique)
         finally:
             batch.unpersist()
 
@@ -156,6 +166,7 @@ def start_joined(
         config.joined_path,
         config.checkpoint("joined"),
         config,
+        INCIDENT_KEY,
     ).start()
 
 
@@ -167,6 +178,7 @@ def start_observations(
         config.observations_path,
         config.checkpoint("observations"),
         replace(config, snapshot_path=None),
+        OBSERVATION_KEY,
     ).start()
 
 
@@ -183,6 +195,8 @@ def run(
         if "availableNow" in config.trigger or "once" in config.trigger:
             for query in queries:
                 query.awaitTermination()
+            if config.finish and config.match == "nearest":
+                finish(spark, config)
         else:
             spark.streams.awaitAnyTermination()
     finally:
@@ -190,6 +204,17 @@ def run(
             query.stop()
 
 
+def finish(spark: SparkSession, config: PipelineConfig) -> bool:
+    """Answer what the ended ``nearest`` query holds; False if that was done already."""
+    checkpoint = config.checkpoint("joined")
+    columns = [c for c in JOINED_TABLE.fieldNames() if c not in CONTEXT_COLUMNS]
+    rows = drain.tail(
+        spark, checkpoint, columns, config.bucket_seconds, config.tolerance_seconds
+    )
+    rows = rows.select(*JOINED_TABLE.fieldNames())
+    return drain.commit_tail(spark, checkpoint, config.joined_path, rows)
+
+
 def reset_pipeline(spark: SparkSession, config: PipelineConfig) -> None:
     """Remove both tables, the snapshot and both checkpoints."""
     paths = [config.joined_path, config.observations_path, config.checkpoint_path]
