@@ -38,6 +38,11 @@ def rate_by_context(
     """
     observed = observations.groupBy(label).agg(F.countDistinct(time).alias("_observed"))
     counted = joined.groupBy(label).agg(F.countDistinct(incident_id).alias("_incidents"))
+    return rates(observed, counted, label)
+
+
+def rates(observed: DataFrame, counted: DataFrame, label: str) -> DataFrame:
+    """``incident_rate`` from ``_observed`` and ``_incidents`` by label."""
     return observed.join(counted, label, "left").select(
         label, _rate("_incidents", "_observed").alias("incident_rate")
     )
@@ -65,18 +70,32 @@ def severity_pivot(
     severity: str = "t_severity",
     incident_id: str = "t_id",
     severities: Sequence[str] = SEVERITIES,
-    other: str = OTHER,
+    other: str | None = OTHER,
 ) -> DataFrame:
     """One row per label, one column per severity, 0 where there is none.
 
     The severities are given, so no pass over the data is spent finding them.
     Those not among them are added up under ``other``: a row's columns always
-    sum to what ``severity_by_context`` has for its label.
+    sum to what ``severity_by_context`` has for its label. Where all are given, as
+    a table's manifest lists them, ``other=None`` leaves that column out.
     """
     counts = severity_by_context(joined, label, severity, incident_id, ordered=False)
-    columns = list(dict.fromkeys([*severities, other]))
-    listed = F.when(F.col(severity).isin(columns), F.col(severity)).otherwise(other)
-    wide = counts.withColumn(severity, listed).groupBy(label).pivot(severity, columns)
+    return pivoted(counts, label, severity, severities, other)
+
+
+def pivoted(
+    counts: DataFrame,
+    label: str = "weather_desc",
+    severity: str = "t_severity",
+    severities: Sequence[str] = SEVERITIES,
+    other: str | None = OTHER,
+) -> DataFrame:
+    """``severity_pivot`` from ``incident_count`` by (label, severity)."""
+    columns = list(dict.fromkeys([*severities, *([other] if other else [])]))
+    if other:
+        listed = F.when(F.col(severity).isin(columns), F.col(severity)).otherwise(other)
+        counts = counts.withColumn(severity, listed)
+    wide = counts.groupBy(label).pivot(severity, columns)
     return wide.agg(F.sum("incident_count")).na.fill(0, columns)
 
 
@@ -145,8 +164,14 @@ def rate_by_bucket(
     """Distinct incidents per distinct observed instant, for each observed band."""
     observed = _by_band(observations, value, time, "minute_count", bands)
     counted = _by_band(joined, value, incident_id, "incident_count", bands)
+    found = band_rates(observed, counted, bands)
+    return found.orderBy("bucket_rank") if ordered else found
+
+
+def band_rates(
+    observed: DataFrame, counted: DataFrame, bands: Bands = VISIBILITY_BANDS
+) -> DataFrame:
+    """``incident_rate`` from ``minute_count`` and ``incident_count`` by ``bucket_rank``."""
     rate = _rate("incident_count", "minute_count")
-    rates = _labelled(
-        observed.join(counted, "bucket_rank", "left"), bands, rate.alias("incident_rate")
-    )
-    return rates.orderBy("bucket_rank") if ordered else rates
+    both = observed.join(counted, "bucket_rank", "left")
+    return _labelled(both, bands, rate.alias("incident_rate"))

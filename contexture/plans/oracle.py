@@ -224,12 +224,16 @@ renamed AS (
            CASE WHEN visibility < 5000 THEN 'Low ' ELSE '' END || t_severity AS severity
     FROM joined WHERE t_severity IS NOT NULL)
 SELECT weather_desc,
-       count(DISTINCT t_id) FILTER (WHERE severity = 'Major') AS Major,
-       count(DISTINCT t_id) FILTER (WHERE severity = 'Minor') AS Minor,
-       count(DISTINCT t_id) FILTER (WHERE severity = 'Moderate') AS Moderate,
-       count(DISTINCT t_id) FILTER (WHERE severity = 'Undefined') AS Undefined,
-       count(DISTINCT t_id) FILTER (WHERE severity = 'Unknown') AS Unknown,
-       count(DISTINCT t_id || '/' || severity) FILTER (WHERE severity LIKE 'Low %') AS Other
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Major') AS "Major",
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Minor') AS "Minor",
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Moderate') AS "Moderate",
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Undefined') AS "Undefined",
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Unknown') AS "Unknown",
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Low Major') AS "Low Major",
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Low Minor') AS "Low Minor",
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Low Moderate') AS "Low Moderate",
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Low Undefined') AS "Low Undefined",
+       count(DISTINCT t_id) FILTER (WHERE severity = 'Low Unknown') AS "Low Unknown"
 FROM renamed GROUP BY weather_desc""",
     "count_by_context": _NEAR
     + """
@@ -272,6 +276,19 @@ FROM (SELECT {_BAND} AS bucket_rank, count(DISTINCT w) AS m
       FROM observations WHERE visibility IS NOT NULL GROUP BY 1)
 LEFT JOIN (SELECT {_BAND} AS bucket_rank, count(DISTINCT t_id) AS n
            FROM joined WHERE visibility IS NOT NULL GROUP BY 1) USING (bucket_rank)""",
+    "severity_pivot_incremental": _NEAR
+    + """
+SELECT weather_desc,
+       count(DISTINCT t_id) FILTER (WHERE t_severity = 'Major') AS Major,
+       count(DISTINCT t_id) FILTER (WHERE t_severity = 'Minor') AS Minor,
+       count(DISTINCT t_id) FILTER (WHERE t_severity = 'Moderate') AS Moderate,
+       count(DISTINCT t_id) FILTER (WHERE t_severity = 'Undefined') AS Undefined,
+       count(DISTINCT t_id) FILTER (WHERE t_severity = 'Unknown') AS Unknown
+FROM joined WHERE t_severity IS NOT NULL
+GROUP BY weather_desc""",
+    "history_limited": _NEAR
+    + _FIRST
+    + f"\nSELECT {_ROW} FROM firsts ORDER BY t DESC, t_id LIMIT 30",
     "joined_by_ids": _NEAR
     + f"""
 SELECT {_ROW} FROM joined
@@ -387,3 +404,6 @@ FROM weather_rows
 UNION ALL BY NAME
 SELECT 'snapshot' AS part, weather_desc, count(*) AS count FROM kept GROUP BY weather_desc""",
 }
+# The same rows, worked out epoch by epoch.
+ORACLE["rate_incremental"] = ORACLE["rate_by_context"]
+ORACLE["rate_by_bucket_incremental"] = ORACLE["rate_by_bucket"]

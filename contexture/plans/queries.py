@@ -5,7 +5,7 @@ Event times leave as epoch seconds, which read alike in every engine.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
@@ -20,7 +20,7 @@ from contexture.operators.context import context_join
 from contexture.operators.dedup import INCIDENT_KEY, distinct_incidents
 from contexture.plans import events_roles as roles
 from contexture.session import shared_dir, state_session
-from contexture.sources import landing, snapshot, tables
+from contexture.sources import landing, ledger, recent, snapshot, tables
 from contexture.sources.topics import INCIDENT_TOPIC, WEATHER_TOPIC, FolderTopics
 from contexture.streaming import drain, intake, pipeline, publish
 from contexture.streaming.join import stream_context_join
@@ -30,6 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SINCE = datetime(2024, 1, 15, tzinfo=timezone.utc)
 HISTORY_ROWS = 1000
+LISTED_ROWS = 30
 
 
 def _epochs(df: DataFrame) -> DataFrame:
@@ -181,11 +182,13 @@ def severity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_pivot_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Severities that are on no list: they are added up, not lost."""
+    """Severities that are on no list: a column for each value that the manifest lists."""
     severity = "IF(visibility < 5000, concat('Low ', t_severity), t_severity)"
-    return marts.severity_pivot(
-        _joined(spark, sf_dir).withColumn("t_severity", F.expr(severity))
-    )
+    joined = _joined(spark, sf_dir).withColumn("t_severity", F.expr(severity))
+    base = shared_dir(spark, "joined")
+    tables.write_epoch(joined, base, "batch", 0)
+    listed = tables.listed_values(spark, base)
+    return marts.severity_pivot(tables.read_joined(spark, base), severities=listed, other=None)
 
 
 def count_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,15 +288,59 @@ def sql_rate_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _growing(spark: SparkSession, sf_dir: str) -> Iterator[tuple[str, str]]:
+    """Both tables after each of two epochs, and after the second was delivered again."""
+    observed, joined = (rows.persist(StorageLevel.MEMORY_AND_DISK) for rows in _tables(spark, sf_dir))
+    paths = shared_dir(spark, "joined"), shared_dir(spark, "observations")
+    try:
+        for epoch in (0, 1, 1):
+            for rows, path, time in ((joined, paths[0], "t_start"), (observed, paths[1], "w_timestamp")):
+                half = F.col(time) >= F.lit(SINCE) if epoch else F.col(time) < F.lit(SINCE)
+                tables.write_epoch(rows.where(half), path, "batch", epoch)
+            yield paths
+    finally:
+        observed.unpersist()
+        joined.unpersist()
+
+
+def rate_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates from ledgers that were refreshed after each epoch."""
+    return [ledger.rate_by_context(spark, *paths) for paths in _growing(spark, sf_dir)][-1]
+
+
+def rate_by_bucket_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return [ledger.rate_by_bucket(spark, *paths) for paths in _growing(spark, sf_dir)][-1]
+
+
+def severity_pivot_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return [ledger.severity_pivot(spark, paths[0]) for paths in _growing(spark, sf_dir)][-1]
+
+
+def _weekly(spark: SparkSession, joined: DataFrame) -> str:
+    """The joined table with a folder for each week."""
+    base = shared_dir(spark, "joined")
+    week = F.date_trunc("week", "t_start")
+    weeks = [row[0] for row in joined.select(week).distinct().orderBy(week).collect()]
+    for epoch, begin in enumerate(weeks):
+        tables.write_epoch(joined.where(week == begin), base, "batch", epoch)
+    return base
+
+
+def history_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing that its limit cuts, from the newest folders."""
+    joined = _joined(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        base = _weekly(spark, joined)
+    finally:
+        joined.unpersist()
+    return _epochs(recent.history(spark, base, LISTED_ROWS)[0])
+
+
 def joined_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of the ids of the newest rows, from a table of a folder a week."""
     joined = _joined(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    base = shared_dir(spark, "joined")
     try:
-        week = F.date_trunc("week", "t_start")
-        weeks = [row[0] for row in joined.select(week).distinct().orderBy(week).collect()]
-        for epoch, begin in enumerate(weeks):
-            tables.write_epoch(joined.where(week == begin), base, "batch", epoch)
+        base = _weekly(spark, joined)
         ids = history.latest(joined, snapshot.RECENT_ROWS).select("t_id")
         ids.write.parquet(f"{base}/wanted")
     finally:
@@ -686,6 +733,10 @@ QUERIES: dict[str, Query] = {
         sql_over_tables,
         sql_history,
         sql_rate_by_bucket,
+        rate_incremental,
+        rate_by_bucket_incremental,
+        severity_pivot_incremental,
+        history_limited,
         joined_by_ids,
         live_snapshot_recent,
         live_snapshot_counts,

@@ -67,13 +67,14 @@ def write_filter(rows: DataFrame, id_: str, count: int, base: str, folder: str)
     ids = ids.select(_page("id", pages).alias("page"), F.explode(_bits("id")).alias("bit"))
     made = ids.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
     made.write.parquet(f"{base.rstrip('/')}/filters/{folder}")
-    return {"column": id_, "pages": pages}
+    nulls = not rows.where(F.col(id_).isNull()).isEmpty()
+    return {"column": id_, "pages": pages, "nulls": nulls}
 
 
 def with_ids(
     spark: SparkSession, base: str, entries: Sequence[dict], ids: DataFrame, id_: str
 ) -> list[dict]:
-    """The folders that may hold one of ``ids``; folders without a filter may.
+    """The folders that may hold one of ``ids``, null among them; those without a filter may.
 
     Collected: the names of the folders, which the manifest lists anyway.
     """
@@ -94,4 +95,7 @@ def with_ids(
     held = f"forall(wanted, p -> shiftright({byte}, CAST(p % 8 AS INT)) % 2 = 1)"
     found = pages.join(sizes, FOLDER).join(known, ["pages", "page"]).where(held)
     names = {f"{FOLDER}={row[0]}" for row in found.select(FOLDER).distinct().collect()}
+    with_nulls = {e["folder"] for e in filtered if e["filter"]["nulls"]}
+    if with_nulls and not ids.where(F.col(id_).isNull()).isEmpty():
+        names |= with_nulls
     return [e for e in entries if e not in filtered or e["folder"] in names]

@@ -9,7 +9,9 @@ days by one and keeps what it knows of their batches.
 
 The manifest also has each folder's span of event times, and says where a filter
 over its ids is (``pruning``); readers by time or id leave folders out before
-they are listed.
+they are listed. It has the severities of each folder, which are the columns of a
+pivot, and the number of the manifest that first had its rows, by which a reader
+knows what it has not seen yet (``ledger``).
 
 The query id is kept in the checkpoint: a new checkpoint begins new numbers and may
 begin its topics anew. Rows are therefore also known by content: a batch that
@@ -40,6 +42,9 @@ BUCKET_VIEW = "incident_rate_by_bucket"
 
 DAY = "event_day"
 ID = "t_id"
+#: Column whose values the manifest lists, and how many it lists of a folder at most.
+LISTED = "t_severity"
+MOST_VALUES = 10_000
 ATTEMPTS = 20
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -89,9 +94,18 @@ def _write(rows: DataFrame, base: str) -> dict:
         entry["span"], entry["rows"] = pruning.span_of(found, time)
         if ID in rows.columns:
             entry["filter"] = pruning.write_filter(found, ID, entry["rows"], base, folder)
+        if LISTED in rows.columns:
+            entry["values"] = _values(found, LISTED)
     return entry
 
 
+def _values(rows: DataFrame, column: str) -> list[str] | None:
+    """The distinct values of a folder, none if they are too many for columns of a table."""
+    found = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    listed = [row[0] for row in found.limit(MOST_VALUES + 1).collect()]
+    return sorted(listed) if len(listed) <= MOST_VALUES else None
+
+
 def _unknown(
     batch: DataFrame, base: str, entries: list[dict], unique: Sequence[str]
 ) -> tuple[DataFrame, set[str]]:
@@ -133,7 +147,9 @@ def write_epoch(
             rows, asked = _unknown(batch, base, others, unique or [])
             entry = _write(rows, base)
         if entry["days"]:
-            content["folders"].append(entry | {"query": query_id, "epoch": epoch_id})
+            content["folders"].append(
+                entry | {"query": query_id, "epoch": epoch_id, "at": number + 1}
+            )
         content["done"][query_id] = epoch_id
         if _commit(spark, base, number + 1, content):
             return True
@@ -155,7 +171,8 @@ def compact(
     rows = _read(spark, base, schema, closed)
     entry = _write(rows.repartition(F.col(DAY), F.floor(F.rand(0) * files_per_day)).drop(DAY), base)
     kept = [e for e in content["folders"] if e not in closed]
-    content["folders"] = [entry | {"query": None, "epoch": None}, *kept]
+    known = max(e.get("at", 0) for e in closed)
+    content["folders"] = [entry | {"query": None, "epoch": None, "at": known}, *kept]
     return _commit(spark, base, number + 1, content)
 
 
@@ -190,6 +207,17 @@ def _read(spark: SparkSession, base: str, schema: T.StructType, entries: list[di
     return spark.read.schema(found).option("basePath", root).parquet(*paths).drop(FOLDER)
 
 
+def listed_values(spark: SparkSession, base: str) -> list[str]:
+    """All severities of the table, from its manifest."""
+    found: set[str] = set()
+    for entry in manifest(spark, base)[1]["folders"]:
+        if entry["days"]:
+            if entry.get("values") is None:
+                raise ValueError(f"the values of {entry['folder']} are not listed")
+            found |= set(entry["values"])
+    return sorted(found)
+
+
 def _moment(micros: int) -> datetime:
     return EPOCH + timedelta(microseconds=micros)
 
