@@ -63,21 +63,61 @@ def _files(path: str) -> tuple[pa.fs.FileSystem, str]:
 # --- encoding -------------------------------------------------------------
 
 
+#: What a tokenizer does first if its texts may be cut into pieces.
+_NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_into_pieces(tokenizer: str) -> bool:
+    """Whether a tokenizer, as JSON, is of the kind whose texts may be cut into pieces.
+
+    It has to lower-case, drop white space and cut between letters and marks before
+    it looks for anything else, mark the ends of words, and find special tokens by
+    ``<|`` only.
+    """
+    told = json.loads(tokenizer)
+    first = (told.get("normalizer") or {}).get("normalizers")
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = cuts[0]
+    model = told.get("model") or {}
+    return (
+        first == _NORMALIZERS
+        and [cut.get("type") for cut in cuts] == ["Split", "ByteLevel"]
+        and split.get("pattern") == {"Regex": _PIECES}
+        and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and not cuts[1].get("add_prefix_space")
+        and not cuts[1].get("use_regex")
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not model.get("dropout")
+        and told.get("truncation") is None
+        and all(token["content"].startswith("<|") for token in told.get("added_tokens") or [])
+    )
+
+
 class Encoder:
-    """Ids of texts, piece by piece.
-
-    The tokenizer lower-cases and cuts at white space and between letters and
-    marks before anything else, so a text's ids are those of its pieces end to
-    end: the words between ASCII blanks, a last run of ``.,;:!?`` after a letter apart.
-    Pieces seen before, known by 64-bit hash and length, are not encoded again;
-    the memory for them is bounded. A text with ``<|`` may hold a special token's
-    name and is encoded as it stands.
+    """Ids of texts.
+
+    A tokenizer that lower-cases and cuts at white space and between letters and
+    marks before anything else (``cuts_into_pieces``) gives a text the ids of its
+    pieces end to end: the words between ASCII blanks, a last run of ``.,;:!?``
+    after a letter apart. Pieces seen before, known by 64-bit hash and length, are
+    not encoded again; the memory for them is bounded. A text with ``<|`` may hold a
+    special token's name and is encoded as it stands, and so is every text of any
+    other tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.in_pieces = cuts_into_pieces(self.tokenizer.to_str())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.ends = np.zeros(size, dtype=bool)
@@ -131,6 +171,8 @@ class Encoder:
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, each with the end id, and where each begins."""
+        if not self.in_pieces:
+            return self._whole(raw, offsets)
         marks = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
         special = np.unique(np.searchsorted(offsets, marks, side="right") - 1)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -150,6 +192,14 @@ class Encoder:
             shift += len(ids)
         return np.concatenate([ids for ids, _ in parts] or [self.ids[:0]]), np.concatenate(begins)
 
+    def _whole(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = raw.tobytes()
+        bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        ids, sizes = self._encode([data[a:b].decode("utf-8", "replace") for a, b in bounds])
+        ends = np.cumsum(sizes)
+        begins = np.concatenate([[0], ends]) + np.arange(len(offsets))
+        return np.insert(ids, ends, np.uint32(END_ID)), begins
+
     def _plain(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.keys) > KNOWN_PIECES:
             self._forget()

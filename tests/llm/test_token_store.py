@@ -72,3 +72,25 @@ def test_hash_is_minimal_and_perfect():
     null[0] = True
     hash_ = token_store.PerfectHash.of(keys, null)
     assert sorted(hash_(keys, null).tolist()) == list(range(len(keys)))
+
+
+def test_ids_of_other_tokenizers(spark, path, tmp_path):
+    """One that keeps case and blanks, and one that differs from the usual in its case only."""
+    import json
+
+    import public_tokenizers
+
+    kept = json.loads(open(path).read())
+    kept["normalizer"]["normalizers"] = kept["normalizer"]["normalizers"][:2]
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(kept))
+    rows = awkward() + EXTRA + [(600, "Hello World, it's a Test.", "", "", 0)]
+    for other in (public_tokenizers.path("byte_bpe_50k.json"), str(cased)):
+        assert not token_store.Encoder(other).in_pieces
+        found = token_store.stored(frame(spark, rows), other).drop("shard")
+        assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, other)
+    encoder = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    raw = np.frombuffer(b"Hello World, it's a Test.", np.uint8)
+    ids, _ = encoder(raw, np.array([0, len(raw)]))
+    assert ids.tolist()[:4] == [15496, 2159, 11, 340]
+    assert token_store.Encoder(path).in_pieces
