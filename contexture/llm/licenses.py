@@ -237,7 +237,7 @@ def _automaton(base: dict[str, str], notices: dict[str, str]):
             held.setdefault(phrase, []).append((kind, label))
     automaton = ahocorasick.Automaton()
     for phrase, meanings in held.items():
-        automaton.add_word(f" {phrase} ", (f" {phrase} ", meanings))
+        automaton.add_word(f" {phrase} ", (len(phrase.split(" ")), meanings))
     automaton.make_automaton()
     return automaton
 
@@ -252,10 +252,13 @@ def _scan(raw: bytes, automaton) -> tuple:
     starts: list[int] = []
     labels: dict[str, set[str]] = {"base": set(), "notice": set(), "tag": set()}
     tagged = False
-    for end, (phrase, meanings) in automaton.iter(joined):
+    # Ends ascend, so blanks are counted once along the text.
+    counted = blanks = 0
+    for end, (n_words, meanings) in automaton.iter(joined):
+        blanks, counted = blanks + joined.count(" ", counted, end + 1), end + 1
         for kind, label in meanings:
             if kind == "base":
-                starts.append(joined.count(" ", 0, end + 2 - len(phrase)) - 1)
+                starts.append(blanks - 1 - n_words)
             if kind == "tag":
                 tagged = True
             else:

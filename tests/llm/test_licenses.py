@@ -89,3 +89,12 @@ def test_banners_behind_a_tag_end():
         assert licenses.tag_labels("SPDX-License-Identifier: MIT " + tail) == ["mit"]
     with pytest.raises(licenses.Malformed):
         licenses.to_postfix("MIT " + "#" * 100_000 + "x")
+
+
+def test_many_places_of_a_long_text_take_time_in_proportion(spark):
+    """2.4 MB of nothing but phrases: counting blanks anew for each would take minutes."""
+    text = "cc by nc " * 200_000 + "under the mit license apache license version 2"
+    rows = [(1, text, "en", "a", 1)]
+    found = licenses.scanned(frame(spark, rows, parts=1)).first()
+    assert (found["n_words"], found["n_base"]) == (600_008, 200_002)
+    assert (found["first_word"], found["last_word"]) == (0, 600_004)
