@@ -13,10 +13,11 @@ tree and one block of queries, however many there are.
 
 Components are floor(256 * x) of doubles, and scores are sums of products in
 64-bit floats, which are exact up to 2^53; vectors whose scores could be larger
-are scored in Python integers.
+are scored in Python integers. A score that 64 bits cannot hold reads as the
+largest or the least number that they can.
 
-Defined results: a vector that is null, or has a null, NaN or infinite component,
-takes no part; an empty vector scores 0 with others like it; vectors of different
+Defined results: a vector that is null, or has a null, NaN or infinite component
+(or one that is infinite when taken 256 times), takes no part; an empty vector scores 0 with others like it; vectors of different
 lengths do not meet; ties go to the smaller vec_id; a repeated row is a candidate
 of its own (not for the query with its own id); all rows of a wanted vec_id are
 asked, copies too, and their hits are ranked together; a null vec_id takes no part;
@@ -56,9 +57,11 @@ def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
         F.col(vec_id).cast("bigint").alias("vec_id"),
         F.col(embedding).cast("array<double>").alias("v"),
     )
-    sound = "forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) <= 1.7976931348623157e308D)"
+    sound = f"forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs({SCALE}D * x) <= 1.7976931348623157e308D)"
     rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL").where(sound)
-    return rows.withColumn("v", F.expr(f"transform(v, x -> floor({SCALE}D * x))").cast("array<double>"))
+    # From 2^53 on a double is whole, and Spark's floor is a 64-bit number.
+    whole = f"IF(abs({SCALE}D * x) < 9e15D, CAST(floor({SCALE}D * x) AS DOUBLE), {SCALE}D * x)"
+    return rows.withColumn("v", F.expr(f"transform(v, x -> {whole})"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -90,12 +93,14 @@ def _tree(key: tuple, rows: pa.Table) -> pa.Table:
     v = _matrix(rows.column("v").combine_chunks(), dim)
     order = np.argsort(ids, kind="stable")
     ids, v = ids[order], v[order]
+    old = np.seterr(over="ignore", invalid="ignore")
     leaves = _ordered(v, np.arange(len(ids)), LEAF_ROWS)
     begins = np.concatenate([[0], np.cumsum([len(leaf) for leaf in leaves])])
     centres = np.stack([v[leaf].mean(axis=0) for leaf in leaves])
     radii = np.array(
         [np.sqrt(((v[leaf] - c) ** 2).sum(axis=1).max()) for leaf, c in zip(leaves, centres, strict=True)]
     )
+    np.seterr(**old)
     order = np.concatenate(leaves)
     data = [ids[order], v[order], begins.astype(np.int64), centres, radii]
     columns = [pa.array([dim], pa.int32()), pa.array([shard], pa.int64())]
@@ -148,20 +153,25 @@ BLOCK_SCHEMA = "dim int, block bigint, queries binary, points binary, floors bin
 def _score(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     if not q.size or not v.size:
         return np.zeros((len(q), len(v)), dtype=np.int64)
-    largest = np.abs(q).sum(axis=1).max() * np.abs(v).max()
+    with np.errstate(over="ignore"):
+        largest = np.abs(q).sum(axis=1).max() * np.abs(v).max()
     if largest < _EXACT:
         return (q @ v.T).astype(np.int64)
     exact_q = [[int(x) for x in row] for row in q]
     exact_v = [[int(x) for x in row] for row in v]
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
     return np.array(
-        [[sum(a * b for a, b in zip(x, y, strict=True)) for y in exact_v] for x in exact_q],
+        [
+            [min(max(sum(a * b for a, b in zip(x, y, strict=True)), least), most) for y in exact_v]
+            for x in exact_q
+        ],
         dtype=np.int64,
     )
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, by score, then id."""
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, ~scores))[:k]  # ~x orders as -x does, and has no overflow
 
 
 def _visit(row: dict, k: int, first_only: bool) -> tuple[list, list, list]:
@@ -175,10 +185,13 @@ def _visit(row: dict, k: int, first_only: bool) -> tuple[list, list, list]:
     queries = np.frombuffer(row["queries"], np.int64)
     q = np.frombuffer(row["points"], np.float64).reshape(len(queries), dim)
     floors = np.frombuffer(row["floors"], np.int64)
-    norms = np.sqrt((q * q).sum(axis=1))
-    # The bound is raised a little, so rounding never hides a leaf.
-    bounds = q @ centres.T + norms[:, None] * radii
-    bounds += 1e-9 * (1 + np.abs(bounds) + norms[:, None] * radii)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.sqrt((q * q).sum(axis=1))
+        # The bound is raised a little, so rounding never hides a leaf; one beyond
+        # all doubles hides none.
+        bounds = q @ centres.T + norms[:, None] * radii
+        bounds += 1e-9 * (1 + np.abs(bounds) + norms[:, None] * radii)
+    bounds[~np.isfinite(bounds)] = np.inf
     order = np.argsort(-bounds, axis=1, kind="stable")
     found: list[tuple[np.ndarray, np.ndarray]] = [
         (np.empty(0, np.int64), np.empty(0, np.int64)) for _ in queries
@@ -262,7 +275,7 @@ def top_k(
     blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
     queries = written(queries, "queries")
-    lowest = -(1 << 62)
+    lowest = -(1 << 63)
     early = _top(_pass(index, shards, queries.withColumn("floor", F.lit(lowest)), k, True), k)
     floors = early.where(F.col("rank") == k).select(
         F.col("query_id").alias("vec_id"), F.col("score").alias("floor")

@@ -80,3 +80,25 @@ def test_rows_of_one_id_are_spread(spark, monkeypatch):
     index, _ = search.trees(spark.createDataFrame(rows, SCHEMA))
     sizes = [len(r["ids"]) // 8 for r in index.select("ids").collect()]
     assert sum(sizes) == 1005 and max(sizes) < 100
+
+
+def test_large_finite_components_have_a_result(spark):
+    rows = [(0, [1e17], 1), (1, [2e17], 1), (2, [-3e17], 1), (3, [0.5], 1), (50, [2.0**40], 1), (51, [-1e-3], 1)]
+    rows += [(100, [1e300, -1e300], 1), (101, [1e300, 1e300], 1), (102, [1e300, -1.0], 1), (103, [1.5e308, 1.0], 1)]
+    schema = "vec_id bigint, embedding array<double>, label int"
+
+    def bounded(x):
+        return min(max(x, -(2**63)), 2**63 - 1)
+
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if all(math.isfinite(256 * x) for x in v)]
+    expected = []
+    for query, q in usable:
+        if query % 50 == 0:
+            scored = sorted(
+                (-bounded(sum(a * b for a, b in zip(q, v, strict=True))), i)
+                for i, v in usable
+                if i != query and len(v) == len(q)
+            )
+            expected += [(query, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
+    found = search.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
