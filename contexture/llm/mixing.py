@@ -13,6 +13,11 @@ md5 of seed, epoch, doc_id and token count. The prefix is found from sums of 409
 buckets of that order, so only the bucket it ends in is sorted, and a source
 with a third of all rows is spread like any other.
 
+Weights are whole numbers, fractions or decimals; those of a level are brought to
+whole numbers of the same ratios, and products are exact to 38 digits. A weight of
+0 leaves out all rows below it; their tokens still count in what ``share`` is of.
+A negative weight is refused.
+
 Defined results: a null domain, language, source or text counts as empty; a name
 without a weight has weight 1; a text without words has no tokens and is taken
 with the prefix it falls in; a leaf without tokens gives each document once; rows
@@ -22,6 +27,10 @@ repeated row is a document of its own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +40,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BUCKET_DIGITS = 3
 BUCKETS = 16**BUCKET_DIGITS
 LEVELS = ("domain", "language", "origin")
+EXACT = "decimal(38, 0)"
+Weight = int | float | Decimal | Fraction
 
 
 def token_count(text: str = "text") -> Column:
@@ -60,41 +71,50 @@ def with_leaves(docs: DataFrame, domain: Column, tokens: Column) -> DataFrame:
     )
 
 
-def _weight(name: str, weights: dict[str, int]) -> Column:
-    out = F.lit(1)
-    for value, weight in weights.items():
-        out = F.when(F.col(name) == value, weight).otherwise(out)
-    return out.cast("bigint")
+def whole_weights(weights: dict[str, Weight]) -> tuple[dict[str, int], int]:
+    """Weights as whole numbers of the same ratios, and that of a name without one."""
+    exact = {name: Fraction(str(weight)) for name, weight in weights.items()}
+    if any(weight < 0 for weight in exact.values()):
+        raise ValueError(f"a weight is negative: {weights}")
+    scale = math.lcm(*(weight.denominator for weight in exact.values()))
+    return {name: int(weight * scale) for name, weight in exact.items()}, scale
+
+
+def _weight(name: str, weights: dict[str, Weight]) -> Column:
+    whole, other = whole_weights(weights)
+    out = F.lit(str(other))
+    for value, weight in whole.items():
+        out = F.when(F.col(name) == value, F.lit(str(weight))).otherwise(out)
+    return out.cast(EXACT)
 
 
 def _shared(nodes: DataFrame, parents: DataFrame, by: list[str], name: str, weights: dict) -> DataFrame:
-    """The budget of every child: ``by, name, supply, budget``."""
-    children = nodes.groupBy(*by, name).agg(F.sum("supply").alias("supply"))
+    """The budget of every child: ``by, name, parent_budget``."""
+    children = nodes.groupBy(*by, name).agg(F.sum("supply").cast(EXACT).alias("supply"))
     children = children.withColumn("weight", _weight(name, weights))
     children = children.join(parents, by)
     # Those that run out first, in proportion to their weight, come first.
-    order = [F.col("supply") / F.col("weight"), F.col(name)]
+    order = [F.col("supply").cast("double") / F.col("weight").cast("double"), F.col(name)]
     own = Window.partitionBy(*by).orderBy(*order)
     before = own.rowsBetween(Window.unboundedPreceding, -1)
     after = own.rowsBetween(0, Window.unboundedFollowing)
-    taken = F.coalesce(F.sum("supply").over(before), F.lit(0))
-    children = children.withColumn("left", F.col("parent_budget") - taken)
-    children = children.withColumn("weights", F.sum("weight").over(after))
+    taken = F.coalesce(F.sum("supply").over(before).cast(EXACT), F.lit(0).cast(EXACT))
+    children = children.withColumn("left", (F.col("parent_budget") - taken).cast(EXACT))
+    children = children.withColumn("weights", F.sum("weight").over(after).cast(EXACT))
     short = F.col("supply") * F.col("weights") <= F.col("weight") * F.col("left")
     children = children.withColumn("short", short)
     rest = Window.partitionBy(*by, "short")
     upto = rest.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    children = children.withColumn("upto", F.sum("weight").over(upto))
+    children = children.withColumn("upto", F.sum("weight").over(upto).cast(EXACT))
     children = children.withColumn("most", F.max("left").over(rest))
-    children = children.withColumn("whole", F.sum("weight").over(rest))
+    children = children.withColumn("whole", F.sum("weight").over(rest).cast(EXACT))
     part = F.expr("most * upto div whole - most * (upto - weight) div whole")
-    return children.select(
-        *by, name, F.when(F.col("short"), F.col("supply")).otherwise(part).alias("parent_budget")
-    )
+    budget = F.when(F.col("short"), F.col("supply").cast("bigint")).otherwise(part)
+    return children.select(*by, name, budget.alias("parent_budget"))
 
 
 def budgets(
-    counted: DataFrame, weights: dict[str, dict[str, int]], share: float, epochs: int
+    counted: DataFrame, weights: dict[str, dict[str, Weight]], share: float, epochs: int
 ) -> DataFrame:
     """Per leaf: tokens, budget, whole epochs and what remains for the next one.
 
@@ -104,11 +124,13 @@ def budgets(
     keys = [f"_{level}" for level in LEVELS]
     leaves = written(counted.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "leaves")
     nodes = leaves.withColumn("supply", F.col("tokens") * epochs).withColumn("_root", F.lit(0))
-    top = nodes.groupBy("_root").agg(
-        F.least(
-            F.floor(F.sum("tokens") * F.lit(share)).cast("bigint"), F.sum("supply")
-        ).alias("parent_budget")
-    )
+    wanted = F.lit(True)
+    for level, key in zip(LEVELS, keys, strict=True):
+        wanted &= _weight(key, weights.get(level, {})) > 0
+    open_ = F.coalesce(F.sum(F.when(wanted, F.col("supply"))), F.lit(0))
+    share_of_all = F.floor(F.sum("tokens") * F.lit(share)).cast("bigint")
+    top = nodes.groupBy("_root").agg(F.least(share_of_all, open_).alias("parent_budget"))
+    nodes = nodes.where(wanted)
     for depth, key in enumerate(keys):
         above = ["_root", *keys[:depth]]
         top = _shared(nodes, top, above, key, weights.get(LEVELS[depth], {}))
@@ -127,7 +149,7 @@ def _key(seed: str) -> Column:
 def mixed(
     docs: DataFrame,
     counted: DataFrame,
-    weights: dict[str, dict[str, int]],
+    weights: dict[str, dict[str, Weight]],
     share: float = 1.0,
     epochs: int = 2,
     seed: str = "mix",
@@ -167,7 +189,7 @@ def mixed(
 
 
 def mix_documents(
-    docs: DataFrame, weights: dict[str, dict[str, int]], share: float, epochs: int, seed: str
+    docs: DataFrame, weights: dict[str, dict[str, Weight]], share: float, epochs: int, seed: str
 ) -> DataFrame:
     """``docs`` mixed by token counts of their texts, with their own columns only."""
     own = with_leaves(docs, source_family(), token_count())

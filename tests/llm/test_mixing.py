@@ -1,4 +1,5 @@
 import hashlib
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +83,47 @@ def test_own_columns_are_kept_whatever_their_names(spark):
 
 def test_empty_table(spark):
     assert mixing.mix_documents(frame(spark, []), WEIGHTS, 1.0, 2, "s").collect() == []
+
+
+@pytest.mark.parametrize(
+    "weights,same",
+    [
+        ({"en": 0.7, "de": 0.3}, {"en": 7, "de": 3, "fr": 10, "es": 10, "": 10}),
+        ({"en": "0.25", "de": Fraction(1, 3)}, {"en": 3, "de": 4, "fr": 12, "es": 12, "": 12}),
+        ({"en": 10**6}, {"en": 10**6}),
+    ],
+)
+def test_fractions_are_whole_numbers_of_the_same_ratios(spark, monkeypatch, weights, same):
+    rows = awkward()
+    counted = mixing.with_leaves(frame(spark, rows), mixing.source_family(), mixing.token_count())
+    found = mixing.mixed(counted, counted, {"language": weights}, 0.6, 2, "s")
+    monkeypatch.setattr("tests.llm.test_mixing.WEIGHTS", {"language": same})
+    listed = [(r["doc_id"], r["epoch"], r["_tokens"]) for r in found.select("doc_id", "epoch", "_tokens").collect()]
+    assert sorted(listed, key=repr) == sorted(brute(rows, 0.6, 2, "s"), key=repr)
+
+
+def test_a_weight_of_nothing_leaves_out_and_a_negative_one_is_refused(spark):
+    rows = awkward()
+    counted = mixing.with_leaves(frame(spark, rows), mixing.source_family(), mixing.token_count())
+    found = mixing.mixed(counted, counted, {"language": {"en": 1, "fr": 0, "es": 0}}, 1.0, 1, "s")
+    kept = {r["_language"] for r in found.collect()}
+    assert "en" in kept and not kept & {"fr", "es"}
+    every = {r[0] for r in rows if (r[2] or "") not in ("fr", "es")}
+    assert {r["doc_id"] for r in found.collect()} == every
+    none = mixing.mixed(counted, counted, {"language": dict.fromkeys(["en", "de", "fr", "es", ""], 0)}, 1.0, 1, "s")
+    assert none.collect() == []
+    with pytest.raises(ValueError):
+        mixing.mixed(counted, counted, {"language": {"en": -1}}, 1.0, 1, "s")
+
+
+def test_products_beyond_64_bits(spark):
+    """3 x 10^13 tokens and a weight of 10^6, as at 100 TB."""
+    schema = "doc_id bigint, _domain string, _language string, _origin string, _tokens bigint, _print bigint"
+    rows = [(k, "d", "l", f"s{k}", 10**13, k) for k in range(3)]
+    counted = spark.createDataFrame(rows, schema)
+    found = mixing.budgets(counted, {"origin": {"s0": 10**6, "s1": 10**6}}, 0.5, 2)
+    assert {r["_origin"]: r["budget"] for r in found.collect()} == {
+        "s0": 15 * 10**12 * 10**6 // (2 * 10**6 + 1) + 0,
+        "s1": 15 * 10**12 * 2 * 10**6 // (2 * 10**6 + 1) - 15 * 10**12 * 10**6 // (2 * 10**6 + 1),
+        "s2": 15 * 10**12 - 15 * 10**12 * 2 * 10**6 // (2 * 10**6 + 1),
+    }
