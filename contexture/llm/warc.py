@@ -1,7 +1,9 @@
 """Web archive files from pages, the same bytes whatever runs write them.
 
-Pages are cut into shards by ranges of page_id. The cuts come from a histogram of
-payload bytes over equal spans of ids, so they depend on the data alone. A task
+Pages are cut into shards by ranges of (page_id, payload digest). Sorted sizes are
+summed up along that order, and a shard begins where the sum passes the next
+multiple of ``shard_bytes``; so shards are as even for ids far apart, dense in
+places, equal or null as for any, and depend on the data alone. A task
 sorts its shard, writes a record per page (each its own gzip member, with
 headers and digests made anew) and begins another file when the compressed size
 reaches the limit. A file is written under a temporary name and renamed when
@@ -30,19 +32,21 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contexture.llm.tables import written
 from contexture.llm.token_store import _files
 from contexture.session import shared_dir
 
-SHARD_BYTES = 16 << 20
+#: The driver and every task hold 29 bytes a shard: 46 MB for 100 TB.
+SHARD_BYTES = 64 << 20
 FILE_BYTES = 4 << 20
-SPANS_PER_SHARD = 8
-MOST_SPANS = 1 << 16
+RECORD_BYTES = 512
 DATE = "2024-01-01T00:00:00Z"
 
 MANIFEST_SCHEMA = (
@@ -149,30 +153,56 @@ def _manifest(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _shards(sized: DataFrame, shard_bytes: int) -> tuple[int, str]:
-    """How many shards there are, and SQL for a page_id's shard.
+def _place() -> Column:
+    """Bytes that sort as page_id (nulls first) and then payload digest."""
+    number = F.expr("page_id ^ -9223372036854775808L")
+    number = F.unhex(F.lpad(F.hex(F.coalesce(number, F.lit(0).cast("bigint"))), 16, "0"))
+    known = F.when(F.col("page_id").isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("01")))
+    return F.concat(known, number, F.col("sha1"))
 
-    Ids are cut into equal spans, and spans put together in order until a shard
-    is full. Collected: one row per span, at most ``MOST_SPANS``.
+
+def shard_begins(sized: DataFrame, shard_bytes: int) -> list[bytes]:
+    """The first place of every shard but the first, in order.
+
+    Equal places are one row. Each range partition is summed up by itself; what
+    lies before it is the sum of the ones before. Collected: a number a partition,
+    and a place a shard.
     """
-    known = sized.where("page_id IS NOT NULL")
-    low, high, total = known.agg(
-        F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + 512)
-    ).first()
-    if low is None:
-        return 1, "0"
-    spans = min(MOST_SPANS, -(-total // shard_bytes) * SPANS_PER_SHARD, high - low + 1)
-    width = -(-(high - low + 1) // spans)
-    span = f"CAST(floor((CAST(page_id AS DECIMAL(38, 0)) - {low}) / {width}) AS INT)"
-    rows = known.groupBy(F.expr(span).alias("span")).agg(F.sum(F.col("size") + 512).alias("n"))
-    shard_of, shard, held = [0] * spans, 0, 0
-    for row in rows.orderBy("span").collect():
-        if held and held + row["n"] > shard_bytes:
-            shard, held = shard + 1, 0
-        held += row["n"]
-        shard_of[row["span"]] = shard
-    table = f"from_json('{shard_of}', 'array<int>')"
-    return shard + 1, f"coalesce(get({table}, {span}), 0)"
+    weight = (F.col("size") + RECORD_BYTES).alias("weight")
+    places = sized.select(_place().alias("place"), weight)
+    places = places.groupBy("place").agg(F.sum("weight").alias("weight"))
+    parts = max(1, int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    places = places.repartitionByRange(parts, "place")
+    places = written(places.withColumn("part", F.spark_partition_id()), "places")
+    sums = places.groupBy("part").agg(F.sum("weight").alias("weight")).orderBy("part").collect()
+    total = sum(row["weight"] for row in sums)
+    if total <= shard_bytes:
+        return []
+    before, held = [], 0
+    for row in sums:
+        before.append((row["part"], held))
+        held += row["weight"]
+    before = sized.sparkSession.createDataFrame(before, "part int, base bigint")
+    rows = places.join(before, "part")
+    own = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("upto", F.col("base") + F.coalesce(F.sum("weight").over(own), F.lit(0)))
+    shard = F.expr(f"upto div {shard_bytes}")
+    firsts = rows.groupBy(shard.alias("shard")).agg(F.min("place").alias("place"))
+    return sorted(bytes(row["place"]) for row in firsts.where("shard > 0").collect())
+
+
+def _shard_of(begins: list[bytes]) -> Column:
+    """The shard of a row with ``page_id`` and ``sha1``."""
+    if not begins:
+        return F.lit(0)
+    known = np.array(begins, dtype="S29")
+
+    @F.pandas_udf("int")
+    def shard(place: pd.Series) -> pd.Series:
+        own = np.array(place.tolist(), dtype="S29")
+        return pd.Series(np.searchsorted(known, own, side="right").astype(np.int32))
+
+    return shard(_place())
 
 
 def write(
@@ -191,7 +221,8 @@ def write(
     pages = pages.withColumn("sha1", F.unhex(F.sha1("payload")))
     pages = pages.withColumn("size", F.octet_length("payload").cast("bigint"))
     narrow = written(pages.select("page_id", "sha1", "size"), "digests")
-    shards, place = _shards(narrow, shard_bytes)
+    begins = shard_begins(narrow, shard_bytes)
+    shards, place = len(begins) + 1, _shard_of(begins)
     copies = (
         narrow.where(F.col("size") >= revisit_bytes)
         .groupBy("sha1", "size")
@@ -201,7 +232,7 @@ def write(
     )
     # What to do with a copy goes to its shard as a row of its own ahead of the
     # page, so payloads are shuffled once.
-    shard = F.expr(place).alias("shard")
+    shard = place.alias("shard")
     notes = narrow.join(copies, ["sha1", "size"]).select(shard, "page_id", "sha1", "first")
     notes = notes.distinct().withColumn("note", F.lit(0))
     rows = pages.select(shard, "page_id", "sha1", "url", "size", "payload", F.lit(1).alias("note"))

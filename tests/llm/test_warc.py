@@ -72,3 +72,31 @@ def test_damage_is_noticed():
 def test_empty_table(spark):
     pages = spark.createDataFrame([], SCHEMA)
     assert warc.archived(pages).collect() == []
+
+
+@pytest.mark.parametrize("ids", [[10**7], [10**12], [-(2**63), 2**63 - 1], [10**15, None]])
+def test_far_off_ids_leave_the_shards_even(spark, ids):
+    rows = [(k, f"http://x/{k}", f"page {k} " + "x" * 100) for k in range(600)]
+    rows += [(i, "http://far", f"far {i}") for i in ids]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    manifest = warc.write(pages, shared_dir(spark, "warc"), shard_bytes=20_000)
+    counts = [r["records"] for r in manifest.groupBy("shard").sum("records").toDF("shard", "records").collect()]
+    assert len(counts) > 15 and max(counts) < 60 and sum(counts) == len(rows)
+    assert rows_of(warc.read(manifest)) == brute(rows)
+
+
+def test_equal_and_null_ids_are_split(spark):
+    rows = [(None if k % 2 else 7, "http://x", f"page {k} " + "x" * 100) for k in range(400)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    manifest = warc.write(pages, shared_dir(spark, "warc"), shard_bytes=20_000)
+    counts = [r["records"] for r in manifest.groupBy("shard").sum("records").toDF("shard", "records").collect()]
+    assert len(counts) > 10 and max(counts) < 60
+    found = rows_of(warc.read(manifest))
+    assert sorted((r[0] or 0, r[2]) for r in found) == sorted((r[0] or 0, r[2]) for r in brute(rows))
+
+
+def test_columns_with_clashing_names(spark):
+    pages = spark.createDataFrame(PAGES, SCHEMA)
+    for name in ("payload", "sha1", "size", "shard", "note", "first", "place", "weight"):
+        pages = pages.withColumn(name, pages.url)
+    assert rows_of(warc.archived(pages)) == brute(PAGES)
