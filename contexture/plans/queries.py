@@ -521,14 +521,20 @@ def stream_dedup_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_context_join_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     incidents, observations = _role_streams(spark, sf_dir)
-    rows = stream_context_join(incidents, observations, match="nearest")
+    rows = stream_context_join(
+        incidents, observations, match="nearest", tick_micros=pipeline.RECORD_TICK
+    )
     return _run_stream(spark, rows, "stream-nearest")
 
 
 def stream_context_join_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     incidents, observations = _role_streams(spark, sf_dir)
     rows = stream_context_join(
-        incidents, observations, match="nearest", bucket_seconds=None
+        incidents,
+        observations,
+        match="nearest",
+        bucket_seconds=None,
+        tick_micros=pipeline.RECORD_TICK,
     )
     return _run_stream(spark, rows, "stream-tolerance")
 
@@ -536,7 +542,13 @@ def stream_context_join_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame
 def stream_drained_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream to its end, and then what it still held, answered twice: all rows once."""
     incidents, observations = _role_streams(spark, sf_dir)
-    rows = stream_context_join(incidents, observations, match="nearest", bucket_seconds=None)
+    rows = stream_context_join(
+        incidents,
+        observations,
+        match="nearest",
+        bucket_seconds=None,
+        tick_micros=pipeline.RECORD_TICK,
+    )
     base = shared_dir(spark, "stream-drained")
     table, checkpoint = f"{base}/table", f"{base}/checkpoint"
     pipeline.table_writer(rows, table, checkpoint).start().awaitTermination()

@@ -10,11 +10,12 @@ salt.
 
 ``nearest`` waits until the watermark has passed the bucket and then picks as
 the batch join does. Observations shrink to the first and last of each slot, at
-widths from a microsecond up to the bucket, and a slot that incidents ask for
+widths from a tick of the times up to the bucket, and a slot that incidents ask for
 gets the ends of its neighbours. An incident meets one row per width, and the
 least of these is its answer. No row holds more than ``FAN`` slots, and a slot's
 row is repeated for those salts only that ask for it; the aggregates combine
-copies on the map side.
+copies on the map side. Times of whole seconds need one width only, for buckets of
+up to ``FAN`` seconds, and those to the microsecond three.
 """
 
 from __future__ import annotations
@@ -53,11 +54,20 @@ class _Buckets:
 
     seconds: int | None
     tolerance: int
+    tick: int = 1
 
     @property
     def micros(self) -> int:
         return (self.seconds or 3 * self.tolerance) * 1_000_000
 
+    def at(self, time: str) -> Column:
+        """Event time in microseconds; one that is no whole tick fails the query."""
+        if self.tick == 1:
+            return F.unix_micros(time)
+        wrong = f"raise_error('an event time is no multiple of {self.tick} microseconds')"
+        at = f"unix_micros({quoted(time)})"
+        return F.expr(f"IF({at} % {self.tick} = 0, {at}, CAST({wrong} AS BIGINT))")
+
     def observed(self, time: str) -> Column:
         if self.seconds:
             return F.window(time, f"{self.seconds} seconds").alias("bucket")
@@ -69,7 +79,7 @@ class _Buckets:
         # exact times travel as numbers.
         rows = df.select(
             self.observed("t_start"),
-            F.unix_micros("t_start").alias("start_micros"),
+            self.at("t_start").alias("start_micros"),
             *carried,
         )
         if self.seconds:
@@ -121,14 +131,14 @@ def _first_met(
     )
 
 
-def _levels(bucket_micros: int) -> str:
+def _levels(bucket_micros: int, tick: int) -> str:
     """SQL that explodes ``at`` into the slots it lies in, one per width.
 
-    Widths grow by ``FAN`` from a microsecond on, so a slot (``node``) holds at
+    Widths grow by ``FAN`` from a tick on, so a slot (``node``) holds at
     most ``FAN`` slots of the next smaller width (``child``), and the bucket at
     most ``FAN`` of the widest, and one more where they are not aligned.
     """
-    widths = [1]
+    widths = [tick]
     while widths[-1] * FAN < bucket_micros:
         widths.append(widths[-1] * FAN)
     # Floors, also before 1970; a level's node is one child of the next level.
@@ -148,12 +158,12 @@ def _nodes(
 
     A list has at most ``FAN`` entries, whatever the precision of the times.
     """
-    levels = _levels(buckets.micros)
+    levels = _levels(buckets.micros, buckets.tick)
     own = nulls_last_struct(context)
     seen = (
         observations.select(
             buckets.observed("w_timestamp"),
-            F.unix_micros("w_timestamp").alias("at"),
+            buckets.at("w_timestamp").alias("at"),
             F.expr(own).alias("own"),
         )
         .selectExpr("bucket", "at", "own", levels)
@@ -186,7 +196,7 @@ def _ends(nodes: DataFrame) -> DataFrame:
 
     ``earlier`` is the last observation in the slots before this one within the
     same node, ``later`` the first in those behind it; at the lowest level, where
-    a slot is one instant, ``earlier`` also looks at the slot itself. Any other
+    a slot is one tick, and so one instant, ``earlier`` also looks at the slot itself. Any other
     observation of the bucket lies beside the incident's slot at exactly one
     level, so the ends of all levels hold its neighbours on both sides.
     """
@@ -215,7 +225,8 @@ def _nearest_met(
 ) -> DataFrame:
     """Incidents with the least observation by distance, then time, as ``nearest``."""
     right = _ends(_nodes(asked, observations, context, buckets))
-    rows = left.selectExpr("*", "start_micros AS at").selectExpr("*", _levels(buckets.micros))
+    levels = _levels(buckets.micros, buckets.tick)
+    rows = left.selectExpr("*", "start_micros AS at").selectExpr("*", levels)
     rows = rows.selectExpr("*", "slot.level AS level", "slot.child AS child").drop("at", "slot")
     # One entry per instant leaves no tie.
     near = """array_min(filter(array(
@@ -244,17 +255,21 @@ def stream_context_join(
     context: Sequence[str] = CONTEXT_COLUMNS,
     required: str | None = "weather_desc",
     salts: int | None = None,
+    tick_micros: int = 1,
 ) -> DataFrame:
     """Distinct incidents with the ``context`` columns of one observation.
 
     ``incidents`` are watermarked on ``t_start``, ``observations`` on
     ``w_timestamp``. For ``nearest`` neither may have been combined before.
     ``bucket_seconds=None`` is for ``nearest``: one observation cannot stand for
-    all of a bucket whose ends lie further apart than the tolerance.
+    all of a bucket whose ends lie further apart than the tolerance. Times are
+    multiples of ``tick_micros``; for ``nearest`` it decides how many widths of slots
+    are held, and is fixed by a checkpoint's first run.
     """
     salts = salts or default_salts(incidents.sparkSession)
     carried = [c for c in incidents.columns if c != "t_start"]
-    buckets = _Buckets(bucket_seconds, tolerance_seconds)
+    tick = tick_micros if match == "nearest" else 1
+    buckets = _Buckets(bucket_seconds, tolerance_seconds, tick)
     if match == "first":
         if not bucket_seconds or bucket_seconds > tolerance_seconds:
             raise ValueError("'first' needs a bucket no wider than the tolerance")

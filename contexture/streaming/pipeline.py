@@ -30,6 +30,8 @@ log = logging.getLogger(__name__)
 
 AVAILABLE_NOW = {"availableNow": True}
 ROWS_PER_FILE = 1_000_000
+#: Records on the topics have times in whole seconds.
+RECORD_TICK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,8 @@ class PipelineConfig:
     ``trigger`` is passed to the stream writer; empty means as fast as
     possible. ``combine_copies`` is for micro-batches that one key makes up a
     large part of (see ``intake.combine_copies``). ``salts`` is fixed by the first
-    run on a checkpoint, as the state is laid out by it. ``finish`` is for runs that
+    run on a checkpoint, as the state is laid out by it, and so is ``tick_micros``, what
+    event times are multiples of. ``finish`` is for runs that
     end: what a ``nearest`` stream then still holds is answered in batch (``drain``).
     """
 
@@ -55,6 +58,7 @@ class PipelineConfig:
     bucket_seconds: int | None = BUCKET_SECONDS
     tolerance_seconds: int = TOLERANCE_SECONDS
     salts: int | None = None
+    tick_micros: int = RECORD_TICK
     combine_copies: bool = False
     finish: bool = False
     snapshot_ttl_seconds: int = TTL_SECONDS
@@ -83,6 +87,7 @@ def joined_stream(
         config.bucket_seconds,
         config.tolerance_seconds,
         salts=config.salts or default_salts(spark),
+        tick_micros=config.tick_micros,
     )
     return joined.select(*JOINED_TABLE.fieldNames())
 
@@ -145,22 +150,30 @@ def table_writer(
     return writer.trigger(**trigger) if trigger else writer
 
 
-def _fix_salts(spark: SparkSession, config: PipelineConfig) -> PipelineConfig:
-    """The salts of the checkpoint's first run; other ones are refused."""
-    path = f"{config.checkpoint_path.rstrip('/')}/joined-salts"
-    wanted = config.salts or default_salts(spark)
+def _first_run(spark: SparkSession, config: PipelineConfig, name: str, wanted: int) -> int:
+    """What the checkpoint's first run had under this name; ``wanted`` if this is it."""
+    path = f"{config.checkpoint_path.rstrip('/')}/joined-{name}"
     found = storage.read_text(spark, path)
     if found is None:
         storage.write_text(spark, path, str(wanted))
-    elif config.salts and int(found) != config.salts:
-        raise ValueError(f"this checkpoint was begun with {found} salts, not {config.salts}")
-    return replace(config, salts=int(found or wanted))
+    return int(found or wanted)
+
+
+def _fix_layout(spark: SparkSession, config: PipelineConfig) -> PipelineConfig:
+    """The salts and the tick of the checkpoint's first run; other salts are refused."""
+    begun = storage.exists(spark, f"{config.checkpoint_path.rstrip('/')}/joined-salts")
+    salts = _first_run(spark, config, "salts", config.salts or default_salts(spark))
+    if config.salts and salts != config.salts:
+        raise ValueError(f"this checkpoint was begun with {salts} salts, not {config.salts}")
+    # Checkpoints from before there was a tick have all widths.
+    tick = _first_run(spark, config, "tick", 1 if begun else config.tick_micros)
+    return replace(config, salts=salts, tick_micros=tick)
 
 
 def start_joined(
     spark: SparkSession, topics: KafkaTopics | FolderTopics, config: PipelineConfig
 ) -> StreamingQuery:
-    config = _fix_salts(spark, config)
+    config = _fix_layout(spark, config)
     return table_writer(
         joined_stream(spark, topics, config),
         config.joined_path,
