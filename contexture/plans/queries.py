@@ -655,7 +655,7 @@ def _run_pipeline(
     return (
         tables.read_joined(spark, config.joined_path),
         tables.read_observations(spark, config.observations_path),
-        snapshot.read_snapshot(spark, config.snapshot_path),
+        snapshot.read_snapshot(spark, config.snapshot_path, table=config.joined_path),
     )
 
 

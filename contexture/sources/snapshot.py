@@ -4,6 +4,11 @@ It describes the last non-empty micro-batch alone. Every snapshot has a folder o
 its own, and one empty file whose name says that all its parts are there; a
 reader takes the newest of these names once and reads all parts from that folder,
 so parts of two snapshots never mix, and the folder being read is not written to.
+
+A snapshot that belongs to a table is prepared first, named in the manifest of the
+epoch whose rows it shows, and published then: what fails to reach the table is never
+shown. A reader that names the table goes by its manifest, and so sees rows and
+snapshot of one commit.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import types as T
 from contexture import schemas
 from contexture.operators.history import latest
 from contexture.operators.marts import count_by_context
-from contexture.sources import storage
+from contexture.sources import storage, tables
 
 TTL_SECONDS = 300
 RECENT_ROWS = 100
@@ -48,7 +53,20 @@ def write_snapshot(
     rows: int = RECENT_ROWS,
     now: datetime | None = None,
 ) -> None:
-    """Replace the snapshot by that of ``batch``.
+    """Replace the snapshot by that of ``batch``."""
+    place = prepare_snapshot(batch, path, epoch_id, ttl_seconds, rows, now)
+    publish_snapshot(batch.sparkSession, path, place)
+
+
+def prepare_snapshot(
+    batch: DataFrame,
+    path: str,
+    epoch_id: int,
+    ttl_seconds: int = TTL_SECONDS,
+    rows: int = RECENT_ROWS,
+    now: datetime | None = None,
+) -> str:
+    """The snapshot of ``batch`` under a name that no reader goes by yet.
 
     The batch is worked out before the time is taken, so its own running time is
     not taken off the time to live; the caller keeps it persisted. Counts include
@@ -75,18 +93,29 @@ def write_snapshot(
         draft = spark.read.parquet(f"{base}/drafts/{name}/{part}")
         draft.withColumns(stamps).write.parquet(f"{base}/data/{place}/{part}")
     update.withColumns(stamps).write.parquet(f"{base}/data/{place}/last_update")
-    storage.write_text(spark, f"{base}/live/{place}", "")
     storage.delete(spark, f"{base}/drafts/{name}")
-    for old in storage.names(spark, f"{base}/live")[:-KEPT]:
+    return place
+
+
+def publish_snapshot(spark: SparkSession, path: str, place: str) -> None:
+    """Show a prepared snapshot; older ones, and what was never shown, are removed."""
+    base = path.rstrip("/")
+    storage.write_text(spark, f"{base}/live/{place}", "")
+    shown = storage.names(spark, f"{base}/live")
+    for old in shown[:-KEPT]:
         storage.delete(spark, f"{base}/live/{old}")
-        storage.delete(spark, f"{base}/data/{old}")
+    for old in storage.names(spark, f"{base}/data"):
+        if old < shown[-KEPT:][0]:
+            storage.delete(spark, f"{base}/data/{old}")
 
 
 def read_snapshot(
-    spark: SparkSession, path: str, now: datetime | None = None
+    spark: SparkSession, path: str, now: datetime | None = None, table: str | None = None
 ) -> Snapshot:
     """The newest snapshot that has not lapsed; its parts are empty if none.
 
+    With ``table`` it is the one that the table's manifest names.
+
     A snapshot of which any part cannot be read gives empty parts and the reason;
     all parts are small and are read once to find out. Without ``now`` the parts
     go empty by themselves when their time is over.
@@ -102,7 +131,11 @@ def read_snapshot(
     parts = {name: spark.createDataFrame([], schema) for name, schema in _PARTS.items()}
     stamp, error = None, None
     try:
-        places = storage.names(spark, f"{base}/live")
+        if table:
+            named = tables.manifest(spark, table)[1].get("snapshot")
+            places = [named] if named else []
+        else:
+            places = storage.names(spark, f"{base}/live")
         if places:
             found = {name: part(places[-1], name, schema) for name, schema in _PARTS.items()}
             stamp = found["last_update"].first()

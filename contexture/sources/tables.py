@@ -130,11 +130,17 @@ def _unknown(
 
 
 def write_epoch(
-    batch: DataFrame, base: str, query_id: str, epoch_id: int, unique: Sequence[str] | None = None
+    batch: DataFrame,
+    base: str,
+    query_id: str,
+    epoch_id: int,
+    unique: Sequence[str] | None = None,
+    snapshot: str | None = None,
 ) -> bool:
     """Add one micro-batch; False if it is listed already. An error reaches the caller.
 
-    With ``unique``, rows that another query's folders hold are left out.
+    With ``unique``, rows that another query's folders hold are left out. The name of
+    a prepared ``snapshot`` appears with the rows.
     """
     spark = batch.sparkSession
     entry, asked = None, set()
@@ -151,6 +157,8 @@ def write_epoch(
                 entry | {"query": query_id, "epoch": epoch_id, "at": number + 1}
             )
         content["done"][query_id] = epoch_id
+        if snapshot:
+            content["snapshot"] = snapshot
         if _commit(spark, base, number + 1, content):
             return True
     raise RuntimeError(f"{base}: others kept writing manifests")

@@ -15,8 +15,13 @@ from contexture.operators.context import BUCKET_SECONDS, CONTEXT_COLUMNS, TOLERA
 from contexture.operators.dedup import INCIDENT_KEY, OBSERVATION_KEY
 from contexture.schemas import JOINED_TABLE
 from contexture.sources import storage
-from contexture.sources.snapshot import RECENT_ROWS, TTL_SECONDS, write_snapshot
-from contexture.sources.tables import reset, streaming_query_id, write_epoch
+from contexture.sources.snapshot import (
+    RECENT_ROWS,
+    TTL_SECONDS,
+    prepare_snapshot,
+    publish_snapshot,
+)
+from contexture.sources.tables import manifest, reset, streaming_query_id, write_epoch
 from contexture.sources.topics import (
     INCIDENT_TOPIC,
     WEATHER_TOPIC,
@@ -113,7 +118,7 @@ def table_writer(
     Rows that another query's epochs hold under the same ``unique`` columns are
     left out, so a new checkpoint that begins its topics anew adds nothing twice.
     With a ``config`` that names a snapshot, each of them also replaces the
-    snapshot. A failed write fails the query: the epoch is then run again from
+    snapshot, in the same commit. A failed write fails the query: the epoch is then run again from
     the checkpoint instead of being lost.
     """
 
@@ -126,8 +131,9 @@ def table_writer(
                 log.info("epoch %s: empty", epoch_id)
                 return
             log.info("epoch %s: %s rows", epoch_id, count)
+            place = None
             if config and config.snapshot_path:
-                write_snapshot(
+                place = prepare_snapshot(
                     batch,
                     config.snapshot_path,
                     epoch_id,
@@ -136,8 +142,12 @@ def table_writer(
                 )
             # Files by size of the batch, not by number of state partitions.
             files = -(-count // ROWS_PER_FILE)
-            query_id = streaming_query_id(batch.sparkSession)
-            write_epoch(batch.coalesce(files), path, query_id, epoch_id, unique)
+            spark = batch.sparkSession
+            query_id = streaming_query_id(spark)
+            write_epoch(batch.coalesce(files), path, query_id, epoch_id, unique, place)
+            if place:
+                # Of an epoch that was listed already, the one named with it.
+                publish_snapshot(spark, config.snapshot_path, manifest(spark, path)[1]["snapshot"])
         finally:
             batch.unpersist()
 
