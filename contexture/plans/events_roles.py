@@ -110,3 +110,27 @@ def incident_payloads(source: DataFrame) -> DataFrame:
     items = f"array_repeat({item}, IF({TWICE}, 2, 1))"
     payload = f"IF(event_id % 29 = 0, 'junk', to_json(struct({items} AS incidents)))"
     return source.where(INCIDENT).selectExpr(f"{payload} AS value")
+
+
+def later_weather_payloads(source: DataFrame) -> DataFrame:
+    """Weather payloads with fields that no schema here names, some of them now and then."""
+    conditions = f"""IF(event_id % 11 = 0, CAST(array() AS ARRAY<STRUCT<main: STRING, id: INT>>),
+        array(struct({CONDITION} AS main, {K} AS id)))"""
+    current = f"""struct(unix_seconds({SECOND}) AS dt, {conditions} AS weather,
+        {VISIBILITY} AS visibility, struct(value AS speed, {K} AS deg) AS wind,
+        IF(event_id % 3 = 0, struct(value AS `1h`, value AS `3h`), NULL) AS rain)"""
+    all_ = f"""struct({current} AS current, IF(event_id % 5 = 0, value, NULL) AS lat,
+        IF(event_id % 7 = 0, array(event_type), NULL) AS `alerts.v2`)"""
+    payload = f"IF(event_id % 29 = 0, 'junk', to_json({all_}))"
+    return source.where(OBSERVED).selectExpr(f"{payload} AS value", POLL).drop("poll")
+
+
+def later_incident_payloads(source: DataFrame) -> DataFrame:
+    """Incident payloads with a shape, and at times a length and a flag, for each incident."""
+    item = f"""struct(struct({INCIDENT_ID} AS id, {CATEGORY} AS iconCategory,
+            {MAGNITUDE} AS magnitudeOfDelay, IF(event_id % 2 = 0, value, NULL) AS length,
+            IF(event_id % 10 = 1, true, NULL) AS probable) AS properties,
+        struct('Point' AS type, array(value, value) AS coordinates) AS geometry)"""
+    items = f"array_repeat({item}, IF({TWICE}, 2, 1))"
+    payload = f"IF(event_id % 29 = 0, 'junk', to_json(struct({items} AS incidents)))"
+    return source.where(INCIDENT).selectExpr(f"{payload} AS value")

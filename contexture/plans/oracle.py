@@ -132,6 +132,13 @@ _COMPLETE = """{end} <=
 _MINUTE_END = "t // 60 * 60 + 60"
 _REACH_END = "t // 300 * 300 + 600"
 
+_BOX = """
+SELECT event_id, lat, lon FROM (
+    SELECT event_id, CAST(38.0 AS DOUBLE) + value / 100 AS lat,
+           CAST(-91.0 AS DOUBLE) + user_id / 100 AS lon
+    FROM events)
+WHERE lat BETWEEN 38.0 AND 38.5 AND lon BETWEEN -90.75 AND -90.25"""
+
 ORACLE: dict[str, str] = {
     "normalize_weather": _EVENTS + _PAYLOADS + _WEATHER_ROWS,
     "normalize_incidents": _EVENTS + _PAYLOADS + _INCIDENT_ROWS,
@@ -145,12 +152,46 @@ SELECT category, category_label AS t_type, magnitude, severity_label AS t_severi
        count(*) AS n
 FROM labelled WHERE poll = 1
 GROUP BY ALL""",
-    "bounding_box": """
+    "bounding_box": _BOX,
+    "bounding_box_cells": _BOX,
+    "bounding_box_date_line": """
 SELECT event_id, lat, lon FROM (
-    SELECT event_id, CAST(38.0 AS DOUBLE) + value / 100 AS lat,
-           CAST(-91.0 AS DOUBLE) + user_id / 100 AS lon
-    FROM events)
-WHERE lat BETWEEN 38.0 AND 38.5 AND lon BETWEEN -90.75 AND -90.25""",
+    SELECT event_id, CAST(-17.0 AS DOUBLE) + value / 100 AS lat,
+           CASE WHEN east > 180 THEN east - 360 ELSE east END AS lon
+    FROM (SELECT *, CAST(179.0 AS DOUBLE) + user_id % 200 / 100 AS east FROM events))
+WHERE lat BETWEEN -17.25 AND -16.25
+  AND (lon BETWEEN 179.25 AND 180 OR lon BETWEEN -180 AND -179.75)""",
+    "payload_extras": _EVENTS
+    + """,
+weather AS (SELECT * FROM labelled WHERE event_type IN ('view', 'click')),
+incident AS (SELECT * FROM labelled WHERE event_type IN ('error', 'purchase', 'signup')),
+weather_field AS (
+    SELECT CASE WHEN event_id % 29 = 0 THEN [{'path': '$', 'kind': NULL}] ELSE
+        [{'path': '$.current.wind', 'kind': 'OBJECT'}]
+        || CASE WHEN event_id % 11 <> 0
+           THEN [{'path': '$.current.weather[*].id', 'kind': 'NUMBER'}] ELSE [] END
+        || CASE WHEN event_id % 3 = 0 AND value IS NOT NULL
+           THEN [{'path': '$.current.rain.3h', 'kind': 'NUMBER'}] ELSE [] END
+        || CASE WHEN event_id % 5 = 0 AND value IS NOT NULL
+           THEN [{'path': '$.lat', 'kind': 'NUMBER'}] ELSE [] END
+        || CASE WHEN event_id % 7 = 0
+           THEN [{'path': '$[''alerts.v2'']', 'kind': 'ARRAY'}] ELSE [] END
+        END AS fields
+    FROM weather),
+incident_field AS (
+    SELECT CASE WHEN event_id % 29 = 0 THEN
+            CASE WHEN poll = 1 THEN [{'path': '$', 'kind': NULL}] ELSE [] END
+        ELSE [{'path': '$.incidents[*].geometry', 'kind': 'OBJECT'}]
+        || CASE WHEN event_id % 2 = 0 AND value IS NOT NULL
+           THEN [{'path': '$.incidents[*].properties.length', 'kind': 'NUMBER'}] ELSE [] END
+        || CASE WHEN event_id % 10 = 1
+           THEN [{'path': '$.incidents[*].properties.probable', 'kind': 'BOOLEAN'}] ELSE [] END
+        END AS fields
+    FROM incident)
+SELECT feed, f.path AS path, f.kind AS kind, count(*) AS n
+FROM (SELECT 'weather' AS feed, unnest(fields) AS f FROM weather_field
+      UNION ALL SELECT 'incidents', unnest(fields) FROM incident_field)
+GROUP BY ALL""",
     "minute_bucket": """
 SELECT CAST(floor(epoch(ts) / 60) AS BIGINT) AS minute,
        count(*) FILTER (WHERE event_type IN ('view', 'click')) AS observations,

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from contexture import schemas
 from contexture.functions.codes import category_label, severity_label
 from contexture.functions.times import bucket_number
-from contexture.operators import history, marts, normalize
+from contexture.operators import cells, extras, history, marts, normalize
 from contexture.operators.context import context_join
 from contexture.operators.dedup import INCIDENT_KEY, distinct_incidents
 from contexture.plans import events_roles as roles
@@ -78,13 +79,48 @@ def code_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = roles.events(spark, sf_dir).select(
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.events(spark, sf_dir).select(
         "event_id",
         (F.lit(38.0) + F.col("value") / 100).alias("lat"),
         (F.lit(-91.0) + F.col("user_id") / 100).alias("lon"),
     )
-    return normalize.bounding_box(points, 38.25, -90.5, 0.25)
+
+
+def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.bounding_box(_points(spark, sf_dir), 38.25, -90.5, 0.25)
+
+
+def bounding_box_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same box over points stored in the order of their cells."""
+    path = shared_dir(spark, "points")
+    cells.write_points(_points(spark, sf_dir), path)
+    return cells.read_box(spark, path, 38.25, -90.5, 0.25)
+
+
+def bounding_box_date_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box with points on both sides of the date line."""
+    lon = F.lit(179.0) + F.col("user_id") % 200 / 100
+    points = roles.events(spark, sf_dir).select(
+        "event_id",
+        (F.lit(-17.0) + F.col("value") / 100).alias("lat"),
+        F.when(lon > 180, lon - 360).otherwise(lon).alias("lon"),
+    )
+    path = shared_dir(spark, "points")
+    cells.write_points(points, path)
+    return cells.read_box(spark, path, -16.75, 179.75, 0.5)
+
+
+def payload_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of both feeds that the schemas do not name, by path and kind."""
+    source = roles.events(spark, sf_dir)
+    weather = extras.extras(roles.later_weather_payloads(source), schemas.WEATHER_PAYLOAD)
+    incidents = extras.extras(roles.later_incident_payloads(source), schemas.INCIDENT_PAYLOAD)
+    return (
+        extras.counts(weather)
+        .withColumn("feed", F.lit("weather"))
+        .unionByName(extras.counts(incidents).withColumn("feed", F.lit("incidents")))
+    )
 
 
 def minute_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -721,6 +757,9 @@ QUERIES: dict[str, Query] = {
         incidents_since,
         code_labels,
         bounding_box,
+        bounding_box_cells,
+        bounding_box_date_line,
+        payload_extras,
         minute_bucket,
         incidents_dedup,
         observations_dedup,
