@@ -397,6 +397,28 @@ FROM matched""",
     + """
 SELECT count(*) AS late_rows FROM incident_in
 WHERE t <= (SELECT max(t) FROM incident_in) - 600""",
+    "late_rows_replayed": _EVENTS
+    + _PAYLOADS
+    + """
+SELECT DISTINCT t_id, t AS t_start_epoch, TRUE AS known FROM incident_rows WHERE t IS NOT NULL""",
+    "quarantined": _EVENTS
+    + """,
+message AS (
+    SELECT event_id > (SELECT max(event_id) // 2 FROM events) AS newer,
+           CASE event_id % 23 WHEN 0 THEN NULL WHEN 1 THEN sec - 7200 ELSE sec END AS t
+    FROM labelled
+    WHERE event_type IN ('error', 'purchase', 'signup') AND event_id % 29 <> 0
+      AND (category IS NULL OR category NOT IN (2, 4, 5, 10, 11))),
+parted AS (
+    SELECT CASE WHEN t IS NULL THEN 'without_time'
+        WHEN NOT newer AND t <= (SELECT max(t) FROM message WHERE newer) - 600 THEN 'late'
+        ELSE 'passed' END AS reason
+    FROM message
+    UNION ALL
+    SELECT 'unreadable' FROM labelled
+    WHERE event_type IN ('error', 'purchase', 'signup') AND event_id % 29 = 0 AND poll = 1)
+SELECT reason, count(*) AS n FROM parted GROUP BY reason
+UNION ALL SELECT 'late behind the gate', 0""",
     "pipeline_epochs": _EVENTS
     + """
 SELECT CAST(2 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS epochs, count(*) AS rows

@@ -23,7 +23,7 @@ from contexture.plans import events_roles as roles
 from contexture.session import shared_dir, state_session
 from contexture.sources import landing, ledger, recent, snapshot, tables
 from contexture.sources.topics import INCIDENT_TOPIC, WEATHER_TOPIC, FolderTopics
-from contexture.streaming import drain, intake, pipeline, publish
+from contexture.streaming import drain, intake, pipeline, publish, quarantine
 from contexture.streaming.join import stream_context_join
 from contexture.streaming.progress import Totals
 
@@ -650,6 +650,60 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(late,)], "late_rows bigint")
 
 
+def _gated(spark: SparkSession, sf_dir: str) -> tuple[str, FolderTopics, FolderTopics, int]:
+    """Incident messages through a gate and a stateful query, newer events delivered first.
+
+    Base folder, all topics and those behind the gate, and the rows that the stateful
+    query dropped as late.
+    """
+    source = roles.events(spark, sf_dir)
+    base = shared_dir(spark, "gated")
+    session = state_session(spark)
+    topics, passed = FolderTopics(f"{base}/in"), FolderTopics(f"{base}/out", nested=True)
+    newer = F.col("event_id") > F.lit(source.agg(F.expr("max(event_id) DIV 2")).first()[0])
+    late = 0
+    for part in (source.where(newer), source.where(~newer)):
+        payloads = roles.incident_payloads(part)
+        topics.write(normalize.incident_records(payloads), INCIDENT_TOPIC)
+        payloads.where("value = 'junk'").write.mode("append").text(topics.path(INCIDENT_TOPIC))
+        quarantine.start_gate(
+            session, topics, INCIDENT_TOPIC, passed, f"{base}/kept", f"{base}/gate",
+            trigger=pipeline.AVAILABLE_NOW,
+        ).awaitTermination()
+        rows = intake.incidents_from_topic(passed.read_stream(session, INCIDENT_TOPIC))
+        rows = intake.distinct_incident_stream(rows)
+        with Totals(session) as totals:
+            query = pipeline.table_writer(
+                rows, f"{base}/table", f"{base}/checkpoint", unique=INCIDENT_KEY
+            ).start()
+            query.awaitTermination()
+            late += totals.of(query)["late"]
+    return base, topics, passed, late
+
+
+def late_rows_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """De-duplicated incidents of a stream that met half of them late, and these played again."""
+    base, topics, _, _ = _gated(spark, sf_dir)
+    for _ in (1, 2):
+        quarantine.replay(
+            spark, f"{base}/kept", f"{base}/table", normalize.parse_incidents, INCIDENT_KEY
+        )
+    delivered = normalize.parse_incidents(topics.read(spark, INCIDENT_TOPIC))
+    table = tables.read_table(spark, f"{base}/table", delivered.schema)
+    return _epochs(_known(table, delivered, "known").drop("t_type", "t_severity"))
+
+
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages kept back by reason, those passed on, and those a stateful query then dropped."""
+    base, _, passed, late = _gated(spark, sf_dir)
+    kept = quarantine.read_quarantine(spark, f"{base}/kept")
+    kept = kept.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    messages = passed.read(spark, INCIDENT_TOPIC)
+    return kept.unionByName(
+        messages.agg(F.lit("passed").alias("reason"), F.count(F.lit(1)).alias("n"))
+    ).unionByName(spark.createDataFrame([("late behind the gate", late)], "reason string, n bigint"))
+
+
 def pipeline_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of incidents, then one without any: the latter adds no epoch."""
     source = roles.events(spark, sf_dir)
@@ -805,6 +859,8 @@ QUERIES: dict[str, Query] = {
         stream_context_join_exact_times,
         stream_context_join_first,
         stream_late_rows,
+        late_rows_replayed,
+        quarantined,
         pipeline_epochs,
         pipeline_tables,
         pipeline_first,

@@ -56,6 +56,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """A file or folder under a new name; False if there is one already."""
+    source, files = _resolve(spark, path)
+    target, _ = _resolve(spark, to)
+    return not files.exists(target) and files.rename(source, target)
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     target, files = _resolve(spark, path)
     return files.delete(target, True)

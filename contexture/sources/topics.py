@@ -70,22 +70,29 @@ class KafkaTopics:
 
 @dataclass(frozen=True)
 class FolderTopics:
-    """Topics as folders of text files, one message per line."""
+    """Topics as folders of text files, one message per line.
+
+    With ``nested``, files in folders below count too.
+    """
 
     root: str
     files_per_batch: int | None = None
+    nested: bool = False
+
+    def _nesting(self) -> dict[str, str]:
+        return {"recursiveFileLookup": "true"} if self.nested else {}
 
     def path(self, topic: str) -> str:
         return f"{self.root.rstrip('/')}/{topic}"
 
     def read_stream(self, spark: SparkSession, topic: str) -> DataFrame:
-        reader = spark.readStream
+        reader = spark.readStream.options(**self._nesting())
         if self.files_per_batch:
             reader = reader.option("maxFilesPerTrigger", str(self.files_per_batch))
         return reader.text(self.path(topic))
 
     def read(self, spark: SparkSession, topic: str) -> DataFrame:
-        return spark.read.text(self.path(topic))
+        return spark.read.options(**self._nesting()).text(self.path(topic))
 
     def write(self, records: DataFrame, topic: str) -> None:
         encode(records).write.mode("append").text(self.path(topic))
