@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from contexture.llm import words
 from contexture.llm.components import components
-from contexture.llm.tables import written
+from contexture.llm.tables import free_name, written
 
 SIZE = 5
 PERCENT = 75
@@ -616,18 +616,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = rows.groupBy("class").agg(
         F.min(place).alias("kept"), F.count(F.lit(1)).alias("rows")
     )
+    id_, print_, count = (free_name(docs, n) for n in ("_kept_id", "_kept_print", "_rows"))
     kept = kept.select(
-        F.col("kept.doc_id").alias("_kept_id"),
-        F.col("kept.doc_print").alias("_kept_print"),
-        F.col("rows").alias("_rows"),
+        F.col("kept.doc_id").alias(id_),
+        F.col("kept.doc_print").alias(print_),
+        F.col("rows").alias(count),
     )
     empty = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     full = docs.where(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    same = full["doc_id"].eqNullSafe(kept["_kept_id"]) & (
-        F.xxhash64(full["text"]) == kept["_kept_print"]
-    )
+    same = full["doc_id"].eqNullSafe(kept[id_]) & (F.xxhash64(full["text"]) == kept[print_])
     full = full.join(kept, same)
-    alone = full.where("_rows = 1").select(docs.columns)
+    alone = full.where(F.col(count) == 1).select(docs.columns)
     # Only where a class has several rows can the kept one be there twice.
-    more = full.where("_rows > 1").dropDuplicates(["_kept_id", "_kept_print"]).select(docs.columns)
+    more = full.where(F.col(count) > 1).dropDuplicates([id_, print_]).select(docs.columns)
     return alone.unionByName(more).unionByName(empty)

@@ -184,6 +184,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_ngram_jaccard_join": sql.NGRAM_JACCARD_JOIN,
     "op5_exact_top_k": sql.EXACT_TOP_K,
     "op7_chat_format": sql.CHAT_FORMAT,
     "op8_warc": sql.WARC,

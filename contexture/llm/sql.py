@@ -315,3 +315,30 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id,
   coalesce(vec_id = component_id, false) AS kept
 FROM own JOIN least USING (r) LEFT JOIN counted USING (r)
 """
+
+NGRAM_JACCARD_JOIN = f"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s
+  FROM worded),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b
+  WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+reached AS (
+  SELECT r, r AS other FROM worded
+  UNION SELECT reached.r, links.b FROM reached JOIN links ON links.a = reached.other),
+least AS (
+  SELECT reached.r, min(doc_id) AS component_id
+  FROM reached JOIN worded ON worded.r = reached.other GROUP BY reached.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM worded JOIN least USING (r) LEFT JOIN sizes USING (r)
+"""

@@ -19,17 +19,21 @@ for each possible subsequence. Scoring a text looks up all its gapped
 subsequences, so the work grows with its length and not with the landmarks.
 
 Labels are learnt from at most ``max_docs`` toxic rows and ``CLEAN_TIMES`` as
-many others, chosen by a hash of the doc_id. Nothing but the text enters a score.
+many others, and from ``MAX_CHARS`` characters of whole texts at most, chosen by a
+hash of the doc_id among the labelled documents that have a text. Nothing but the
+text enters a score.
 
 Defined results: a null or empty text scores as one without any
 subsequence; a repeated row scores like the first; null labels and labels for
 unknown documents are not learnt from; without examples of both classes every
-score is 0. Columns other than the text are passed through untouched.
+score is below 1e-200, with a warning. A null doc_id is scored like others and never learnt
+from. Columns other than the text are passed through untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +46,8 @@ from contexture.llm import words
 from contexture.llm.tables import free_name
 
 MAX_DOCS = 200
-MAX_TEXT = 1 << 16
+#: Characters that are learnt from, a quarter of them of toxic texts.
+MAX_CHARS = 8_000_000
 LANDMARKS = 128
 RIDGE = 0.001
 DECAY = 0.6
@@ -179,6 +184,7 @@ class Model:
 
 
 def _nothing() -> Model:
+    warnings.warn("no examples of both classes to learn from: every score is nearly 0", stacklevel=3)
     return Model(np.zeros(1 << 20, dtype=np.float32), 0.0, 0.0, -600.0)
 
 
@@ -383,30 +389,48 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     return model
 
 
+def _fitting(lengths: Sequence[int], count: int, room: int) -> list[int]:
+    """Places of the first ``count`` texts that fit, one after another, into ``room``."""
+    found: list[int] = []
+    for at, length in enumerate(lengths):
+        if length <= room and len(found) < count:
+            found.append(at)
+            room -= length
+    return found
+
+
 def training_rows(
-    docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, held_out=None
+    docs: DataFrame,
+    labels: DataFrame,
+    max_docs: int = MAX_DOCS,
+    held_out=None,
+    max_chars: int = MAX_CHARS,
 ) -> DataFrame:
-    """``text, toxic``: at most ``max_docs`` toxic rows and ``CLEAN_TIMES`` times as many others.
-
-    They are chosen by a hash of their doc_id.
+    """``doc_id, toxic, text``: at most ``max_docs`` toxic rows and ``CLEAN_TIMES`` as many others.
 
-    ``held_out`` is a condition on doc_id of rows never learnt from. Texts longer
-    than ``MAX_TEXT`` characters are not learnt from, so the sample's size is
-    bounded; they are scored like others.
+    Only labels of documents with a text count; of these, the first by a hash of
+    their doc_id that fit, whole, into the characters there are. ``held_out`` is a
+    condition on doc_id of rows never learnt from. Collected: the ids and lengths
+    of twice as many rows as are learnt from.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     if held_out is not None:
         known = known.where(~held_out)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    place = F.xxhash64("doc_id")
-    parts = [
-        known.where(F.col("toxic") == kind).orderBy(place, "doc_id").limit(count)
-        for kind, count in ((0, CLEAN_TIMES * max_docs), (1, max_docs))
-    ]
-    chosen = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= MAX_TEXT)
-    rows = rows.join(F.broadcast(chosen), "doc_id")
-    # A repeated doc_id is one example, so the bound above holds for texts too.
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
+    lengths = texts.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("length"))
+    known = known.join(lengths, "doc_id")
+    chosen = []
+    for kind, count, room in (
+        (0, CLEAN_TIMES * max_docs, max_chars - max_chars // 4),
+        (1, max_docs, max_chars // 4),
+    ):
+        first = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id")
+        first = first.limit(2 * count).collect()
+        chosen += [first[at] for at in _fitting([row["length"] for row in first], count, room)]
+    ids = docs.sparkSession.createDataFrame(chosen, known.schema).select("doc_id", "toxic")
+    # A repeated doc_id is one example, so the bounds hold for texts too.
+    rows = texts.join(F.broadcast(ids), "doc_id")
     return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 

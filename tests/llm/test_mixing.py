@@ -30,7 +30,7 @@ def fill(budget, children):
     return out
 
 
-def brute(rows, share, epochs, seed):
+def brute(rows, share, epochs, seed, targets=WEIGHTS):
     docs = []
     for doc_id, text, lang, source, *_ in rows:
         digit = hashlib.md5((source or "").encode()).hexdigest()[0]
@@ -45,7 +45,7 @@ def brute(rows, share, epochs, seed):
     for depth in range(3):
         for node in [n for n in tree if len(n) == depth]:
             children = [n for n in tree if n[:depth] == node and len(n) == depth + 1]
-            weights = WEIGHTS.get(names[depth], {})
+            weights = targets.get(names[depth], {})
             shares = fill(budget[node], [(c[-1], weights.get(c[-1], 1), tree[c] * epochs) for c in children])
             budget |= {c: shares[c[-1]] for c in children}
     out = []

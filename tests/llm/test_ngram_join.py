@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from contexture.llm import ngram_join
 from contexture.llm.components import components
-from tests.llm.helpers import BLANK, awkward, frame, lower, prose
+from tests.llm.helpers import BLANK, awkward, frame, listed, lower, prose
 
 
 def shingles(text):
@@ -73,6 +73,15 @@ def test_one_row_of_each_group_stays(spark):
     assert kept.count() == len(full) + empty
 
 
+def test_names_of_its_own_may_be_taken(spark):
+    docs = frame(spark, awkward())
+    taken = docs.selectExpr("*", "1 AS _kept_id", "'x' AS _KEPT_PRINT", "2 AS _rows")
+    kept = ngram_join.one_of_each(taken)
+    assert kept.columns == taken.columns
+    plain = ngram_join.one_of_each(docs)
+    assert listed(kept.select(docs.columns)) == listed(plain)
+
+
 def test_empty_table(spark):
     assert ngram_join.linked(frame(spark, [])).collect() == []
     assert ngram_join.one_of_each(frame(spark, [])).collect() == []

@@ -3,9 +3,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from contexture.llm import toxicity, words
+from contexture.llm import queries, toxicity, words
+from tests.conftest import TESTDATA
 from tests.llm.helpers import awkward, frame, prose
 
+SF = TESTDATA / "sf0.1"
+
 INSULTS = ["blockhead", "numbskull", "dimwit"]
 
 
@@ -78,3 +81,56 @@ def test_without_labels_nothing_is_toxic(spark):
     docs = frame(spark, awkward())
     assert toxicity.clean(docs, labels).count() == len(awkward())
     assert toxicity.clean(frame(spark, []), labels).collect() == []
+
+
+def test_the_sample_is_of_documents_with_a_text_and_fits_its_characters(spark):
+    """Labels without documents, null texts and texts without room do not shrink it."""
+    rows = [(k, "w" * (10 + k % 5), "en", "a", 1) for k in range(200)]
+    rows += [(500, None, "en", "a", 1), (501, "x" * 5000, "en", "a", 1), (None, "y", "en", "a", 1)]
+    labels = [(k, 1, k % 2) for k in range(200)] + [(k, 1, 1) for k in range(500, 900)]
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    docs = frame(spark, rows)
+    found = toxicity.training_rows(docs, labels, max_docs=10).collect()
+    assert sum(r["toxic"] for r in found) == 10 and len(found) == 70
+    found = toxicity.training_rows(docs, labels, max_docs=10, max_chars=400).collect()
+    assert all(len(r["text"]) < 5000 for r in found)
+    for kind, room in ((0, 300), (1, 100)):
+        used = sum(len(r["text"]) for r in found if r["toxic"] == kind)
+        assert room - 15 < used <= room
+
+
+def test_whole_long_texts_are_learnt_from(spark):
+    long = prose(3, 30_000)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    docs = frame(spark, [(1, long, "en", "a", 1), (2, prose(4, 5), "en", "a", 1)])
+    found = {r["toxic"]: r["text"] for r in toxicity.training_rows(docs, labels).collect()}
+    assert found[1] == long and len(long) > 65_536
+
+
+def test_one_class_alone_warns(spark):
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    docs = frame(spark, awkward())
+    with pytest.warns(UserWarning, match="both classes"):
+        found = toxicity.scored(docs, toxicity.train(docs, labels))
+    assert all(0 <= r["score"] < 1e-200 for r in found.collect())
+
+
+def test_margin_of_a_text_is_that_of_its_worst_word(model):
+    """A text scores like the worst of its words, each scored with what follows it."""
+    text = f"{prose(70, 40)} numbskull {prose(71, 40)}"
+    parts = text.split(" ")
+    alone = [scores(model, [" ".join(parts[k:])])[0] for k in range(len(parts))]
+    assert scores(model, [text])[0] == pytest.approx(max(alone), abs=1e-6)
+
+
+def test_held_out_rows_are_told_apart(spark):
+    """The query on whole tables, held against labels it has not seen.
+
+    On these tables 71 of 83 toxic rows were found, and 67 of 742 others taken for toxic.
+    """
+    found = queries.op4_toxicity(spark, str(SF)).where("held_out")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    rows = found.join(labels, "doc_id").where("toxic IN (0, 1)").collect()
+    said = {kind: [r["predicted"] for r in rows if r["toxic"] == kind] for kind in (0, 1)}
+    assert len(said[1]) > 50 and np.mean(said[1]) >= 0.8
+    assert len(said[0]) > 500 and np.mean(said[0]) <= 0.12
