@@ -1,19 +1,23 @@
 """Conversations as packed token trees: shared beginnings are written once.
 
-Conversations are sorted by the path of their turns, so those that begin alike
-stand together and a task walks them as a prefix tree, depth first: a turn is
-written when it first appears, and a conversation that repeats the turns before
-it only adds what is new. A pack is closed before it grows beyond ``PACK_CHARS``
-characters, so one first turn that many conversations share is written once per
-pack and no task holds the whole of it. Equal conversations are one path; the
-table of members says which conversations have it, so copies cost a row each.
+The turns of a conversation pass in order and are cut into pieces, each closed by
+the turn that brings it to ``PACK_CHARS`` characters. Where a piece ends follows
+from the turns before alone, so conversations that begin alike are cut alike, and a
+piece is known by the hash of all turns up to its end: pieces are the nodes of one
+tree over conversations of every length. Pieces behind the same turns are sorted by
+the path of their own turns, and a task walks them as a prefix tree, depth first: a
+turn is written when it first appears, and a piece that repeats the turns before it
+only adds what is new. A pack is closed before it grows beyond ``PACK_CHARS``
+characters (a single piece may), so one first turn that many conversations share is
+written once per pack and no task holds the whole of it. Equal pieces are one path.
 
 Each node of a pack is one formatted turn with its place in the pack's text, its
 parent, its position ids (a turn goes on counting where its parent ended, not
-where the pack does) and its attention: the intervals of its ancestors, besides
-what stands before it in its own. The unit is the character; a model's tokenizer
-may cut nodes further without crossing their bounds. The loss mask covers the text
-of assistant turns.
+where the pack does; the first of a pack where the turns ``above`` it ended) and its
+attention: the intervals of its ancestors in the pack, besides what stands before it
+in its own, and all of the path ``above``, which is a leaf of another pack. The unit is
+the character; a model's tokenizer may cut nodes further without crossing their
+bounds. The loss mask covers the text of assistant turns.
 
 Template: ``[INST] `` and `` [/INST]`` around a user turn, ``</s>`` after an
 assistant turn, ``<<SYS>>`` and ``<</SYS>>`` around a system turn, and
@@ -27,12 +31,9 @@ turns of their own; turns are in order of turn, then role, then text, nulls firs
 a null conv_id is a conversation like others; an empty table has no packs. Extra
 columns are not read.
 
-A conversation of more than ``LONG_CHARS`` characters stays as rows: its turns
-pass through a task in order and leave as a chain of packs, each closed before it
-grows beyond ``PACK_CHARS``, and are read back in the same way. Such a conversation
-is longer than a pack and shares none with others; equal ones are one path here too.
-Its turns go through one task, as a digest takes them in sequence, but that task
-holds one pack at a time, whatever the length.
+The turns of one conversation go through one task in order, as its digests take them
+in sequence; that task holds one piece at a time, whatever the length. A single turn
+is one row.
 """
 
 from __future__ import annotations
@@ -50,8 +51,9 @@ from contexture.llm import words
 from contexture.llm.tables import written
 
 PACK_CHARS = 1 << 16
-LONG_CHARS = 1 << 20
-_TURN_CHARS = 16  # what a turn counts for besides its role and text
+#: What stands above the first piece of a conversation.
+ROOT = hashlib.sha256().hexdigest()
+_BATCH_CHARS = 1 << 20
 
 _ESCAPED = re.compile(r"[\\\[<]")
 _MARKS = {
@@ -60,16 +62,20 @@ _MARKS = {
     "system": ("<<SYS>>", "<</SYS>>"),
 }
 
+TURNS = "array<struct<role:string,text:string>>"
+PIECE_SCHEMA = (
+    "conv_id bigint, part bigint, above string, path string, start bigint, "
+    f"full boolean, last boolean, turns {TURNS}"
+)
 NODE = (
-    "array<struct<begin:int,head:int,tail:int,end:int,parent:int,position:int,role:string,"
+    "array<struct<begin:int,head:int,tail:int,end:int,parent:int,position:bigint,role:string,"
     "attends:array<struct<begin:int,end:int>>>>"
 )
 PACK_SCHEMA = (
-    f"pack string, text string, nodes {NODE}, "
-    "leaves array<struct<path:string,node:int>>"
+    f"pack string, above string, start bigint, text string, nodes {NODE}, "
+    "leaves array<struct<path:string,node:int,full:boolean>>"
 )
-#: A part's nodes also attend to all of the parts before it; positions go on over parts.
-CHAIN_SCHEMA = f"path string, part bigint, text string, nodes {NODE.replace('position:int', 'position:bigint')}"
+SAID_SCHEMA = "path string, nth bigint, role string, text string, chars bigint"
 READ_SCHEMA = (
     "path string, n_turns bigint, turns_sha256 string, loss_chars bigint, "
     "loss_sha256 string, formatted_chars bigint"
@@ -90,32 +96,81 @@ def format_turn(role: str, text: str) -> tuple[str, str, str]:
     return head, escape(text), tail
 
 
-def conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``path, turns`` of each distinct conversation, and the members ``conv_id, path``.
+def read_turn(head: str, body: str) -> tuple[str, str]:
+    """Role and text of a formatted turn, from what stands before its text and the text."""
+    for role, (mark, _) in _MARKS.items():
+        if head == mark:
+            return role, unescape(body)
+    return unescape(head[2:-2]), unescape(body)
+
+
+def _formatted_chars(role: str, text: str) -> int:
+    head, _, tail = format_turn(role, "")
+    return len(head) + len(tail) + len(text) + sum(map(text.count, "\\[<"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch, _, _ in words.chunks(batches, "text"):
+        yield from batch.to_pylist()
+
 
-    A path is a hash of the whole conversation; ``turns`` are its roles and texts.
+def _pieces_of(conv_id: int | None, rows: Iterator[dict], limit: int) -> Iterator[dict]:
+    """One conversation's turns, in order, as pieces; the path so far is a running hash."""
+    so_far = hashlib.sha256()
+    piece: dict | None = None
+    part = start = size = 0
+    for row in rows:
+        if piece and piece["full"]:
+            yield piece
+            piece, part, start, size = None, part + 1, start + size, 0
+        if piece is None:
+            piece = {"conv_id": conv_id, "part": part, "above": so_far.hexdigest(), "start": start}
+            piece |= {"full": False, "last": False, "turns": []}
+        role, text = row["role"], row["text"]
+        size += _formatted_chars(role, text)
+        piece["turns"].append({"role": role, "text": text})
+        piece["full"] = size >= limit
+        role, text = role.encode(), text.encode()
+        so_far.update(b"%d:%d:" % (len(role), len(text)) + role + text)
+        piece["path"] = so_far.hexdigest()
+    yield piece | {"last": True}
+
+
+def pieces(turns: DataFrame, piece_chars: int = PACK_CHARS) -> DataFrame:
+    """The pieces of all conversations, as a written table.
+
+    ``path`` is a hash of all turns up to the piece's end, ``above`` of those before
+    it, and ``start`` counts the formatted characters of the latter.
     """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, room = [], _BATCH_CHARS
+        for conv_id, own in groupby(_rows(batches), key=lambda row: row["conv_id"]):
+            for piece in _pieces_of(conv_id, own, piece_chars):
+                made.append(piece)
+                room -= 256 + sum(len(t["role"]) + len(t["text"]) for t in piece["turns"])
+                if room < 0:
+                    yield pa.RecordBatch.from_pylist(made, schema=_PIECE_TYPE)
+                    made, room = [], _BATCH_CHARS
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=_PIECE_TYPE)
+
     empty = F.lit("")
-    turn = F.struct(
-        F.col("turn"),
+    rows = turns.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"),
+        "turn",
         F.coalesce(F.col("role").cast("string"), empty).alias("role"),
         F.coalesce(F.col("text").cast("string"), empty).alias("text"),
     )
-    rows = turns.groupBy(F.col("conv_id").cast("bigint").alias("conv_id")).agg(
-        F.array_sort(F.collect_list(turn)).alias("turns")
-    )
-    rows = rows.select(
-        "conv_id", F.expr("transform(turns, t -> named_struct('role', t.role, 'text', t.text))").alias("turns")
-    )
-    rows = rows.withColumn("path", F.sha2(F.to_json("turns"), 256))
-    rows = written(rows, "conversations")
-    return rows.select("path", "turns"), rows.select("conv_id", "path")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return written(rows.mapInArrow(cut, PIECE_SCHEMA), "pieces")
 
 
 class _Pack:
-    """One tree under construction."""
+    """One tree under construction, behind the turns ``above`` it."""
 
-    def __init__(self) -> None:
+    def __init__(self, above: str, start: int) -> None:
+        self.above, self.start = above, start
         self.parts: list[str] = []
         self.size = 0
         self.nodes: list[dict] = []
@@ -123,7 +178,7 @@ class _Pack:
         self.way: list[tuple[tuple[str, str], int]] = []  # turn and node, from the root
 
     def cost(self, turns: list[tuple[str, str]]) -> int:
-        return sum(len(role) + len(text) + _TURN_CHARS for role, text in turns[self.common(turns) :])
+        return sum(_formatted_chars(*turn) for turn in turns[self.common(turns) :])
 
     def common(self, turns: list[tuple[str, str]]) -> int:
         count = 0
@@ -133,13 +188,13 @@ class _Pack:
             count += 1
         return count
 
-    def add(self, path: str, turns: list[tuple[str, str]]) -> None:
+    def add(self, path: str, turns: list[tuple[str, str]], full: bool) -> None:
         del self.way[self.common(turns) :]
         for role, text in turns[len(self.way) :]:
             head, body, tail = format_turn(role, text)
             parent = self.way[-1][1] if self.way else -1
             attends = []
-            position = 0
+            position = self.start
             if parent >= 0:
                 above = self.nodes[parent]
                 position = above["position"] + above["end"] - above["begin"]
@@ -164,220 +219,167 @@ class _Pack:
                 }
             )
             self.way.append(((role, text), len(self.nodes) - 1))
-        self.leaves.append({"path": path, "node": self.way[-1][1] if self.way else -1})
+        self.leaves.append({"path": path, "node": self.way[-1][1], "full": full})
 
     def row(self) -> dict:
         text = "".join(self.parts)
         name = hashlib.sha256("".join(leaf["path"] for leaf in self.leaves).encode()).hexdigest()
-        return {"pack": name, "text": text, "nodes": self.nodes, "leaves": self.leaves}
+        return {
+            "pack": name,
+            "above": self.above,
+            "start": self.start,
+            "text": text,
+            "nodes": self.nodes,
+            "leaves": self.leaves,
+        }
 
 
+_PIECE_TYPE = pa.schema(
+    [
+        ("conv_id", pa.int64()),
+        ("part", pa.int64()),
+        ("above", pa.string()),
+        ("path", pa.string()),
+        ("start", pa.int64()),
+        ("full", pa.bool_()),
+        ("last", pa.bool_()),
+        ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))),
+    ]
+)
 _NODE_TYPE = pa.list_(
     pa.struct(
-        [(name, pa.int32()) for name in ("begin", "head", "tail", "end", "parent", "position")]
+        [(name, pa.int32()) for name in ("begin", "head", "tail", "end", "parent")]
         + [
+            ("position", pa.int64()),
             ("role", pa.string()),
             ("attends", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
         ]
     )
 )
-_CHAIN_TYPE = pa.list_(
-    pa.struct(
-        [
-            pa.field(part.name, pa.int64()) if part.name == "position" else part
-            for part in _NODE_TYPE.value_type
-        ]
-    )
-)
+_LEAF_TYPE = pa.struct([("path", pa.string()), ("node", pa.int32()), ("full", pa.bool_())])
 _PACK_TYPE = pa.schema(
     [
         ("pack", pa.string()),
+        ("above", pa.string()),
+        ("start", pa.int64()),
         ("text", pa.string()),
         ("nodes", _NODE_TYPE),
-        ("leaves", pa.list_(pa.struct([("path", pa.string()), ("node", pa.int32())]))),
+        ("leaves", pa.list_(_LEAF_TYPE)),
+    ]
+)
+_SAID_TYPE = pa.schema(
+    [
+        ("path", pa.string()),
+        ("nth", pa.int64()),
+        ("role", pa.string()),
+        ("text", pa.string()),
+        ("chars", pa.int64()),
     ]
 )
 
 
-def packed(paths: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
-    """The packs of distinct conversations ``path, turns``, as a written table."""
+def packed(own: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
+    """The packs of distinct ``pieces``, as a written table."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = _Pack(), None
+        tree = None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                if row["path"] == last:
-                    continue
-                last = row["path"]
                 turns = [(turn["role"], turn["text"]) for turn in row["turns"]]
-                if own.leaves and own.size + own.cost(turns) > pack_chars:
-                    yield pa.RecordBatch.from_pylist([own.row()], schema=_PACK_TYPE)
-                    own = _Pack()
-                own.add(row["path"], turns)
-        if own.leaves:
-            yield pa.RecordBatch.from_pylist([own.row()], schema=_PACK_TYPE)
-
-    distinct = paths.dropDuplicates(["path"])
+                if tree and (
+                    tree.above != row["above"] or tree.size + tree.cost(turns) > pack_chars
+                ):
+                    yield pa.RecordBatch.from_pylist([tree.row()], schema=_PACK_TYPE)
+                    tree = None
+                tree = tree or _Pack(row["above"], row["start"])
+                tree.add(row["path"], turns, row["full"])
+        if tree:
+            yield pa.RecordBatch.from_pylist([tree.row()], schema=_PACK_TYPE)
+
+    distinct = own.select("above", "start", "path", "full", "turns").dropDuplicates(["path"])
     # The order of a walk through the tree: by a short hash of each turn in turn.
     steps = F.expr("array_join(transform(turns, t -> lpad(hex(xxhash64(t.role, t.text)), 16, '0')), '')")
+    order = ["above", "steps", "path"]
     distinct = distinct.withColumn("steps", steps)
-    distinct = distinct.repartitionByRange("steps", "path").sortWithinPartitions("steps", "path")
-    return written(distinct.select("path", "turns").mapInArrow(pack, PACK_SCHEMA), "packs")
-
-
-def _read_back(pack: dict) -> Iterator[dict]:
-    nodes, text = pack["nodes"], pack["text"]
-    for leaf in pack["leaves"]:
-        way, node = [], leaf["node"]
-        while node >= 0:
-            way.append(nodes[node])
-            node = nodes[node]["parent"]
-        turns, loss = hashlib.sha256(), hashlib.sha256()
-        chars = formatted = 0
-        for node in reversed(way):
-            body = unescape(text[node["head"] : node["tail"]])
-            turns.update(f"{node['role']}\n{body}\n".encode())
-            formatted += node["end"] - node["begin"]
-            if node["role"] == "assistant":
-                loss.update(body.encode())
-                chars += len(body)
-        yield {
-            "path": leaf["path"],
-            "n_turns": len(way),
-            "turns_sha256": turns.hexdigest(),
-            "loss_chars": chars,
-            "loss_sha256": loss.hexdigest(),
-            "formatted_chars": formatted,
-        }
+    distinct = distinct.repartitionByRange(*order).sortWithinPartitions(*order).drop("steps")
+    return written(distinct.mapInArrow(pack, PACK_SCHEMA), "packs")
 
 
-def digests(packs: DataFrame, members: DataFrame) -> DataFrame:
-    """Per conversation what its path in the packs says, read back from their texts."""
+def _way(pack: dict, leaf: dict) -> Iterator[tuple[str, str, int]]:
+    """Role, text and formatted size of each turn from the pack's root to a leaf, read from its text."""
+    nodes, text, way, at = pack["nodes"], pack["text"], [], leaf["node"]
+    while at >= 0:
+        way.append(nodes[at])
+        at = nodes[at]["parent"]
+    for node in reversed(way):
+        role, said = read_turn(text[node["begin"] : node["head"]], text[node["head"] : node["tail"]])
+        yield role, said, node["end"] - node["begin"]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        names = [part.split()[0] for part in READ_SCHEMA.split(", ")]
-        for batch in batches:
-            for k in range(batch.num_rows):
-                rows = list(_read_back(batch.slice(k, 1).to_pylist()[0]))
-                columns = [pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    found = packs.mapInArrow(read, READ_SCHEMA)
-    return members.join(found, "path").drop("path")
+def _digest(path: str, turns: Iterator[tuple[str, str, int]]) -> tuple:
+    said, loss = hashlib.sha256(), hashlib.sha256()
+    count = chars = size = 0
+    for role, text, own in turns:
+        said.update(f"{role}\n{text}\n".encode())
+        count += 1
+        size += own
+        if role == "assistant":
+            loss.update(text.encode())
+            chars += len(text)
+    return path, count, said.hexdigest(), chars, loss.hexdigest(), size
 
 
-def _turns(turns: DataFrame) -> DataFrame:
-    empty = F.lit("")
-    return turns.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"),
-        "turn",
-        F.coalesce(F.col("role").cast("string"), empty).alias("role"),
-        F.coalesce(F.col("text").cast("string"), empty).alias("text"),
-    )
+def _digest_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = [part.split()[0] for part in READ_SCHEMA.split(", ")]
+    columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def long_ids(turns: DataFrame) -> DataFrame:
-    """``long_id`` of the conversations too long for a row, as a written table."""
-    size = F.sum(F.char_length("role") + F.char_length("text") + F.lit(_TURN_CHARS))
-    sizes = turns.groupBy("conv_id").agg(size.alias("size"))
-    sizes = sizes.where(F.col("size") > LONG_CHARS)
-    return written(sizes.select(F.col("conv_id").alias("long_id")), "long-ids")
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _in_order(turns: DataFrame, key: str) -> DataFrame:
-    return turns.repartition(key).sortWithinPartitions(key, "turn", "role", "text")
+def digests(packs: DataFrame, own: DataFrame) -> DataFrame:
+    """Per conversation what its way through the packs says, read back from their texts.
 
+    A way of one piece is told by its pack. Those of several are brought together,
+    a turn a row, and read in order.
+    """
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch, _, _ in words.chunks(batches, "text"):
-        yield from batch.to_pylist()
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in _packs(batches):
+            yield _digest_rows([_digest(leaf["path"], _way(pack, leaf)) for leaf in pack["leaves"]])
 
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in _packs(batches):
+            for leaf in pack["leaves"]:
+                if leaf["full"] or pack["above"] != ROOT:
+                    rows = [(leaf["path"], nth, *turn) for nth, turn in enumerate(_way(pack, leaf))]
+                    columns = [pa.array(v, t.type) for v, t in zip(zip(*rows), _SAID_TYPE, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_SAID_TYPE)
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``conv_id, path`` of sorted turns; a path is a hash of the whole conversation."""
-    for conv_id, own in groupby(_rows(batches), key=lambda row: row["conv_id"]):
-        path = hashlib.sha256()
-        for row in own:
-            role, text = row["role"].encode(), row["text"].encode()
-            path.update(b"%d:%d:" % (len(role), len(text)) + role + text)
-        columns = [pa.array([conv_id], pa.int64()), pa.array([path.hexdigest()], pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "path"])
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, rows in groupby(_rows(batches), key=lambda row: row["path"]):
+            yield _digest_rows([_digest(path, ((r["role"], r["text"], r["chars"]) for r in rows))])
 
+    members = own.where("last").select("conv_id", "path", "part")
+    short = packs.where(F.col("above") == ROOT).mapInArrow(whole, READ_SCHEMA)
+    short = members.where("part = 0").drop("part").join(short, "path")
 
-def _chain(path: str, rows: Iterator[dict], pack_chars: int) -> Iterator[dict]:
-    """A conversation's turns as packs, one behind the other."""
-    part = before = size = cost = 0
-    parts: list[str] = []
-    nodes: list[dict] = []
-    for row in rows:
-        own = len(row["role"]) + len(row["text"]) + _TURN_CHARS
-        if nodes and cost + own > pack_chars:
-            yield {"path": path, "part": part, "text": "".join(parts), "nodes": nodes}
-            part, before, size, cost, parts, nodes = part + 1, before + size, 0, 0, [], []
-        head, body, tail = format_turn(row["role"], row["text"])
-        begin, size = size, size + len(head) + len(body) + len(tail)
-        cost += own
-        parts += [head, body, tail]
-        nodes.append(
-            {
-                "begin": begin,
-                "head": begin + len(head),
-                "tail": size - len(tail),
-                "end": size,
-                "parent": len(nodes) - 1,
-                "position": before + begin,
-                "role": row["role"],
-                "attends": [{"begin": 0, "end": begin}] if begin else [],
-            }
-        )
-    yield {"path": path, "part": part, "text": "".join(parts), "nodes": nodes}
-
-
-def long_packed(turns: DataFrame, pack_chars: int = PACK_CHARS) -> tuple[DataFrame, DataFrame]:
-    """The packs of long conversations, and the members ``conv_id, path``, as written tables."""
-    members = _in_order(turns, "conv_id").mapInArrow(_hashed, "conv_id bigint, path string")
-    members = written(members, "long-members")
+    members = members.where("part > 0").drop("part")
     one = members.groupBy("path").agg(F.min("conv_id").alias("one"))
-    rows = turns.join(one, F.col("conv_id").eqNullSafe(F.col("one")))
-    rows = _in_order(rows.select("path", "turn", "role", "text"), "path")
-    schema = pa.schema(
-        [("path", pa.string()), ("part", pa.int64()), ("text", pa.string()), ("nodes", _CHAIN_TYPE)]
-    )
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, own in groupby(_rows(batches), key=lambda row: row["path"]):
-            for found in _chain(path, own, pack_chars):
-                yield pa.RecordBatch.from_pylist([found], schema=schema)
-
-    return written(rows.mapInArrow(pack, CHAIN_SCHEMA), "long-packs"), members
-
-
-def long_digests(packs: DataFrame, members: DataFrame) -> DataFrame:
-    """``digests`` of chains of packs, read one pack after the other."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        names = [part.split()[0] for part in READ_SCHEMA.split(", ")]
-        for path, own in groupby(_rows(batches), key=lambda row: row["path"]):
-            turns, loss = hashlib.sha256(), hashlib.sha256()
-            count = chars = formatted = 0
-            for pack in own:
-                for node in pack["nodes"]:
-                    body = unescape(pack["text"][node["head"] : node["tail"]])
-                    turns.update(f"{node['role']}\n{body}\n".encode())
-                    count += 1
-                    formatted += node["end"] - node["begin"]
-                    if node["role"] == "assistant":
-                        loss.update(body.encode())
-                        chars += len(body)
-            found = [path, count, turns.hexdigest(), chars, loss.hexdigest(), formatted]
-            columns = [pa.array([x], kind) for x, kind in zip(found, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    found = packs.repartition("path").sortWithinPartitions("path", "part")
-    return members.join(found.mapInArrow(read, READ_SCHEMA), "path").drop("path")
+    parts = own.select("conv_id", "part", F.col("path").alias("piece"))
+    parts = parts.join(one, F.col("conv_id").eqNullSafe(F.col("one"))).select("path", "part", "piece")
+    many = packs.where((F.col("above") != ROOT) | F.expr("exists(leaves, l -> l.full)"))
+    many = many.mapInArrow(said, SAID_SCHEMA).withColumnRenamed("path", "piece")
+    many = parts.join(many, "piece").select("path", "part", "nth", "role", "text", "chars")
+    many = many.repartition("path").sortWithinPartitions("path", "part", "nth")
+    many = members.join(many.mapInArrow(in_order, READ_SCHEMA), "path")
+    return short.unionByName(many).drop("path")
 
 
 def control_conversation(spark: SparkSession) -> DataFrame:
@@ -391,12 +393,5 @@ def control_conversation(spark: SparkSession) -> DataFrame:
 
 def formatted(turns: DataFrame) -> DataFrame:
     """Packs all conversations and reads each one back."""
-    turns = _turns(turns)
-    ids = long_ids(turns)
-    if ids.isEmpty():
-        paths, members = conversations(turns)
-        return digests(packed(paths), members)
-    is_long = F.col("conv_id").eqNullSafe(F.col("long_id"))
-    paths, members = conversations(turns.join(ids, is_long, "left_anti"))
-    found = digests(packed(paths), members)
-    return found.unionByName(long_digests(*long_packed(turns.join(ids, is_long, "left_semi"))))
+    own = pieces(turns)
+    return digests(packed(own), own)

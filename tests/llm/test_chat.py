@@ -36,17 +36,17 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("piece_chars", [1 << 16, 60, 1])
 @pytest.mark.parametrize("pack_chars", [1 << 16, 60])
-def test_conversations_come_back(spark, pack_chars):
-    paths, members = chat.conversations(spark.createDataFrame(turns(), SCHEMA).repartition(3))
-    packs = chat.packed(paths, pack_chars)
-    found = chat.digests(packs, members)
+def test_conversations_come_back(spark, pack_chars, piece_chars):
+    own = chat.pieces(spark.createDataFrame(turns(), SCHEMA).repartition(3), piece_chars)
+    found = chat.digests(chat.packed(own, pack_chars), own)
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(turns())
 
 
 def test_shared_turns_are_written_once_with_their_attention(spark):
-    paths, _ = chat.conversations(spark.createDataFrame(turns(), SCHEMA).where("conv_id >= 100"))
-    packs = chat.packed(paths.coalesce(1)).collect()
+    own = chat.pieces(spark.createDataFrame(turns(), SCHEMA).where("conv_id >= 100"))
+    packs = chat.packed(own.coalesce(1)).collect()
     assert sum(pack["text"].count("same 0") for pack in packs) == len(packs)
     for pack in packs:
         for node in pack["nodes"]:
@@ -70,33 +70,44 @@ def test_empty_table(spark):
     assert chat.formatted(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_long_conversations_stay_rows(spark, monkeypatch):
-    """Also those of no id, and copies; no row holds more than a short one."""
-    monkeypatch.setattr(chat, "LONG_CHARS", 2_000)
+def test_long_conversations_of_all_kinds(spark):
+    """Of no id, in copies, with equal turns: the same path for every length."""
     rows = turns() + [(None, t, ("user", "assistant")[t % 2], f"{SAID} {t}") for t in range(1, 3000)]
     rows += [(conv, t // 2, ("user", "assistant")[t % 2], f"ü {t}") for conv in (7, 8) for t in range(400)]
-    sizes, conversations = [], chat.conversations
-
-    def watched(df):
-        paths, members = conversations(df)
-        sizes.append(paths.selectExpr("max(size(turns))").first()[0])
-        return paths, members
-
-    monkeypatch.setattr(chat, "conversations", watched)
+    rows += [(9, t, "assistant", "x" * 1_000) for t in range(1_500)]
     found = chat.formatted(spark.createDataFrame(rows, SCHEMA).repartition(5))
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows)
-    assert sizes and max(sizes) < 100
 
 
-def test_a_long_conversation_is_a_chain_of_packs(spark):
-    own = spark.createDataFrame([(c, t, "user", f"{t}") for c in (7, 8) for t in range(300)], SCHEMA)
-    packs, members = chat.long_packed(own, 500)
-    assert members.count() == 2 and members.select("path").distinct().count() == 1
-    packs = sorted(packs.collect(), key=lambda row: row["part"])
-    assert [pack["part"] for pack in packs] == list(range(len(packs))) and len(packs) > 5
-    before = 0
+def test_long_and_short_conversations_share_their_turns(spark):
+    """A conversation goes on behind the packs of those it begins like."""
+    begin = [("user", "a shared question"), *(("assistant", f"shared {t}") for t in range(60))]
+    convs = {7: begin + [("user", f"{t}") for t in range(300)], 8: begin[:2], 9: begin + [("user", "end")], 10: begin}
+    rows = [(conv, t, role, text) for conv, own in convs.items() for t, (role, text) in enumerate(own)]
+    own = chat.pieces(spark.createDataFrame(rows, SCHEMA).repartition(4), 500).cache()
+    packs = chat.packed(own.coalesce(1), 2_000)
+    found = chat.digests(packs, own)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows)
+    packs = packs.collect()
+    assert sum(pack["text"].count("a shared question") for pack in packs) == 1
+    assert sum(pack["text"].count("shared 59") for pack in packs) == 1
+    ends = {leaf["path"]: (pack, leaf["node"]) for pack in packs for leaf in pack["leaves"]}
+    assert max(len(pack["text"]) for pack in packs) < 2_000 and len(packs) > 5
     for pack in packs:
-        assert sum(len(node["role"]) + node["tail"] - node["head"] + 16 for node in pack["nodes"]) <= 500
+        if pack["above"] != chat.ROOT:
+            above, at = ends[pack["above"]]
+            assert above["nodes"][at]["position"] + above["nodes"][at]["end"] - above["nodes"][at]["begin"] == pack["start"]
         for node in pack["nodes"]:
-            assert node["position"] == before + sum(a["end"] - a["begin"] for a in node["attends"])
-        before += len(pack["text"])
+            assert node["position"] == pack["start"] + sum(a["end"] - a["begin"] for a in node["attends"])
+
+
+def test_roles_are_read_from_the_text(spark):
+    for role in ("user", "assistant", "system", "", "tool|x<", "a\\b", "|>", "INST"):
+        head, body, _ = chat.format_turn(role, SAID)
+        assert chat.read_turn(head, body) == (role, SAID)
+
+
+def test_columns_of_other_names_are_not_read(spark):
+    frame = spark.createDataFrame(turns(), SCHEMA).selectExpr("*", "1 AS part", "'x' AS path", "2 AS above")
+    found = chat.formatted(frame)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(turns())
