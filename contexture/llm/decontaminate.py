@@ -6,10 +6,16 @@ occurs, and its positions, ordered by word and position. The index is split by
 document, so a phrase is looked up where all its words' postings lie and
 postings are never shuffled.
 
-``phrase_hits`` takes each test phrase's rarest word in the segment, and cuts
-its list with those of the phrase's other words, each shifted by its offset,
-rarest first. What is left are the exact occurrences. ``near_hits`` finds places
-where all words of a phrase lie close together in any order.
+``windows`` cuts the items into phrases, as a table of distinct ones with numbers and
+a table of whose they are. Phrases go to the tasks in blocks of counted size; items
+stay a table and are joined with what was found.
+
+``hits`` takes each phrase's rarest word in the segment, and cuts its list with those
+of the phrase's other words, each shifted by its offset, rarest first. What is left
+are the exact occurrences. With ``span`` it finds proximity matches: for every document
+word that is one of the phrase's, the shortest stretch from it that holds all words of
+the phrase in any order, if that is not longer than ``span`` words. A word that a phrase
+has twice counts once there, and so an exact occurrence is a match too.
 
 Defined results: null and empty texts have no words and no hits; a null doc_id
 is a document like others; a repeated row is a document of its own; items
@@ -33,16 +39,18 @@ from contexture.llm.tables import written
 
 WINDOW = 10
 SEGMENT_WORDS = 1 << 20
-ITEM_BLOCK_BYTES = 16 << 20
+SPAN = 20
+#: Eight bytes a word of each phrase; a task also holds them as places in a vocabulary.
+PHRASE_BLOCK_BYTES = 32 << 20
+_BATCH_WINDOWS = 1 << 13
 
 INDEX_SCHEMA = (
     "segment string, doc_ids array<bigint>, doc_prints array<bigint>, "
     "doc_words array<bigint>, terms binary, counts binary, positions binary"
 )
-SPAN = "struct<first:bigint,last:bigint,item:string>"
 HITS_SCHEMA = (
     "segment string, nth int, doc_id bigint, doc_print bigint, n_words bigint, "
-    f"spans array<{SPAN}>"
+    "spans array<struct<first:bigint,last:bigint,nr:bigint>>"
 )
 
 
@@ -99,20 +107,33 @@ class Postings:
         keep &= self.doc_of(starts) == self.doc_of(starts + len(at) - 1)
         return starts[keep]
 
-    def near(self, at: np.ndarray, sizes: np.ndarray, span: int) -> np.ndarray:
-        """Positions of the rarest word with every other within ``span`` words of it."""
-        order = np.argsort(sizes, kind="stable")
-        anchors = self.list_of(at[order[0]])
+    def near(self, at: np.ndarray, sizes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last positions of the stretches that hold all words in any order."""
+        at, once = np.unique(at, return_index=True)
+        order = np.argsort(sizes[once], kind="stable")
+        lists = [self.list_of(at[k]) for k in order]
+        # Places of the rarest word with every other within reach, in its document.
+        anchors = lists[0]
         doc = self.doc_of(anchors)
-        low = np.maximum(anchors - span, self.firsts[doc])
-        high = np.minimum(anchors + span, self.firsts[doc + 1] - 1)
-        for k in order[1:]:
+        low = np.maximum(anchors - span + 1, self.firsts[doc])
+        high = np.minimum(anchors + span, self.firsts[doc + 1])
+        for own in lists[1:]:
             if not len(anchors):
                 break
-            own = self.list_of(at[k])
-            keep = np.searchsorted(own, low) < np.searchsorted(own, high, side="right")
+            keep = np.searchsorted(own, low) < np.searchsorted(own, high)
             anchors, low, high = anchors[keep], low[keep], high[keep]
-        return anchors
+        starts = (anchors[:, None] - np.arange(span)).ravel()
+        starts = np.unique(starts[starts >= np.repeat(low, span)])
+        ends = self.firsts[self.doc_of(starts) + 1]
+        last, begins = starts.copy(), np.zeros(len(starts), dtype=bool)
+        for own in lists:
+            spot = np.searchsorted(own, starts)
+            there = spot < len(own)
+            found = np.where(there, own[np.where(there, spot, 0)], ends)
+            begins |= found == starts
+            last = np.maximum(last, found)
+        keep = begins & (last < ends) & (last - starts < span)
+        return starts[keep], last[keep]
 
 
 def build_index(
@@ -178,106 +199,113 @@ def _segment(name: str, ids: list, prints: list, sizes: list, lists: list) -> pa
     )
 
 
+@dataclass
+class Windows:
+    """Phrases ``nr, phrase`` (its words' hashes), and whose they are: ``nr, item``."""
+
+    phrases: DataFrame
+    owners: DataFrame
+
+
+def windows(
+    items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW
+) -> Windows:
+    """The windows of all items, as written tables.
+
+    A window is ``window`` consecutive words of an item; an item of fewer words
+    is one window.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in words.chunks(batches, "text"):
+            starts, ends, first = words.spans(raw, offsets, words.ALNUM)
+            found = words.hashes(raw, starts, ends)
+            sizes = np.diff(first)
+            counts = np.where(sizes > 0, np.maximum(sizes - window, 0) + 1, 0)
+            row = np.repeat(np.arange(len(sizes)), counts)
+            begin = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            length = np.minimum(sizes[row], window)
+            for k in range(0, len(row), _BATCH_WINDOWS):
+                own = slice(k, k + _BATCH_WINDOWS)
+                upto = np.concatenate([[0], np.cumsum(length[own])])
+                at = np.repeat(begin[own] - upto[:-1], length[own]) + np.arange(upto[-1])
+                buffers = [pa.py_buffer((upto * 8).astype(np.int32).tobytes()), pa.py_buffer(found[at].tobytes())]
+                phrase = pa.Array.from_buffers(pa.binary(), len(upto) - 1, [None, *buffers])
+                item = batch.column("item").take(pa.array(row[own]))
+                yield pa.RecordBatch.from_arrays([phrase, item], names=["phrase", "item"])
+
+    rows = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    rows = rows.where("text IS NOT NULL").distinct()
+    listed = written(rows.mapInArrow(cut, "phrase binary, item string").distinct(), "windows")
+    phrases = listed.select("phrase").distinct()
+    phrases = phrases.select(F.monotonically_increasing_id().alias("nr"), "phrase")
+    phrases = written(phrases, "phrases")
+    owners = listed.where("item IS NOT NULL").join(phrases, "phrase").select("nr", "item")
+    return Windows(phrases, owners)
+
+
 @dataclass
 class Phrases:
-    """Test phrases as places in a vocabulary; ``lengths`` says how many words each has."""
+    """A block of phrases as places in a vocabulary."""
 
     vocabulary: np.ndarray
     terms: np.ndarray
     begins: np.ndarray
-    items: list[list[str | None]]
+    numbers: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[str | None, str | None]], window: int) -> Phrases:
-        raw, offsets = words.text_bytes(pa.array([text for _, text in items], pa.string()))
-        starts, ends, first = words.spans(raw, offsets, words.ALNUM)
-        found = words.hashes(raw, starts, ends)
-        by_phrase: dict[bytes, set] = {}
-        for (item, _), begin, end in zip(items, first[:-1], first[1:], strict=True):
-            for at in range(begin, max(end - window, begin) + 1):
-                phrase = found[at : min(at + window, end)]
-                if len(phrase):
-                    by_phrase.setdefault(phrase.tobytes(), set()).add(item)
-        phrases = [np.frombuffer(key, dtype=np.uint64) for key in by_phrase]
-        flat = np.concatenate(phrases) if phrases else np.empty(0, np.uint64)
-        vocabulary, terms = np.unique(flat, return_inverse=True)
-        begins = np.concatenate([[0], np.cumsum([len(p) for p in phrases])]).astype(np.int64)
-        return cls(vocabulary, terms, begins, [list(found) for found in by_phrase.values()])
-
-
-def _segment_hits(
-    postings: Postings, phrases: Phrases, span: int | None
-) -> dict[int, dict[str | None, list[tuple[int, int]]]]:
-    """Per document of the segment and item: first and last word of each hit."""
-    hits: dict[int, dict[str | None, list[tuple[int, int]]]] = {}
-    if not len(phrases.terms):
-        return hits
-    at = postings.find(phrases.vocabulary)
-    sizes = postings.sizes(at)
-    flat = sizes[phrases.terms]
-    least = np.minimum.reduceat(flat, phrases.begins[:-1])
-    for p in np.flatnonzero(least > 0):
-        own = phrases.terms[phrases.begins[p] : phrases.begins[p + 1]]
-        if span is None:
-            starts, length = postings.phrase(at[own], sizes[own]), len(own)
-        else:
-            starts, length = postings.near(at[own], sizes[own], span), 1
-        if not len(starts):
-            continue
-        nth = postings.doc_of(starts)
-        begin = starts - postings.firsts[nth]
-        for doc, first in zip(nth.tolist(), begin.tolist(), strict=True):
-            of_doc = hits.setdefault(doc, {})
-            for item in phrases.items[p]:
-                of_doc.setdefault(item, []).append((first, first + length - 1))
-    return hits
-
-
-def _merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Hits that meet or overlap, as one."""
-    out: list[tuple[int, int]] = []
-    for first, last in sorted(found):
-        if out and first <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], last))
-        else:
-            out.append((first, last))
-    return out
-
-
-def _item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about ``limit`` bytes of text, by hash of their text."""
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    def of(cls, block: pa.Table) -> Phrases:
+        raw, offsets = words.text_bytes(block.column("phrase"))
+        vocabulary, terms = np.unique(np.frombuffer(raw.tobytes(), np.uint64), return_inverse=True)
+        numbers = block.column("nr").to_numpy()
+        return cls(vocabulary, terms.astype(np.int32), offsets // 8, numbers)
+
+
+def _segment_hits(postings: Postings, phrases: Phrases, span: int | None) -> np.ndarray:
+    """Document of the segment, first and last word, and phrase of each hit, as columns."""
+    found = [np.empty((4, 0), dtype=np.int64)]
+    if len(phrases.terms):
+        at = postings.find(phrases.vocabulary)
+        sizes = postings.sizes(at)
+        least = np.minimum.reduceat(sizes[phrases.terms], phrases.begins[:-1])
+        for p in np.flatnonzero(least > 0):
+            own = phrases.terms[phrases.begins[p] : phrases.begins[p + 1]]
+            if span is None:
+                starts = postings.phrase(at[own], sizes[own])
+                ends = starts + len(own) - 1
+            else:
+                starts, ends = postings.near(at[own], sizes[own], span)
+            if len(starts):
+                doc = postings.doc_of(starts)
+                number = np.full(len(doc), phrases.numbers[p])
+                first = postings.firsts[doc]
+                found.append(np.stack([doc, starts - first, ends - first, number]))
+    return np.concatenate(found, axis=1)
+
+
+def _blocks(phrases: DataFrame, limit: int) -> Iterator[pa.Table]:
+    """The phrases in blocks of about ``limit`` bytes, by their hash; they are distinct."""
+    size = phrases.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
     blocks = -(-size // limit) or 1
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        yield [tuple(row) for row in rows.collect()]
+        yield phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == block).toArrow()
 
 
 def hits(
     index: DataFrame,
-    items: DataFrame,
-    item_id: str = "item_id",
-    text: str = "text",
-    window: int = WINDOW,
+    wanted: Windows,
     span: int | None = None,
-    block_bytes: int = ITEM_BLOCK_BYTES,
+    block_bytes: int = PHRASE_BLOCK_BYTES,
 ) -> DataFrame:
-    """Every document of the index, with the places where items' windows occur.
+    """Every document of the index, with the places of the phrases and their numbers.
 
-    A window is ``window`` consecutive words of an item; an item of fewer words
-    is one window. With ``span``, a window is found where all its words lie
-    within ``span`` words of its rarest one, and the place is that word.
-
-    Items go to the tasks in blocks of ``block_bytes`` of text, so what is sent
-    at once is bounded however many items there are.
+    Places are exact occurrences or, with ``span``, proximity matches. What is sent
+    to the tasks at once is bounded by ``block_bytes`` however many items there are.
     """
     spark = index.sparkSession
-    wanted = items.select(
-        F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")
-    ).where(F.col("text").isNotNull())
     parts = []
-    for block in _item_blocks(wanted, block_bytes):
-        sent = spark.sparkContext.broadcast(Phrases.of(block, window))
+    for block in _blocks(wanted.phrases, block_bytes):
+        sent = spark.sparkContext.broadcast(Phrases.of(block))
 
         def search(
             batches: Iterator[pa.RecordBatch], sent=sent
@@ -300,18 +328,11 @@ def hits(
 def _search(row: dict, phrases: Phrases, span: int | None) -> pa.RecordBatch:
     postings = Postings.of(row["terms"], row["counts"], row["positions"], row["doc_words"])
     found = _segment_hits(postings, phrases, span)
+    found = found[:, np.argsort(found[0], kind="stable")]
     count = len(row["doc_ids"])
-    spans = [
-        [
-            {"first": first, "last": last, "item": item}
-            for item, places in found.get(nth, {}).items()
-            for first, last in _merged(places)
-        ]
-        for nth in range(count)
-    ]
-    kind = pa.list_(
-        pa.struct([("first", pa.int64()), ("last", pa.int64()), ("item", pa.string())])
-    )
+    upto = np.searchsorted(found[0], np.arange(count + 1)).astype(np.int32)
+    names = ["first", "last", "nr"]
+    places = pa.StructArray.from_arrays([pa.array(part) for part in found[1:]], names=names)
     return pa.RecordBatch.from_pydict(
         {
             "segment": pa.array([row["segment"]] * count, pa.string()),
@@ -319,12 +340,31 @@ def _search(row: dict, phrases: Phrases, span: int | None) -> pa.RecordBatch:
             "doc_id": pa.array(row["doc_ids"], pa.int64()),
             "doc_print": pa.array(row["doc_prints"], pa.int64()),
             "n_words": pa.array(row["doc_words"], pa.int64()),
-            "spans": pa.array(spans, kind),
+            "spans": pa.ListArray.from_arrays(pa.array(upto), places),
         }
     )
 
 
-def summary(found: DataFrame) -> DataFrame:
+def matches(found: DataFrame, wanted: Windows) -> DataFrame:
+    """A row for each place and item: ``segment, nth`` (which document), ``doc_id, item, first, last``."""
+    rows = found.selectExpr("segment", "nth", "doc_id", "inline(spans)")
+    return rows.join(wanted.owners, "nr").drop("nr")
+
+
+def proximity(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int = SPAN) -> DataFrame:
+    """``doc_id, item_id, n_places``: documents that hold all words of a window close together.
+
+    ``n_places`` counts the document words from which a match begins. A repeated
+    document has its rows again; a null item_id has none.
+    """
+    wanted = windows(items, window=window)
+    found = hits(build_index(docs), wanted, span).where("size(spans) > 0")
+    rows = matches(found, wanted).select("segment", "nth", "doc_id", "item", "first").distinct()
+    rows = rows.groupBy("segment", "nth", "doc_id", F.col("item").alias("item_id"))
+    return rows.agg(F.count("*").alias("n_places")).drop("segment", "nth")
+
+
+def summary(found: DataFrame, wanted: Windows) -> DataFrame:
     """Per document: words, words hit, items found and their digest."""
     start = "named_struct('hit', 0L, 'upto', -1L)"
     merged = (
@@ -332,10 +372,18 @@ def summary(found: DataFrame) -> DataFrame:
         "'hit', a.hit + greatest(0L, s.last - greatest(s.first, a.upto + 1) + 1), "
         "'upto', greatest(a.upto, s.last)), a -> a.hit)"
     )
-    items = "array_sort(array_distinct(filter(transform(spans, s -> s.item), i -> i IS NOT NULL)))"
+    numbers = "array_distinct(transform(spans, s -> s.nr))"
+    found = found.select(
+        "segment", "nth", "doc_id", "doc_print", "n_words", F.expr(merged).alias("n_hit"), F.expr(numbers).alias("nrs")
+    )
+    found = written(found, "hits")
+    rows = found.select("segment", "nth", F.explode("nrs").alias("nr"))
+    rows = rows.join(wanted.owners, "nr").select("segment", "nth", "item").distinct()
+    items = rows.groupBy("segment", "nth").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    nothing = F.array().cast("array<string>")
     return (
-        found.withColumn("items", F.expr(items))
-        .withColumn("n_hit", F.expr(merged))
+        found.join(items, ["segment", "nth"], "left")
+        .withColumn("items", F.coalesce("items", nothing))
         .select(
             "doc_id",
             "doc_print",
@@ -354,8 +402,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     A row is told by its doc_id and a 64-bit hash of its text.
     """
     bad = (
-        summary(hits(build_index(docs), items, window=window))
-        .where("contaminated")
+        hits(build_index(docs), windows(items, window=window))
+        .where("size(spans) > 0")
         .select(F.col("doc_id").alias("_bad_id"), F.col("doc_print").alias("_bad_print"))
         .distinct()
     )

@@ -143,8 +143,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(table(spark, sf_dir, "documents"))
-    found = decontaminate.hits(index, table(spark, sf_dir, "benchmark"))
-    return decontaminate.summary(found).drop("doc_print")
+    wanted = decontaminate.windows(table(spark, sf_dir, "benchmark"))
+    found = decontaminate.hits(index, wanted)
+    return decontaminate.summary(found, wanted).drop("doc_print")
+
+
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all words of a benchmark window within a few words of each other."""
+    return decontaminate.proximity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
 
 
 def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +186,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "benchmark_proximity": benchmark_proximity,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_vector_dedup": op12_vector_dedup,
     "op13_conversation_repair": op13_conversation_repair,

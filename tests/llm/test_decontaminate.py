@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from contexture.llm import decontaminate
 from tests.llm.helpers import ALNUM, awkward, frame, lower, prose
@@ -39,8 +40,24 @@ def brute(rows, items, window=10):
 
 
 def answer(docs, items, **options):
-    found = decontaminate.hits(decontaminate.build_index(docs, segment_words=500), items, **options)
-    return sorted((tuple(r) for r in decontaminate.summary(found).drop("doc_print").collect()), key=repr)
+    wanted = decontaminate.windows(items)
+    found = decontaminate.hits(decontaminate.build_index(docs, segment_words=500), wanted, **options)
+    return sorted((tuple(r) for r in decontaminate.summary(found, wanted).drop("doc_print").collect()), key=repr)
+
+
+def brute_near(rows, items, window, span):
+    out = []
+    for doc_id, text, *_ in rows:
+        own, places = ALNUM.findall(lower(text)), {}
+        for item, said in items:
+            words = ALNUM.findall(lower(said))
+            for k in range(max(len(words) - window, 0) + 1 if words else 0):
+                asked = set(words[k : k + window])
+                for at in range(len(own)):
+                    if own[at] in asked and asked <= set(own[at : at + span]):
+                        places.setdefault(item, set()).add(at)
+        out += [(doc_id, str(item), len(found)) for item, found in places.items() if item is not None]
+    return sorted(out, key=repr)
 
 
 def test_hits_are_those_of_brute_force(spark):
@@ -52,7 +69,7 @@ def test_hits_are_those_of_brute_force(spark):
 def test_blocks_of_items_give_the_same(spark):
     docs = frame(spark, awkward())
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    assert answer(docs, items, block_bytes=100) == brute(awkward(), ITEMS)
+    assert answer(docs, items, block_bytes=500) == brute(awkward(), ITEMS)
 
 
 def test_empty_tables(spark):
@@ -63,11 +80,22 @@ def test_empty_tables(spark):
     assert answer(nothing, spark.createDataFrame(ITEMS, "item_id bigint, text string")) == []
 
 
-def test_near_hits_are_in_any_order(spark):
-    docs = frame(spark, [(1, "red then blue and green", "", "", 0), (2, "red " + "x " * 30 + "blue green", "", "", 0)])
-    items = spark.createDataFrame([(1, "green blue red")], "item_id bigint, text string")
-    found = decontaminate.hits(decontaminate.build_index(docs), items, span=5)
-    assert {r["doc_id"]: len(r["spans"]) for r in found.collect()} == {1: 1, 2: 0}
+def test_proximity_matches_are_those_of_brute_force(spark):
+    pick = random.Random(5)
+    rows = [(k % 50, " ".join(pick.choices("abcdefg", k=pick.randint(0, 60))), "", "", 0) for k in range(60)]
+    rows += [(None, "a b c " * 20, "", "", 0), (70, None, "", "", 0), (71, "red then blue and green", "", "", 0)]
+    items = [(1, "green blue red"), (2, "a b a c"), (3, "g f e d c b a"), (3, "a a"), (None, "a b"), (4, None), (5, "zz a")]
+    found = decontaminate.proximity(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), 4, 6)
+    assert found.columns == ["doc_id", "item_id", "n_places"]
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute_near(rows, items, 4, 6)
+
+
+def test_matches_tell_the_places_of_each_item(spark):
+    docs = frame(spark, [(1, "x one two three one two", "", "", 0), (2, None, "", "", 0)])
+    wanted = decontaminate.windows(spark.createDataFrame([(1, "One two"), (2, "one two"), (None, "x")], "item_id int, text string"))
+    found = decontaminate.matches(decontaminate.hits(decontaminate.build_index(docs), wanted), wanted)
+    places = [tuple(r) for r in found.select("doc_id", "item", "first", "last").collect()]
+    assert sorted(places) == [(1, "1", 1, 2), (1, "1", 4, 5), (1, "2", 1, 2), (1, "2", 4, 5)]
 
 
 def test_rows_without_hits_stay_whole(spark):
