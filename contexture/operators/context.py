@@ -11,9 +11,10 @@ per distinct start instant and then joined back:
 
 No pair of candidates is ever formed. Steps 1 and 2 handle distinct instants
 only: at second precision a one-minute bucket holds at most 60 of each kind,
-however many rows fall into it. Where times are finer than that, or buckets
-long, ``slot_seconds`` cuts each bucket into slots that are worked apart, and
-only each slot's first and last observation travel along the bucket. Step 3
+however many rows fall into it. Times may be finer than that, and buckets long, so
+``slot_seconds`` cuts each bucket into slots that are worked apart, and only each
+slot's first and last observation travel along the bucket; with None a bucket is one
+window. Step 3
 meets one row per key on the answer's side, and adaptive execution splits a hot
 start time (or broadcasts the answer if its measured size allows).
 """
@@ -30,6 +31,7 @@ from contexture.operators.dedup import distinct_incidents, distinct_observations
 
 TOLERANCE_SECONDS = 300
 BUCKET_SECONDS = 60
+SLOT_SECONDS = 1
 CONTEXT_COLUMNS = ("weather_desc", "visibility", "rain")
 JOINED_COLUMNS = ("t_id", "t_type", "t_severity", "t_start", *CONTEXT_COLUMNS)
 
@@ -113,7 +115,7 @@ def nearest_observation(
     observations: DataFrame,
     bucket_seconds: int | None = BUCKET_SECONDS,
     tolerance_seconds: int = TOLERANCE_SECONDS,
-    slot_seconds: int | None = None,
+    slot_seconds: int | None = SLOT_SECONDS,
 ) -> DataFrame:
     """Per distinct ``t_start``, all columns of the nearest observation.
 
@@ -146,7 +148,7 @@ def context_join(
     tolerance_seconds: int = TOLERANCE_SECONDS,
     context: Sequence[str] = CONTEXT_COLUMNS,
     required: str | None = "weather_desc",
-    slot_seconds: int | None = None,
+    slot_seconds: int | None = SLOT_SECONDS,
 ) -> DataFrame:
     """Distinct incidents with the nearest observation's ``context`` columns.
 
