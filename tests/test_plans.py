@@ -25,6 +25,10 @@ OF_TABLES = [
     "severity_pivot_incremental",
     "history_limited",
     "joined_by_ids",
+    "bounding_box_cells",
+    "bounding_box_date_line",
+    "late_rows_replayed",
+    "quarantined",
 ]
 
 
