@@ -99,9 +99,10 @@ def held_incidents(spark: SparkSession, checkpoint: str, carried: Sequence[str])
 
 
 def held_observations(spark: SparkSession, checkpoint: str, context: Sequence[str]) -> DataFrame:
-    """Observations of the buckets not yet answered, one of each instant.
+    """Observations of the buckets not yet answered that can be an answer.
 
-    At the lowest level a slot is one instant, and its first observation the least.
+    All instants of a bucket that incidents can lie in, and the ends of its neighbours. The
+    first and the last observation of a slot are each the least of their instant.
     """
     (rows,) = states(spark, checkpoint, OBSERVATION_STATE)
     # First and last are both called min, so they are taken by place.
@@ -110,10 +111,11 @@ def held_observations(spark: SparkSession, checkpoint: str, context: Sequence[st
         f"{name}: {field.dataType.simpleString()}"
         for name, field in zip(names, rows.schema["value"].dataType.fields, strict=True)
     )
-    rows = rows.where("key.level = 0").select(F.expr(f"CAST(value AS STRUCT<{fields}>).v0 AS first"))
-    rows = rows.where("first IS NOT NULL").select(
-        F.timestamp_micros("first.key").alias("w_timestamp"),
-        *[F.col(f"first.own.{quoted(c)}").alias(c) for c in context],
+    rows = rows.select(F.expr(f"CAST(value AS STRUCT<{fields}>) AS ends")).where("ends.v0 IS NOT NULL")
+    both = "array(ends.v0, struct(-ends.v1.key AS key, ends.v1.own AS own))"
+    rows = rows.select(F.expr(f"explode({both}) AS seen")).select(
+        F.timestamp_micros("seen.key").alias("w_timestamp"),
+        *[F.col(f"seen.own.{quoted(c)}").alias(c) for c in context],
     )
     return rows.distinct()
 

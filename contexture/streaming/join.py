@@ -12,10 +12,10 @@ salt.
 the batch join does. Observations shrink to the first and last of each slot, at
 widths from a tick of the times up to the bucket, and a slot that incidents ask for
 gets the ends of its neighbours. An incident meets one row per width, and the
-least of these is its answer. No row holds more than ``FAN`` slots, and a slot's
+least of these is its answer. No row holds more than ``FAN`` slots of one width, and a slot's
 row is repeated for those salts only that ask for it; the aggregates combine
 copies on the map side. Times of whole seconds need one width only, for buckets of
-up to ``FAN`` seconds, and those to the microsecond three.
+up to ``FAN`` seconds, and those to the microsecond two.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from contexture.operators.context import (
 from contexture.streaming.intake import distinct_incident_stream
 
 #: Slots in a slot of the next width.
-FAN = 1000
+FAN = 20_000
 
 
 def default_salts(spark: SparkSession) -> int:
@@ -49,7 +49,8 @@ class _Buckets:
 
     In the latter case buckets are as wide as the tolerance, and their rows meet
     in sliding windows three buckets wide: an observation lies in three of them,
-    an incident is taken to the one that has it in the middle.
+    an incident is taken to the one that has it in the middle. Of the outer two
+    buckets only the end that faces the middle can be nearest to an incident.
     """
 
     seconds: int | None
@@ -58,7 +59,7 @@ class _Buckets:
 
     @property
     def micros(self) -> int:
-        return (self.seconds or 3 * self.tolerance) * 1_000_000
+        return (self.seconds or self.tolerance) * 1_000_000
 
     def at(self, time: str) -> Column:
         """Event time in microseconds; one that is no whole tick fails the query."""
@@ -84,9 +85,12 @@ class _Buckets:
         )
         if self.seconds:
             return rows
-        width = self.tolerance * 1_000_000
-        middle = f"start_micros - unix_micros(bucket.start) - {width}"
-        return rows.where(f"{middle} >= 0 AND {middle} < {width}")
+        return rows.where(f"{self.side('start_micros')} = 0")
+
+    def side(self, at: str) -> str:
+        """SQL: whether a window's time lies before (-1), in or behind (1) its middle bucket."""
+        begin = f"unix_micros(bucket.start) + {self.micros}"
+        return f"IF({at} < {begin}, -1, IF({at} >= {begin} + {self.micros}, 1, 0))"
 
 
 def _first_incidents(incidents: DataFrame, carried: list[str], buckets: _Buckets):
@@ -131,8 +135,8 @@ def _first_met(
     )
 
 
-def _levels(bucket_micros: int, tick: int) -> str:
-    """SQL that explodes ``at`` into the slots it lies in, one per width.
+def _slots(bucket_micros: int, tick: int) -> list[str]:
+    """SQL of the slots that ``at`` lies in, one per width.
 
     Widths grow by ``FAN`` from a tick on, so a slot (``node``) holds at
     most ``FAN`` slots of the next smaller width (``child``), and the bucket at
@@ -144,21 +148,38 @@ def _levels(bucket_micros: int, tick: int) -> str:
     # Floors, also before 1970; a level's node is one child of the next level.
     slots = [f"(at - pmod(at, {w})) DIV {w}" for w in widths]
     nodes = [*slots[1:], "0L"]
-    structs = ", ".join(
+    return [
         f"struct({k} AS level, {node} AS node, {child} AS child)"
         for k, (child, node) in enumerate(zip(slots, nodes, strict=True))
-    )
-    return f"explode(array({structs})) AS slot"
+    ]
+
+
+def _levels(buckets: _Buckets) -> str:
+    """SQL that explodes ``at`` into the slots it lies in."""
+    return f"explode(array({', '.join(_slots(buckets.micros, buckets.tick))})) AS slot"
+
+
+def _observed_levels(buckets: _Buckets) -> str:
+    """The same for observations, of which a window's outer buckets are one slot each.
+
+    These stand beside the widest slots of the middle bucket, before or behind all of them.
+    """
+    if buckets.seconds:
+        return _levels(buckets)
+    slots = _slots(buckets.micros, buckets.tick)
+    end = f"IF({buckets.side('at')} < 0, {-(2**63) + 1}L, {2**63 - 1}L)"
+    outer = f"array(struct({len(slots) - 1} AS level, 0L AS node, {end} AS child))"
+    return f"explode(IF({buckets.side('at')} = 0, array({', '.join(slots)}), {outer})) AS slot"
 
 
 def _nodes(
     asked: DataFrame, observations: DataFrame, context: Sequence[str], buckets: _Buckets
 ) -> DataFrame:
-    """``bucket, level, node, slots``: a node's slots with their ends and the salts that ask.
+    """``bucket, level, node, slots, seen``: a node's slots with their ends and the salts that ask.
 
-    A list has at most ``FAN`` entries, whatever the precision of the times.
+    Both lists are in order and have at most ``FAN`` entries (and two for the outer
+    buckets), whatever the precision of the times. ``seen`` are the slots with observations.
     """
-    levels = _levels(buckets.micros, buckets.tick)
     own = nulls_last_struct(context)
     seen = (
         observations.select(
@@ -166,7 +187,7 @@ def _nodes(
             buckets.at("w_timestamp").alias("at"),
             F.expr(own).alias("own"),
         )
-        .selectExpr("bucket", "at", "own", levels)
+        .selectExpr("bucket", "at", "own", _observed_levels(buckets))
         .selectExpr(
             "bucket",
             "slot.*",
@@ -175,7 +196,8 @@ def _nodes(
         )
     )
     asked = asked.selectExpr("bucket", "start_micros AS at", "salt")
-    asked = asked.selectExpr("bucket", "salt", levels).selectExpr("bucket", "slot.*", "salt")
+    asked = asked.selectExpr("bucket", "salt", _levels(buckets))
+    asked = asked.selectExpr("bucket", "slot.*", "salt")
     # First and last per slot combine on the map side, and so do the salts.
     slots = (
         seen.unionByName(asked, allowMissingColumns=True)
@@ -186,8 +208,10 @@ def _nodes(
             F.collect_set("salt").alias("salts"),
         )
     )
+    listed = "sort_array(collect_list(struct(child, first, last, salts)))"
     return slots.groupBy("bucket", "level", "node").agg(
-        F.expr("collect_list(struct(child, first, last, salts))").alias("slots")
+        F.expr(listed).alias("slots"),
+        F.expr(f"filter({listed}, s -> s.first IS NOT NULL)").alias("seen"),
     )
 
 
@@ -199,16 +223,25 @@ def _ends(nodes: DataFrame) -> DataFrame:
     a slot is one tick, and so one instant, ``earlier`` also looks at the slot itself. Any other
     observation of the bucket lies beside the incident's slot at exactly one
     level, so the ends of all levels hold its neighbours on both sides.
+
+    A node is worked in one pass: on a list of all slots, one with both kinds
+    standing there twice, observed first, a slot's place less its rank among those
+    asked for is the number of observed slots up to and with it.
     """
-    before = "o.child < c.child OR (level = 0 AND o.child = c.child)"
+    both = """flatten(transform(slots, s -> concat(
+        IF(s.first IS NULL, array(), array(struct(s.child AS child, CAST(NULL AS ARRAY<INT>) AS salts))),
+        IF(size(s.salts) = 0, array(), array(struct(s.child AS child, s.salts AS salts))))))"""
+    placed = f"transform({both}, (s, place) -> struct(s.child AS child, s.salts AS salts, place))"
+    before = "get(seen, c.place - rank - 1)"
     found = nodes.selectExpr(
         "bucket",
         "level",
-        f"""inline(transform(filter(slots, c -> size(c.salts) > 0), c -> struct(
+        f"""inline(transform(filter({placed}, c -> c.salts IS NOT NULL), (c, rank) -> struct(
             c.child AS child,
             c.salts AS salts,
-            array_min(transform(filter(slots, o -> {before}), o -> o.last)) AS earlier,
-            array_min(transform(filter(slots, o -> o.child > c.child), o -> o.first)) AS later
+            IF(level > 0 AND {before}.child = c.child, get(seen, c.place - rank - 2), {before}).last
+                AS earlier,
+            get(seen, c.place - rank).first AS later
         )))""",
     )
     return found.where("earlier IS NOT NULL OR later IS NOT NULL").selectExpr(
@@ -225,8 +258,7 @@ def _nearest_met(
 ) -> DataFrame:
     """Incidents with the least observation by distance, then time, as ``nearest``."""
     right = _ends(_nodes(asked, observations, context, buckets))
-    levels = _levels(buckets.micros, buckets.tick)
-    rows = left.selectExpr("*", "start_micros AS at").selectExpr("*", levels)
+    rows = left.selectExpr("*", "start_micros AS at").selectExpr("*", _levels(buckets))
     rows = rows.selectExpr("*", "slot.level AS level", "slot.child AS child").drop("at", "slot")
     # One entry per instant leaves no tie.
     near = """array_min(filter(array(
@@ -235,14 +267,15 @@ def _nearest_met(
     ), o -> o.gap IS NOT NULL))"""
     kept = [c for c in left.columns if c not in ("bucket", "salt", "start_micros", "t_id")]
     fields = ", ".join(f"near.own.{quoted(c)} AS {quoted(c)}" for c in context)
-    return (
-        rows.join(right, ["bucket", "level", "child", "salt"])
-        .selectExpr("bucket", "start_micros", "t_id", *map(quoted, kept), f"{near} AS near")
-        .groupBy("bucket", "start_micros", "t_id")
-        .agg(F.min("near").alias("near"), *[F.first(quoted(c)).alias(c) for c in kept])
-        .selectExpr(
-            "start_micros", "t_id", *map(quoted, kept), f"struct(near.gap AS gap, {fields}) AS nearest"
+    met = rows.join(right, ["bucket", "level", "child", "salt"]).selectExpr(
+        "bucket", "start_micros", "t_id", *map(quoted, kept), f"{near} AS near"
+    )
+    if len(_slots(buckets.micros, buckets.tick)) > 1:
+        met = met.groupBy("bucket", "start_micros", "t_id").agg(
+            F.min("near").alias("near"), *[F.first(quoted(c)).alias(c) for c in kept]
         )
+    return met.selectExpr(
+        "start_micros", "t_id", *map(quoted, kept), f"struct(near.gap AS gap, {fields}) AS nearest"
     )
 
 

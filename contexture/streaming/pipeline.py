@@ -37,6 +37,8 @@ AVAILABLE_NOW = {"availableNow": True}
 ROWS_PER_FILE = 1_000_000
 #: Records on the topics have times in whole seconds.
 RECORD_TICK = 1_000_000
+#: How a ``nearest`` stream lays out its slots; state of another layout cannot be gone on with.
+SLOT_LAYOUT = 2
 
 
 @dataclass(frozen=True)
@@ -177,6 +179,10 @@ def _fix_layout(spark: SparkSession, config: PipelineConfig) -> PipelineConfig:
         raise ValueError(f"this checkpoint was begun with {salts} salts, not {config.salts}")
     # Checkpoints from before there was a tick have all widths.
     tick = _first_run(spark, config, "tick", 1 if begun else config.tick_micros)
+    if config.match == "nearest":
+        layout = _first_run(spark, config, "layout", 1 if begun else SLOT_LAYOUT)
+        if layout != SLOT_LAYOUT:
+            raise ValueError(f"this checkpoint holds slots of layout {layout}, not {SLOT_LAYOUT}")
     return replace(config, salts=salts, tick_micros=tick)
 
 

@@ -98,3 +98,14 @@ def test_a_lost_checkpoint_adds_nothing_twice(spark, session, feed, config):  #
     pipeline.run(session, feed.topics, again)
     assert joined_rows(spark, again) == sorted([*before, ("D", 75, "Snow")])
     assert tables.read_observations(spark, run.observations_path).count() == seen
+
+
+def test_the_tail_has_ends_of_buckets_already_passed(spark, session, feed, config):  # noqa: F811
+    # The watermark stands at 700: A's window is open, that of Rain's own bucket closed.
+    feed.weather((200, "Snow"), (290, "Rain"), (1300, "Clear"))
+    feed.incidents(("A", 310), ("Z", 1300))
+    run = config(
+        match="nearest", bucket_seconds=None, finish=True, trigger=pipeline.AVAILABLE_NOW
+    )
+    pipeline.run(session, feed.topics, run)
+    assert joined_rows(spark, run) == [("A", 310, "Rain"), ("Z", 1300, "Clear")]

@@ -511,3 +511,55 @@ def test_nearest_at_microseconds_holds_no_list_of_a_bucket(session, folder, monk
         expected = sorted(map(repr, batch.collect()))
         assert len(expected) > 1900
         assert sorted(map(repr, session.read.parquet(out).collect())) == expected
+
+
+@pytest.mark.parametrize("tick, widths", [(1, 2), (1_000_000, 1)])
+def test_an_observation_is_held_once_per_width(session, tick, widths):
+    """And in the windows of its neighbours' incidents only as the end of its bucket."""
+    base, count = 1_700_000_100_000_000, 600
+    rows = [(base + k * 3_000_000, f"L{k}") for k in range(count)]
+    right = session.createDataFrame(rows, "at bigint, weather_desc string").select(
+        F.timestamp_micros("at").alias("w_timestamp"), "weather_desc"
+    )
+    left = session.createDataFrame([("A", base + 301_000_000)], "t_id string, at bigint").select(
+        "t_id", F.timestamp_micros("at").alias("t_start")
+    )
+    buckets = join._Buckets(None, 300, tick)
+    asked = buckets.incidents(left, ["t_id"]).withColumn("salt", F.lit(0))
+    nodes = join._nodes(asked, right, ["weather_desc"], buckets)
+    held = nodes.agg(F.sum(F.size("slots"))).first()[0]
+    assert held <= widths * (count + 1) + 2 * 7
+    ends = join._ends(nodes).where("earlier IS NOT NULL").select("earlier.key").collect()
+    assert max(-row["key"] for row in ends) == base + 300_000_000
+
+
+@pytest.mark.parametrize("level", [0, 1])
+def test_ends_of_a_crowded_node(session, level):
+    """Every slot's neighbours, from one pass over a node of thousands of slots."""
+    seen, asked = set(range(0, 6000, 2)), set(range(0, 6000, 3))
+    end = "struct({0} AS key, struct('x' AS label) AS own)"
+    slots = session.createDataFrame([(c, c in seen, c in asked) for c in seen | asked], "child bigint, s boolean, a boolean")
+    slots = slots.selectExpr(
+        "child",
+        f"IF(s, {end.format('child')}, NULL) AS first",
+        f"IF(s, {end.format('-child')}, NULL) AS last",
+        "IF(a, array(0), CAST(array() AS ARRAY<INT>)) AS salts",
+    )
+    listed = "sort_array(collect_list(struct(child, first, last, salts)))"
+    nodes = slots.groupBy(F.lit(0).alias("bucket"), F.lit(level).alias("level")).agg(
+        F.expr(listed).alias("slots"), F.expr(f"filter({listed}, s -> s.first IS NOT NULL)").alias("seen")
+    )
+    found = join._ends(nodes).selectExpr("child", "-earlier.key AS e", "later.key AS l").collect()
+    expected = []
+    for c in asked:
+        before = c if level == 0 and c in seen else c - 1 if c - 1 in seen else c - 2
+        after = c + 1 if c + 1 in seen else c + 2
+        expected.append((c, before if before >= 0 else None, after if after < 6000 else None))
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+
+
+def test_slots_of_another_layout_are_refused(spark, session, feed, config):
+    cfg = config(match="nearest", trigger={"availableNow": True})
+    storage.write_text(spark, f"{cfg.checkpoint_path}/joined-salts", "4")
+    with pytest.raises(ValueError, match="layout 1"):
+        pipeline.start_joined(session, feed.topics, cfg)
