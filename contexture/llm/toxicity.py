@@ -65,10 +65,11 @@ _GAPS = [
     if a + b + c <= _SIDE
 ]
 _SLICE = 1 << 16
+_PART = 1 << 18
 
 # Characters of subsequences: 1-26 are letters, 27-31 stand for bytes of letters
 # beyond ASCII. Everything else is 0, which can only be skipped.
-_CODES = np.zeros(256, dtype=np.int32)
+_CODES = np.zeros(256, dtype=np.uint8)
 _CODES[0x61:0x7B] = np.arange(1, 27)
 _CODES[0x41:0x5B] = np.arange(1, 27)
 _CODES[0x80:0xC0] = 27 + np.arange(64) % 5
@@ -89,26 +90,43 @@ class Coded:
         owner = np.repeat(np.arange(count), np.diff(first))
         # Marks are dropped and so are blanks between single letters; other
         # blanks stay, as two places that must be skipped.
-        kept = (_CODES[raw] > 0) | ~words.NOT_BLANK[raw]
+        known = _CODES[raw]
+        kept = (known > 0) | ~words.NOT_BLANK[raw]
         single = ends - starts == 1
         spaced = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1) & (owner[1:] == owner[:-1])
         kept[starts[1:][spaced] - 1] = False
-        blank = kept & (_CODES[raw] == 0)
-        before = np.zeros(len(raw) + 1, dtype=np.int64)
-        np.cumsum(kept.view(np.uint8) + blank.view(np.uint8), dtype=np.int64, out=before[1:])
-        shift = np.arange(count) * _SIDE
+        blank = kept & (known == 0)
+        kind = np.int32 if 2 * len(raw) + (count + 1) * _SIDE < 1 << 31 else np.int64
+        before = np.zeros(len(raw) + 1, dtype=kind)
+        np.cumsum(kept.view(np.uint8) + blank.view(np.uint8), dtype=kind, out=before[1:])
+        shift = np.arange(count, dtype=kind) * kind(_SIDE)
         codes = np.zeros(int(before[-1]) + (count + 1) * _SIDE, dtype=np.int32)
         place = before[:-1]
         place += np.repeat(shift, np.diff(offsets))
-        codes[place[kept]] = _CODES[raw[kept]]
+        codes[place[kept]] = known[kept]
         first_letter = np.ones(len(starts), dtype=bool)
         first_letter[1:] = ~spaced
         return cls(codes, place[starts[first_letter]], owner[first_letter], first_letter)
 
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        if not len(self.begins):
-            return np.empty(0, dtype=np.float64)
-        return np.add.reduceat(values.astype(np.float64), self.begins)
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Words from one number to another, and their codes with what may follow them.
+
+        So that what is worked out for each place is never there for all places at once.
+        """
+        first = 0
+        while first < len(self.begins):
+            last = int(np.searchsorted(self.begins, self.begins[first] + _PART))
+            end = self.begins[last] + _SIDE if last < len(self.begins) else len(self.codes)
+            yield first, last, self.codes[self.begins[first] : end]
+            first = last
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """The weight of all subsequences of each word."""
+        out = np.empty(len(self.begins), dtype=np.float64)
+        for first, last, codes in self.parts():
+            values = _scan(codes, table)[: len(codes) - _SIDE].astype(np.float64)
+            out[first:last] = np.add.reduceat(values, self.begins[first:last] - self.begins[first])
+        return out
 
 
 def _subsequences(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -174,7 +192,7 @@ class Model:
         """The worst word's margin for each text, within ``MARGIN``: beyond it says no more."""
         coded = Coded.of(raw, offsets)
         worst = np.full(len(offsets) - 1, -np.inf)
-        np.maximum.at(worst, coded.texts, coded.sums(_scan(coded.codes, self.table)))
+        np.maximum.at(worst, coded.texts, coded.sums(self.table))
         worst = np.where(np.isfinite(worst), worst, 0.0) + self.bias
         return np.clip(worst, -MARGIN, MARGIN)
 
@@ -258,44 +276,66 @@ def _kernel(
     """
     count = int(np.count_nonzero(chosen))
     place = np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
-    room = np.diff(coded.begins, append=len(coded.codes))
-    owner = np.full(len(coded.codes), -1, dtype=np.int32)
-    owner[coded.begins[0] :] = np.repeat(place, room)
-    keys, values = [], []
-    for skipped, at in _subsequences(coded.codes):
-        column = columns[at]
-        hit = np.flatnonzero((column >= 0) & (owner[: len(at)] >= 0))
-        keys.append(owner[hit].astype(np.int64) * len(weights) + column[hit])
-        values.append(np.full(len(hit), DECAY**skipped))
-    where, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(values), minlength=len(where))
+    found, totals = [], []
+    for first, last, codes in coded.parts():
+        if not chosen[first:last].any():
+            continue
+        room = np.diff(coded.begins[first:last] - coded.begins[first], append=len(codes))
+        owner = np.repeat(place[first:last], room)
+        keys, values = [], []
+        for skipped, at in _subsequences(codes):
+            column = columns[at]
+            hit = np.flatnonzero((column >= 0) & (owner[: len(at)] >= 0))
+            keys.append(owner[hit].astype(np.int64) * len(weights) + column[hit])
+            values.append(np.full(len(hit), DECAY**skipped))
+        if not keys:
+            continue
+        own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate(values), minlength=len(own))
+        found.append(own)
+        totals.append(total.astype(np.float32))
+    # Words are numbered in order, so these are in order too.
+    where = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+    total = np.concatenate(totals) if totals else np.empty(0, dtype=np.float32)
     out = np.zeros((count, weights.shape[1]), dtype=np.float32)
-    total = total.astype(np.float32)
     rows, own = where // len(weights), where % len(weights)
     for begin in range(0, len(where), 50_000):
         part = slice(begin, begin + 50_000)
         new = np.flatnonzero(np.diff(rows[part], prepend=-1))
-        sums = np.add.reduceat(weights[own[part]] * total[part, None], new, axis=0)
-        out[rows[part][new]] += sums
+        ends = np.append(new[1:], len(rows[part]))
+        for some in np.array_split(np.arange(len(new)), 16):
+            if len(some):
+                at = slice(begin + new[some[0]], begin + ends[some[-1]])
+                terms = weights[own[at]] * total[at, None]
+                out[rows[part][new[some]]] += np.add.reduceat(terms, new[some] - new[some[0]], axis=0)
     return out
 
 
+def _with_bias(z: np.ndarray) -> np.ndarray:
+    return np.hstack([z, np.ones((len(z), 1), dtype=np.float32)])
+
+
+def _products(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``z @ w`` in double precision, without all of ``z`` in it."""
+    return np.concatenate([z[at : at + 4096] @ w for at in range(0, max(1, len(z)), 4096)])
+
+
 def _machine(
     z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, w: np.ndarray | None
 ) -> np.ndarray:
     """Squared-hinge support vector machine in the primal, by Newton steps from ``w``.
 
-    The last value is the bias.
+    The last value is the bias, the last column of ``z`` all ones.
     """
-    z = np.hstack([z, np.ones((len(z), 1), dtype=np.float32)])
     penalty = np.full(z.shape[1], ridge)
     penalty[-1] = ridge * 1e-3
-    active = np.ones(len(y), dtype=bool) if w is None else y * (z @ w) < 1
+    active = np.ones(len(y), dtype=bool) if w is None else y * _products(z, w) < 1
     for _ in range(15):
         own = z[active]
         scaled = (own * weight[active, None].astype(np.float32)).T
         w = np.linalg.solve(np.diag(penalty) + scaled @ own, scaled @ y[active])
-        now = y * (z @ w) < 1
+        del own, scaled
+        now = y * _products(z, w) < 1
         if (now == active).all():
             break
         active = now
@@ -365,7 +405,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     if not told.any():
         return _nothing()
     new = told | (~bad & (np.arange(len(bad)) % 32 == 0))
-    rows, z = np.flatnonzero(new), _kernel(coded, new, columns, weights) @ root
+    rows, z = np.flatnonzero(new), _with_bias(_kernel(coded, new, columns, weights) @ root)
     w = None
     for _ in range(rounds):
         y = np.where(bad[rows], 1.0, -1.0)
@@ -373,7 +413,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
         w = _machine(z, y, share * len(y), RIDGE, w)
         table = np.zeros(1 << 20, dtype=np.float32)
         table[ids] = weights @ (root @ w[:-1])
-        margin = coded.sums(_scan(coded.codes, table)) + w[-1]
+        margin = coded.sums(table) + w[-1]
         seen = np.zeros(len(bad), dtype=bool)
         seen[rows] = True
         new = ~seen & np.where(bad, margin > 0, margin > -1)
@@ -381,7 +421,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
             new &= margin >= np.partition(margin[new], -HARD)[-HARD]
         if new.any():
             rows = np.concatenate([rows, np.flatnonzero(new)])
-            z = np.concatenate([z, _kernel(coded, new, columns, weights) @ root])
+            z = np.concatenate([z, _with_bias(_kernel(coded, new, columns, weights) @ root)])
         keep = ~bad[rows] | told[rows] | (margin[rows] > 0)
         rows, z = rows[keep], z[keep]
     model = Model(table, float(w[-1]), 1.0, 0.0)

@@ -134,3 +134,29 @@ def test_held_out_rows_are_told_apart(spark):
     said = {kind: [r["predicted"] for r in rows if r["toxic"] == kind] for kind in (0, 1)}
     assert len(said[1]) > 50 and np.mean(said[1]) >= 0.8
     assert len(said[0]) > 500 and np.mean(said[0]) <= 0.12
+
+
+def test_the_fit_holds_few_copies_of_its_examples():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    z = rng.standard_normal((20_000, 129)).astype(np.float32)
+    z[:, -1] = 1
+    y = np.where(z[:, 0] + rng.standard_normal(len(z)) > 0, 1.0, -1.0)
+    tracemalloc.start()
+    w = toxicity._machine(z, y, np.ones(len(y)), 0.001, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.mean((z @ w > 0) == (y > 0)) > 0.7
+    # The rows within the margin as they are, weighted, and that in double precision.
+    assert peak < 4.5 * z.nbytes
+
+
+def test_words_are_summed_alike_in_parts(monkeypatch):
+    raw, offsets = words.text_bytes(pa.array(["you are an idiot, i d i o t", "", None, "fine day"] * 20))
+    coded = toxicity.Coded.of(raw, offsets)
+    table = np.random.default_rng(1).random(1 << 20).astype(np.float32)
+    whole = coded.sums(table)
+    monkeypatch.setattr(toxicity, "_PART", 16)
+    assert len(list(coded.parts())) > 20
+    assert (coded.sums(table) == whole).all()
