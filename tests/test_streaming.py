@@ -560,6 +560,6 @@ def test_ends_of_a_crowded_node(session, level):
 
 def test_slots_of_another_layout_are_refused(spark, session, feed, config):
     cfg = config(match="nearest", trigger={"availableNow": True})
-    storage.write_text(spark, f"{cfg.checkpoint_path}/joined-salts", "4")
+    storage.write_text(spark, f"{cfg.checkpoint_path}/joined-salts", "2")
     with pytest.raises(ValueError, match="layout 1"):
         pipeline.start_joined(session, feed.topics, cfg)
