@@ -2,9 +2,10 @@
 
 Vectors are cut into shards of bounded size, and every shard becomes a ball tree:
 a node has a centre and a radius, and no vector under it has a larger inner
-product with query q than ``q . centre + |q| * radius``. A query visits the
-leaves in order of that bound and stops at the first whose bound is below its
-current kth score; ties go on, so equal scores are all seen.
+product with query q than ``q . centre + |q| * radius``. A query looks into the
+leaf with the largest bound first; then the leaves are taken one by one, each with
+all queries whose bound there is not below their current kth score; ties go on, so
+equal scores are all seen.
 
 The kth score is shared between shards: a first pass looks only into each shard's
 most promising leaf, and the kth best of all these, a lower bound of the true
@@ -192,34 +193,34 @@ def _visit(row: dict, k: int, first_only: bool) -> tuple[list, list, list]:
         bounds = q @ centres.T + norms[:, None] * radii
         bounds += 1e-9 * (1 + np.abs(bounds) + norms[:, None] * radii)
     bounds[~np.isfinite(bounds)] = np.inf
-    order = np.argsort(-bounds, axis=1, kind="stable")
     found: list[tuple[np.ndarray, np.ndarray]] = [
         (np.empty(0, np.int64), np.empty(0, np.int64)) for _ in queries
     ]
     kth = floors.copy()
-    active = np.arange(len(queries))
-    for turn in range(1 if first_only else len(radii)):
-        leaf = order[active, turn]
-        going = bounds[active, leaf] >= kth[active]
-        active, leaf = active[going], leaf[going]
-        if not len(active):
-            break
-        by_leaf = np.argsort(leaf, kind="stable")
-        cuts = np.flatnonzero(np.diff(leaf[by_leaf])) + 1
-        for group in np.split(by_leaf, cuts):
-            at = leaf[group[0]]
-            part = slice(begins[at], begins[at + 1])
-            scores = _score(q[active[group]], v[part])
-            for own, query in zip(scores, active[group], strict=True):
-                keep = (own >= kth[query]) & (ids[part] != queries[query])
-                if not keep.any():
-                    continue
-                all_scores = np.concatenate([found[query][0], own[keep]])
-                all_ids = np.concatenate([found[query][1], ids[part][keep]])
-                best = _best(all_scores, all_ids, k)
-                found[query] = all_scores[best], all_ids[best]
-                if len(best) == k:
-                    kth[query] = max(kth[query], int(all_scores[best[-1]]))
+
+    def look(leaf: int, own: np.ndarray) -> None:
+        """Those of the queries ``own`` that have hits in a leaf take them."""
+        part = slice(begins[leaf], begins[leaf + 1])
+        scores = _score(q[own], v[part])
+        keep = (scores >= kth[own][:, None]) & (ids[part] != queries[own][:, None])
+        for at in np.flatnonzero(keep.any(axis=1)):
+            query = own[at]
+            all_scores = np.concatenate([found[query][0], scores[at][keep[at]]])
+            all_ids = np.concatenate([found[query][1], ids[part][keep[at]]])
+            best = _best(all_scores, all_ids, k)
+            found[query] = all_scores[best], all_ids[best]
+            if len(best) == k:
+                kth[query] = max(kth[query], int(all_scores[best[-1]]))
+
+    promising = bounds.argmax(axis=1)
+    for leaf in np.unique(promising):
+        own = np.flatnonzero((promising == leaf) & (bounds[:, leaf] >= kth))
+        if len(own):
+            look(leaf, own)
+    for leaf in [] if first_only else np.argsort(-bounds.max(axis=0), kind="stable"):
+        own = np.flatnonzero((promising != leaf) & (bounds[:, leaf] >= kth))
+        if len(own):
+            look(leaf, own)
     # A query asked by several rows has each hit as many times, of which k can count.
     copies = np.frombuffer(row["copies"], np.int32)
     found = [
@@ -239,7 +240,9 @@ def _pass(
 ) -> DataFrame:
     """Each block of queries through each tree of its length.
 
-    A block is sent to every shard by number and meets its tree there.
+    A block is sent to every shard by number and meets its tree there. The blocks are
+    not broadcast: Spark sizes them by the file of queries, without their copies for
+    every shard, and would hold all of these in the driver.
     """
     blocks = queries.groupBy("dim", "block").applyInArrow(_blocks, BLOCK_SCHEMA)
 
@@ -253,7 +256,7 @@ def _pass(
 
     sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     sent = sent.withColumn("shard", F.col("shard").cast("bigint"))
-    return sent.join(index, ["dim", "shard"]).mapInArrow(visit, HIT_SCHEMA)
+    return sent.hint("merge").join(index, ["dim", "shard"]).mapInArrow(visit, HIT_SCHEMA)
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:

@@ -102,3 +102,13 @@ def test_large_finite_components_have_a_result(spark):
             expected += [(query, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
     found = search.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0)
     assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
+def test_blocks_sent_to_every_shard_are_not_broadcast(spark, check_plan, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_ROWS", 60)
+    table = spark.createDataFrame(vectors(), SCHEMA)
+    index, shards = search.trees(table)
+    queries = search._copies(search._usable(table.where("vec_id % 50 = 0"), "vec_id", "embedding"), 5)
+    queries = queries.selectExpr("vec_id", "v", "copies", "size(v) AS dim", "0L AS block", "0L AS floor")
+    plan = check_plan(search._pass(index, shards, search.written(queries, "queries"), 5, True))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
