@@ -46,6 +46,8 @@ PERCENT = 75
 SKETCH_BITS = 18
 KEYS = 3
 LIST_ROWS = 2048
+SHORT_LIST = 32
+PAIR_WORDS = 1 << 20
 CHUNK_SHINGLES = 1 << 20
 
 _STEP = 0xD1B54A32D192ED03
@@ -268,8 +270,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(own: np.ndarray, own_n: int, others: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether bitmaps leave it open that two sets link."""
-    apart = np.bitwise_count(others ^ own).sum(axis=1, dtype=np.int64)
-    both = n + own_n
+    return _within(np.bitwise_count(others ^ own).sum(axis=1, dtype=np.int64), n + own_n)
+
+
+def _within(apart: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets of ``both`` shingles together can link if they differ in ``apart``."""
     return apart <= both - 2 * (-(-PERCENT * both // (100 + PERCENT)))
 
 
@@ -315,30 +320,70 @@ def candidate_edges(
     return edges
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of rows with equal keys, of rows sorted by these."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.zeros(batch.num_rows, dtype=bool)
-        for key in keys:
-            own = batch.column(key).to_numpy(zero_copy_only=False)
-            new[1:] |= own[1:] != own[:-1]
-            if held:
-                new[0] |= held[-1].column(key)[-1].as_py() != own[0]
-        cuts = np.flatnonzero(new).tolist()
-        rest = pa.Table.from_batches([batch])
-        at = 0
-        for cut in cuts:
-            if cut > at:
-                held.append(rest.slice(at, cut - at))
-            if held:
-                yield pa.concat_tables(held)
-            held, at = [], cut
-        held.append(rest.slice(at))
-    if held:
-        yield pa.concat_tables(held)
+def _open_pairs(
+    left: np.ndarray, right: np.ndarray, n: np.ndarray, words_: np.ndarray, at: np.ndarray
+) -> np.ndarray:
+    """Which pairs of rows, the smaller set left, their bitmaps leave open.
+
+    Row ``k`` has the words ``at[k]`` to ``at[k + 1]``.
+    """
+    wide = np.diff(at)
+    out = np.zeros(len(left), dtype=bool)
+    for width in np.unique(wide[left]).tolist():
+        step = max(1, PAIR_WORDS // width)
+        for times in (1, 2):
+            own = np.flatnonzero((wide[left] == width) & (wide[right] == times * width))
+            for begin in range(0, len(own), step):
+                part = own[begin : begin + step]
+                a, b = left[part], right[part]
+                span = np.arange(width)
+                apart = words_[at[a][:, None] + span] ^ words_[at[b][:, None] + span]
+                if times == 2:
+                    apart ^= words_[at[b][:, None] + width + span]
+                out[part] = _within(np.bitwise_count(apart).sum(axis=1, dtype=np.int64), n[a] + n[b])
+    return out
+
+
+def short_edges(
+    lists: np.ndarray, ids: np.ndarray, n: np.ndarray, bits: pa.Array, labels: np.ndarray
+) -> list[tuple[int, int]]:
+    """``candidate_edges`` of many short lists at once; ``lists`` numbers each row's, ascending."""
+    order = np.lexsort((n, lists))
+    lists, ids, n, labels = lists[order], ids[order], n[order].astype(np.int64), labels[order]
+    raw, offsets = words.text_bytes(bits.take(pa.array(order)))
+    words_, at = np.frombuffer(raw.tobytes(), np.uint64), offsets // 8
+    lefts, rights = [], []
+    near = np.arange(len(lists))
+    for apart in range(1, len(lists)):
+        near = near[near + apart < len(lists)]
+        near = near[lists[near] == lists[near + apart]]
+        if not len(near):
+            break
+        other = near + apart
+        wanted = (labels[near] != labels[other]) & (n[other] <= 100 * n[near] // PERCENT)
+        left, right = near[wanted], other[wanted]
+        open_ = _open_pairs(left, right, n, words_, at)
+        lefts.append(left[open_])
+        rights.append(right[open_])
+    if not lefts:
+        return []
+    left, right = np.concatenate(lefts), np.concatenate(rights)
+    edges: list[tuple[int, int]] = []
+    names: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def name(row: int) -> tuple[int, int]:
+        own = int(lists[row]), int(labels[row])
+        while own in names:
+            own = names[own]
+        return own
+
+    for k in np.lexsort((right, left)).tolist():
+        a, b = int(left[k]), int(right[k])
+        one, two = name(a), name(b)
+        if one != two:
+            names[two] = one
+            edges.append((int(ids[a]), int(ids[b])))
+    return edges
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -350,17 +395,42 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     )
 
 
+def _whole_runs(
+    batches: Iterator[pa.RecordBatch], keys: list[str]
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of rows with equal keys, of rows sorted by these, and where each begins."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+        new = np.zeros(rows.num_rows, dtype=bool)
+        for key in keys:
+            own = rows.column(key).to_numpy()
+            new[1:] |= own[1:] != own[:-1]
+        cuts = np.flatnonzero(new)
+        last = int(cuts[-1]) if len(cuts) else 0
+        held = rows.slice(last)
+        if last:
+            yield rows.slice(0, last), np.concatenate([[0], cuts])
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
 def _list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple[int, int]] = []
-    for run in _runs(batches, ["token", "i", "j"]):
-        if run.num_rows < 2:
-            continue
-        out += candidate_edges(
-            run.column("set_id").to_numpy(),
-            run.column("n").to_numpy(),
-            run.column("bits").to_pylist(),
-            run.column("label").to_numpy(),
-        )
+    for rows, begins in _whole_runs(batches, ["token", "i", "j"]):
+        ids, n, labels = (rows.column(name).to_numpy() for name in ("set_id", "n", "label"))
+        bits = rows.column("bits").combine_chunks()
+        sizes = np.diff(begins)
+        lists = np.repeat(np.arange(len(sizes)), sizes)
+        short = np.flatnonzero(((sizes > 1) & (sizes <= SHORT_LIST))[lists])
+        if len(short):
+            out += short_edges(lists[short], ids[short], n[short], bits.take(pa.array(short)), labels[short])
+        for k in np.flatnonzero(sizes > SHORT_LIST).tolist():
+            a, b = int(begins[k]), int(begins[k + 1])
+            out += candidate_edges(ids[a:b], n[a:b], bits.slice(a, b - a).to_pylist(), labels[a:b])
         if len(out) >= 10_000:
             yield _edge_batch(list(dict.fromkeys(out)))
             out = []

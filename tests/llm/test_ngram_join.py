@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -130,3 +131,45 @@ def test_components(spark, edges):
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert {r["node"]: r["component"] for r in found.collect()} == label
+
+
+@pytest.mark.parametrize("pair_words,batch_rows", [(1 << 20, 1000), (2, 7)])
+def test_short_lists_are_compared_many_at_once(monkeypatch, pair_words, batch_rows):
+    pick = np.random.default_rng(3)
+    columns, wanted = {name: [] for name in ("token", "i", "j", "set_id", "n", "bits", "label")}, []
+    for token in range(60):
+        size, base = int(pick.integers(1, 9)), pick.integers(1 << 40, size=int(pick.integers(1, 200)))
+        sets = []
+        for _ in range(size):
+            own = base[pick.random(len(base)) < pick.choice([0.5, 0.97])]
+            sets.append(np.unique(np.append(own, pick.integers(1 << 40, size=int(pick.integers(1, 4))))).astype(np.uint64))
+        ids = np.arange(1000 * token, 1000 * token + size)
+        labels, n = pick.integers(3, size=size) + 7, np.array([len(own) for own in sets])
+        bits = [ngram_join.bitmap(own) for own in sets]
+        wanted += ngram_join.candidate_edges(ids, n, bits, labels)
+        for row in zip([token] * size, [0] * size, [0] * size, ids, n, bits, labels, strict=True):
+            for column, value in zip(columns.values(), row, strict=True):
+                column.append(value)
+    table = pa.table(columns)
+
+    def one_by_one(*_):
+        raise AssertionError("a short list on its own")
+
+    monkeypatch.setattr(ngram_join, "candidate_edges", one_by_one)
+    monkeypatch.setattr(ngram_join, "PAIR_WORDS", pair_words)
+    found = [
+        edge
+        for batch in ngram_join._list_edges(iter(table.to_batches(max_chunksize=batch_rows)))
+        for edge in zip(*(column.to_pylist() for column in batch.columns), strict=True)
+    ]
+    names = {k: (k // 1000, int(label)) for k, label in zip(columns["set_id"], columns["label"], strict=True)}
+    assert wanted and _groups(found, names) == _groups(wanted, names)
+
+
+def _groups(edges, names):
+    """Which labels of a list the edges make one."""
+    least = {name: name for name in names.values()}
+    for _ in range(len(least)):
+        for a, b in edges:
+            least[names[a]] = least[names[b]] = min(least[names[a]], least[names[b]])
+    return least
