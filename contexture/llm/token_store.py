@@ -466,13 +466,14 @@ def lookup(manifest: DataFrame, keys: DataFrame, doc_id: str = "doc_id") -> Data
     ``start`` counts the ids of all records before it in the store. A key that
     the store does not have gives no row. The manifest, a row a shard, is held
     by the driver and every task; keys are range-sorted, so a task opens few
-    shards, one at a time.
+    shards, one at a time. There are as many tasks as shards: keys are few bytes,
+    by which Spark would put millions into one task, but each has its ids read.
     """
     shards = [row.asDict() for row in manifest.orderBy("shard").collect()]
     base = [0, *itertools.accumulate(row["tokens"] for row in shards)]
     sent = keys.sparkSession.sparkContext.broadcast((shards, base))
     wanted = keys.select(F.col(doc_id).cast("bigint").alias("doc_id")).distinct()
-    wanted = wanted.repartitionByRange(F.col("doc_id").asc_nulls_first())
+    wanted = wanted.repartitionByRange(max(1, len(shards)), F.col("doc_id").asc_nulls_first())
     wanted = wanted.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,3 +94,10 @@ def test_ids_of_other_tokenizers(spark, path, tmp_path):
     ids, _ = encoder(raw, np.array([0, len(raw)]))
     assert ids.tolist()[:4] == [15496, 2159, 11, 340]
     assert token_store.Encoder(path).in_pieces
+
+
+def test_records_are_looked_up_in_a_task_per_shard(spark, path):
+    docs = frame(spark, [(k, f"text number {k}", "en", "s", 9) for k in range(400)])
+    manifest = token_store.encode(docs, path, shared_dir(spark, "tokens"), shards=6)
+    found = token_store.lookup(manifest, docs)
+    assert found.count() == 400 and found.rdd.getNumPartitions() == manifest.count() == 6
